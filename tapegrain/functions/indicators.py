@@ -110,12 +110,16 @@ def add_adx(df: DataFrame, n: int = 14, out: str = "adx") -> DataFrame:
 
 
 def trailing_rank(x: str, window: int, min_periods: int | None = None, key=KEY, t=T) -> Column:
-    """Share of the earlier values in the window that lie strictly below the current one."""
+    """Share of the earlier rows in the window whose value lies strictly below the current one.
+
+    Rows without a value count in the share's base but not towards ``min_periods``.
+    """
     w = trailing(_w(key, t), window)
     vals = F.array_agg(x).over(w)
-    n = F.size(vals)
+    rows = F.count(F.lit(1)).over(w)
     below = F.size(F.filter(vals, lambda v: v < F.col(x)))
-    return F.when(F.col(x).isNotNull() & (n >= (min_periods or window // 2)) & (n > 1), below / (n - 1))
+    return F.when(F.col(x).isNotNull() & (F.size(vals) >= (min_periods or window // 2)) & (rows > 1),
+                  below / (rows - 1))
 
 
 def slope_atr(ma: str, days: int, atr: str) -> Column:

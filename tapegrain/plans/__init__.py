@@ -6,7 +6,7 @@ import importlib
 
 from tapegrain.plans.catalog import CATALOG
 
-AREAS = ["windows"]
+AREAS = ["windows", "regimes"]
 
 
 def load_catalog():
