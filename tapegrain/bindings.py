@@ -144,3 +144,56 @@ FILINGS = """fil AS (SELECT l_suppkey AS issuer, o_custkey AS owner, CAST(o_orde
   CAST(o_orderdate AS DATE) + l_linenumber * 7 AS filed, CASE WHEN l_returnflag = 'R' THEN 'S' ELSE 'P' END AS code,
   l_extendedprice AS value, l_quantity AS shares, o_orderpriority AS role, l_orderkey, l_linenumber, l_partkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+# --- derived inputs -----------------------------------------------------------------------------
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly revenue, cost and units per symbol, known 30 to 75 days after the quarter ends."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    g = (li.join(o, li.l_orderkey == o.o_orderkey)
+         .groupBy(F.col("l_suppkey").alias("symbol"), F.year("o_orderdate").alias("_y"), F.quarter("o_orderdate").alias("_q"))
+         .agg(F.sum("l_extendedprice").alias("revenue"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("income"),
+              F.sum("l_quantity").alias("units")))
+    end = F.last_day(F.make_date("_y", F.col("_q") * 3, F.lit(1)))
+    lag = (30 + (F.col("symbol") * 7 + F.col("_y") + F.col("_q")) % 46).cast("int")
+    return g.select("symbol", end.alias("period_end"), F.date_add(end, lag).alias("available_at"), "revenue", "income", "units")
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded share splits per symbol and ex-date."""
+    li = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") >= 49) & (F.col("l_returnflag") == "R") & (F.col("l_discount") == 0.1))
+    return (li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("ex_date"))
+            .agg((1.0 + F.max("l_linenumber")).alias("ratio")))
+
+
+def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash per share by ex-date."""
+    li = table(spark, sf_dir, "lineitem").where((F.col("l_tax") == 0) & (F.col("l_discount") == 0))
+    return (li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("ex_date"))
+            .agg((F.sum("l_extendedprice") * 0.0001).alias("amount")))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earnings-style reports: one per symbol and order date of urgent orders, with a timing code and a surprise."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax")
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    g = (li.join(o, li.l_orderkey == o.o_orderkey)
+         .groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("o_orderdate").alias("date"))
+         .agg(F.min("l_linenumber").alias("_m"), (F.avg(F.col("l_discount") - F.col("l_tax")) * 100).alias("surprise")))
+    t = F.when(F.col("_m") % 3 == 0, "bmo").when(F.col("_m") % 3 == 1, "amc").otherwise("unknown")
+    return g.select("symbol", "date", t.alias("timing"), "surprise")
+
+
+FUNDAMENTALS = """fun AS (SELECT symbol, pe AS period_end, pe + CAST(30 + (symbol * 7 + y + q) % 46 AS INTEGER) AS available_at, revenue, income, units FROM
+ (SELECT l_suppkey AS symbol, year(o_orderdate) AS y, quarter(o_orderdate) AS q, last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS pe,
+  sum(l_extendedprice) AS revenue, sum(l_extendedprice * (1 - l_discount)) AS income, sum(l_quantity) AS units
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4))"""
+SPLITS = """splits AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ex_date, 1.0::DOUBLE + max(l_linenumber) AS ratio FROM lineitem
+ WHERE l_quantity >= 49 AND l_returnflag = 'R' AND l_discount = 0.1::DOUBLE GROUP BY 1, 2)"""
+DIVIDENDS = """dvd AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ex_date, sum(l_extendedprice) * 0.0001::DOUBLE AS amount FROM lineitem
+ WHERE l_tax = 0 AND l_discount = 0 GROUP BY 1, 2)"""
+REPORTS = """rep AS (SELECT symbol, date, CASE WHEN m % 3 = 0 THEN 'bmo' WHEN m % 3 = 1 THEN 'amc' ELSE 'unknown' END AS timing, surprise FROM
+ (SELECT l_suppkey AS symbol, CAST(o_orderdate AS DATE) AS date, min(l_linenumber) AS m, avg(l_discount - l_tax) * 100 AS surprise
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2))"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrain.operators.kernels import by_time, ewm, full, ratio, so_far, trailing
+from tapegrain.operators.kernels import by_time, ewm, full, ratio, roll_mean, roll_std, so_far, trailing
 
 KEY, T = "symbol", "session"
 
@@ -21,11 +21,11 @@ def _w(key=KEY, t=T):
 
 
 def sma(x: str, n: int, key=KEY, t=T) -> Column:
-    return full(F.avg(x), x, trailing(_w(key, t), n), n)
+    return roll_mean(x, _w(key, t), n)
 
 
 def rolling_std(x: str, n: int, key=KEY, t=T, min_periods: int | None = None) -> Column:
-    return full(F.stddev_samp(x), x, trailing(_w(key, t), n), min_periods or n)
+    return roll_std(x, _w(key, t), n, min_periods)
 
 
 def true_range(key=KEY, t=T) -> Column:

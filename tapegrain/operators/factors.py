@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrain.functions import indicators as I
-from tapegrain.operators.kernels import (MAX_GROUP_ROWS, by_time, full, rank_in_group, ratio, so_far, trailing)
+from tapegrain.operators.kernels import (MAX_GROUP_ROWS, by_time, full, rank_in_group, ratio, roll_cov, roll_mean, roll_std,
+                                         roll_sum, so_far, trailing)
 from tapegrain.session import materialize
 
 W = lambda: by_time("symbol", "session")
@@ -114,7 +115,7 @@ def horizon_sigma(v21: str, v63: str, h: int) -> Column:
 
 def tradeable(min_dollar_volume: float, min_price: float = 5.0, min_bars: int = 260) -> Column:
     w = W()
-    dv = full(F.avg(F.col("close") * F.col("volume")), "close", trailing(w, 21), 21)
+    dv = roll_mean(F.col("close") * F.col("volume"), w, 21)
     return ((F.count("close").over(so_far(w)) >= min_bars) & (F.col("close") > min_price)
             & (F.coalesce(dv, F.lit(0.0)) > min_dollar_volume))
 
@@ -129,15 +130,12 @@ def panel_factors(bars: DataFrame, market: DataFrame, sectors: DataFrame, min_do
     d = d.withColumn("_r1", F.col("_lc") - F.lag("_lc").over(w))
     pair = F.col("_r1").isNotNull() & F.col("_mr").isNotNull()
     d = d.withColumns({"_x": F.when(pair, F.col("_r1")), "_y": F.when(pair, F.col("_mr"))})
-    yr = trailing(w, 252)
-    beta = F.when(F.count("_x").over(yr) >= 126,
-                  ratio(F.covar_samp("_x", "_y").over(yr), F.var_samp("_y").over(yr)))
+    beta = ratio(roll_cov("_x", "_y", w, 252, 126), roll_cov("_y", "_y", w, 252, 126))
     d = d.withColumns({"beta": beta, "mom_12_1": F.lag("_lc", 21).over(w) - F.lag("_lc", 252).over(w),
                        "tradeable": tradeable(min_dollar_volume)})
     d = d.withColumn("_res", F.col("_r1") - F.col("beta") * F.col("_mr"))
     d = d.withColumn("_rz", F.lag("_res", 21).over(w))
-    span = trailing(w, 231)
-    d = d.withColumn("resmom_12_1", full(F.sum("_rz"), "_rz", span, 231) / (F.stddev_samp("_rz").over(span) + 1e-9))
+    d = d.withColumn("resmom_12_1", roll_sum("_rz", w, 231) / (roll_std("_rz", w, 231) + 1e-9))
     d = d.join(sectors.select("symbol", "sector"), "symbol")
     d = d.drop("_lc", "_r1", "_x", "_y", "_res", "_rz", "_mr")
     if bound is not None and bound <= MAX_GROUP_ROWS:

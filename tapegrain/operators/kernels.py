@@ -45,6 +45,43 @@ def full(agg: Column, counted: str | Column, frame: WindowSpec, n: int) -> Colum
     return F.when(F.count(c(counted)).over(frame) >= n, agg.over(frame))
 
 
+# A moving frame is re-read for every row. From this length on, sums over it are taken as the
+# difference of two running sums, which costs the same whatever the length.
+LONG_FRAME = 30
+
+
+def roll_sum(x: str | Column, w: WindowSpec, n: int, end: int = 0) -> Column:
+    if n < LONG_FRAME:
+        return F.coalesce(F.sum(c(x)).over(trailing(w, n, end)), F.lit(0.0))
+    return (F.coalesce(F.sum(c(x)).over(so_far(w, end)), F.lit(0.0))
+            - F.coalesce(F.sum(c(x)).over(so_far(w, end - n)), F.lit(0.0)))
+
+
+def roll_count(x: str | Column, w: WindowSpec, n: int, end: int = 0) -> Column:
+    if n < LONG_FRAME:
+        return F.count(c(x)).over(trailing(w, n, end))
+    return F.count(c(x)).over(so_far(w, end)) - F.count(c(x)).over(so_far(w, end - n))
+
+
+def roll_mean(x: str | Column, w: WindowSpec, n: int, end: int = 0, need: int | None = None) -> Column:
+    k = roll_count(x, w, n, end)
+    return F.when(k >= (n if need is None else need), roll_sum(x, w, n, end) / k)
+
+
+def roll_cov(x: str | Column, y: str | Column, w: WindowSpec, n: int, need: int | None = None) -> Column:
+    """Sample covariance over the frame; x and y must be null on the same rows."""
+    k = roll_count(x, w, n)
+    sxy, sx, sy = roll_sum(c(x) * c(y), w, n), roll_sum(x, w, n), roll_sum(y, w, n)
+    return F.when((k >= (n if need is None else need)) & (k > 1), (sxy - sx * sy / k) / (k - 1))
+
+
+def roll_std(x: str | Column, w: WindowSpec, n: int, need: int | None = None) -> Column:
+    if n < LONG_FRAME:
+        return full(F.stddev_samp(c(x)), x, trailing(w, n), n if need is None else need)
+    v = roll_cov(x, x, w, n, need)
+    return F.when(v.isNotNull(), F.sqrt(F.greatest(v, F.lit(0.0))))
+
+
 def ratio(a: str | Column, b: str | Column) -> Column:
     return c(a) / F.nullif(c(b), F.lit(0.0))
 

@@ -6,7 +6,7 @@ import importlib
 
 from tapegrain.plans.catalog import CATALOG
 
-AREAS = ["windows", "regimes"]
+AREAS = ["windows", "regimes", "joins"]
 
 
 def load_catalog():

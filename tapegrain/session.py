@@ -19,6 +19,8 @@ def build_session(app: str = "tapegrain", master: str | None = None,
          .config("spark.ui.enabled", "false"))
     if master:
         b = b.master(master)
+        if master.startswith("local"):  # small test data: keep window work on all threads
+            b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
