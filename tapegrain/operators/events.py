@@ -32,3 +32,17 @@ def excess_after(events: DataFrame, bars: DataFrame, market: DataFrame, day: str
     e = e.where(F.col("_xc").isNotNull()).join(m1, "entry").join(m2, "exit")
     e = e.withColumn("ret", F.col("_xc") / F.col("_ec") - 1)
     return e.withColumn("excess", F.col("ret") - (F.col("_m2") / F.col("_m1") - 1)).drop("_ec", "_xc", "_m1", "_m2")
+
+
+def outcomes_at(records: DataFrame, bars: DataFrame, market: DataFrame, day: str, horizons=(5, 20)) -> DataFrame:
+    """Outcome of each record after each horizon, in bars, with the market over the same two sessions."""
+    w = by_time("symbol", "session")
+    h = [F.struct(F.lit(n).alias("horizon"), F.lead("session", n).over(w).alias("xs"), F.lead("close", n).over(w).alias("xc")) for n in horizons]
+    b = bars.select("symbol", "session", F.col("session").alias("_es"), F.col("close").alias("_ec"), *[x.alias(f"_h{i}") for i, x in enumerate(h)])
+    e = asof_join(records, b, "symbol", day, "session", {"_es": "entry", "_ec": "_ec", **{f"_h{i}": f"_h{i}" for i in range(len(h))}}, direction="forward")
+    e = e.withColumn("_z", F.explode(F.array(*[f"_h{i}" for i in range(len(h))])))
+    e = e.select(*records.columns, "entry", "_ec", "_z.horizon", F.col("_z.xs").alias("exit"), F.col("_z.xc").alias("_xc")).where(F.col("_xc").isNotNull())
+    m1 = F.broadcast(market.select(F.col("session").alias("entry"), F.col("close").alias("_m1")))
+    m2 = F.broadcast(market.select(F.col("session").alias("exit"), F.col("close").alias("_m2")))
+    e = e.join(m1, "entry").join(m2, "exit").withColumn("ret", F.col("_xc") / F.col("_ec") - 1)
+    return e.withColumn("excess", F.col("ret") - (F.col("_m2") / F.col("_m1") - 1)).drop("_ec", "_xc", "_m1", "_m2")

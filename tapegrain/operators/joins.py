@@ -138,11 +138,18 @@ def keep_first(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+# Pair work grows with the square of the number of series; it is for portfolios and short lists.
+MAX_PAIR_SERIES = 500
+
+
 def pairwise_corr(returns: DataFrame, min_obs: int = 20, min_corr: float | None = None) -> DataFrame:
-    """Correlation of every pair of symbols over their common sessions, from one self-join on the session.
+    """Correlation of the pairs of a short list of series over their common sessions.
 
-    Sums of products are mergeable, so each (a, b) pair is combined before the shuffle.
+    The length of the list is checked, so at most MAX_PAIR_SERIES rows meet per session. Sums of
+    products are mergeable: each (a, b) pair is combined before the shuffle.
     """
+    if returns.select("symbol").distinct().limit(MAX_PAIR_SERIES + 1).count() > MAX_PAIR_SERIES:
+        raise ValueError(f"pairwise correlation takes at most {MAX_PAIR_SERIES} series")
     a = returns.select(F.col("symbol").alias("a"), "session", F.col("ret").alias("ra"))
     b = returns.select(F.col("symbol").alias("b"), "session", F.col("ret").alias("rb"))
     g = (a.join(b, "session").where(F.col("a") < F.col("b")).groupBy("a", "b")

@@ -223,23 +223,29 @@ def ewm(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
         d = d.withColumns({
             f"_s_{out}": F.when(start | ~live, F.lit(0.0)).otherwise(F.log(old / (old + a))),
             f"_d_{out}": F.when(start, c(x)).when(live, c(x) * a / (old + a)).otherwise(F.lit(0.0))})
-    d = d.withColumns({f"_L_{out}": F.sum(f"_s_{out}").over(run) for out in specs})
+    d = affine_scan(d, k, o, {f"_v_{out}": (f"_s_{out}", f"_d_{out}") for out in specs})
+    d = d.withColumns({out: F.when(F.col(f"_n_{out}") >= mp, F.col(f"_v_{out}")) for out, (_, _, mp) in specs.items()})
+    return d.drop(*[f"_{p}_{out}" for out in specs for p in "nigsdv"])
+
+
+def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                specs: dict[str, tuple[str, str]]) -> DataFrame:
+    """y_t = exp(s_t) y_{t-1} + d_t for log factors s <= 0: output -> (s column, d column)."""
+    k, o = list(keys), list(order)
+    w = Window.partitionBy(*k).orderBy(*o)
+    d = df.withColumns({f"_L{out}": F.sum(s).over(so_far(w)) for out, (s, _) in specs.items()})
+    d = d.withColumns({f"_b{out}": F.floor(-F.col(f"_L{out}") / BLOCK_DECAY) for out in specs})
+    d = d.withColumns({f"_M{out}": F.col(f"_L{out}") + F.col(f"_b{out}") * F.lit(BLOCK_DECAY) for out in specs})
+    for out, (_, x) in specs.items():
+        wb = so_far(Window.partitionBy(*k, f"_b{out}").orderBy(*o))
+        d = d.withColumn(f"_y{out}", F.exp(f"_M{out}") * F.sum(F.col(x) * F.exp(-F.col(f"_M{out}"))).over(wb))
+    d = d.withColumns({f"_p{out}": F.struct(F.lag(f"_y{out}").over(w).alias("y"),
+                                            F.lag(f"_L{out}").over(w).alias("L")) for out in specs})
     for out in specs:
-        blk = F.floor(-F.col(f"_L_{out}") / BLOCK_DECAY)
-        d = d.withColumns({f"_b_{out}": blk,
-                           f"_M_{out}": F.col(f"_L_{out}") + blk * F.lit(BLOCK_DECAY)})
-    for out in specs:
-        wb = Window.partitionBy(*k, f"_b_{out}").orderBy(*o)
-        d = d.withColumn(f"_y_{out}", F.exp(f"_M_{out}") * F.sum(
-            F.col(f"_d_{out}") * F.exp(-F.col(f"_M_{out}"))).over(so_far(wb)))
-    d = d.withColumns({f"_p_{out}": F.struct(F.lag(f"_y_{out}").over(w).alias("y"),
-                                             F.lag(f"_L_{out}").over(w).alias("L")) for out in specs})
-    for out, (x, a, mp) in specs.items():
-        wb = Window.partitionBy(*k, f"_b_{out}").orderBy(*o)
-        end = F.first(f"_p_{out}").over(so_far(wb))
-        carried = F.when(F.col(f"_b_{out}") > 0, end["y"] * F.exp(F.col(f"_L_{out}") - end["L"])).otherwise(0.0)
-        d = d.withColumn(out, F.when(F.col(f"_n_{out}") >= mp, F.col(f"_y_{out}") + carried))
-    return d.drop(*[f"_{p}_{out}" for out in specs for p in "nigsdLbMyp"])
+        end = F.first(f"_p{out}").over(so_far(Window.partitionBy(*k, f"_b{out}").orderBy(*o)))
+        carried = F.when(F.col(f"_b{out}") > 0, end["y"] * F.exp(F.col(f"_L{out}") - end["L"])).otherwise(0.0)
+        d = d.withColumn(out, F.col(f"_y{out}") + carried)
+    return d.drop(*[f"_{p}{out}" for out in specs for p in "LbMyp"])
 
 
 # --- ranks and quantiles of whole cross-sections ------------------------------------------------

@@ -20,3 +20,124 @@ def dividends_received(tx: DataFrame, dividends: DataFrame) -> DataFrame:
     w = Window.partitionBy("portfolio", "symbol").orderBy("_d", "_k").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("_sh", F.sum("_q").over(w)).where((F.col("_k") == 1) & (F.col("_sh") > 0))
     return u.groupBy("portfolio", "symbol").agg(F.sum(F.col("amount") * F.col("_sh")).alias("received"), F.count(F.lit(1)).alias("payments"))
+
+
+def average_cost(tx: DataFrame, keys=("portfolio", "symbol"), order=("session", "l_orderkey", "l_linenumber", "l_partkey")) -> DataFrame:
+    """Shares held and average-cost basis after each trade; sells are capped at the shares held.
+
+    Held shares are a running sum reflected at zero: sum minus its running minimum below zero. The
+    cost basis is scaled by held / held-before at a sell and starts anew after a full sale, so it is
+    an affine scan inside each stretch between full sales.
+    """
+    from tapegrain.operators.kernels import affine_scan, by_time, so_far
+    w = by_time(keys, order)
+    signed = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
+    d = tx.withColumn("_q", signed).withColumn("_S", F.sum("_q").over(so_far(w)))
+    d = d.withColumn("held", F.col("_S") - F.least(F.min("_S").over(so_far(w)), F.lit(0.0)))
+    d = d.withColumn("_prev", F.coalesce(F.lag("held").over(w), F.lit(0.0)))
+    sell = F.col("side") == "sell"
+    d = d.withColumn("_flat", (sell & (F.col("held") <= 0)).cast("int"))
+    d = d.withColumn("_stretch", F.coalesce(F.sum("_flat").over(so_far(w, -1)), F.lit(0)))
+    live = sell & (F.col("held") > 0)
+    d = d.withColumns({"_s": F.when(live, F.log(F.col("held") / F.col("_prev"))).otherwise(0.0),
+                       "_d": F.when(sell, 0.0).otherwise(F.col("qty") * F.col("price") + F.col("fee"))})
+    d = affine_scan(d, [*keys, "_stretch"], list(order), {"cost": ("_s", "_d")})
+    return (d.withColumn("cost", F.when(F.col("_flat") == 1, 0.0).otherwise(F.col("cost")))
+            .drop("_q", "_S", "_prev", "_flat", "_stretch", "_s", "_d"))
+
+
+def positions(tx: DataFrame, keys=("portfolio", "symbol"), order=("session", "l_orderkey", "l_linenumber", "l_partkey")) -> DataFrame:
+    d = average_cost(tx, keys, order)
+    return d.groupBy(*keys).agg(F.max_by(F.struct("held", "cost"), F.struct(*order)).alias("z")).select(*keys, "z.*")
+
+
+def valuation(pos: DataFrame, quotes: DataFrame, dividends: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Market value, cost, open profit, dividends and the largest sector share per portfolio."""
+    p = pos.where(F.col("held") > 0).join(quotes, "symbol").join(sectors.select("symbol", "sector"), "symbol")
+    p = p.join(dividends.select("portfolio", "symbol", "received"), ["portfolio", "symbol"], "left")
+    p = p.withColumn("_mv", F.col("held") * F.col("price"))
+    s = p.groupBy("portfolio", "sector").agg(F.sum("_mv").alias("_mv"), F.sum("cost").alias("_c"), F.sum(F.coalesce("received", F.lit(0.0))).alias("_dv"),
+                                             F.count(F.lit(1)).alias("_n"))
+    g = s.groupBy("portfolio").agg(F.sum("_mv").alias("market_value"), F.sum("_c").alias("cost"), F.sum("_dv").alias("dividends"), F.sum("_n").alias("positions"),
+                                   F.max("_mv").alias("_top"))
+    return g.withColumns({"open_profit": F.col("market_value") - F.col("cost"), "top_sector_share": F.col("_top") / F.col("market_value")}).drop("_top")
+
+
+def concentration(weights: DataFrame, key: str, weight: str) -> DataFrame:
+    """Herfindahl index, effective number of bets and top-1 / top-3 weights, from one total per key."""
+    tot = weights.groupBy(key).agg(F.sum(weight).alias("_t"), F.sum(F.col(weight) * F.col(weight)).alias("_q"), F.max(weight).alias("_m"))
+    w = Window.partitionBy(key).orderBy(F.desc(weight))
+    top = weights.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 3).groupBy(key).agg(F.sum(weight).alias("_t3"))
+    return tot.join(top, key).select(key, (F.col("_q") / (F.col("_t") * F.col("_t"))).alias("hhi"), (F.col("_t") * F.col("_t") / F.col("_q")).alias("effective_bets"),
+                                     (F.col("_m") / F.col("_t")).alias("top1"), (F.col("_t3") / F.col("_t")).alias("top3"))
+
+
+def holdings_by_security(rows: DataFrame, filing: str, security: str, value: str, shares: str) -> DataFrame:
+    """Holdings per filing and security; values reported in thousands are detected by their size."""
+    mx = rows.groupBy(filing).agg(F.max(value).alias("_mx"))
+    g = rows.groupBy(filing, security).agg(F.sum(value).alias("_v"), F.sum(shares).alias("shares")).join(mx, filing)
+    g = g.withColumn("value", F.col("_v") * F.when(F.col("_mx") <= 1e8, 1000.0).otherwise(1.0))
+    tot = g.groupBy(filing).agg(F.sum("value").alias("_t"))
+    return g.join(tot, filing).withColumn("weight", F.col("value") / F.col("_t")).drop("_v", "_mx", "_t")
+
+
+def contribution_growth(prices: DataFrame, weights: DataFrame, monthly: float) -> DataFrame:
+    """Buying every month at fixed weights: shares, value, invested money and contribution-neutral growth.
+
+    Nothing is ever sold, so shares are a running sum. ``prices`` holds one row per (symbol, session).
+    """
+    from tapegrain.operators.kernels import by_time, so_far
+    p = prices.join(F.broadcast(weights), "symbol")
+    buy = F.row_number().over(Window.partitionBy("symbol", F.date_trunc("month", "session")).orderBy("session")) == 1
+    p = p.withColumn("_sh", F.when(buy, monthly * F.col("weight") / F.col("close")).otherwise(0.0))
+    p = p.withColumn("_own", F.sum("_sh").over(so_far(by_time("symbol", "session"))))
+    g = p.groupBy("session").agg(F.sum(F.col("_own") * F.col("close")).alias("value"), F.sum((F.col("_own") - F.col("_sh")) * F.col("close")).alias("_pre"),
+                                 F.sum(F.col("_sh") * F.col("close")).alias("_in"))
+    w = Window.partitionBy().orderBy("session")  # one row per session
+    g = g.withColumn("_g", F.coalesce(F.log(F.col("_pre") / F.nullif(F.lag("value").over(w), F.lit(0.0))), F.lit(0.0)))
+    g = g.withColumns({"invested": F.sum("_in").over(so_far(w)), "growth": F.exp(F.sum("_g").over(so_far(w)))})
+    return g.withColumn("drawdown", F.col("growth") / F.max("growth").over(so_far(w)) - 1).drop("_pre", "_in", "_g")
+
+
+def plan_orders(targets: DataFrame, positions: DataFrame, value: DataFrame, band: float = 0.25, min_order: float = 100.0) -> DataFrame:
+    """Exit, trim, new or top-up orders where a position left the drift band around its target;
+    buys are scaled to the money there is."""
+    j = targets.join(positions, ["portfolio", "symbol"], "full").join(value, "portfolio")
+    t, m = F.coalesce("weight", F.lit(0.0)) * F.col("value"), F.coalesce("market_value", F.lit(0.0))
+    j = j.withColumns({"_t": t, "_m": m, "_gap": t - m})
+    why = (F.when((F.col("_t") <= 0) & (F.col("_m") > 0), "exit").when((F.col("_m") <= 0) & (F.col("_t") > 0), "new")
+           .when(F.col("_gap") < -band * F.col("_t"), "trim").when(F.col("_gap") > band * F.col("_t"), "top_up"))
+    j = j.withColumn("reason", why).where(F.col("reason").isNotNull() & (F.abs("_gap") >= min_order))
+    tot = j.groupBy("portfolio").agg(F.sum(F.when(F.col("_gap") > 0, F.col("_gap")).otherwise(0.0)).alias("_buys"),
+                                     F.sum(F.when(F.col("_gap") < 0, -F.col("_gap")).otherwise(0.0)).alias("_sells"))
+    j = j.join(tot, "portfolio")
+    scale = F.when(F.col("_buys") > 0, F.least(F.lit(1.0), (F.col("cash") + F.col("_sells")) / F.col("_buys"))).otherwise(1.0)
+    return j.select("portfolio", "symbol", "reason", F.when(F.col("_gap") > 0, F.col("_gap") * scale).otherwise(F.col("_gap")).alias("amount"))
+
+
+def rebalance_plan(sleeves: DataFrame, cash: DataFrame, cap: float | None = None) -> DataFrame:
+    """Spend new cash on under-weight sleeves, in proportion to their gaps; nothing is sold."""
+    j = sleeves.join(cash, "portfolio")
+    tot = sleeves.groupBy("portfolio").agg(F.sum("market_value").alias("_mv"))
+    j = j.join(tot, "portfolio").withColumn("_gap", F.greatest(F.lit(0.0), F.col("weight") * (F.col("_mv") + F.col("cash")) - F.col("market_value")))
+    g = j.groupBy("portfolio").agg(F.sum("_gap").alias("_gaps"))
+    j = j.join(g, "portfolio")
+    buy = F.when(F.col("_gaps") > 0, F.least(F.col("cash") * F.col("_gap") / F.col("_gaps"), F.col("_gap"), *([F.lit(cap)] if cap else []))).otherwise(0.0)
+    return j.select("portfolio", "sleeve", buy.alias("buy"))
+
+
+def internal_rate(flows: Column, steps: int = 60, per_year: int = 12, lo: float = -0.9, hi: float = 10.0) -> Column:
+    """Money-weighted annual return of a monthly flow array by bisection of the net present value."""
+    def npv(rate: Column) -> Column:
+        g = F.pow(1 + rate, F.lit(-1.0 / per_year))
+        return F.aggregate(F.reverse(flows), F.lit(0.0), lambda acc, f: acc * g + f)
+
+    start = F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+
+    def halve(acc: Column, _i: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) / 2
+        up = npv(mid) > 0  # money went in first: a positive value means the rate is still too low
+        return F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid).alias("hi"))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
+    return (end["lo"] + end["hi"]) / 2

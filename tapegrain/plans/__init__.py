@@ -6,7 +6,7 @@ import importlib
 
 from tapegrain.plans.catalog import CATALOG
 
-AREAS = ["windows", "regimes", "joins"]
+AREAS = ["windows", "regimes", "joins", "evaluation"]
 
 
 def load_catalog():
