@@ -182,10 +182,11 @@ def rank_universe(scored: DataFrame, top: int, bottom: int, min_coverage: float
 
 
 def rank_portfolio(scored: DataFrame, hold: int = 21, top: float = 0.10, cost: float = 10 / 10_000, min_names: int = 30,
-                   offset: int = 0) -> DataFrame:
+                   offsets: str = "first") -> DataFrame:
     """Every ``hold`` sessions: long the best and short the worst fraction, next open to next open.
 
-    One row per rebalance: gross and net log returns, the equal-weight universe, rank correlation,
+    ``offsets="all"`` runs the study for each of the ``hold`` possible starting days at once: every
+    session is then a rebalance of exactly one offset. One row per rebalance: gross and net log returns, the equal-weight universe, rank correlation,
     turnover against the set before. Cuts come from counts per date, so only the top and bottom
     names (group-limited) are ever ranked.
     """
@@ -194,40 +195,42 @@ def rank_portfolio(scored: DataFrame, hold: int = 21, top: float = 0.10, cost: f
     d = scored.withColumn("y", F.log(F.lead("open", 1 + hold).over(w) / F.lead("open", 1).over(w)))
     d = d.where(F.col("score").isNotNull()).select("symbol", "session", F.round("score", 9).alias("score"), "y")
     cal = d.select("session").distinct().withColumn("_rn", F.row_number().over(Window.partitionBy().orderBy("session")) - 1)
-    cal = cal.where(F.col("_rn") % hold == offset).withColumn("_k", F.floor(F.col("_rn") / hold)).select("session", "_k")
+    if offsets == "first":
+        cal = cal.where(F.col("_rn") % hold == 0)
+    cal = cal.select("session", F.floor(F.col("_rn") / hold).alias("_k"), (F.col("_rn") % hold).alias("offset"))
     a = d.join(F.broadcast(cal), "session").where(F.col("y").isNotNull())
     a = materialize(a, "rebalance_rows")  # read by the counts, the cuts and the rank correlation
-    tot = a.groupBy("session", "_k").agg(F.count(F.lit(1)).alias("names"), F.log(F.avg(F.exp("y"))).alias("equal_weight"))
+    tot = a.groupBy("session", "_k", "offset").agg(F.count(F.lit(1)).alias("names"), F.log(F.avg(F.exp("y"))).alias("equal_weight"))
     tot = tot.where(F.col("names") >= min_names).withColumn("n_long", F.greatest(
         F.when(F.col("names") >= 25, 5).otherwise(1).cast("bigint"), F.floor(F.col("names") * top + 1e-9)))
-    b = a.drop("_k").join(F.broadcast(tot), "session")
+    b = a.drop("_k", "offset").join(F.broadcast(tot), "session")
     hi = b.withColumn("_p", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "symbol"))).where(F.col("_p") <= F.col("n_long"))
     lo = b.withColumn("_p", F.row_number().over(Window.partitionBy("session").orderBy("score", F.desc("symbol")))).where(F.col("_p") <= F.col("n_long"))
-    held = hi.select("symbol", "_k", "n_long")
-    before = held.select("symbol", (F.col("_k") + 1).alias("_k"))
-    kept = held.join(before, ["symbol", "_k"]).groupBy("_k").agg(F.count(F.lit(1)).alias("_kept"))
-    prev_n = tot.select((F.col("_k") + 1).alias("_k"), F.col("n_long").alias("_pn"))
+    held = hi.select("symbol", "_k", "offset")
+    before = held.select("symbol", (F.col("_k") + 1).alias("_k"), "offset")
+    kept = held.join(before, ["symbol", "_k", "offset"]).groupBy("_k", "offset").agg(F.count(F.lit(1)).alias("_kept"))
+    prev_n = tot.select((F.col("_k") + 1).alias("_k"), "offset", F.col("n_long").alias("_pn"))
     g = tot.join(hi.groupBy("session").agg(F.log(F.avg(F.exp("y"))).alias("long_gross")), "session")
     g = g.join(lo.groupBy("session").agg(F.log(F.avg(F.exp("y"))).alias("short_gross")), "session")
-    g = g.join(rank_corr(a, ["session"], "score", "y", "ic"), "session").join(kept, "_k", "left").join(prev_n, "_k", "left")
+    g = g.join(rank_corr(a, ["session"], "score", "y", "ic"), "session").join(kept, ["_k", "offset"], "left").join(prev_n, ["_k", "offset"], "left")
     turn = F.when(F.col("_pn").isNull(), 1.0).otherwise((F.col("n_long") + F.col("_pn") - 2 * F.coalesce("_kept", F.lit(0))) / (2 * F.col("n_long")))
     g = g.withColumn("turnover", turn)
     return g.withColumns({"long": F.col("long_gross") - 2 * cost * F.col("turnover"),
                           "long_short": F.col("long_gross") - F.col("short_gross") - 4 * cost * F.col("turnover")}).drop("_kept", "_pn", "_k")
 
 
-def summarize_portfolio(p: DataFrame, hold: int = 21, value: str = "long") -> DataFrame:
+def summarize_portfolio(p: DataFrame, hold: int = 21, value: str = "long", by: tuple[str, ...] = ()) -> DataFrame:
     """Growth, Sharpe, drawdown, excess over the equal-weight universe and rank-correlation statistics.
 
     One row per rebalance date goes in, so the drawdown window is bounded by the calendar.
     """
     per_year = 252.0 / hold
-    w = Window.partitionBy().orderBy("session")
+    w = Window.partitionBy(*by).orderBy("session")
     d = p.withColumn("_eq", F.exp(F.sum(value).over(so_far(w))))
     d = d.withColumns({"_dd": F.col("_eq") / F.max("_eq").over(so_far(w)) - 1, "_x": F.col(value) - F.col("equal_weight")})
     n, tiny = F.count(F.lit(1)), 1e-12
     t = lambda x: F.avg(x) / (F.stddev_samp(x) + tiny) * F.sqrt(n)
-    return d.agg(n.alias("n_rebalances"), (F.exp(F.sum(value) / (n / per_year)) - 1).alias("cagr"),
+    return d.groupBy(*by).agg(n.alias("n_rebalances"), (F.exp(F.sum(value) / (n / per_year)) - 1).alias("cagr"),
                  (F.avg(value) / (F.stddev_samp(value) + tiny) * F.sqrt(F.lit(per_year))).alias("sharpe"), F.min("_dd").alias("max_drawdown"),
                  (F.avg("_x") * per_year).alias("excess_per_year"), t("_x").alias("excess_t"), F.avg("ic").alias("ic_mean"), t("ic").alias("ic_t"),
                  F.avg("turnover").alias("avg_turnover"))

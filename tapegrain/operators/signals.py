@@ -24,3 +24,18 @@ def sector_relative(bars: DataFrame, sectors: DataFrame, proxies: DataFrame) ->
     j = s.join(F.broadcast(p), ["sector", "session"])  # a fixed number of sectors over the calendar
     j = j.withColumns({"rel_21": F.col("_r21") - F.col("_p21"), "rel_63": F.col("_r63") - F.col("_p63")})
     return j.withColumn("score", F.tanh(6.7 * blend({"rel_21": 0.4, "rel_63": 0.6})))
+
+
+def social_signal(posts: DataFrame) -> DataFrame:
+    """Mean of self-labels or confident text scores, engagement-weighted forum mean, blend and hype.
+
+    Needs symbol, forum, label, polarity, confidence, engagement.
+    """
+    forum = F.col("forum")
+    s1 = F.when(~forum, F.when(F.col("label").isNotNull(), F.col("label")).when(F.col("confidence") > 0.1, F.col("polarity")))
+    w = F.when(forum, F.greatest(F.lit(1.0), F.log1p("engagement")))
+    g = posts.groupBy("symbol").agg(F.count(F.when(~forum, 1)).alias("_n1"), F.coalesce(F.avg(s1), F.lit(0.0)).alias("_s1"), F.count(F.when(forum, 1)).alias("_n2"),
+                                    F.coalesce(F.sum(F.col("polarity") * w) / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.0)).alias("_s2"))
+    mix = (F.when((F.col("_n1") > 0) & (F.col("_n2") > 0), 0.6 * F.col("_s1") + 0.4 * F.col("_s2")).when(F.col("_n1") > 0, F.col("_s1")).otherwise(F.col("_s2")))
+    n = F.col("_n1") + F.col("_n2")
+    return g.select("symbol", n.alias("n"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mix)).alias("score"), F.tanh(n / 25.0).alias("hype"))

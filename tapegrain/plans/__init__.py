@@ -6,7 +6,7 @@ import importlib
 
 from tapegrain.plans.catalog import CATALOG
 
-AREAS = ["windows", "regimes", "joins", "evaluation"]
+AREAS = ["windows", "regimes", "joins", "evaluation", "text", "studies"]
 
 
 def load_catalog():
