@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrain.operators.kernels import by_time, exact_quantiles, rank_in_group, ratio, so_far
+from tapegrain.session import materialize
 
 
 def curve_metrics(curves: DataFrame, key: str = "symbol", ts: str = "session", value: str = "close", per_year: float = 252.0) -> DataFrame:
@@ -121,6 +122,8 @@ def rank_corr(f: DataFrame, by: Sequence[str], a: str, b: str, out: str = "rank_
     """Spearman correlation: Pearson correlation of average ranks."""
     by = list(by)
     d = f.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    if bound is None:
+        d = materialize(d, "rank_pairs")  # both rankings read it several times
     d = rank_in_group(d, by, "_a", "_ra", bound)
     d = rank_in_group(d, by, "_b", "_rb", bound)
     spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapegrain.functions import indicators as I
 from tapegrain.operators.kernels import by_time, so_far
+from tapegrain.session import materialize
 
 TINY = 1e-9
 
@@ -195,8 +196,8 @@ CONFLUENCE_WEIGHTS = {"structure": 0.25, "zone_proximity": 0.20, "recent_fvg": 0
 
 def confluence(bars: DataFrame) -> DataFrame:
     """Six-part score of the current setup per symbol; symbols with fewer than 30 bars are left out."""
-    d = with_structure_base(bars)
-    s = swings(d)
+    s = materialize(swings(with_structure_base(bars)), "structure")  # read by all six parts
+    d = s
     fv, ob, ev, sp, dr = gaps(d), order_blocks(d), structure_events(s), sweeps(s), dealing_range(s)
     zs = zones(d, s, ob, fv)
     last = d.where((F.col("i") == F.col("n") - 1) & (F.col("n") >= 30)).select("symbol", "session", "close", "atr", (F.col("n") - 1).alias("_last"))
