@@ -148,8 +148,8 @@ _MACD = f"""{ewm_sql('bars', 'em', {'f12': ('close', 2 / 13, 12), 's26': ('close
  mr1 AS (SELECT *, close / lag(close) OVER ({WS}) - 1 AS r FROM mg), mv1 AS (SELECT symbol, session, macd - sig AS hist, {full_sql('stddev_samp(r)', 'r', 59)} * sqrt(252) AS v, close / lag(close, 59) OVER ({WS}) - 1 AS sl FROM mr1),
  ml1 AS (SELECT symbol, arg_max(hist, session) AS hist, arg_max(v, session) AS v, arg_max(sl, session) AS sl FROM mv1 GROUP BY 1),
  rp AS (SELECT pk.*, hist, CASE WHEN v IS NULL THEN 'sideways' WHEN sl > 0.02 THEN CASE WHEN v > 0.25 THEN 'bull_high_vol' ELSE 'bull_low_vol' END WHEN sl < -0.02 THEN CASE WHEN v > 0.25 THEN 'bear_high_vol' ELSE 'bear_low_vol' END ELSE 'sideways' END AS regime,
-  CASE WHEN rsi14 < 30 THEN 0.3 WHEN rsi14 > 70 THEN -0.3 ELSE 0 END + CASE WHEN hist IS NULL THEN 0 WHEN hist > 0 THEN 0.15 ELSE -0.15 END + CASE WHEN a50 THEN 0.1 ELSE -0.1 END + CASE WHEN a200 THEN 0.1 ELSE -0.1 END AS tech,
-  CASE WHEN pe > 0 AND pe < 15 THEN 0.25 WHEN pe > 40 THEN -0.15 ELSE 0 END + 0.05 AS fund, tanh(coalesce(ret_3m, 0)) AS fcs FROM pk JOIN ml1 USING (symbol)),
+  CASE WHEN rsi14 < 30 THEN 0.3::DOUBLE WHEN rsi14 > 70 THEN -0.3::DOUBLE ELSE 0 END + CASE WHEN hist IS NULL THEN 0 WHEN hist > 0 THEN 0.15::DOUBLE ELSE -0.15::DOUBLE END + CASE WHEN a50 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END + CASE WHEN a200 THEN 0.1::DOUBLE ELSE -0.1::DOUBLE END AS tech,
+  CASE WHEN pe > 0 AND pe < 15 THEN 0.25::DOUBLE WHEN pe > 40 THEN -0.15::DOUBLE ELSE 0 END + 0.05::DOUBLE AS fund, tanh(coalesce(ret_3m, 0)) AS fcs FROM pk JOIN ml1 USING (symbol)),
  rw AS (SELECT *, CASE regime {' '.join(f"WHEN '{k}' THEN {w['forecast']} * fcs + {w['technical']} * tech + {w['fundamental']} * fund + {w['sentiment']} * coalesce(sent, 0) + {w['price_action']} * coalesce(pa, 0)" for k, w in S.REGIME_WEIGHTS.items())} END AS rec,
   list_filter([fcs, tech, fund, coalesce(sent, 0), coalesce(pa, 0)], lambda z: abs(z) > 0.05) AS lv FROM rp),
  rx AS (SELECT *, greatest(0.1, least(0.95, 0.4 + 0.5 * CASE WHEN len(lv) = 0 THEN 0.5 ELSE greatest(len(list_filter(lv, lambda z: z > 0)), len(list_filter(lv, lambda z: z < 0))) / CAST(len(lv) AS DOUBLE) END)) AS conf FROM rw)"""
@@ -188,7 +188,7 @@ def report_signals(spark, d):
 @query("sig20_market_composite", f"""WITH {B.BARS}, {B.MARKET}, {B.SECTORS}, {B.SECTOR_BARS}, m AS (SELECT session, close, {full_sql('avg(close)', 'close', 50)} AS s50, {full_sql('avg(close)', 'close', 200)} AS s200, (close / lag(close, 20) OVER ({WS}) - 1) * 100 AS r20 FROM mkt),
  s AS (SELECT session, max(r) FILTER (sector = 'ASIA') AS asia, max(r) FILTER (sector = 'EUROPE') AS eu FROM (SELECT sector, session, (close / lag(close, 20) OVER (PARTITION BY sector ORDER BY session) - 1) * 100 AS r FROM sector_bars) GROUP BY 1),
  p AS (SELECT session, CASE WHEN s50 IS NULL THEN NULL ELSE greatest(-1, least(1, CASE WHEN close > s50 THEN 0.5 ELSE -0.5 END + CASE WHEN s200 IS NULL THEN CASE WHEN close > s50 THEN 0.5 ELSE -0.5 END WHEN close > s200 THEN 0.5 ELSE -0.5 END)) END AS trend,
-  greatest(-1, least(1, r20 / 5)) AS momentum, greatest(-1, least(1, (asia - r20) / 3)) AS breadth, greatest(-1, least(1, (eu - asia) / 3)) AS credit FROM m LEFT JOIN s USING (session)),
+  CASE WHEN r20 IS NOT NULL THEN greatest(-1, least(1, r20 / 5)) END AS momentum, CASE WHEN asia - r20 IS NOT NULL THEN greatest(-1, least(1, (asia - r20) / 3)) END AS breadth, CASE WHEN eu - asia IS NOT NULL THEN greatest(-1, least(1, (eu - asia) / 3)) END AS credit FROM m LEFT JOIN s USING (session)),
  c AS (SELECT *, (coalesce(0.3 * trend, 0) + coalesce(0.2 * momentum, 0) + coalesce(0.2 * breadth, 0) + coalesce(0.3 * credit, 0)) / nullif((CASE WHEN trend IS NULL THEN 0 ELSE 0.3 END) + (CASE WHEN momentum IS NULL THEN 0 ELSE 0.2 END) + (CASE WHEN breadth IS NULL THEN 0 ELSE 0.2 END) + (CASE WHEN credit IS NULL THEN 0 ELSE 0.3 END), 0) AS comp FROM p)
  SELECT {ds()} AS session, {rs('comp', 5)} AS composite, CASE WHEN comp >= 0.245 THEN 'risk_on' WHEN comp <= -0.245 THEN 'risk_off' ELSE 'neutral' END AS regime FROM c WHERE comp IS NOT NULL""")
 def market_composite(spark, d):
