@@ -278,7 +278,7 @@ def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
           .agg(F.count(F.lit(1)).alias("_c")))
     cuts = [i / N_SPLITS for i in range(1, N_SPLITS)]
     sp = vc.groupBy(*by).agg(F.percentile_approx("_v", cuts, 10_000).alias("_sp"), F.sum("_c").alias("_n"))
-    b = (vc.join(sp, by) if by else vc.crossJoin(F.broadcast(sp)))
+    b = vc.join(sp, by) if by else vc.join(F.broadcast(sp))  # without keys: one row
     b = b.withColumn("_b", F.size(F.filter("_sp", lambda s: s < F.col("_v")))).drop("_sp")
     tot = b.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,8 +31,8 @@ EXPERIMENT = _s("phase STRING, component STRING, variant STRING, params MAP<STRI
 
 def require(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Check names and types at a stage boundary and put the columns in the declared order."""
-    have = {f.name: f.dataType for f in df.schema.fields}
-    bad = [f.name for f in schema.fields if have.get(f.name) != f.dataType]
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    bad = [f.name for f in schema.fields if have.get(f.name) != f.dataType.simpleString()]
     if bad:
         raise TypeError(f"columns missing or of another type: {bad}")
     return df.select(*[f.name for f in schema.fields])

@@ -176,9 +176,10 @@ def facts(docs: DataFrame, tags: list[str], unit: str = "USD", col: str = "facts
 
 # --- store, ledgers, logs -----------------------------------------------------------------------
 
-def write_store(df: DataFrame, path: str, kind: str, day: str = "session", mode: str = "overwrite") -> None:
-    """Parquet by kind and year: few, large files, whatever the number of symbols."""
-    (df.withColumns({"kind": F.lit(kind), "year": F.year(day)}).repartition("year").write.mode(mode).option("compression", "zstd").partitionBy("kind", "year").parquet(path))
+def write_store(df: DataFrame, path: str, kind: str, day: str = "session", key: str = "symbol", mode: str = "overwrite") -> None:
+    """Parquet by kind and year. Ranges over (year, key, day) split a large year or a large key over
+    many tasks and leave each file with a narrow key range to skip by."""
+    (df.withColumns({"kind": F.lit(kind), "year": F.year(day)}).repartitionByRange("year", key, day).sortWithinPartitions("year", key, day).write.mode(mode).option("compression", "zstd").partitionBy("kind", "year").parquet(path))
 
 
 def read_store(spark: SparkSession, path: str, kind: str, lo: str | None = None, hi: str | None = None, day: str = "session") -> DataFrame:
