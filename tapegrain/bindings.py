@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapegrain.operators.kernels import MAX_GROUP_ROWS
+from tapegrain.session import prepare
 
 # Tables of at most this many rows may be broadcast (about 100 bytes a row).
 BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -46,16 +46,16 @@ def add_rsi(df: DataFrame, n: int = 14, out: str | None = None) -> DataFrame:
     d = F.col("close") - F.lag("close").over(_w())
     df = df.withColumns({"_up": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))),
                          "_dn": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
-    df = ewm(df, KEY, T, {"_au": ("_up", 1.0 / n, n), "_ad": ("_dn", 1.0 / n, n)})
+    df = ewm(df, KEY, T, {"_au": ("_up", 1.0 / n, n), "_ad": ("_dn", 1.0 / n, n)}, clock="_up")
     rs = ratio("_au", "_ad")
     return df.withColumn(out, 100 - 100 / (1 + rs)).drop("_up", "_dn", "_au", "_ad")
 
 
 def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(df, KEY, T, {"_f": ("close", 2.0 / (fast + 1), fast), "_s": ("close", 2.0 / (slow + 1), slow)})
-    df = df.withColumn("macd", F.col("_f") - F.col("_s"))
+    df = ewm(df, KEY, T, {"_fast": ("close", 2.0 / (fast + 1), fast), "_slow": ("close", 2.0 / (slow + 1), slow)})
+    df = df.withColumn("macd", F.col("_fast") - F.col("_slow"))
     df = ewm(df, KEY, T, {"macd_signal": ("macd", 2.0 / (signal + 1), signal)})
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
 def add_bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
@@ -103,10 +103,10 @@ def add_adx(df: DataFrame, n: int = 14, out: str = "adx") -> DataFrame:
                          "_pdm": F.when((up > dn) & (up > 0), up).otherwise(0.0),
                          "_mdm": F.when((dn > up) & (dn > 0), dn).otherwise(0.0)})
     a = 1.0 / n
-    df = ewm(df, KEY, T, {"_a": ("_tr", a, n), "_p": ("_pdm", a, n), "_m": ("_mdm", a, n)})
-    pdi, mdi = 100 * ratio("_p", "_a"), 100 * ratio("_m", "_a")
+    df = ewm(df, KEY, T, {"_atr": ("_tr", a, n), "_pdi": ("_pdm", a, n), "_mdi": ("_mdm", a, n)}, clock="_tr")
+    pdi, mdi = 100 * ratio("_pdi", "_atr"), 100 * ratio("_mdi", "_atr")
     df = df.withColumn("_dx", 100 * ratio(F.abs(pdi - mdi), pdi + mdi))
-    return ewm(df, KEY, T, {out: ("_dx", a, n)}).drop("_tr", "_pdm", "_mdm", "_a", "_p", "_m", "_dx")
+    return ewm(df, KEY, T, {out: ("_dx", a, n)}).drop("_tr", "_pdm", "_mdm", "_atr", "_pdi", "_mdi", "_dx")
 
 
 def trailing_rank(x: str, window: int, min_periods: int | None = None, key=KEY, t=T) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrain.operators.kernels import by_time, exact_quantiles, rank_in_group, ratio, so_far
+from tapegrain.operators.kernels import CALENDAR_ROWS, by_time, exact_quantiles, rank_in_group, ratio, so_far
 from tapegrain.session import materialize
 
 
@@ -81,7 +81,7 @@ def risk_block(returns: DataFrame, market: DataFrame, level: float = 0.95, per_y
     j = returns.join(F.broadcast(market.select("session", F.col("ret").alias("_m"))), "session")
     g = j.groupBy("symbol").agg(F.stddev_samp("ret").alias("_sd"), F.avg("ret").alias("_mu"),
                                 (F.covar_samp("ret", "_m") / F.nullif(F.var_samp("_m"), F.lit(0.0))).alias("beta"), F.count(F.lit(1)).alias("n"))
-    q = exact_quantiles(j, ["symbol"], "ret", {"_q": 1 - level})
+    q = exact_quantiles(j, ["symbol"], "ret", {"_q": 1 - level}, CALENDAR_ROWS)
     ann = F.sqrt(F.lit(per_year))
     return g.join(q, "symbol").select("symbol", "n", (F.col("_sd") * ann).alias("vol"), F.when(F.col("_sd") > 0, F.col("_mu") / F.col("_sd") * ann).alias("sharpe"),
                                       "beta", (-F.col("_q")).alias("value_at_risk"))

@@ -14,8 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tapegrain.session import prepare
+
 # A group proven to hold no more rows than this may be handled in one window task.
 MAX_GROUP_ROWS = 2_000_000
+# Days of three centuries: no bar table holds more rows of one symbol and slot.
+CALENDAR_ROWS = 110_000
 # exp(+-BLOCK_DECAY) stays far inside the double range.
 BLOCK_DECAY = 230.0
 N_SPLITS = 256
@@ -101,6 +105,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], left_
     (the time column) that cuts hot keys into pieces; leave it out only where the calendar
     bounds the rows per key. Linear: one shuffle (blocked form: one more over summaries).
     """
+    prepare(left.sparkSession)
     keys = [key] if isinstance(key, str) else list(key)
     back = direction == "backward"
     # right rows sort first when they may match at equal time, last when they may not
@@ -193,7 +198,7 @@ def confirm(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
 # --- exponentially weighted means ---------------------------------------------------------------
 
 def ewm(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
-        specs: dict[str, tuple[str, float, int]]) -> DataFrame:
+        specs: dict[str, tuple[str, float, int]], clock: str | None = None) -> DataFrame:
     """Recursive decay averages ``y = (1-a) y' + a x`` as window sums.
 
     ``specs`` maps an output name to (input, alpha, min_periods). The first non-null input
@@ -202,50 +207,57 @@ def ewm(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
 
         y_t = exp(L_t) * sum(d_s * exp(-L_s)),   L = running sum of the log step factors.
 
-    Rows are cut where L has fallen by BLOCK_DECAY; one block back already weighs exp(-230),
-    so a block needs only the end value of the block before it.
+    Inputs that are null on the same rows can share one ``clock`` column and then, for equal
+    alpha, all windows but the last.
     """
     w = by_time(keys, order)
     run = so_far(w)
     k = [keys] if isinstance(keys, str) else list(keys)
     o = [order] if isinstance(order, str) else list(order)
-    d = df
-    for out, (x, a, _) in specs.items():
-        seen = F.count(c(x)).over(run)
-        d = d.withColumns({f"_n_{out}": seen, f"_i_{out}": F.row_number().over(w)})
-    for out, (x, a, _) in specs.items():
-        last_at = F.last(F.when(c(x).isNotNull(), F.col(f"_i_{out}")), ignorenulls=True).over(so_far(w, -1))
-        d = d.withColumn(f"_g_{out}", F.col(f"_i_{out}") - last_at)
-    for out, (x, a, _) in specs.items():
-        old = F.pow(F.lit(1.0 - a), F.col(f"_g_{out}"))
-        live = c(x).isNotNull()
-        start = live & (F.col(f"_n_{out}") == 1)
-        d = d.withColumns({
-            f"_s_{out}": F.when(start | ~live, F.lit(0.0)).otherwise(F.log(old / (old + a))),
-            f"_d_{out}": F.when(start, c(x)).when(live, c(x) * a / (old + a)).otherwise(F.lit(0.0))})
-    d = affine_scan(d, k, o, {f"_v_{out}": (f"_s_{out}", f"_d_{out}") for out in specs})
-    d = d.withColumns({out: F.when(F.col(f"_n_{out}") >= mp, F.col(f"_v_{out}")) for out, (_, _, mp) in specs.items()})
-    return d.drop(*[f"_{p}_{out}" for out in specs for p in "nigsdv"])
+    clocks = {out: clock or x for out, (x, _, _) in specs.items()}
+    d = df.withColumn("_i", F.row_number().over(w)).withColumns({f"_n_{x}": F.count(x).over(run) for x in set(clocks.values())})
+    d = d.withColumns({f"_g_{x}": F.col("_i") - F.last(F.when(F.col(x).isNotNull(), F.col("_i")), ignorenulls=True).over(so_far(w, -1))
+                       for x in set(clocks.values())})
+    groups: dict[tuple[str, float], list[str]] = {}
+    for out, (_, a, _) in specs.items():
+        groups.setdefault((clocks[out], a), []).append(out)
+    steps, inputs = {}, {}
+    scans = []
+    for i, ((x, a), outs) in enumerate(groups.items()):
+        live, start = F.col(x).isNotNull(), F.col(f"_n_{x}") == 1
+        old = F.pow(F.lit(1.0 - a), F.col(f"_g_{x}"))
+        steps[f"_s_{i}"] = F.when(~live | start, F.lit(0.0)).otherwise(F.log(old / (old + a)))
+        for out in outs:
+            v = F.col(specs[out][0])
+            inputs[f"_d_{out}"] = F.when(live & start, v).when(live, v * a / (old + a)).otherwise(F.lit(0.0))
+        scans.append((f"_s_{i}", {f"_v_{out}": f"_d_{out}" for out in outs}))
+    d = affine_scan(d.withColumns({**steps, **inputs}), k, o, scans)
+    d = d.withColumns({out: F.when(F.col(f"_n_{clocks[out]}") >= mp, F.col(f"_v_{out}")) for out, (_, _, mp) in specs.items()})
+    return d.drop("_i", *[f"_{p}_{x}" for x in clocks.values() for p in "ng"], *steps, *inputs, *[f"_v_{out}" for out in specs])
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                specs: dict[str, tuple[str, str]]) -> DataFrame:
-    """y_t = exp(s_t) y_{t-1} + d_t for log factors s <= 0: output -> (s column, d column)."""
+                scans: Sequence[tuple[str, dict[str, str]]]) -> DataFrame:
+    """y_t = exp(s_t) y_{t-1} + d_t for log factors s <= 0; ``scans``: (s column, {output: d column}).
+
+    Rows are cut where the running sum of s has fallen by BLOCK_DECAY; one block back already
+    weighs exp(-230), so a block needs only the end value of the block before it. Blocks follow
+    the order, so all windows of one scan share one sort.
+    """
     k, o = list(keys), list(order)
     w = Window.partitionBy(*k).orderBy(*o)
-    d = df.withColumns({f"_L{out}": F.sum(s).over(so_far(w)) for out, (s, _) in specs.items()})
-    d = d.withColumns({f"_b{out}": F.floor(-F.col(f"_L{out}") / BLOCK_DECAY) for out in specs})
-    d = d.withColumns({f"_M{out}": F.col(f"_L{out}") + F.col(f"_b{out}") * F.lit(BLOCK_DECAY) for out in specs})
-    for out, (_, x) in specs.items():
-        wb = so_far(Window.partitionBy(*k, f"_b{out}").orderBy(*o))
-        d = d.withColumn(f"_y{out}", F.exp(f"_M{out}") * F.sum(F.col(x) * F.exp(-F.col(f"_M{out}"))).over(wb))
-    d = d.withColumns({f"_p{out}": F.struct(F.lag(f"_y{out}").over(w).alias("y"),
-                                            F.lag(f"_L{out}").over(w).alias("L")) for out in specs})
-    for out in specs:
-        end = F.first(f"_p{out}").over(so_far(Window.partitionBy(*k, f"_b{out}").orderBy(*o)))
-        carried = F.when(F.col(f"_b{out}") > 0, end["y"] * F.exp(F.col(f"_L{out}") - end["L"])).otherwise(0.0)
-        d = d.withColumn(out, F.col(f"_y{out}") + carried)
-    return d.drop(*[f"_{p}{out}" for out in specs for p in "LbMyp"])
+    d = df.withColumns({f"_L{i}": F.sum(s).over(so_far(w)) for i, (s, _) in enumerate(scans)})
+    d = d.withColumns({f"_b{i}": F.floor(-F.col(f"_L{i}") / BLOCK_DECAY) for i in range(len(scans))})
+    d = d.withColumns({f"_M{i}": F.col(f"_L{i}") + F.col(f"_b{i}") * F.lit(BLOCK_DECAY) for i in range(len(scans))})
+    for i, (_, outs) in enumerate(scans):
+        wb = so_far(Window.partitionBy(*k, f"_b{i}").orderBy(*o))
+        wk = Window.partitionBy(*k).orderBy(f"_b{i}", *o)
+        d = d.withColumns({f"_y{out}": F.exp(f"_M{i}") * F.sum(F.col(x) * F.exp(-F.col(f"_M{i}"))).over(wb) for out, x in outs.items()})
+        d = d.withColumn("_p", F.struct(F.lag(f"_L{i}").over(wk).alias("L"), *[F.lag(f"_y{out}").over(wk).alias(out) for out in outs]))
+        d = d.withColumn("_e", F.first("_p").over(wb))
+        d = d.withColumns({out: F.col(f"_y{out}") + F.when(F.col(f"_b{i}") > 0, F.col("_e")[out] * F.exp(F.col(f"_L{i}") - F.col("_e")["L"])).otherwise(0.0) for out in outs})
+        d = d.drop("_p", "_e", f"_L{i}", f"_b{i}", f"_M{i}", *[f"_y{out}" for out in outs])
+    return d
 
 
 # --- ranks and quantiles of whole cross-sections ------------------------------------------------
@@ -277,9 +289,12 @@ def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
     vc = (df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"))
           .agg(F.count(F.lit(1)).alias("_c")))
     cuts = [i / N_SPLITS for i in range(1, N_SPLITS)]
-    sp = vc.groupBy(*by).agg(F.percentile_approx("_v", cuts, 10_000).alias("_sp"), F.sum("_c").alias("_n"))
+    sp = vc.groupBy(*by).agg(F.percentile_approx("_v", cuts, 4 * N_SPLITS).alias("_sp"), F.sum("_c").alias("_n"))
     b = vc.join(sp, by) if by else vc.join(F.broadcast(sp))  # without keys: one row
-    b = b.withColumn("_b", F.size(F.filter("_sp", lambda s: s < F.col("_v")))).drop("_sp")
+    # cut points below the value, found in two steps: every 16th first, then the 16 after it
+    below = lambda a: F.size(F.filter(a, lambda s: s < F.col("_v")))
+    b = b.withColumn("_k", below(F.transform(F.sequence(F.lit(16), F.size("_sp"), F.lit(16)), lambda i: F.element_at("_sp", i))))
+    b = b.withColumn("_b", F.col("_k") * 16 + below(F.slice("_sp", F.col("_k") * 16 + 1, F.lit(16)))).drop("_sp", "_k")
     tot = b.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*by, "_b", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"))
@@ -288,9 +303,15 @@ def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
             .withColumn("_cum", F.col("_off") + F.sum("_c").over(w)))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, for groups of any size."""
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], bound: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group.
+
+    ``bound`` is a proven limit of rows per group (for one symbol: the days of the calendar); within
+    MAX_GROUP_ROWS one aggregate does it. Without it groups may have any size.
+    """
     by = list(by)
+    if bound is not None and bound <= MAX_GROUP_ROWS:
+        return df.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
     cum = _counted(df, by, value)
     aggs = []
     for name, p in probs.items():

@@ -41,7 +41,7 @@ def average_cost(tx: DataFrame, keys=("portfolio", "symbol"), order=("session",
     live = sell & (F.col("held") > 0)
     d = d.withColumns({"_s": F.when(live, F.log(F.col("held") / F.col("_prev"))).otherwise(0.0),
                        "_d": F.when(sell, 0.0).otherwise(F.col("qty") * F.col("price") + F.col("fee"))})
-    d = affine_scan(d, [*keys, "_stretch"], list(order), {"cost": ("_s", "_d")})
+    d = affine_scan(d, [*keys, "_stretch"], list(order), [("_s", {"cost": "_d"})])
     return (d.withColumn("cost", F.when(F.col("_flat") == 1, 0.0).otherwise(F.col("cost")))
             .drop("_q", "_S", "_prev", "_flat", "_stretch", "_s", "_d"))
 

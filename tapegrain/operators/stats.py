@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrain.operators.kernels import by_time, exact_quantiles, poisson_one, so_far, uniform
+from tapegrain.operators.kernels import CALENDAR_ROWS, by_time, exact_quantiles, poisson_one, so_far, uniform
 
 
 def bootstrap_mean(rows: DataFrame, ids: Sequence[str], value: str, reps: int, seed: int = 1, probs=(0.05, 0.95)) -> DataFrame:
@@ -83,13 +83,13 @@ def jittered(bars: DataFrame, runs: int, eps: float, seed: int, ids: Sequence[Co
     return d.withColumn("_k", k).withColumns({x: F.col(x) * F.col("_k") for x in ("open", "high", "low", "close")}).drop("_k")
 
 
-def predictive_core(rows: DataFrame, by: Sequence[str], y: str, sigma: str, probs: dict[str, float]) -> DataFrame:
+def predictive_core(rows: DataFrame, by: Sequence[str], y: str, sigma: str, probs: dict[str, float], bound: int | None = None) -> DataFrame:
     """Median anchor, base rate and standardised residual quantiles per group."""
     by = list(by)
-    a = exact_quantiles(rows, by, y, {"anchor": 0.5})
+    a = exact_quantiles(rows, by, y, {"anchor": 0.5}, bound)
     n = rows.groupBy(*by).agg(F.count(y).alias("n"), F.avg((F.col(y) > 0).cast("double")).alias("base_rate"))
     z = rows.join(a, by).withColumn("_z", (F.col(y) - F.col("anchor")) / F.col(sigma))
-    return n.join(a, by).join(exact_quantiles(z, by, "_z", probs), by)
+    return n.join(a, by).join(exact_quantiles(z, by, "_z", probs, bound), by)
 
 
 def overlay_weight(rows: DataFrame, base: str, alt: str, y: str, order: str, horizon: int, key: str, min_t: float = 2.0) -> DataFrame:
@@ -133,7 +133,7 @@ def climatology_folds(labels: DataFrame, key: str, ordinal: str, y: str, horizon
     mx = labels.groupBy(key).agg(F.max(ordinal).alias("_mx"))
     folds = mx.where(F.col("_mx") >= warmup).select(key, F.explode(F.sequence(F.lit(warmup), F.col("_mx").cast("int"), F.lit(step))).alias("fold"))
     j = labels.where(F.col(y).isNotNull()).join(folds, key).where(F.col(ordinal) + horizon <= F.col("fold"))
-    q = exact_quantiles(j, [key, "fold"], y, probs)
+    q = exact_quantiles(j, [key, "fold"], y, probs, CALENDAR_ROWS)  # one row per session
     return q.join(j.groupBy(key, "fold").agg(F.count(F.lit(1)).alias("n_train"), F.avg((F.col(y) > 0).cast("double")).alias("base_rate")), [key, "fold"])
 
 

@@ -56,8 +56,15 @@ def first_crossing(events: DataFrame, bars: DataFrame, level: str, from_i: str,
     return events.join(found, ["symbol", from_i, level], "left")
 
 
-def gaps(d: DataFrame, min_strength: float = 0.4) -> DataFrame:
-    """Three-bar imbalances and when price first came back through them."""
+_BASE = ["symbol", "session", "i", "n", "open", "high", "low", "close", "atr"]
+
+
+def gaps(d: DataFrame, min_strength: float = 0.4, written: bool = False) -> DataFrame:
+    """Three-bar imbalances and when price first came back through them.
+
+    The bars are read by several joins and are written once first (``written``: they already were).
+    """
+    d = d if written else materialize(d.select(*_BASE), "structure")
     w = _w()
     ph, pl, nh, nl = F.lag("high").over(w), F.lag("low").over(w), F.lead("high").over(w), F.lead("low").over(w)
     g = d.withColumns({"_ph": ph, "_pl": pl, "_nh": nh, "_nl": nl})
@@ -74,8 +81,9 @@ def gaps(d: DataFrame, min_strength: float = 0.4) -> DataFrame:
     return bull.unionByName(bear).drop("from_i")
 
 
-def order_blocks(d: DataFrame, bars_ahead: int = 3, min_impulse: float = 1.2, displacement: bool = True) -> DataFrame:
+def order_blocks(d: DataFrame, bars_ahead: int = 3, min_impulse: float = 1.2, displacement: bool = True, written: bool = False) -> DataFrame:
     """Last opposite candle before a strong move, with displacement and first return into it."""
+    d = d if written else materialize(d.select(*_BASE), "structure")
     w = _w()
     g = d.withColumns({"_gu": (F.lag("high").over(w) < F.lead("low").over(w)).cast("int"),
                        "_gd": (F.lag("low").over(w) > F.lead("high").over(w)).cast("int")})
@@ -198,7 +206,7 @@ def confluence(bars: DataFrame) -> DataFrame:
     """Six-part score of the current setup per symbol; symbols with fewer than 30 bars are left out."""
     s = materialize(swings(with_structure_base(bars)), "structure")  # read by all six parts
     d = s
-    fv, ob, ev, sp, dr = gaps(d), order_blocks(d), structure_events(s), sweeps(s), dealing_range(s)
+    fv, ob, ev, sp, dr = gaps(d, written=True), order_blocks(d, written=True), structure_events(s), sweeps(s), dealing_range(s)
     zs = zones(d, s, ob, fv)
     last = d.where((F.col("i") == F.col("n") - 1) & (F.col("n") >= 30)).select("symbol", "session", "close", "atr", (F.col("n") - 1).alias("_last"))
     sign = lambda x, up, dn: F.when(F.col(x) == "bullish", up).otherwise(dn)

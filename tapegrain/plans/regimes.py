@@ -369,9 +369,10 @@ def dealing_range(spark, d):
 @query("seq08_zones")
 def zones(spark, d):
     """A sequential merge; checked against a plain loop in the tests."""
-    b = base(spark, d)
+    from tapegrain.session import materialize
+    b = materialize(base(spark, d), "structure")
     s = S.swings(b)
-    z = S.zones(b, s, S.order_blocks(b), S.gaps(b))
+    z = S.zones(b, s, S.order_blocks(b, written=True), S.gaps(b, written=True))
     return z.select("symbol", "direction", rnd("lower").alias("lower"), rnd("upper").alias("upper"), "strength", day("last_touch").alias("last_touch"), "role")
 
 

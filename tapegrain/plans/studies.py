@@ -13,7 +13,7 @@ from tapegrain.operators import events as V
 from tapegrain.operators import factors as X
 from tapegrain.operators import regimes as R
 from tapegrain.operators import stats as S
-from tapegrain.operators.kernels import by_time, exact_quantiles, poisson_one_sql, uniform_sql
+from tapegrain.operators.kernels import CALENDAR_ROWS, by_time, exact_quantiles, poisson_one_sql, uniform_sql
 from tapegrain.plans.catalog import day, ds, query, rnd, rs
 from tapegrain.plans.evaluation import FC, SC, TRADES, forecasts, scored_forward, trades
 from tapegrain.plans.regimes import REG
@@ -130,7 +130,7 @@ def labelled(spark, d, h=5):
 
 
 def core(spark, d):
-    return S.predictive_core(labelled(spark, d).where(F.col("y").isNotNull() & F.col("sigma").isNotNull()), ["symbol"], "y", "sigma", {"z10": .1, "z50": .5, "z90": .9})
+    return S.predictive_core(labelled(spark, d).where(F.col("y").isNotNull() & F.col("sigma").isNotNull()), ["symbol"], "y", "sigma", {"z10": .1, "z50": .5, "z90": .9}, CALENDAR_ROWS)
 
 
 @query("mlp04_forecast_table", f"""WITH {B.BARS}, f0 AS (SELECT *, ln(close / lag(close) OVER ({WS})) AS r1, ln(lead(close, 5) OVER ({WS}) / close) AS y FROM bars), f1 AS (SELECT symbol, session, close, y, {full_sql('stddev_samp(r1)', 'r1', 21)} * sqrt(5) AS sg FROM f0),

@@ -20,10 +20,23 @@ def build_session(app: str = "tapegrain", master: str | None = None,
     if master:
         b = b.master(master)
         if master.startswith("local"):  # small test data: keep window work on all threads
-            b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+            b = (b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+                 .config("spark.driver.memory", "12g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return b.getOrCreate()
+    return prepare(b.getOrCreate())
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the results depend on; called wherever tables enter.
+
+    Spark 4.1 lets a union inherit the partitioning of its inputs. Together with adaptive coalescing
+    the inputs can be paired wrongly and groups come out twice, so that shortcut is switched off.
+    """
+    key = "spark.sql.unionOutputPartitioning"
+    if spark.conf.get(key, "false") != "false":
+        spark.conf.set(key, "false")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
