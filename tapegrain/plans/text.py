@@ -135,8 +135,8 @@ def aliases(spark, d):
     return B.table(spark, d, "supplier").select(F.concat(F.lit("maker "), F.col("s_suppkey")).alias("alias"), F.col("s_suppkey").alias("symbol"))
 
 
-@query("sca05_entity_mentions", f"""WITH {HEADS} SELECT id, symbol AS first_symbol, CAST(2 AS BIGINT) AS n_mentions,
- CAST(split_part(title, ' maker ', 2) AS BIGINT) AS last_symbol FROM heads""")
+@query("sca05_entity_mentions", f"""WITH {HEADS} SELECT id, symbol AS first_symbol, CASE WHEN s_suppkey IS NULL THEN 1 ELSE 2 END AS n_mentions,
+ coalesce(s_suppkey, symbol) AS last_symbol FROM heads LEFT JOIN supplier ON s_suppkey = CAST(split_part(title, ' maker ', 2) AS BIGINT)""")
 def entity_mentions(spark, d):
     m = X.mentions(headlines(spark, d), aliases(spark, d), "id", "title")
     return m.select("id", F.element_at("mentions", 1)["symbol"].alias("first_symbol"), F.size("mentions").cast("bigint").alias("n_mentions"), F.element_at("mentions", -1)["symbol"].alias("last_symbol"))
@@ -144,7 +144,7 @@ def entity_mentions(spark, d):
 
 REL = f"""{HEADS}, r0 AS (SELECT id, published, symbol AS actor, CAST(split_part(title, ' maker ', 2) AS BIGINT) AS target, lower(title) AS t FROM heads),
  r1 AS (SELECT *, CASE WHEN regexp_matches(t, 'invests[^a-z]') THEN 'strategic_investment' WHEN contains(t, 'to acquire') THEN 'acquisition_target' WHEN contains(t, 'partners with') OR contains(t, 'deal with') THEN 'partnership' END AS category, {_SUB} AS sub FROM r0),
- rel AS (SELECT *, least(1, {_map(X.MATERIALITY_FLOORS, 'category', 0.5)} * {_map(X.SUBSTANTIATION_MULT, 'sub', 1.0)}) AS materiality FROM r1 WHERE category IS NOT NULL AND actor <> target)"""
+ rel AS (SELECT *, least(1, {_map(X.MATERIALITY_FLOORS, 'category', 0.5)} * {_map(X.SUBSTANTIATION_MULT, 'sub', 1.0)}) AS materiality FROM r1 WHERE category IS NOT NULL AND actor <> target AND target IN (SELECT s_suppkey FROM supplier))"""
 
 
 @query("sca06_relation_triples", f"WITH {REL} SELECT id, actor, target, category, {rs('materiality', 6)} AS materiality FROM rel")

@@ -1,4 +1,4 @@
-"""Explicit schemas of the core tables; readers never infer."""
+"""Explicit schemas of the core tables as DDL text; readers never infer."""
 
 from __future__ import annotations
 
@@ -6,31 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _s(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-BARS = _s("symbol STRING, resolution STRING, ts TIMESTAMP, session DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, "
+BARS = ("symbol STRING, resolution STRING, ts TIMESTAMP, session DATE, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, "
           "volume DOUBLE, vwap DOUBLE, t_close TIMESTAMP")
-CALENDAR = _s("session DATE, ord INT, open_ts TIMESTAMP, close_ts TIMESTAMP, early_close BOOLEAN")
-MEMBERSHIP = _s("ticker STRING, start DATE, end DATE, key STRING")
-FUNDAMENTALS = _s("symbol STRING, period_end DATE, available_at DATE, metric STRING, value DOUBLE")
-INSIDER_TX = _s("accession STRING, filing_date DATE, trans_date DATE, issuer_cik BIGINT, issuer_name STRING, issuer_symbol STRING, owner_cik BIGINT, "
+CALENDAR = ("session DATE, ord INT, open_ts TIMESTAMP, close_ts TIMESTAMP, early_close BOOLEAN")
+MEMBERSHIP = ("ticker STRING, start DATE, end DATE, key STRING")
+FUNDAMENTALS = ("symbol STRING, period_end DATE, available_at DATE, metric STRING, value DOUBLE")
+INSIDER_TX = ("accession STRING, filing_date DATE, trans_date DATE, issuer_cik BIGINT, issuer_name STRING, issuer_symbol STRING, owner_cik BIGINT, "
                 "relationship STRING, title STRING, code STRING, acq_disp STRING, shares DOUBLE, price DOUBLE, value DOUBLE, planned_10b5_1 BOOLEAN")
-ARTICLES = _s("id STRING, title STRING, summary STRING, url STRING, source STRING, published_at TIMESTAMP, tickers ARRAY<STRING>")
-TRANSACTIONS = _s("portfolio STRING, symbol STRING, side STRING, qty DECIMAL(20,8), price DECIMAL(18,6), fee DECIMAL(18,6), executed_at TIMESTAMP")
-PREDICTIONS = _s("id BIGINT, symbol STRING, horizon INT, created_at TIMESTAMP, target_ts TIMESTAMP, point DOUBLE, p10 DOUBLE, p90 DOUBLE, "
+ARTICLES = ("id STRING, title STRING, summary STRING, url STRING, source STRING, published_at TIMESTAMP, tickers ARRAY<STRING>")
+TRANSACTIONS = ("portfolio STRING, symbol STRING, side STRING, qty DECIMAL(20,8), price DECIMAL(18,6), fee DECIMAL(18,6), executed_at TIMESTAMP")
+PREDICTIONS = ("id BIGINT, symbol STRING, horizon INT, created_at TIMESTAMP, target_ts TIMESTAMP, point DOUBLE, p10 DOUBLE, p90 DOUBLE, "
                  "contributions MAP<STRING,DOUBLE>")
-DECISIONS = _s("id BIGINT, created_at TIMESTAMP, symbol STRING, as_of DATE, kind STRING, decision STRING, size_multiplier DOUBLE, risks ARRAY<STRING>")
-TRIGGERS = _s("trigger_id BIGINT, symbol STRING, kind STRING, level DOUBLE")
-CHART_PAYLOAD = _s("symbol STRING, timestamp ARRAY<BIGINT>, open ARRAY<DOUBLE>, high ARRAY<DOUBLE>, low ARRAY<DOUBLE>, close ARRAY<DOUBLE>, "
+DECISIONS = ("id BIGINT, created_at TIMESTAMP, symbol STRING, as_of DATE, kind STRING, decision STRING, size_multiplier DOUBLE, risks ARRAY<STRING>")
+TRIGGERS = ("trigger_id BIGINT, symbol STRING, kind STRING, level DOUBLE")
+CHART_PAYLOAD = ("symbol STRING, timestamp ARRAY<BIGINT>, open ARRAY<DOUBLE>, high ARRAY<DOUBLE>, low ARRAY<DOUBLE>, close ARRAY<DOUBLE>, "
                    "adjclose ARRAY<DOUBLE>, volume ARRAY<DOUBLE>")
-PAGED_BARS = _s("symbol STRING, next_page STRING, bars ARRAY<STRUCT<t:DATE,o:DOUBLE,h:DOUBLE,l:DOUBLE,c:DOUBLE,v:DOUBLE>>")
-EXPERIMENT = _s("phase STRING, component STRING, variant STRING, params MAP<STRING,STRING>, segment STRING, metrics MAP<STRING,DOUBLE>")
+PAGED_BARS = ("symbol STRING, next_page STRING, bars ARRAY<STRUCT<t:DATE,o:DOUBLE,h:DOUBLE,l:DOUBLE,c:DOUBLE,v:DOUBLE>>")
+EXPERIMENT = ("phase STRING, component STRING, variant STRING, params MAP<STRING,STRING>, segment STRING, metrics MAP<STRING,DOUBLE>")
 
 
-def require(df: DataFrame, schema: T.StructType) -> DataFrame:
+def require(df: DataFrame, ddl: str) -> DataFrame:
     """Check names and types at a stage boundary and put the columns in the declared order."""
+    schema = T.StructType.fromDDL(ddl)
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     bad = [f.name for f in schema.fields if have.get(f.name) != f.dataType.simpleString()]
     if bad:

@@ -34,22 +34,31 @@ def prepare(spark: SparkSession) -> SparkSession:
     the inputs can be paired wrongly and groups come out twice, so that shortcut is switched off.
     """
     key = "spark.sql.unionOutputPartitioning"
-    if spark.conf.get(key, "false") != "false":
-        spark.conf.set(key, "false")
+    try:
+        if spark.conf.get(key) != "false":
+            spark.conf.set(key, "false")
+    except Exception:  # noqa: BLE001 - Spark versions without the setting do not need it
+        pass
     return spark
 
 
+_FALLBACK: dict[str, str] = {}  # application id -> folder, only where the session names none
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local
-    mode) is a temporary folder chosen and stored back in the session.
+    Only where that is unset in local mode (tests) a temporary folder is taken; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tapegrain-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="tapegrain-")
+    return _FALLBACK[app]
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
