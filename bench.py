@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["srt01_rank_universe", "win20_stock_regime", "win28_factors", "win04_macd", "win34_fair_value_gaps", "seq06_structure_events", "jon01_asof_filings",
             "jon10_trailing_density", "seq10_average_cost", "seq14_rank_portfolio", "seq21_first_touch", "seq07_clusters", "sta05_event_trades", "sta02_cluster_bootstrap",
-            "agg05_curve_metrics", "agg06_trade_metrics", "agg33_forecast_scores", "agg22_quantiles", "set07_opportunities", "sca01_lexicon_sentiment", "sca05_entity_mentions",
+            "agg05_curve_metrics", "agg06_trade_metrics", "agg33_forecast_scores", "agg22_quantiles", "set07_opportunities", "sca01_lexicon_sentiment", "sca03_headline_category",
             "src22_disclosure_parse", "win26_adjust_daily", "agg23_liquidity_rank"]
 
 
