@@ -67,14 +67,14 @@ def transcript_tone(spark, d):
 PHRASES = ("beats earnings and raises guidance after", "invests $2 billion in", "reportedly in talks to acquire", "partners with", "launches product against",
            "downgraded after lawsuit by", "signs a big supply deal with", "announced buyout offer for", "praises", "expands capacity near", "trades near", "sources say wins contract over")
 PH_SQL = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
-HEADS = f"""heads AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS published,
+HEADS = f"""heads AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS id, l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS published,
  'Maker ' || l_suppkey || ' ' || {PH_SQL}[l_partkey % 12 + 1] || ' maker ' || (l_partkey * 7 + l_linenumber) % 100 AS title FROM lineitem)"""
 
 
 def headlines(spark, d):
     li = B.table(spark, d, "lineitem")
     ph = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("l_partkey") % 12 + 1).cast("int"))
-    return li.select(F.concat_ws("-", *[F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"), F.col("l_suppkey").alias("symbol"),
+    return li.select(F.concat_ws("-", *[F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_quantity").cast("int").cast("string")).alias("id"), F.col("l_suppkey").alias("symbol"),
                      F.to_date("l_shipdate").alias("published"),
                      F.concat(F.lit("Maker "), F.col("l_suppkey"), F.lit(" "), ph, F.lit(" maker "), (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 100).alias("title"))
 
