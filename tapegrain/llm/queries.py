@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapegrain.llm import substring_dedup
+from tapegrain.llm import ngram_join, substring_dedup
 from tapegrain.llm.common import table
 
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -28,9 +28,29 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, (SELECT count(*) FROM gone
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+# shingle sets by hash; pairs from documents that share a shingle, each set size checked on the whole sets
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS ws FROM documents),
+s AS (SELECT doc_id, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)),
+u AS (SELECT DISTINCT doc_id, g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * m >= 80 * (nx.n + ny.n - m)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op5_substring_dedup": op5_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": OP1_SQL,
     "op5_substring_dedup": OP5_SQL,
 }

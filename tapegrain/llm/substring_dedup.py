@@ -56,8 +56,8 @@ def heavy_seeds(docs: DataFrame, seed: int, buckets: int) -> np.ndarray:
     """Runs of words that alone would fill a quarter of an average bucket: at most about 40 for each bucket."""
     counts = materialize(docs.select("text").mapInArrow(_count_seeds(seed, 4), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seeds")
     total = counts.where("seed = 0").agg(F.sum("n")).first()[0] or 0
-    found = counts.where((F.col("seed") != 0) & (F.col("n") > max(16, total // (40 * buckets)))).select("seed").collect()
-    return np.sort(np.array([r[0] for r in found], np.int64).astype(np.uint64))
+    found = counts.where((F.col("seed") != 0) & (F.col("n") > max(16, total // (40 * buckets)))).select("seed").toArrow()
+    return np.sort(found.column("seed").to_numpy().astype(np.uint64))
 
 
 def _pack(window: int, seed: int, buckets: int, heavy: np.ndarray):
