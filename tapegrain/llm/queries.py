@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapegrain.llm import ngram_join, substring_dedup
+import corpus_pipeline
+from tapegrain.llm import decontamination, ngram_join, packing, quality, substring_dedup
 from tapegrain.llm.common import table
 
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -46,9 +47,25 @@ r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FR
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_join": OP1_SQL,
