@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapegrain.llm import decontamination, ngram_join, packing, quality, substring_dedup
+from tapegrain.llm import decontamination, language, ngram_join, packing, quality, substring_dedup, token_files
 from tapegrain.llm.common import table
 
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -55,16 +55,26 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op8_language_id": op8_language_id,
+    "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
