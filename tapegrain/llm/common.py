@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tapegrain
 from tapegrain import session
 
 #: Rows handed to Python at once; texts are cut further by bytes there.
 BATCH_ROWS = 1000
 
 
+_SHIPPED: set[str] = set()  # applications whose executors have this package
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(tapegrain.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tapegrain-"), "tapegrain_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("tapegrain", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return session.prepare(spark)
 

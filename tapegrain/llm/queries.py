@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapegrain.llm import decontamination, language, ngram_join, packing, quality, substring_dedup, token_files
+from tapegrain.llm import decontamination, language, neighbours, ngram_join, packing, quality, substring_dedup, token_files
 from tapegrain.llm.common import table
 
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -51,6 +51,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
