@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tapegrain.llm import decontamination, language, language_model, neighbours, ngram_join, packing, quality, substring_dedup, token_files
+from tapegrain.llm import decontamination, language, language_model, neighbours, ngram_join, packing, quality, sharding, substring_dedup, token_files
 from tapegrain.llm.common import table
 
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -63,6 +63,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
     "op10_token_files": op10_token_files,
     "pipeline": corpus_pipeline.run,
