@@ -2,13 +2,14 @@
 
 Documents with equal texts are linked. Every document starts in a shard given by a hash; then, round by
 round, the documents of a group look at the shards of their neighbours and move to the one that holds most
-of them, as far as its quota has room. Documents of a group that sit in one shard are alike, so the rounds
+of them, as far as its quota, widened by SLACK times the linked share so that groups can trade places, has room. Documents of a group that sit in one shard are alike, so the rounds
 work on counts of (group, start shard, shard): a few narrow rows, and none for documents without links.
 A group larger than a quota fills one shard after the other.
 
 Afterwards each shard keeps its quota, linked documents first, and what is over goes to the shards with
-room, so counts differ by at most one. Ranks in a shard come from counts of (shard, linked, salt) blocks:
-no shard and no group is ranked in one task, and only one number for each shard reaches the driver.
+room, whole groups after one another, so counts differ by at most one. Ranks in a shard come from counts
+of blocks (shard, linked, group salt, row salt): no shard and no group is ranked in one task, and only one
+number for each shard reaches the driver.
 
 Null texts hold no bytes and link with nothing; empty texts are equal to each other. Rows that share an
 id, null included, are separate documents. Further columns are ignored.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from tapegrain.llm.common import materialize, partitions
 
 SHARDS, OVERHEAD, ROUNDS = 40, 16, 12
+SLACK, ROW_SALTS = 0.5, 8
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -52,7 +54,8 @@ def propagate(rows: DataFrame, quota: list[int], rounds: int, salts: int) -> Dat
     for _ in range(rounds):
         have = state.groupBy("grp", "shard").agg(F.sum("n").alias("n"))
         load = {r["shard"]: r["n"] for r in have.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-        room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quota)]
+        slack = 1 + SLACK * sum(load.values()) / max(1, sum(quota))
+        room = [max(0, int(q * slack) - load.get(s, 0)) for s, q in enumerate(quota)]
         # a shard takes part while it has room for the group's smallest cell
         least = have.groupBy("grp").agg(F.min("n").alias("least"))
         target = have.join(least, "grp").where(_lookup(room, F.col("shard")) >= F.col("least")).groupBy("grp").agg(F.max_by(F.struct("shard", "n"), F.struct("n", -F.col("shard"))).alias("t"))
@@ -77,19 +80,22 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     rows = described(docs, shards, salts)
     quota = quotas(rows.count(), shards)
     moved = propagate(rows, quota, rounds, salts).withColumnRenamed("shard", "label")
-    placed = rows.join(moved, ["grp", "home"], "left").select("doc_id", "size", "text_crc32", "row", "salt", F.coalesce("label", "home").alias("label"), F.col("label").isNull().cast("int").alias("alone"))
-    placed = materialize(placed, "placed")
-    counts = materialize(placed.groupBy("label", "alone", "salt").agg(F.count("*").alias("n")), "counts")
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("alone", "salt").rowsBetween(*_BEFORE)), F.lit(0))
-    ahead = counts.select("label", "alone", "salt", ahead.alias("ahead"))
+    placed = rows.join(moved, ["grp", "home"], "left").select("doc_id", "size", "text_crc32", "row", "salt", F.coalesce("label", "home").alias("label"), F.col("label").isNull().cast("int").alias("alone"), F.xxhash64("grp").alias("mark"))
+    # linked documents are ordered by group, then by row; the others by row
+    block = ["label", "alone", "group_salt", "salt"]
+    placed = placed.withColumn("group_salt", F.when(F.col("alone") == 0, F.pmod("mark", F.lit(salts))).otherwise(0)).withColumn("salt", F.when(F.col("alone") == 0, F.col("salt") % ROW_SALTS).otherwise(F.col("salt")))
+    placed = materialize(placed.drop("mark"), "placed")
+    counts = materialize(placed.groupBy(*block).agg(F.count("*").alias("n")), "counts")
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy(*block[1:]).rowsBetween(*_BEFORE)), F.lit(0))
+    ahead = counts.select(*block, ahead.alias("ahead"))
     have = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one row a shard
     number = [have.get(s, 0) for s in range(shards)]
     over = [max(0, n - q) for n, q in zip(number, quota)]
     pool_at = [sum(over[:s]) for s in range(shards)]
     lack = [max(0, q - n) for n, q in zip(number, quota)]
     lack_at = [sum(lack[:s]) for s in range(shards)]
-    ranked = placed.withColumn("own", F.row_number().over(Window.partitionBy("label", "alone", "salt").orderBy("row")) - 1)
-    ranked = ranked.join(ahead, ["label", "alone", "salt"]).withColumn("rank", F.col("own") + F.col("ahead"))
+    ranked = placed.withColumn("own", F.row_number().over(Window.partitionBy(*block).orderBy("row")) - 1)
+    ranked = ranked.join(ahead, block).withColumn("rank", F.col("own") + F.col("ahead"))
     stays = F.col("rank") < _lookup(quota, F.col("label"))
     pool = F.col("rank") - _lookup(quota, F.col("label")) + _lookup(pool_at, F.col("label"))
     ranked = ranked.withColumn("pool", F.when(~stays, pool))
