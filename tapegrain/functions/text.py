@@ -203,14 +203,15 @@ def pieces(text: Column, pattern: str) -> Column:
         lambda acc: acc["out"])
 
 
-def mentions(articles: DataFrame, aliases: DataFrame, id_col: str, title: str, max_words: int = 3) -> DataFrame:
-    """Known names in a text: word n-grams joined to the alias table by equality.
+def mentions(articles: DataFrame, aliases: DataFrame, id_col: str, title: str) -> DataFrame:
+    """Known names in a text: word n-grams up to the longest alias, joined to the alias table by equality.
 
     ``aliases``: alias (lower case, words split by one blank), symbol. A mention inside a longer
     mention is dropped. No pattern over all names is built, so the alias table may be large.
     """
+    max_words = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     w = articles.select(id_col, pieces(F.lower(F.col(title)), r"[a-z0-9.]+").alias("_w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), F.greatest(F.size("_w"), F.lit(1)))), lambda n: F.transform(
         F.filter(F.transform("_w", lambda x, i: F.struct(i.alias("i"), x["pos"].alias("pos"))), lambda x: x["i"] + n <= F.size("_w")),
         lambda x: F.struct(x["i"].alias("i"), n.alias("n"), x["pos"].alias("pos"),
                            F.array_join(F.transform(F.slice("_w", x["i"] + 1, n), lambda y: y["m"]), " ").alias("g")))))

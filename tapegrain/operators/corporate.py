@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrain.operators.kernels import asof_join, by_time, so_far
+from tapegrain.session import materialize
 
 
 def factor_after(bars: DataFrame, splits: DataFrame, out: str = "split_factor") -> DataFrame:
@@ -78,25 +79,41 @@ def adjust_daily(src: DataFrame, splits: DataFrame, dists: DataFrame) -> DataFra
     return d.withColumn("tr_factor", F.col("tr_close") / F.col("close")).drop("_rn", "_amt", "_adj", "_prev", "_g")
 
 
-def symbol_periods(current: DataFrame, renames: DataFrame, depth: int = 5) -> DataFrame:
-    """Valid periods of every earlier name of a symbol, following rename chains backwards.
+def symbol_periods(current: DataFrame, renames: DataFrame, anchor: str | None = None) -> DataFrame:
+    """(root, name, start, end): the days on which the entity that carries a ticker on ``anchor`` (default
+    today) used each of its names, followed backwards and forwards through every rename.
 
-    ``renames``: process_date, old_symbol, new_symbol. A chain is followed at most ``depth`` steps
-    per run, each step being one join on the name that was valid until the rename.
+    ``renames``: process_date, old_symbol, new_symbol. A name another entity takes, before or after, ends
+    the period. Each pass follows all chains by one step; passes go on until none has a further name.
     """
-    far = F.lit("9999-12-31").cast("date")
-    r = renames.select("process_date", "old_symbol", "new_symbol")
-    level = current.select(F.col("ticker").alias("root"), F.col("ticker").alias("name"), far.alias("until"))
-    out = None
-    for _ in range(depth):
-        j = level.join(r, (level.name == r.new_symbol) & (r.process_date < level.until), "left")
-        last = F.max(F.struct("process_date", "old_symbol"))
-        g = j.groupBy("root", "name", "until").agg(last.alias("z"))
-        rows = g.select("root", "name", F.coalesce("z.process_date", F.lit("1900-01-01").cast("date")).alias("start"),
-                        F.date_sub("until", 1).alias("end"))
-        out = rows if out is None else out.unionByName(rows)
-        level = g.where(F.col("z.old_symbol").isNotNull()).select("root", F.col("z.old_symbol").alias("name"), F.col("z.process_date").alias("until"))
-    return out
+    lo, hi = F.lit("1900-01-01").cast("date"), F.lit("9999-12-31").cast("date")
+    day_ = F.current_date() if anchor is None else F.lit(anchor).cast("date")
+    good = "process_date is not null and old_symbol is not null and new_symbol is not null"
+    r = materialize(renames.where(good).select(F.col("process_date").alias("d"), F.col("old_symbol").alias("old"), F.col("new_symbol").alias("new")).distinct(), "renames")
+    base = current.select(F.col("ticker").alias("root")).distinct()
+    into = r.where(F.col("d") <= day_).groupBy(F.col("new").alias("root")).agg(F.max("d").alias("_in"))
+    leave = r.where(F.col("d") > day_).select(F.explode(F.array("old", "new")).alias("root"), "d").groupBy("root").agg(F.min("d").alias("_out"))
+    own = base.join(into, "root", "left").join(leave, "root", "left")
+    own = materialize(own.select("root", F.col("root").alias("name"), F.coalesce("_in", lo).alias("start"), F.coalesce(F.date_sub("_out", 1), hi).alias("end")), "periods")
+    taken = r.select(F.col("new").alias("name"), F.col("d").alias("x"))
+    left = r.select(F.col("old").alias("name"), F.col("d").alias("x"))
+    out, level = own, own
+    while True:  # earlier names
+        prev = level.where(F.col("start") > lo).join(r, (F.col("name") == F.col("new")) & (F.col("start") == F.col("d"))).groupBy("root", "d").agg(F.min("old").alias("name"))
+        older = prev.join(taken, "name", "left").groupBy("root", "d", "name").agg(F.max(F.when(F.col("x") < F.col("d"), F.col("x"))).alias("_in"))
+        level = materialize(older.select("root", "name", F.coalesce("_in", lo).alias("start"), F.date_sub("d", 1).alias("end")), "periods")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    level = own
+    while True:  # later names
+        nxt = level.where(F.col("end") < hi).join(r, (F.col("name") == F.col("old")) & (F.date_add("end", 1) == F.col("d"))).groupBy("root", "d").agg(F.min("new").alias("name"))
+        later = nxt.join(left, "name", "left").groupBy("root", "d", "name").agg(F.min(F.when(F.col("x") > F.col("d"), F.col("x"))).alias("_out"))
+        level = materialize(later.select("root", "name", F.col("d").alias("start"), F.coalesce(F.date_sub("_out", 1), hi).alias("end")), "periods")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.distinct()
 
 
 # --- universe -----------------------------------------------------------------------------------
@@ -111,13 +128,12 @@ def rank_liquidity(bars: DataFrame, rebalances: DataFrame, calendar: DataFrame,
                    min_dollar_volume: float, min_coverage: float) -> DataFrame:
     """Liquidity rank per rebalance date from the sessions strictly before it.
 
-    Rebalance dates and sessions are calendar lists. Rolling medians per symbol on the calendar
-    grid are computed once; a rebalance then reads the last row before it (as-of).
+    Rebalance dates and sessions are calendar lists. Each rebalance is widened to the sessions of its
+    lookback, a table of calendar size, and bars meet it by equality of the session.
     """
-    b = bars.join(F.broadcast(calendar), "session").withColumn("_dv", F.col("close") * F.col("volume"))
-    rb = F.broadcast(rebalances.select(F.col("session").alias("rebalance"), F.col("ord").alias("_o")))
-    # a bar serves the rebalances whose lookback covers it: at most a handful of month starts
-    j = b.join(rb, (F.col("ord") < F.col("_o")) & (F.col("ord") >= F.col("_o") - lookback))
+    rb = rebalances.select(F.col("session").alias("rebalance"), F.explode(F.sequence(F.col("ord") - lookback, F.col("ord") - 1)).alias("ord"))
+    serves = calendar.join(rb, "ord").select("session", "rebalance")
+    j = bars.join(F.broadcast(serves), "session").withColumn("_dv", F.col("close") * F.col("volume"))
     g = j.groupBy("rebalance", "symbol").agg(F.percentile("_dv", F.lit(0.5)).alias("median_dv"), F.max_by("close", "session").alias("last_close"),
                                              (F.count(F.lit(1)) / lookback).alias("coverage"))
     return g.where((F.col("coverage") >= min_coverage) & (F.col("last_close") >= min_price) & (F.col("median_dv") >= min_dollar_volume))

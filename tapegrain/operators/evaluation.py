@@ -179,19 +179,17 @@ def quality_report(bars: DataFrame, move: float = 0.4) -> DataFrame:
 
 
 def shrunk_covariance(returns: DataFrame, per_year: float = 252.0) -> DataFrame:
-    """Sample covariance of the pairs of a short list of aligned series, and the same shrunk to a scaled
-    identity with the intensity of Ledoit and Wolf. The list length is checked."""
-    from tapegrain.operators.joins import MAX_PAIR_SERIES
-    n_series = returns.select("symbol").distinct().limit(MAX_PAIR_SERIES + 1).count()
-    if n_series > MAX_PAIR_SERIES:
-        raise ValueError(f"covariance takes at most {MAX_PAIR_SERIES} series")
+    """Sample covariance of the pairs of aligned series, and the same shrunk to a scaled identity with the
+    intensity of Ledoit and Wolf."""
+    from tapegrain.operators.joins import session_pairs
+    n_series = returns.select("symbol").distinct().count()
     full_days = returns.groupBy("session").agg(F.countDistinct("symbol").alias("_k")).where(F.col("_k") == n_series).select("session")
-    r = returns.join(F.broadcast(full_days), "session")
+    r = returns.join(F.broadcast(full_days), "session")  # one row a session
     mean = r.groupBy("symbol").agg(F.avg("ret").alias("_mu"))
-    r = r.join(F.broadcast(mean), "symbol").withColumn("x", F.col("ret") - F.col("_mu"))
-    a, b = (r.select("session", F.col("symbol").alias(k), F.col("x").alias(f"x{k}")) for k in ("a", "b"))
-    prod = a.join(b, "session").withColumn("_p", F.col("xa") * F.col("xb"))
-    g = prod.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("_p").alias("s"), F.avg(F.col("_p") * F.col("_p")).alias("_p2"))
+    r = r.join(mean, "symbol").withColumn("x", F.col("ret") - F.col("_mu"))
+    prod = session_pairs(r, "x", n_series).withColumn("_p", F.col("xa") * F.col("xb"))
+    half = prod.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("_p").alias("s"), F.avg(F.col("_p") * F.col("_p")).alias("_p2"))
+    g = half.unionByName(half.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "s", "_p2"))
     t = g.agg(F.avg(F.when(F.col("a") == F.col("b"), F.col("s"))).alias("_m"),
               F.sum((F.col("_p2") - F.col("s") * F.col("s")) / F.col("n")).alias("_beta"), F.sum(F.col("s") * F.col("s")).alias("_ss"))
     g = g.join(F.broadcast(t))

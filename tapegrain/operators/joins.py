@@ -138,20 +138,30 @@ def keep_first(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-# Pair work grows with the square of the number of series; it is for portfolios and short lists.
-MAX_PAIR_SERIES = 500
+#: Series in a tile of the symbol list. Pairs of one session are dealt to pairs of tiles.
+TILE = 256
+
+
+def session_pairs(rows: DataFrame, value: str, n_series: int) -> DataFrame:
+    """(a, b, session, xa, xb) for a <= b: the pairs of series within each session.
+
+    The output is as large as the question asks; a session with many series is not one task's work, since
+    its pairs are formed in (session, tile, tile) pieces.
+    """
+    tiles = -(-n_series // TILE) or 1
+    t = rows.select("session", F.col("symbol"), F.col(value).alias("x"), F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int").alias("t"))
+    t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    t = t.withColumns({"lo": F.least("t", "o"), "hi": F.greatest("t", "o")}).drop("o")
+    a, b = (t.select("session", "lo", "hi", F.col("symbol").alias(k), F.col("x").alias(f"x{k}"), F.col("t").alias(f"t{k}")) for k in ("a", "b"))
+    own = (F.least("ta", "tb") == F.col("lo")) & (F.greatest("ta", "tb") == F.col("hi"))
+    return a.join(b, ["session", "lo", "hi"]).where((F.col("a") <= F.col("b")) & own).select("a", "b", "session", "xa", "xb")
 
 
 def pairwise_corr(returns: DataFrame, min_obs: int = 20, min_corr: float | None = None) -> DataFrame:
-    """Correlation of the pairs of a short list of series over their common sessions.
+    """Correlation of all pairs of series over their common sessions.
 
-    The length of the list is checked, so at most MAX_PAIR_SERIES rows meet per session. Sums of
-    products are mergeable: each (a, b) pair is combined before the shuffle.
+    Sums of products are mergeable: each (a, b) pair is combined before the shuffle.
     """
-    if returns.select("symbol").distinct().limit(MAX_PAIR_SERIES + 1).count() > MAX_PAIR_SERIES:
-        raise ValueError(f"pairwise correlation takes at most {MAX_PAIR_SERIES} series")
-    a = returns.select(F.col("symbol").alias("a"), "session", F.col("ret").alias("ra"))
-    b = returns.select(F.col("symbol").alias("b"), "session", F.col("ret").alias("rb"))
-    g = (a.join(b, "session").where(F.col("a") < F.col("b")).groupBy("a", "b")
-         .agg(F.corr("ra", "rb").alias("corr"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_obs))
+    p = session_pairs(returns, "ret", returns.select("symbol").distinct().count()).where("a < b")
+    g = p.groupBy("a", "b").agg(F.corr("xa", "xb").alias("corr"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_obs)
     return g.where(F.col("corr") >= min_corr) if min_corr is not None else g

@@ -9,6 +9,7 @@ meet per key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -49,41 +50,29 @@ def full(agg: Column, counted: str | Column, frame: WindowSpec, n: int) -> Colum
     return F.when(F.count(c(counted)).over(frame) >= n, agg.over(frame))
 
 
-# A moving frame is re-read for every row. From this length on, sums over it are taken as the
-# difference of two running sums, which costs the same whatever the length.
-LONG_FRAME = 30
-
+# Moving sums are taken over their own frame whatever its length: a missing, infinite or huge value
+# touches only the rows whose frame holds it, and deviations are centred in the frame.
 
 def roll_sum(x: str | Column, w: WindowSpec, n: int, end: int = 0) -> Column:
-    if n < LONG_FRAME:
-        return F.coalesce(F.sum(c(x)).over(trailing(w, n, end)), F.lit(0.0))
-    return (F.coalesce(F.sum(c(x)).over(so_far(w, end)), F.lit(0.0))
-            - F.coalesce(F.sum(c(x)).over(so_far(w, end - n)), F.lit(0.0)))
+    return F.coalesce(F.sum(c(x)).over(trailing(w, n, end)), F.lit(0.0))
 
 
 def roll_count(x: str | Column, w: WindowSpec, n: int, end: int = 0) -> Column:
-    if n < LONG_FRAME:
-        return F.count(c(x)).over(trailing(w, n, end))
-    return F.count(c(x)).over(so_far(w, end)) - F.count(c(x)).over(so_far(w, end - n))
+    return F.count(c(x)).over(trailing(w, n, end))
 
 
 def roll_mean(x: str | Column, w: WindowSpec, n: int, end: int = 0, need: int | None = None) -> Column:
-    k = roll_count(x, w, n, end)
-    return F.when(k >= (n if need is None else need), roll_sum(x, w, n, end) / k)
+    return full(F.avg(c(x)), x, trailing(w, n, end), n if need is None else need)
 
 
 def roll_cov(x: str | Column, y: str | Column, w: WindowSpec, n: int, need: int | None = None) -> Column:
     """Sample covariance over the frame; x and y must be null on the same rows."""
     k = roll_count(x, w, n)
-    sxy, sx, sy = roll_sum(c(x) * c(y), w, n), roll_sum(x, w, n), roll_sum(y, w, n)
-    return F.when((k >= (n if need is None else need)) & (k > 1), (sxy - sx * sy / k) / (k - 1))
+    return F.when((k >= (n if need is None else need)) & (k > 1), F.covar_samp(c(x), c(y)).over(trailing(w, n)))
 
 
 def roll_std(x: str | Column, w: WindowSpec, n: int, need: int | None = None) -> Column:
-    if n < LONG_FRAME:
-        return full(F.stddev_samp(c(x)), x, trailing(w, n), n if need is None else need)
-    v = roll_cov(x, x, w, n, need)
-    return F.when(v.isNotNull(), F.sqrt(F.greatest(v, F.lit(0.0))))
+    return full(F.stddev_samp(c(x)), x, trailing(w, n), n if need is None else need)
 
 
 def ratio(a: str | Column, b: str | Column) -> Column:
@@ -349,24 +338,25 @@ def uniform_sql(seed: int, *ids: str) -> str:
     return f"(list_transform([{h}], lambda z: (z * z + 3 * z + 11) % {_P})[1] / CAST({_P} AS DOUBLE))"
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count from a uniform draw (inverse distribution function, cut at 8)."""
-    out = F.lit(8)
-    cum, p = 0.0, 0.36787944117144233
-    steps = []
-    for k in range(8):
+def _poisson_steps() -> list[float]:
+    """Distribution function of Poisson(1) until it is 1 in double precision."""
+    cum, p, steps = 0.0, math.exp(-1), []
+    while cum + p > cum and cum < 1:
         cum += p
-        steps.append((k, cum))
-        p /= k + 1
-    for k, top in reversed(steps):
-        out = F.when(u < top, F.lit(k)).otherwise(out)
+        steps.append(cum)
+        p /= len(steps)
+    return steps
+
+
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) count from a uniform draw (inverse distribution function)."""
+    steps = _poisson_steps()
+    out = F.lit(len(steps))
+    for k in range(len(steps) - 1, -1, -1):
+        out = F.when(u < steps[k], F.lit(k)).otherwise(out)
     return out.cast("double")
 
 
 def poisson_one_sql(u: str) -> str:
-    cum, p, parts = 0.0, 0.36787944117144233, []
-    for k in range(8):
-        cum += p
-        parts.append(f"WHEN {u} < {cum!r} THEN {k}")
-        p /= k + 1
-    return f"CAST(CASE {' '.join(parts)} ELSE 8 END AS DOUBLE)"
+    steps = _poisson_steps()
+    return f"CAST(CASE {' '.join(f'WHEN {u} < {x!r} THEN {k}' for k, x in enumerate(steps))} ELSE {len(steps)} END AS DOUBLE)"

@@ -47,14 +47,16 @@ def fit_folds(rows: DataFrame, features: Sequence[str], folds: Sequence[int], ki
     for fold in folds:
         f = rows.where(F.col("fold") == fold)
         train = f.where(F.col("role") == "train")
-        if train.limit(min_train).count() < min_train:
+        if train.limit(min_train).count() < min_train:  # too few to learn from: the rows stay, unscored and kept
+            part = f.where(F.col("role") == "test").select(*rows.columns, F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("threshold"))
+            out = part if out is None else out.unionByName(part)
             continue
         m = classifier(features, kind).fit(train)
         score = lambda d: m.transform(d).withColumn("p", vector_to_array("probability")[1])  # noqa: E731,B023
         t = exact_quantiles(score(train), [], "p", {"threshold": quantile})
         part = score(f.where(F.col("role") == "test")).join(F.broadcast(t)).select(*rows.columns, "p", "threshold")
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("kept", F.col("p") >= F.col("threshold")) if out is not None else rows.limit(0)
+    return out.withColumn("kept", F.coalesce(F.col("p") >= F.col("threshold"), F.lit(True))) if out is not None else rows.limit(0)
 
 
 def filter_map(signals: DataFrame, scored: DataFrame) -> DataFrame:

@@ -126,18 +126,24 @@ def rebalance_plan(sleeves: DataFrame, cash: DataFrame, cap: float | None = None
     return j.select("portfolio", "sleeve", buy.alias("buy"))
 
 
-def internal_rate(flows: Column, steps: int = 60, per_year: int = 12, lo: float = -0.9, hi: float = 10.0) -> Column:
-    """Money-weighted annual return of a monthly flow array by bisection of the net present value."""
+def internal_rate(flows: Column, steps: int = 80, per_year: int = 12, lo: float = -0.999999, widest: int = 24) -> Column:
+    """Money-weighted annual return of a monthly flow array by bisection of the net present value.
+
+    The upper end of the bracket doubles until the value changes sign; null where it never does.
+    """
     def npv(rate: Column) -> Column:
         g = F.pow(1 + rate, F.lit(-1.0 / per_year))
         return F.aggregate(F.reverse(flows), F.lit(0.0), lambda acc, f: acc * g + f)
 
-    start = F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    at_lo = npv(F.lit(lo))
+    tops = F.transform(F.sequence(F.lit(0), F.lit(widest)), lambda k: F.pow(F.lit(2.0), k))
+    hi = F.get(F.filter(tops, lambda r: npv(r) * F.signum(at_lo) < 0), F.lit(0))
+    start = F.struct(F.lit(lo).alias("lo"), hi.alias("hi"))
 
     def halve(acc: Column, _i: Column) -> Column:
         mid = (acc["lo"] + acc["hi"]) / 2
-        up = npv(mid) > 0  # money went in first: a positive value means the rate is still too low
+        up = F.signum(npv(mid)) == F.signum(at_lo)  # the root lies above
         return F.struct(F.when(up, mid).otherwise(acc["lo"]).alias("lo"), F.when(up, acc["hi"]).otherwise(mid).alias("hi"))
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    return (end["lo"] + end["hi"]) / 2
+    return F.when(hi.isNotNull(), (end["lo"] + end["hi"]) / 2)

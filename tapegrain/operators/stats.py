@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tapegrain.operators.kernels import CALENDAR_ROWS, by_time, exact_quantiles, poisson_one, so_far, uniform
 
 
+def replicates(rows: DataFrame, name: str, n: int) -> DataFrame:
+    """Replicate numbers 1..n over all tasks, so that no single task makes all draws."""
+    spark = rows.sparkSession
+    return spark.range(1, n + 1, 1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))).select(F.col("id").cast("int").alias(name))
+
+
 def bootstrap_mean(rows: DataFrame, ids: Sequence[str], value: str, reps: int, seed: int = 1, probs=(0.05, 0.95)) -> DataFrame:
     """Interval of a mean by Poisson weights per (row, replicate).
 
@@ -30,7 +36,7 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, reps: int = 200
     m = rows.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     m = m.withColumn("i", F.row_number().over(Window.partitionBy().orderBy(cluster)) - 1)  # one row per month
     k = m.agg(F.count(F.lit(1)).alias("k"), (F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n_rows"))
-    draws = k.select("k", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
+    draws = replicates(rows, "rep", reps).join(F.broadcast(k.select("k"))).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
     draws = draws.select("rep", F.floor(uniform(seed, F.col("rep"), F.col("j")) * F.col("k")).alias("i"))
     g = draws.join(F.broadcast(m), "i").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("b"))
     q = g.agg(F.percentile("b", F.lit(probs[0])).alias("lo"), F.percentile("b", F.lit(probs[1])).alias("hi"))
@@ -44,7 +50,7 @@ def block_bootstrap_sharpe(series: DataFrame, a: str, b: str, order: str, reps:
     """
     s = series.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.row_number().over(Window.partitionBy().orderBy(order)) - 1).alias("i"))
     n = s.agg(F.count(F.lit(1)).alias("n"))
-    d = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    d = replicates(series, "rep", reps).join(F.broadcast(n))
     d = d.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
     d = d.withColumn("start", F.floor(uniform(seed, F.col("rep"), F.col("j")) * F.col("n")))
     d = d.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("j") * block + F.col("o") < F.col("n"))
@@ -56,11 +62,12 @@ def block_bootstrap_sharpe(series: DataFrame, a: str, b: str, order: str, reps:
 
 
 def trade_monte_carlo(trades: DataFrame, r: str, order: str, sims: int, seed: int = 5) -> DataFrame:
-    """Totals and deepest falls of resampled trade sequences. The trade list is short (one a session)."""
+    """Totals and deepest falls of resampled trade sequences. Trades are numbered in one window, so the list
+    is one a session at most; the draws are spread over the tasks and joined, not broadcast."""
     t = trades.select(F.col(r).alias("r"), (F.row_number().over(Window.partitionBy().orderBy(order)) - 1).alias("i"))
     n = t.agg(F.count(F.lit(1)).alias("n"))
-    d = n.select("n", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    d = d.select("sim", "j", F.floor(uniform(seed, F.col("sim"), F.col("j")) * F.col("n")).alias("i")).join(F.broadcast(t), "i")
+    d = replicates(trades, "sim", sims).join(F.broadcast(n)).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    d = d.select("sim", "j", F.floor(uniform(seed, F.col("sim"), F.col("j")) * F.col("n")).alias("i")).join(t, "i")
     w = Window.partitionBy("sim").orderBy("j")
     d = d.withColumn("_c", F.sum("r").over(so_far(w)))
     d = d.withColumn("_dd", F.col("_c") - F.greatest(F.max("_c").over(so_far(w)), F.lit(0.0)))
@@ -115,11 +122,13 @@ def fold_dim(years: DataFrame, first_test_year: int, embargo_days: int) -> DataF
 def walk_forward(events: DataFrame, folds: DataFrame, day: str, exit_day: str) -> DataFrame:
     """Events with their role per fold: train when the label ended before the cutoff, test in the fold's year.
 
-    Folds are a handful of years, so an event meets a few of them.
+    Folds are a handful of years; they become one literal array, and an event is widened by those it serves.
     """
-    f = F.broadcast(folds)
-    role = F.when(F.col(exit_day) < F.col("cutoff"), "train").when(F.year(day) == F.col("fold"), "test")
-    return events.join(f, (F.col(exit_day) < F.col("cutoff")) | (F.year(day) == F.col("fold"))).withColumn("role", role)
+    names = folds.columns
+    lit = F.array(*[F.struct(*[F.lit(r[c]).cast(folds.schema[c].dataType).alias(c) for c in names]) for r in folds.collect()])
+    serves = F.filter(lit, lambda f: (F.col(exit_day) < f["cutoff"]) | (F.year(day) == f["fold"]))
+    wide = events.withColumn("_f", F.explode(serves)).select(*events.columns, *[F.col("_f")[c].alias(c) for c in names])
+    return wide.withColumn("role", F.when(F.col(exit_day) < F.col("cutoff"), "train").when(F.year(day) == F.col("fold"), "test"))
 
 
 def expanding_splits(n: int, n_splits: int, val_size: int) -> list[tuple[int, int, int]]:

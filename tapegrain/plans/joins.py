@@ -154,12 +154,14 @@ def sector_relative(spark, d):
     return j.select("symbol", day().alias("session"), rnd("rel_21", 6).alias("rel_21"), rnd("rel_63", 6).alias("rel_63"), rnd("score", 6).alias("score"))
 
 
-@query("jon19_pair_correlation", f"""WITH {B.BARS}, {B.SECTORS}, s AS (SELECT industry AS symbol, session, sum(vwap * volume) / sum(volume) AS close FROM bars JOIN sectors USING (symbol) GROUP BY 1, 2),
- r AS (SELECT symbol, session, close / lag(close) OVER ({WS}) - 1 AS ret FROM s), q AS (SELECT * FROM r WHERE ret IS NOT NULL)
+@query("jon19_pair_correlation", f"""WITH {B.BARS},
+ r AS (SELECT symbol, session, close / lag(close) OVER ({WS}) - 1 AS ret FROM bars), q AS (SELECT * FROM r WHERE ret IS NOT NULL)
  SELECT a.symbol AS a, b.symbol AS b, {rs('corr(a.ret, b.ret)', 6)} AS corr, count(*) AS n FROM q a JOIN q b ON a.session = b.session AND a.symbol < b.symbol
  GROUP BY 1, 2 HAVING count(*) >= 20""")
 def pair_correlation(spark, d):
-    c = J.pairwise_corr(industry_returns(spark, d))
+    b = B.daily_bars(spark, d)
+    r = b.select("symbol", "session", (F.col("close") / F.lag("close").over(by_time("symbol", "session")) - 1).alias("ret")).where(F.col("ret").isNotNull())
+    c = J.pairwise_corr(r)
     return c.select("a", "b", rnd("corr", 6).alias("corr"), "n")
 
 
@@ -304,11 +306,11 @@ def monthly_universe(spark, d):
     return u.select(day("rebalance").alias("rebalance"), "symbol", "rank")
 
 
-CHANGES = """chg AS (SELECT date_trunc('month', l_shipdate)::DATE AS date, list(DISTINCT l_suppkey) AS tickers FROM lineitem WHERE l_quantity >= 45 GROUP BY 1)"""
+CHANGES = """chg AS (SELECT date_trunc('month', l_shipdate)::DATE AS date, list(DISTINCT l_suppkey) AS tickers FROM lineitem GROUP BY 1)"""
 
 
 def membership_changes(spark, d):
-    li = B.table(spark, d, "lineitem").where(F.col("l_quantity") >= 45)
+    li = B.table(spark, d, "lineitem")
     return (li.select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"), F.col("l_suppkey").alias("t")).distinct()
             .select("date", F.array("t").alias("tickers")))
 

@@ -32,33 +32,34 @@ def event_rows(spark, d):
 
 def fold_rows(spark, d):
     e = materialize(win_rows(spark, d), "win_rows")  # every fold reads it
-    return S.walk_forward(e, S.fold_dim(e.select(F.year("session").alias("year")).distinct(), 1999, 10), "session", "exit_session")
+    return S.walk_forward(e, S.fold_dim(e.select(F.year("session").alias("year")).distinct(), 0, 10), "session", "exit_session")
 
 
 @query("mlp02_fold_scores")
 def fold_scores(spark, d):
     """A logistic win classifier per test year; fitted models are no SQL."""
-    s = L.fit_folds(fold_rows(spark, d), FEATS, [1999, 2000, 2001])
+    rows = fold_rows(spark, d)
+    s = L.fit_folds(rows, FEATS, sorted(r["fold"] for r in rows.select("fold").distinct().collect()))  # one a year
     return s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("p"), 4).alias("mean_p"), rnd(F.avg(F.when(F.col("kept"), F.col("r"))), 4).alias("kept_r"),
                                  rnd(F.avg(F.when(~F.col("kept"), F.col("r"))), 4).alias("skipped_r"))
 
 
 @query("mlp11_importances")
 def importances(spark, d):
-    rows = fold_rows(spark, d).where((F.col("fold") == 2000) & (F.col("role") == "train"))
+    rows = materialize(win_rows(spark, d), "win_rows")
     m = L.classifier(FEATS, "trees").fit(rows)
     return L.importances(spark, m, FEATS, 5)
 
 
-@query("mlp05_blend", f"""WITH {B.BARS}, {FC}, l AS (SELECT symbol, session, horizon, 'clim' AS model, p10, p50, p90 FROM fc UNION ALL SELECT symbol, session, horizon, 'flat', p10, last_price, p90 FROM fc),
- w AS (SELECT *, CASE WHEN model = 'clim' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM l WHERE horizon = 5 AND session >= DATE '2001-01-01')
- SELECT symbol, {ds()} AS session, {rs('exp(sum(w * ln(p50)) / sum(w))', 3)} AS p50, {rs('exp(sum(w * ln(p50)) / sum(w)) * exp(sum(w * ln(p10 / p50)) / sum(w))', 3)} AS p10 FROM w WHERE session + 7 <= (SELECT max(session) FROM bars b WHERE b.symbol = w.symbol) GROUP BY 1, w.session""")
+@query("mlp05_blend", f"""WITH {B.BARS}, {FC}, l AS (SELECT symbol, session, horizon, 'clim' AS model, p10, p50, p90 FROM fc WHERE target <= fin UNION ALL SELECT symbol, session, horizon, 'flat', p10, last_price, p90 FROM fc WHERE target <= fin),
+ w AS (SELECT *, CASE WHEN model = 'clim' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS w FROM l )
+ SELECT symbol, {ds()} AS session, horizon, {rs('exp(sum(w * ln(p50)) / sum(w))', 3)} AS p50, {rs('exp(sum(w * ln(p50)) / sum(w)) * exp(sum(w * ln(p10 / p50)) / sum(w))', 3)} AS p10 FROM w GROUP BY 1, w.session, horizon""")
 def blend(spark, d):
-    f = forecasts(spark, d).where((F.col("horizon") == 5) & (F.col("session") >= "2001-01-01")).withColumn("regime", F.lit("any"))
+    f = forecasts(spark, d).withColumn("regime", F.lit("any"))
     two = F.explode(F.array(F.struct(F.lit("clim").alias("model"), F.col("p50").alias("mid")), F.struct(F.lit("flat").alias("model"), F.col("last_price").alias("mid"))))
-    l = f.select("symbol", "session", "regime", "p10", "p90", two.alias("z")).select("symbol", "session", "regime", "p10", "p90", "z.model", F.col("z.mid").alias("p50"))
-    b = L.blend_forecasts(l, {"any": {"clim": 0.6, "flat": 0.4}}, ["symbol", "session"])
-    return b.select("symbol", day().alias("session"), rnd("p50", 3).alias("p50"), rnd("p10", 3).alias("p10"))
+    l = f.select("symbol", "session", "horizon", "regime", "p10", "p90", two.alias("z")).select("symbol", "session", "horizon", "regime", "p10", "p90", "z.model", F.col("z.mid").alias("p50"))
+    b = L.blend_forecasts(l, {"any": {"clim": 0.6, "flat": 0.4}}, ["symbol", "session", "horizon"])
+    return b.select("symbol", day().alias("session"), "horizon", rnd("p50", 3).alias("p50"), rnd("p10", 3).alias("p10"))
 
 
 @query("mlp06_holdout", f"""WITH {B.BARS}, f AS (SELECT symbol, session, ln(lead(close, 5) OVER ({WS}) / close) AS y, ln(close / lag(close, 5) OVER ({WS})) AS p FROM bars), g AS (SELECT * FROM f WHERE y IS NOT NULL AND p IS NOT NULL),

@@ -221,11 +221,11 @@ def position_review(spark, d):
                     S.first_alert(F.col("alerts"))["kind"].alias("first_alert"))
 
 
-@query("sig26_thesis_status", f"""WITH {B.BARS}, px AS (SELECT symbol, arg_max(close, session) AS last FROM bars GROUP BY 1), t AS (SELECT o_orderkey AS id, l_suppkey AS symbol, CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS dir, l_extendedprice / l_quantity AS entry, DATE '1998-06-30' - CAST(o_orderdate AS DATE) AS el, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT')
+@query("sig26_thesis_status", f"""WITH {B.BARS}, px AS (SELECT symbol, arg_max(close, session) AS last FROM bars GROUP BY 1), t AS (SELECT o_orderkey AS id, l_suppkey AS symbol, CASE WHEN l_returnflag = 'R' THEN 'short' ELSE 'long' END AS dir, l_extendedprice / l_quantity AS entry, DATE '1998-06-30' - CAST(o_orderdate AS DATE) AS el, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
  SELECT id, t.symbol, l_linenumber, l_partkey, {rs("(last - entry) / entry * 100 * CASE WHEN dir = 'long' THEN 1 ELSE -1 END", 4)} AS pnl_pct, CASE WHEN (dir = 'long' AND last < entry * 0.8) OR (dir = 'short' AND last > entry * 1.2) THEN 'invalidated' WHEN (dir = 'long' AND last >= entry * 1.3) OR (dir = 'short' AND last <= entry * 0.7) THEN 'target_hit'
   WHEN 365 - el < 0 THEN 'expired' WHEN 365 - el <= 73 THEN 'expiring' ELSE 'on_track' END AS status FROM t JOIN px USING (symbol)""")
 def thesis_status(spark, d):
-    o = B.table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_orderdate")
+    o = B.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     li = B.lines(spark, d)
     t = li.join(o, li.l_orderkey == o.o_orderkey).withColumns({"dir": F.when(F.col("l_returnflag") == "R", "short").otherwise("long"), "left": 365 - F.datediff(F.lit("1998-06-30").cast("date"), F.to_date("o_orderdate"))})
     px = B.daily_bars(spark, d).groupBy(F.col("symbol").alias("l_suppkey")).agg(F.max_by("close", "session").alias("last"))

@@ -126,9 +126,9 @@ def company_facts(spark, d):
     return r.select("cik", day("end").alias("end"), "tag", rnd("val", 2).alias("val"))
 
 
-@query("src12_universe_load", f"""SELECT s_suppkey AS symbol, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND l_discount = 0.1::DOUBLE AND l_tax = 0) AS loaded FROM supplier""")
+@query("src12_universe_load", f"""SELECT s_suppkey AS symbol, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey) AS loaded FROM supplier""")
 def universe_load(spark, d):
-    have = B.table(spark, d, "lineitem").where((F.col("l_quantity") == 50) & (F.col("l_discount") == 0.1) & (F.col("l_tax") == 0)).select(F.col("l_suppkey").alias("symbol")).distinct()
+    have = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("symbol")).distinct()
     s = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"))
     ok = s.join(have, "symbol", "left_semi").withColumn("loaded", F.lit(True))
     return ok.unionByName(s.join(have, "symbol", "left_anti").withColumn("loaded", F.lit(False)))
@@ -168,9 +168,9 @@ def upsert(spark, d):
     return R.upsert_latest(c.drop("c_acctbal"), new.drop("c_acctbal"), ["symbol"], "version").select("symbol", "name")
 
 
-@query("jon29_best_source", """WITH s AS (SELECT l_suppkey AS symbol, l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS pr FROM lineitem WHERE l_quantity >= 48 AND l_discount >= 0.09::DOUBLE) SELECT symbol, l_orderkey, l_linenumber, l_partkey, pr FROM s QUALIFY pr = min(pr) OVER (PARTITION BY symbol)""")
+@query("jon29_best_source", """WITH s AS (SELECT l_suppkey AS symbol, l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS pr FROM lineitem) SELECT symbol, l_orderkey, l_linenumber, l_partkey, pr FROM s QUALIFY pr = min(pr) OVER (PARTITION BY symbol)""")
 def best_source(spark, d):
-    li = B.table(spark, d, "lineitem").where((F.col("l_quantity") >= 48) & (F.col("l_discount") >= 0.09))
+    li = B.table(spark, d, "lineitem")
     s = li.select(F.col("l_suppkey").alias("symbol"), "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("pr"))
     return J.best_source_rows(s, "symbol", "pr")
 

@@ -81,12 +81,11 @@ def event_trades(spark, d):
 
 
 def study(spark, d):
-    f = B.filings(spark, d).where((F.col("code") == "P") & (F.col("role") == "1-URGENT"))
-    big = f.where(F.col("value") >= 60_000)
+    f = B.filings(spark, d).where(F.col("code") == "P")
     from tapegrain.session import materialize
     t = materialize(study_trades(spark, d), "study_trades")  # read by the events and by both placebo draws
     t = t.withColumn("median_dv_60", F.col("median_dv_60") * 1000)  # the tables' prices are small money
-    return V.event_study(D.detect_clusters(f, min_insiders=4), big, t, hold=4)
+    return V.event_study(D.detect_clusters(f, min_insiders=4), f, t, hold=HOLD)
 
 
 @query("sta06_event_study")

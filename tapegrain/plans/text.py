@@ -121,11 +121,11 @@ def catalyst_score(spark, d):
 TOPICS = list(X.TOPIC_PRIORS)
 
 
-@query("agg28_topic_signal", f"""WITH a AS (SELECT l_suppkey AS symbol, {'[' + ', '.join(f"'{t}'" for t in TOPICS) + ']'}[l_partkey % 10 + 1] AS topic, l_discount * 10 AS conf, l_tax - 0.04::DOUBLE AS pol FROM lineitem WHERE l_quantity <= 5),
+@query("agg28_topic_signal", f"""WITH a AS (SELECT l_suppkey AS symbol, {'[' + ', '.join(f"'{t}'" for t in TOPICS) + ']'}[l_partkey % 10 + 1] AS topic, l_discount * 10 AS conf, l_tax - 0.04::DOUBLE AS pol FROM lineitem),
  b AS (SELECT *, {_map({k: v[0] for k, v in X.TOPIC_PRIORS.items()}, 'topic', 0.0)} AS s, {_map({k: v[1] for k, v in X.TOPIC_PRIORS.items()}, 'topic', 0.01)} AS m FROM a WHERE conf >= 0.3)
  SELECT symbol, count(*) AS n_articles, {rs('tanh(sum(CASE WHEN abs(s) > 0.01 THEN s WHEN pol > 0 THEN 1 ELSE -1 END * m * conf) * 8)', 6)} AS score FROM b GROUP BY 1""")
 def topic_signal(spark, d):
-    li = B.table(spark, d, "lineitem").where(F.col("l_quantity") <= 5)
+    li = B.table(spark, d, "lineitem")
     a = li.select(F.col("l_suppkey").alias("symbol"), F.element_at(F.array(*[F.lit(t) for t in TOPICS]), (F.col("l_partkey") % 10 + 1).cast("int")).alias("topic"),
                   (F.col("l_discount") * 10).alias("conf"), (F.col("l_tax") - 0.04).alias("pol"))
     return X.topic_signal(a, "symbol", "topic", "conf", "pol").select("symbol", "n_articles", rnd("score", 6).alias("score"))
@@ -235,12 +235,12 @@ def political_signal(spark, d):
     return s.select("issuer", "n_buys", "n_sells", rnd("score", 6).alias("score"), F.element_at("top", 1).alias("top1"))
 
 
-@query("seq07_clusters", f"""WITH RECURSIVE {B.FILINGS}, p AS (SELECT issuer, owner, filed AS day, sum(value) AS v FROM fil WHERE code = 'P' AND role = '1-URGENT' GROUP BY 1, 2, 3), dd AS (SELECT DISTINCT issuer, day FROM p),
+@query("seq07_clusters", f"""WITH RECURSIVE {B.FILINGS}, p AS (SELECT issuer, owner, filed AS day, sum(value) AS v FROM fil WHERE code = 'P' GROUP BY 1, 2, 3), dd AS (SELECT DISTINCT issuer, day FROM p),
  q AS (SELECT dd.issuer, dd.day, count(DISTINCT p.owner) AS n, sum(p.v) AS v FROM dd JOIN p ON p.issuer = dd.issuer AND p.day > dd.day - 30 AND p.day <= dd.day GROUP BY 1, 2 HAVING count(DISTINCT p.owner) >= 4 AND sum(p.v) >= 100000 - 1e-6),
  ev AS (SELECT issuer, min(day) AS day FROM q GROUP BY 1 UNION ALL SELECT issuer, nd FROM (SELECT e.issuer, (SELECT min(q.day) FROM q WHERE q.issuer = e.issuer AND q.day >= e.day + 182) AS nd FROM ev e) WHERE nd IS NOT NULL)
  SELECT q.issuer, {ds('q.day')} AS signal_date, q.n AS n_insiders, {rs('q.v', 1)} AS total_value FROM ev JOIN q ON q.issuer = ev.issuer AND q.day = ev.day""")
 def clusters(spark, d):
-    f = B.filings(spark, d).where((F.col("code") == "P") & (F.col("role") == "1-URGENT"))
+    f = B.filings(spark, d).where(F.col("code") == "P")
     c = D.detect_clusters(f, min_insiders=4)
     return c.select("issuer", day("signal_date").alias("signal_date"), "n_insiders", rnd("total_value", 1).alias("total_value"))
 

@@ -178,3 +178,72 @@ def test_merge_reports_timing(spark):
 def test_sessions_and_hours(spark):
     cal = R.sessions_from_rows(spark.createDataFrame([("2024-03-08", "09:30", "16:00"), ("2024-03-11", "09:30", "13:00")], "date string, open string, close string")).orderBy("session").collect()
     assert cal[0].open_ts.hour == 14 and cal[1].open_ts.hour == 13 and cal[1].early_close and not cal[0].early_close
+
+
+def test_missing_and_huge_values_stay_in_their_frames(spark):
+    from tapegrain.operators.kernels import by_time, roll_mean, roll_std, roll_sum
+    rows = [(1, i, float("nan") if i == 5 else float(i % 7), 1e10 + (i % 7)) for i in range(400)]
+    w = by_time("k", "i")
+    b = spark.createDataFrame(rows, "k int, i int, x double, y double").select("i", roll_mean("x", w, 252).alias("m"), roll_sum("x", w, 60).alias("s"), roll_std("y", w, 40).alias("sd")).toPandas().set_index("i")
+    assert np.isfinite(b.m[300]) and np.isnan(b.m[256]) and b.s[399] == sum(i % 7 for i in range(340, 400))
+    assert abs(b.sd[399] - np.std([i % 7 for i in range(360, 400)], ddof=1)) < 1e-6
+
+
+def test_rename_chains_of_any_length_both_ways(spark):
+    ren = [(d(f"{2001 + k}-01-01"), f"N{k}", f"N{k + 1}") for k in range(8)]
+    ren += [(d("2020-01-01"), "X", "N0"), (d("2000-01-01"), "N0", "OLD")]  # the first name belonged to others before and after
+    r = spark.createDataFrame(ren, "process_date date, old_symbol string, new_symbol string")
+    cur = spark.createDataFrame([("N4",)], "ticker string")
+    got = {x["name"]: (str(x.start), str(x.end)) for x in C.symbol_periods(cur, r, "2004-06-01").collect()}
+    assert set(got) == {f"N{k}" for k in range(9)}
+    assert got["N4"] == ("2004-01-01", "2004-12-31")
+    assert got["N8"] == ("2008-01-01", "9999-12-31") and got["N0"][1] == "2000-12-31"
+
+
+def test_aliases_of_any_length(spark):
+    a = spark.createDataFrame([("bank of new york mellon", 7), ("york", 8)], "alias string, symbol int")
+    t = spark.createDataFrame([(1, "Shares of Bank of New York Mellon rose")], "id int, title string")
+    assert [m.symbol for m in X.mentions(t, a, "id", "title").first().mentions] == [7]
+
+
+def test_correlation_of_many_series(spark):
+    from tapegrain.operators import evaluation as E
+    from tapegrain.operators import joins as J
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(25, 600))
+    p = pd.DataFrame([(i, t, float(x[t, i])) for t in range(25) for i in range(600)], columns=["symbol", "session", "ret"])
+    r = spark.createDataFrame(p)
+    got = J.pairwise_corr(r).toPandas()
+    want = np.corrcoef(x.T)
+    assert len(got) == 600 * 599 // 2 and np.allclose(got["corr"], want[got.a, got.b])
+    c = E.shrunk_covariance(r, 1.0).toPandas()
+    assert len(c) == 600 * 600 and np.allclose(c.sample_cov, np.cov(x.T)[c.a, c.b])
+
+
+def test_folds_with_few_rows_stay(spark):
+    from tapegrain.operators import learning as L
+    rows = [(f, role, float(i), i % 2) for f, n in ((1, 5), (2, 80)) for role in ("train", "test") for i in range(n)]
+    df = spark.createDataFrame(rows, "fold int, role string, a double, win int")
+    got = L.fit_folds(df, ["a"], [1, 2])
+    assert got.count() == 85 and got.where("fold = 1 and p is null and kept").count() == 5 and got.where("fold = 2 and p is not null").count() == 80
+
+
+def test_poisson_draws_reach_the_tail(spark):
+    from tapegrain.operators.kernels import poisson_one
+    u = spark.createDataFrame([(0.0,), (0.5,), (1 - 1e-9,), (1 - 2.0 ** -53,)], "u double")
+    got = [r[0] for r in u.select(poisson_one(F.col("u"))).collect()]
+    assert got[:2] == [0.0, 1.0] and got[2] > 9 and got[3] > 15
+
+
+def test_internal_rate_without_root_is_null(spark):
+    s = spark.createDataFrame([([-1.0, -2.0],), ([-1.0] + [0.0] * 11 + [31.0],)], "flows array<double>")
+    none, high = (r[0] for r in s.select(P.internal_rate(F.col("flows"))).collect())
+    assert none is None and abs(high - 30) < 1e-4
+
+
+def test_walk_forward_and_liquidity_have_no_nested_loop(spark):
+    e = spark.createDataFrame([(d("2001-05-01"), d("2001-06-01")), (d("1999-05-01"), d("1999-06-01"))], "day date, out date")
+    f = S.fold_dim(spark.createDataFrame([(1999,), (2001,)], "year int"), 1999, 10)
+    w = S.walk_forward(e, f, "day", "out")
+    assert "NestedLoop" not in w._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.fold, r.role) for r in w.collect()) == [(1999, "test"), (2001, "test"), (2001, "train")]
