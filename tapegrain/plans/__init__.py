@@ -6,7 +6,7 @@ import importlib
 
 from tapegrain.plans.catalog import CATALOG
 
-AREAS = ["windows", "regimes", "joins", "evaluation", "text", "studies", "signals", "streams", "sources", "models"]
+AREAS = ["windows", "regimes", "joins", "evaluation", "text", "studies", "signals", "streams", "sources", "models", "strategies"]
 
 
 def load_catalog():
