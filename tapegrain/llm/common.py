@@ -60,28 +60,37 @@ def materialize(df: DataFrame, stem: str) -> DataFrame:
     return session.materialize(df, f"llm-{stem}")
 
 
+#: Ids are broadcast only where a count finds no more of them; else they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` with one of the ids (column doc_id), or with ``left_anti`` those without; null equals null."""
+    ids = materialize(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id of each id that has a link: (id, component_id), from ``edges`` (a, b).
 
-    Large-star and small-star steps (Kiveris et al. 2014) by grouping and joining until nothing
-    changes: O(log^2) rounds, each linear in the edges and written to the shared folder.
+    Large-star and small-star steps (Kiveris et al. 2014) by grouping and joining until every id hangs
+    on a root: O(log^2) rounds, each linear in the edges and written to the shared folder.
     """
-    e = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
-    e = materialize(e, "edges")
-    seen = None
+    e = materialize(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "edges")
     for _ in range(max_rounds):
+        # done when no id has two parents and no parent has one: a count over both ends of the edges
+        ends = e.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("lo").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .unionByName(down.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
         e = materialize(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_000_007)).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    label = e.groupBy("hi").agg(F.min("lo").alias("component_id")).withColumnRenamed("hi", "id")
+    label = e.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))
     return label.unionByName(label.select(F.col("component_id").alias("id"), "component_id").distinct())

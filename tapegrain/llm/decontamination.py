@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrain.llm import textops as X
-from tapegrain.llm.common import materialize
+from tapegrain.llm.common import only
 
 SEED_WORDS, STRIDE = 4, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -189,5 +189,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, stride:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows with a null id are kept only if none of them does."""
-    found = materialize(matches(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    return only(docs, matches(docs, benchmark).select("doc_id"), "left_anti")

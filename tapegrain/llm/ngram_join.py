@@ -7,9 +7,11 @@ for which the prefix is extended by one token (c tokens of a class of k-combinat
 c-k of them). Documents that meet in a signature are verified on their whole sets.
 
 No group is expanded into all its pairs. Documents with equal sets form a class, joined through one of
-them. Members of a signature are compared with its least member (a star), and only where a signature
-then still holds several components do pairs across components follow. Single tokens that leave more
-than ``CROWD`` components together move to the frequent class, and the documents are indexed again.
+them. Members of a signature are compared with its hub, the member that shares most of its signatures (a
+star). Where single tokens still leave more than ``CROWD`` components together, they move to the frequent class and their documents are indexed
+again: two documents that met in other signatures too have been compared there. Pairs of different
+components that are left in a signature are compared unless their parity bitmaps prove them apart (each
+token flips one of 512 bits, so the bitmaps differ in at most as many bits as the sets in tokens).
 
 Frequent tokens are broadcast: tokens above 1/MAX_FREQUENT of all occurrences, hence at most MAX_FREQUENT.
 Null and empty texts have no set and no links. Equal sets link also where the id is null; a null id is
@@ -26,15 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrain.llm import textops as X
-from tapegrain.llm.common import components, materialize, partitions
+from tapegrain.llm.common import components, materialize, only, partitions
 
 WORDS, PERCENT = 5, 80
-MAX_FREQUENT = 1 << 20
-CROWD = 16
+MAX_FREQUENT = 1 << 22
+#: Components a single token may leave together: each member then meets at most so many others.
+CROWD = 256
+#: A task counts tokens over so many at a time and reports those seen this often.
+COUNTED, OFTEN = 1 << 21, 2
+SLICE_BYTES = 2 << 20
+BITMAP = 8  # words of 64 bits
+_MAPS = [f"m{i}" for i in range(BITMAP)]
+#: Sets up to this size index single tokens only: too few are sure to stay for a pair.
+TINY = 8
 #: Sets up to this size index pairs of frequent tokens; larger ones single tokens throughout. Sets
-#: between SMALL and SMALL / threshold do both, so that two partners always share a scheme.
+#: between SMALL and SMALL / threshold do both.
 SMALL = 256
-BROADCAST_IDS = 2_000_000
 _PAIR = np.uint64(1) << np.uint64(63)
 _LARGE = np.uint64(1) << np.uint64(62)
 
@@ -66,19 +75,39 @@ def fingerprints(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def bitmaps(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each bit: one row of BITMAP integers for each set."""
+    n, width = len(first) - 1, 64 * BITMAP
+    at = np.repeat(np.arange(n), np.diff(first)) * width + (token % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * width) & 1).astype(np.uint8).reshape(n, width)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def _describe(k: int):
+    def seen_often(held: list[np.ndarray]) -> pa.RecordBatch:
+        whole = np.concatenate(held)
+        t, seen = np.unique(whole, return_counts=True)
+        often = seen >= OFTEN
+        t, seen = np.append(t[often].astype(np.int64), -1), np.append(seen[often], len(whole))
+        none = pa.nulls(len(t), pa.int64())
+        return pa.record_batch({c: none for c in ("doc_id", "n", "c1", "c2", *_MAPS)} | {"token": pa.array(t), "seen": pa.array(seen, pa.int64())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, rows for tokens seen often in a slice, one row with the number of tokens."""
-        for part in X.slices(batches):
+        """A row for each document; rows for repeated tokens, and under token -1 the number of tokens."""
+        held, size = [], 0
+        for part in X.slices(batches, limit=SLICE_BYTES):
             token, first = token_sets(*X.text_buffer(part.column("text")), k)
             c1, c2 = fingerprints(token, first)
-            n, none = part.num_rows, pa.nulls(part.num_rows, pa.int64())
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n": pa.array(np.diff(first), pa.int64()), "c1": pa.array(c1), "c2": pa.array(c2), "token": none, "seen": none})
-            t, seen = np.unique(token, return_counts=True)
-            often = seen >= 4
-            t, seen = np.append(t[often].astype(np.int64), -1), np.append(seen[often], len(token))
-            none = pa.nulls(len(t), pa.int64())
-            yield pa.record_batch({"doc_id": none, "n": none, "c1": none, "c2": none, "token": pa.array(t), "seen": pa.array(seen, pa.int64())})
+            maps = bitmaps(token, first)
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n": pa.array(np.diff(first), pa.int64()), "c1": pa.array(c1), "c2": pa.array(c2)} | {m: pa.array(maps[:, i]) for i, m in enumerate(_MAPS)} | {"token": none, "seen": none})
+            held.append(token)
+            size += len(token)
+            if size >= COUNTED:
+                yield seen_often(held)
+                held, size = [], 0
+        if held:
+            yield seen_often(held)
     return run
 
 
@@ -99,9 +128,11 @@ class Frequent:
 
 
 def signatures(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) of every set with 4 tokens or more; smaller ones link to equal sets only.
+    """(signature, document) of every set.
 
-    Signatures of single tokens are the token, with bit 62 set in the scheme of large sets; pairs have bit 63.
+    Tiny and large sets index single tokens whatever their class; sets between index pairs of frequent
+    ones. A set near a border is in both schemes, so two partners always share one. Signatures of single
+    tokens are the token, with bit 62 set for large sets; pairs, and the tokens of tiny sets, have bit 63.
     """
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
@@ -109,9 +140,11 @@ def signatures(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, perce
     token, frequent = token[order], frequent[order]
     rare = np.bincount(doc[~frequent], minlength=len(n))
     need = n - -(-n * percent // 100) + 1
-    take = np.where(n >= 4, need, 0)
-    small, large = n <= SMALL * 100 // percent, n > SMALL
-    sig, of = [], []
+    take = np.where(n > 0, need, 0)
+    tiny, small, large = n <= TINY * 100 // percent, (n > TINY) & (n <= SMALL * 100 // percent), n > SMALL
+    count = np.where(tiny, take, 0)
+    sig = [X.mix(token[X.ranges(first[:-1], count)] ^ _PAIR) | _PAIR]
+    of = [np.repeat(np.arange(len(n)), count)]
     for which, count, flag in ((small, np.minimum(take, rare), np.uint64(0)), (large, take, _LARGE)):
         count = np.where(which, count, 0)
         sig.append(token[X.ranges(first[:-1], count)] | flag)
@@ -127,7 +160,7 @@ def signatures(token: np.ndarray, first: np.ndarray, frequent: np.ndarray, perce
 def _index(k: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_frequent = Frequent(frequent)
-        for part in X.slices(batches):
+        for part in X.slices(batches, limit=SLICE_BYTES):
             token, first = token_sets(*X.text_buffer(part.column("text")), k)
             c1, c2 = fingerprints(token, first)
             _, one = np.unique(np.stack((c1, c2)), axis=1, return_index=True)  # one of each class in the slice
@@ -138,29 +171,38 @@ def _index(k: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, cls): members of shared signatures, each with the least of its signature."""
-    last_sig = last_cls = head = None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, cls), across batches: the distinct rows of signatures that hold two classes or more."""
+    held: tuple | None = None  # last signature, its last class, whether it has been given out
     for batch in batches:
         sig, cls = (batch.column(c).to_numpy() for c in ("sig", "cls"))
         if not len(sig):
             continue
+        given = False
+        if held is not None:
+            given = held[2] and held[0] == sig[0]
+            sig, cls = np.append(held[0], sig), np.append(held[1], cls)
         new_sig, new = np.ones(len(sig), bool), np.ones(len(sig), bool)
         new_sig[1:] = sig[1:] != sig[:-1]
         new[1:] = new_sig[1:] | (cls[1:] != cls[:-1])
-        new_sig[0] = sig[0] != last_sig
-        new[0] = new_sig[0] or cls[0] != last_cls
-        at = np.maximum.accumulate(np.where(new_sig, np.arange(len(sig)), -1))
-        heads = np.where(at >= 0, cls[np.maximum(at, 0)], head if head is not None else 0)
-        last_sig, last_cls, head = sig[-1], cls[-1], heads[-1]
-        out = np.flatnonzero(new & (heads != cls))
-        if len(out):
-            yield pa.record_batch({"sig": sig[out], "a": heads[out], "b": cls[out]})
+        if given:
+            new[0] = False  # the row carried over is out already
+        sig, cls, new_sig = sig[new], cls[new], new_sig[new]
+        if not len(sig):
+            continue
+        many = np.zeros(len(sig), bool)
+        same = sig[1:] == sig[:-1]
+        many[1:] |= same
+        many[:-1] |= same
+        if given:
+            many |= sig == held[0]
+        held = (sig[-1], cls[-1], bool(many[-1]))
+        yield pa.record_batch({"sig": sig[many], "cls": cls[many]})
 
 
 def _token_bytes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in X.slices(batches):
+        for part in X.slices(batches, limit=SLICE_BYTES):
             token, first = token_sets(*X.text_buffer(part.column("text")), k)
             c1, c2 = fingerprints(token, first)
             raw = [token[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
@@ -185,69 +227,98 @@ def _verify(percent: int):
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives whose whole sets reach the threshold; pairs carry both classes."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = materialize(ids, "wanted")
-    few = ids.count() <= BROADCAST_IDS
-    held = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = held.select("text").mapInArrow(_token_bytes(k), "c1 long, c2 long, tokens binary")
+    sets = only(docs.select("doc_id", "text"), ids).select("text").mapInArrow(_token_bytes(k), "c1 long, c2 long, tokens binary")
     x = sets.toDF("a1", "a2", "x")
     y = sets.toDF("b1", "b2", "y")
     both = pairs.join(x, ["a1", "a2"]).select("a", "b", "b1", "b2", "x").join(y, ["b1", "b2"]).select("a", "b", "x", "y")
     return materialize(both.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
 
 
-def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(documents with their class, links between representatives of classes)."""
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their class, links between representatives of classes, components of those)."""
     spark = docs.sparkSession
-    facts = materialize(docs.select("doc_id", "text").mapInArrow(_describe(k), "doc_id long, n long, c1 long, c2 long, token long, seen long"), "sets")
+    maps = ", ".join(f"{m} long" for m in _MAPS)
+    facts = materialize(docs.select("doc_id", "text").mapInArrow(_describe(k), f"doc_id long, n long, c1 long, c2 long, {maps}, token long, seen long"), "sets")
     own = facts.where("n is not null").select("doc_id", "n", "c1", "c2")
-    classes = materialize(own.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep is not null"), "classes")
+    classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_MAPS)]).where("rep is not null")
+    classes = materialize(classes, "classes")
     seen = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("n"))
     total = seen.where("token = -1").agg(F.sum("n")).first()[0] or 0
     often = seen.where((F.col("token") >= 0) & (F.col("n") > max(16, total // MAX_FREQUENT))).select("token").toArrow()
     frequent = np.sort(often.column("token").to_numpy().astype(np.uint64))
 
-    def side(p: str) -> DataFrame:
-        return classes.select(F.col("c1").alias(f"{p}1"), F.col("c2").alias(f"{p}2"), F.col("rep").alias(p), F.col("n").alias(f"n_{p}"))
-
-    def paired(df: DataFrame) -> DataFrame:
-        """Candidate classes (a1, b1) as pairs of representatives with sizes that can reach the threshold."""
-        both = df.join(side("a"), "a1").join(side("b"), "b1").where("a <> b")
-        return both.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-
-    tested, links = None, None
-    for round_ in range(rounds):
-        rows = docs.select("text").mapInArrow(_index(k, percent, frequent), "sig long, cls long")
-        star = materialize(rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "cls").mapInArrow(_star, "sig long, a long, b long"), "stars")
-        pairs = paired(star.select(F.col("a").alias("a1"), F.col("b").alias("b1")).distinct())
+    def index(source: DataFrame) -> DataFrame:
+        """Members of every shared signature: (sig, c1, c2, rep, n, hub)."""
+        rows = source.select("text").mapInArrow(_index(k, percent, frequent), "sig long, cls long")
+        shared = materialize(rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "cls").mapInArrow(_shared, "sig long, cls long"), "shared")
+        hub = shared.groupBy("cls").agg(F.count("*").alias("hub")).withColumnRenamed("cls", "c1")
+        known = classes.select("c1", "c2", "rep", "n").join(hub, "c1").withColumn("hub", F.col("hub") / F.col("n"))
+        return materialize(shared.withColumnRenamed("cls", "c1").join(known, "c1"), "members")
+
+    def labelled(member: DataFrame) -> DataFrame:
+        if label is None:
+            return member.withColumn("comp", F.col("rep"))
+        return member.join(label, F.col("rep") == F.col("id"), "left").select(*member.columns, F.coalesce("component_id", "rep").alias("comp"))
+
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    links = tested = label = None
+
+    def compare(pairs: DataFrame) -> None:
+        """Verify pairs of classes (a, a1, a2, b, b1, b2) not yet compared, and join their components."""
+        nonlocal links, tested, label
+        x, y = F.struct(F.col("a").alias("r"), F.col("a1").alias("1"), F.col("a2").alias("2")), F.struct(F.col("b").alias("r"), F.col("b1").alias("1"), F.col("b2").alias("2"))
+        pairs = pairs.select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a1", "a2", "b1", "b2"], "left_anti")
+            pairs = pairs.join(tested, ["p", "q"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = verified(docs, pairs, k, percent)
-        keys = pairs.select("a1", "a2", "b1", "b2")
-        tested, links = (keys, new) if tested is None else (tested.unionByName(keys), links.unionByName(new))
-        label = components(links)
-        # members of every shared signature with their component
-        member = star.select("sig", F.col("b").alias("c1")).unionByName(star.select("sig", F.col("a").alias("c1")).distinct())
-        member = (member.join(classes, "c1").join(label, F.col("rep") == F.col("id"), "left")
-                  .select("sig", "c1", "c2", "rep", "n", F.coalesce("component_id", "rep").alias("comp")))
-        open_ = member.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.approx_count_distinct("comp").alias("comps")).where("low <> high")
-        open_ = materialize(open_, "open")
-        crowd = open_.where((F.col("sig") >= 0) & (F.col("comps") > CROWD)).select(F.col("sig").bitwiseAND(F.lit((1 << 62) - 1)).alias("sig"), "comps")
-        more = crowd.orderBy(F.desc("comps"), "sig").limit(MAX_FREQUENT).select("sig")
-        more = np.setdiff1d(more.toArrow().column("sig").to_numpy().astype(np.uint64), frequent)
-        if not len(more) or round_ == rounds - 1:
-            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        flat = pairs.select(*[F.col(f"{s}.{f}").alias(n + t) for s, n in (("p", "a"), ("q", "b")) for f, t in (("r", ""), ("1", "1"), ("2", "2"))])
+        new = verified(docs, flat, k, percent)
+        links = new if links is None else links.unionByName(new)
+        if label is None or not new.isEmpty():
+            label = components(links)
+
+    def star(member: DataFrame) -> DataFrame:
+        """Compare the members of each signature with its hub; the members with their components afterwards."""
+        now = labelled(member)
+        pick = F.max_by(F.struct("c1", "c2", "rep", "n", "comp"), F.struct("hub", -F.col("rep"))).alias("h")
+        hubs = now.groupBy("sig").agg(pick).select("sig", F.col("h.c1").alias("a1"), F.col("h.c2").alias("a2"), F.col("h.rep").alias("a"), F.col("h.n").alias("n_a"), F.col("h.comp").alias("comp_a"))
+        b = now.select("sig", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        compare(b.join(hubs, "sig").where(near & (F.col("comp_a") != F.col("comp_b"))))
+        return labelled(member)
+
+    def unresolved(now: DataFrame) -> DataFrame:
+        some = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.approx_count_distinct("comp").alias("comps"))
+        return materialize(some.where("low <> high").select("sig", "comps"), "open")
+
+    member = index(docs)
+    open_ = unresolved(star(member))
+    crowd = open_.where((F.col("sig") >= 0) & (F.col("comps") > CROWD))
+    token = F.col("sig").bitwiseAND(F.lit((1 << 62) - 1)).alias("token")
+    more = crowd.select(token, "comps").orderBy(F.desc("comps"), "token").limit(MAX_FREQUENT).select("token").toArrow()
+    more = np.setdiff1d(more.column("token").to_numpy().astype(np.uint64), frequent)
+    groups = [(member, open_.select("sig"))]
+    if len(more):
+        # the documents of crowded tokens are indexed again, with those tokens frequent
+        moved = crowd.select("sig", token).join(F.broadcast(spark.createDataFrame(pa.table({"token": more.astype(np.int64)}))), "token").select("sig")
+        again = only(docs.select("doc_id", "text"), member.join(moved, "sig", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
         frequent = np.union1d(frequent, more)
-    # what is left: pairs of different components that meet in a signature
-    left = materialize(member.join(open_.select("sig"), "sig", "left_semi"), "left")
-    p = left.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("c1", "c2", "rep", "n", "comp")])
-    q = left.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("c1", "c2", "rep", "n", "comp")])
-    cross = p.join(q, "sig").where((F.col("comp_a") < F.col("comp_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    cross = cross.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.col("c1_a").alias("a1"), F.col("c2_a").alias("a2"), F.col("c1_b").alias("b1"), F.col("c2_b").alias("b2")).distinct()
-    cross = cross.join(tested, ["a1", "a2", "b1", "b2"], "left_anti").join(tested.toDF("b1", "b2", "a1", "a2"), ["a1", "a2", "b1", "b2"], "left_anti")
-    cross = materialize(cross, "pairs")
-    links = links.unionByName(verified(docs, cross, k, percent))
-    return own, materialize(links.distinct(), "links")
+        then = index(again)
+        groups = [(member, open_.join(moved, "sig", "left_anti").select("sig")), (then, unresolved(star(then)).select("sig"))]
+    # what is left: pairs of different components that meet in a signature, as narrow rows
+    left = [labelled(m.join(sigs, "sig", "left_semi")).select(F.xxhash64("sig", F.lit(i)).alias("s"), "c1", "c2", "rep", F.col("n").cast("int").alias("n"), "comp") for i, (m, sigs) in enumerate(groups)]
+    left = left[0] if len(left) == 1 else left[0].unionByName(left[1])
+    left = left.join(classes.drop("n", "rep"), ["c1", "c2"]).select("s", "rep", "n", "comp", *_MAPS)
+    left = materialize(left, "left")
+    a = left.toDF("s", *[f"{c}_a" for c in left.columns[1:]])
+    b = left.toDF("s", *[f"{c}_b" for c in left.columns[1:]])
+    apart = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in _MAPS), F.lit(0))
+    # J >= p / 100 means that the sets differ in at most (100 - p) / (100 + p) of the sum of their sizes
+    may = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    met = a.join(b, "s").where((F.col("comp_a") < F.col("comp_b")) & near & may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    x, y = (classes.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}1"), F.col("c2").alias(f"{t}2")) for t in "ab")
+    compare(materialize(met, "met").join(x, "a").join(y, "b"))
+    return own, links, label
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -256,14 +327,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     links counts the other classes that the document's class was found linked with: enough to connect
     every group, not all its pairs.
     """
-    own, links = linked(docs, k, percent)
+    own, links, label = linked(docs, k, percent)
     classes = own.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    shared = own.where("n > 0").join(classes, ["c1", "c2"])
     # a doc_id given to several texts connects their classes
-    bridge = shared.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = own.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("doc_id")
-    bridge = bridge.join(repeated, F.col("a") == F.col("doc_id"), "left_semi")
-    label = components(links.unionByName(bridge))
+    repeated = materialize(own.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        bridge = own.where("n > 0").join(repeated, "doc_id").join(classes, ["c1", "c2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        label = components(links.unionByName(bridge))
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     classes = (classes.join(label, F.col("rep") == F.col("id"), "left").drop("id").join(degree, F.col("rep") == F.col("id"), "left")
                .select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"), "size", F.coalesce("links", F.lit(0)).alias("links")))
@@ -274,6 +344,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component; rows with a null id stay, repeated ids once."""
-    found = near_duplicates(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id")
+    kept = only(docs, gone, "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*docs.columns)

@@ -10,8 +10,10 @@ Skew: runs of words that are frequent over all texts come last in the order, so
 passage is a minimiser only of windows that hold nothing else, and those are equal; equal super-k-mers of
 one slice of input travel once. Hence no bucket gathers a frequent key.
 
-Null and empty texts have no words and stay as they are. Rows that share a doc_id count as one place: a
-window does not repeat itself. Null ids come after all others. Further columns are kept.
+Null and empty texts have no words and stay as they are. Rows that share a doc_id are judged each by its
+text, at one place: of two windows that start at the same word of that id none is the earlier. Null ids
+share the place after all others. Only where an id occurs twice, or is null, a hash of the text travels
+with it to tell its rows apart. Further columns are kept.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def heavy_seeds(docs: DataFrame, seed: int, buckets: int) -> np.ndarray:
     return np.sort(found.column("seed").to_numpy().astype(np.uint64))
 
 
-def _pack(window: int, seed: int, buckets: int, heavy: np.ndarray):
+def _pack(window: int, seed: int, buckets: int, heavy: np.ndarray, keyed: bool):
     width = window - seed + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +70,7 @@ def _pack(window: int, seed: int, buckets: int, heavy: np.ndarray):
         for part in X.slices(batches):
             part = part.take(pa.array(np.argsort(_ids(part.column("doc_id")), kind="stable")))
             ids = _ids(part.column("doc_id"))
+            text_key = part.column("key").to_numpy(zero_copy_only=False)
             data, off = X.text_buffer(part.column("text"))
             s, e, first = X.words(data, off)
             if not len(s):
@@ -106,21 +109,24 @@ def _pack(window: int, seed: int, buckets: int, heavy: np.ndarray):
             for b in np.flatnonzero(np.diff(edges)):
                 k = by[edges[b]:edges[b + 1]]
                 text = X.gather(data, begin[k], begin[k] + length[k])
-                blob = struct.pack("<q", len(k)) + doc_id[k].tobytes() + start[k].astype(np.int64).tobytes() + n_win[k].astype(np.int64).tobytes() + length[k].astype(np.int64).tobytes() + text.tobytes()
+                blob = struct.pack("<qq", len(k), keyed) + (text_key[doc[run_at[k]]].tobytes() if keyed else b"") + doc_id[k].tobytes() + start[k].astype(np.int64).tobytes() + n_win[k].astype(np.int64).tobytes() + length[k].astype(np.int64).tobytes() + text.tobytes()
                 out.append((int(b), zip_.compress(blob)))
             yield pa.record_batch({"bucket": pa.array([b for b, _ in out], pa.int32()), "packed": pa.array([p for _, p in out], pa.binary())})
     return run
 
 
 def _unpack(blobs) -> tuple[np.ndarray, ...]:
+    """Text key, doc_id, start, windows and length of each super-k-mer, and all their bytes."""
     open_, cols, texts = zstandard.ZstdDecompressor(), [], []
     for b in blobs:
         raw = open_.decompress(b)
-        n = struct.unpack_from("<q", raw)[0]
-        cols.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
-        texts.append(np.frombuffer(raw, np.uint8, offset=8 + 32 * n))
+        n, keyed = struct.unpack_from("<qq", raw)
+        rows = 4 + keyed
+        held = np.frombuffer(raw, np.int64, rows * n, 16).reshape(rows, n)
+        cols.append(held if keyed else np.vstack((np.zeros((1, n), np.int64), held)))
+        texts.append(np.frombuffer(raw, np.uint8, offset=16 + 8 * rows * n))
     c = np.concatenate(cols, axis=1)
-    return c[0], c[1], c[2], c[3], np.concatenate(texts)
+    return c[0], c[1], c[2], c[3], c[4], np.concatenate(texts)
 
 
 def exact_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, used: np.ndarray) -> np.ndarray:
@@ -135,14 +141,14 @@ def exact_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, use
 
 def _find(window: int):
     def run(group: pa.Table) -> pa.Table:
-        doc, start, n_win, length, data = _unpack(x.as_py() for x in group.column("packed"))
+        key, doc, start, n_win, length, data = _unpack(x.as_py() for x in group.column("packed"))
         done = length == 0
-        lo, hi, ids = [start[done]], [start[done] + n_win[done] + window - 1], [doc[done]]
+        lo, hi, ids, keys = [start[done]], [start[done] + n_win[done] + window - 1], [doc[done]], [key[done]]
         place = np.concatenate(([0], np.cumsum(length)[:-1]))
         keep = np.flatnonzero(~done)
         keep = keep[np.lexsort((start[keep], doc[keep]))]
         data = X.gather(data, place[keep], place[keep] + length[keep])
-        doc, start, n_win, length = doc[keep], start[keep], n_win[keep], length[keep]
+        key, doc, start, n_win, length = key[keep], doc[keep], start[keep], n_win[keep], length[keep]
         if len(keep):
             s, e, first = X.words(data, np.concatenate(([0], np.cumsum(length))))
             h = X.span_hashes(data, s, e)
@@ -176,17 +182,24 @@ def _find(window: int):
                 lo.append(begin[again[i]])
                 hi.append(begin[again[j]] + window)
                 ids.append(doc[of[again[i]]])
-        return pa.table({"doc_id": np.concatenate(ids), "span": pa.StructArray.from_arrays([pa.array(np.concatenate(lo), pa.int64()), pa.array(np.concatenate(hi), pa.int64())], ["lo", "hi"])})
+                keys.append(key[of[again[i]]])
+        return pa.table({"doc_id": np.concatenate(ids), "key": np.concatenate(keys), "span": pa.StructArray.from_arrays([pa.array(np.concatenate(lo), pa.int64()), pa.array(np.concatenate(hi), pa.int64())], ["lo", "hi"])})
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, spans): word ranges [lo, hi) of each document that windows starting earlier elsewhere cover."""
+def _with_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_key``: a hash of the text where ids do not tell rows apart, else 0."""
+    keyed = not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    return docs.withColumn("_key", F.xxhash64("text") if keyed else F.lit(0).cast("long")), keyed
+
+
+def repeated_spans(docs: DataFrame, keyed: bool, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, key, spans): word ranges [lo, hi) of each text that windows starting earlier elsewhere cover."""
     buckets = 8 * partitions(docs.sparkSession)
     heavy = heavy_seeds(docs, seed, buckets)
-    packed = docs.select("doc_id", "text").mapInArrow(_pack(window, seed, buckets, heavy), PACKED)
-    found = packed.groupBy("bucket").applyInArrow(_find(window), "doc_id long, span struct<lo:long,hi:long>")
-    return found.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    packed = docs.select("doc_id", F.col("_key").alias("key"), "text").mapInArrow(_pack(window, seed, buckets, heavy, keyed), PACKED)
+    found = packed.groupBy("bucket").applyInArrow(_find(window), "doc_id long, key long, span struct<lo:long,hi:long>")
+    return found.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +220,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = b" ".join(w)
             sha.append(hashlib.sha256(kept).hexdigest())
             text.append(kept.decode() if n_removed[-1] else value)
-        out = {n: batch.column(n) for n in batch.schema.names if n != "_spans"}
+        out = {n: batch.column(n) for n in batch.schema.names if n not in ("_spans", "_key")}
         out["text"] = pa.array(text, pa.string())
         yield pa.record_batch(out | {"_n_words": pa.array(n_words, pa.int64()), "_n_removed": pa.array(n_removed, pa.int64()), "_sha": pa.array(sha, pa.string())})
 
@@ -219,12 +232,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
     names are replaced. A text from which nothing is removed stays as it was, byte for byte. With
     ``text=False`` only doc_id and the three figures are returned.
     """
-    spans = repeated_spans(docs, window, seed).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
     figures = {"n_words": "_n_words", "n_removed": "_n_removed", "kept_sha256": "_sha"}
     base = docs.drop(*figures)
     if not text:
         base = base.select("doc_id", "text")
-    both = base.join(spans, F.coalesce(F.col("doc_id"), F.lit(int(_LAST))) == F.col("_id"), "left").drop("_id")
+    marked, keyed = _with_key(base)
+    spans = repeated_spans(marked, keyed, window, seed).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
+    both = marked.join(spans, (F.coalesce(F.col("doc_id"), F.lit(int(_LAST))) == F.col("_id")) & (F.col("_key") == F.col("_k")), "left").drop("_id", "_k")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     done = both.mapInArrow(_apply, f"{schema}, _n_words long, _n_removed long, _sha string").withColumnsRenamed({v: k for k, v in figures.items()})
     return done if text else done.select("doc_id", *figures)
