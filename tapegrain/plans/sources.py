@@ -43,12 +43,16 @@ def paged_json(spark, d):
 
 @query("src10_chart_json", f"""WITH {B.BARS} SELECT symbol, {ds()} AS session, {rs('open * 0.5::DOUBLE')} AS open, {rs('close * 0.5::DOUBLE')} AS close, volume FROM bars""")
 def chart_json(spark, d):
-    """Parallel arrays per symbol and year, adjusted close at half the close."""
+    """Chart payloads per symbol and year, adjusted close at half the close, stamped in two exchanges' time."""
     b = B.daily_bars(spark, d)
     g = b.groupBy("symbol", F.year("session").alias("y")).agg(F.array_sort(F.array_agg(F.struct("session", "open", "high", "low", "close", "volume"))).alias("a"))
-    arr = lambda x: F.transform("a", lambda z: z[x])
-    p = g.select(F.to_json(F.struct(F.col("symbol").cast("string").alias("symbol"), F.transform("a", lambda z: F.unix_timestamp(z["session"].cast("timestamp"))).alias("timestamp"),
-                                    *[arr(x).alias(x) for x in OHLC], F.transform("a", lambda z: z["close"] * 0.5).alias("adjclose"), arr("volume").alias("volume"))).alias("payload"))
+    arr = lambda x: F.transform("a", lambda z: z[x]).alias(x)
+    east = F.col("symbol") % 2 == 1
+    stamp_ = F.transform("a", lambda z: F.unix_timestamp(z["session"].cast("timestamp")) + F.when(east, -9 * 3600).otherwise(20 * 3600)).alias("timestamp")
+    meta = F.struct(F.col("symbol").cast("string").alias("symbol"), F.when(east, "Asia/Tokyo").otherwise("America/New_York").alias("exchangeTimezoneName")).alias("meta")
+    quote = F.array(F.struct(*[arr(x) for x in OHLC], arr("volume"))).alias("quote")
+    adj = F.array(F.struct(F.transform("a", lambda z: z["close"] * 0.5).alias("adjclose"))).alias("adjclose")
+    p = g.select(F.to_json(F.struct(F.struct(F.array(F.struct(meta, stamp_, F.struct(quote, adj).alias("indicators"))).alias("result")).alias("chart"))).alias("payload"))
     r = R.chart_bars(p)
     return r.select(F.col("symbol").cast("bigint").alias("symbol"), day().alias("session"), rnd("open").alias("open"), rnd("close").alias("close"), "volume")
 
@@ -107,11 +111,15 @@ def insider_bulk(spark, d):
 @query("src19_form4_xml", f"""SELECT l_orderkey AS doc_id, l_suppkey AS symbol, {ds('l_shipdate')} AS date, {rs("CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END", 2)} AS shares, count(*) AS n FROM lineitem GROUP BY ALL""")
 def form4_xml(spark, d):
     li = B.table(spark, d, "lineitem")
-    tx = F.concat(F.lit("<tx><date>"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("</date><code>P</code><shares>"), F.col("l_quantity"), F.lit("</shares><price>2.5</price><adc>"),
-                  F.when(F.col("l_returnflag") == "R", "D").otherwise("A"), F.lit("</adc></tx>"))
+    v = lambda tag, x: F.concat(F.lit(f"<{tag}><value>"), x, F.lit(f"</value></{tag}>"))
+    side = F.when(F.col("l_returnflag") == "R", "D").otherwise("A")
+    tx = F.concat(F.lit("<nonDerivativeTransaction>"), v("transactionDate", F.date_format("l_shipdate", "yyyy-MM-dd")), F.lit("<transactionCoding><transactionCode>P</transactionCode></transactionCoding><transactionAmounts>"),
+                  v("transactionShares", F.col("l_quantity").cast("string")), v("transactionPricePerShare", F.lit("2.5")), v("transactionAcquiredDisposedCode", side),
+                  F.lit("</transactionAmounts><postTransactionAmounts>"), v("sharesOwnedFollowingTransaction", F.lit("50000")), F.lit("</postTransactionAmounts></nonDerivativeTransaction>"))
     doc = li.groupBy("l_orderkey", "l_suppkey").agg(F.array_join(F.array_agg(tx), "").alias("t"))
-    doc = doc.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("<ownershipDocument><issuer><issuerTradingSymbol>"), F.col("l_suppkey"), F.lit(
-        "</issuerTradingSymbol></issuer><owner><name>x</name><isDirector>1</isDirector></owner><table>"), F.col("t"), F.lit("</table></ownershipDocument>")).alias("xml"))
+    head = ("</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>A Person</rptOwnerName></reportingOwnerId><reportingOwnerRelationship><isDirector>1</isDirector>"
+            "<isOfficer>true</isOfficer><officerTitle>Treasurer</officerTitle></reportingOwnerRelationship></reportingOwner><nonDerivativeTable>")
+    doc = doc.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("<ownershipDocument><issuer><issuerTradingSymbol>"), F.col("l_suppkey"), F.lit(head), F.col("t"), F.lit("</nonDerivativeTable></ownershipDocument>")).alias("xml"))
     r = R.form4_xml(doc)
     return r.groupBy("doc_id", F.col("symbol").cast("bigint").alias("symbol"), day("date").alias("date"), rnd("shares", 2).alias("shares")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -121,7 +129,9 @@ def company_facts(spark, d):
     f = B.fundamentals(spark, d)
     e = lambda v, cond: F.filter(F.array_agg(F.when(cond, F.struct(F.col("period_end").alias("start"), F.col("period_end").alias("end"), F.col(v).alias("val"), F.col("available_at").alias("filed")))), lambda z: z.isNotNull())
     g = f.groupBy("symbol").agg(e("revenue", F.lit(True)).alias("r"), e("income", F.col("income") > 100000).alias("i"))
-    docs = g.select(F.col("symbol").alias("cik"), F.to_json(F.create_map(F.lit("Revenue"), F.create_map(F.lit("USD"), F.col("r")), F.lit("Income"), F.create_map(F.lit("USD"), F.col("i")))).alias("facts"))
+    node = lambda unit, x: F.struct(F.create_map(F.lit(unit), F.col(x)).alias("units"))
+    gaap = F.create_map(F.lit("Revenue"), node("USD", "r"), F.lit("Income"), node("USD/shares", "i"))
+    docs = g.select(F.col("symbol").alias("cik"), F.to_json(F.struct(F.struct(gaap.alias("us-gaap")).alias("facts"))).alias("facts"))
     r = R.facts(docs, ["Income", "Revenue"])
     return r.select("cik", day("end").alias("end"), "tag", rnd("val", 2).alias("val"))
 

@@ -19,8 +19,15 @@ PREDICTIONS = ("id BIGINT, symbol STRING, horizon INT, created_at TIMESTAMP, tar
                  "contributions MAP<STRING,DOUBLE>")
 DECISIONS = ("id BIGINT, created_at TIMESTAMP, symbol STRING, as_of DATE, kind STRING, decision STRING, size_multiplier DOUBLE, risks ARRAY<STRING>")
 TRIGGERS = ("trigger_id BIGINT, symbol STRING, kind STRING, level DOUBLE")
-CHART_PAYLOAD = ("symbol STRING, timestamp ARRAY<BIGINT>, open ARRAY<DOUBLE>, high ARRAY<DOUBLE>, low ARRAY<DOUBLE>, close ARRAY<DOUBLE>, "
-                   "adjclose ARRAY<DOUBLE>, volume ARRAY<DOUBLE>")
+CHART_PAYLOAD = ("chart STRUCT<result: ARRAY<STRUCT<meta: STRUCT<symbol: STRING, exchangeTimezoneName: STRING>, timestamp: ARRAY<BIGINT>, indicators: STRUCT<"
+                 "quote: ARRAY<STRUCT<open: ARRAY<DOUBLE>, high: ARRAY<DOUBLE>, low: ARRAY<DOUBLE>, close: ARRAY<DOUBLE>, volume: ARRAY<DOUBLE>>>, adjclose: ARRAY<STRUCT<adjclose: ARRAY<DOUBLE>>>>>>>")
+_V = "STRUCT<value: {}>".format
+OWNERSHIP = ("issuer STRUCT<issuerTradingSymbol: STRING>, reportingOwner ARRAY<STRUCT<reportingOwnerId: STRUCT<rptOwnerName: STRING>, "
+             "reportingOwnerRelationship: STRUCT<isDirector: STRING, isOfficer: STRING, isTenPercentOwner: STRING, officerTitle: STRING>>>, "
+             f"nonDerivativeTable STRUCT<nonDerivativeTransaction: ARRAY<STRUCT<transactionDate: {_V('STRING')}, transactionCoding: STRUCT<transactionCode: STRING>, "
+             f"transactionAmounts: STRUCT<transactionShares: {_V('DOUBLE')}, transactionPricePerShare: {_V('DOUBLE')}, transactionAcquiredDisposedCode: {_V('STRING')}>, "
+             f"postTransactionAmounts: STRUCT<sharesOwnedFollowingTransaction: {_V('DOUBLE')}>>>>")
+COMPANY_FACTS = ("facts STRUCT<`us-gaap`: MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<start: DATE, end: DATE, val: DOUBLE, accn: STRING, fy: INT, fp: STRING, form: STRING, filed: DATE, frame: STRING>>>>>>")
 PAGED_BARS = ("symbol STRING, next_page STRING, bars ARRAY<STRUCT<t:DATE,o:DOUBLE,h:DOUBLE,l:DOUBLE,c:DOUBLE,v:DOUBLE>>")
 EXPERIMENT = ("phase STRING, component STRING, variant STRING, params MAP<STRING,STRING>, segment STRING, metrics MAP<STRING,DOUBLE>")
 

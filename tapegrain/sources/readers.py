@@ -36,13 +36,18 @@ def paged_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chart_bars(payloads: DataFrame, col: str = "payload") -> DataFrame:
-    """Chart JSON with parallel arrays: prices scaled by adjclose / close, bad bars dropped, last row per day."""
-    d = payloads.select(F.from_json(col, SC.CHART_PAYLOAD).alias("p")).select("p.*")
-    z = d.select("symbol", F.posexplode(F.arrays_zip("timestamp", "open", "high", "low", "close", "adjclose", "volume")).alias("i", "z")).select("symbol", "i", "z.*")
-    z = sane(z.withColumn("session", F.to_date(F.timestamp_seconds("timestamp"))))
-    f = F.coalesce(F.col("adjclose") / F.col("close"), F.lit(1.0))
-    z = keep_first(z.withColumn("_f", f), ["symbol", "session"], [F.desc("i")])
-    return z.select("symbol", "session", *[(F.col(x) * F.col("_f")).alias(x) for x in ("open", "high", "low", "close")], "volume")
+    """Chart JSON with parallel arrays: prices scaled by adjclose / close, bad bars dropped, last row per day
+    of the exchange's own time zone."""
+    r = F.from_json(col, SC.CHART_PAYLOAD)["chart"]["result"]
+    d = payloads.select(F.get(r, F.lit(0)).alias("r")).where("r.timestamp is not null")
+    q, adj = F.get(F.col("r.indicators.quote"), F.lit(0)), F.get(F.col("r.indicators.adjclose"), F.lit(0))["adjclose"]
+    arrays = [F.col("r.timestamp").alias("t"), *[q[x].alias(x) for x in ("open", "high", "low", "close", "volume")], adj.alias("adj")]
+    d = d.select(F.col("r.meta.symbol").alias("symbol"), F.coalesce("r.meta.exchangeTimezoneName", F.lit("UTC")).alias("zone"), adj.isNotNull().alias("adjusted"), *arrays)
+    z = d.select("symbol", "zone", "adjusted", F.posexplode(F.arrays_zip("t", "open", "high", "low", "close", "volume", "adj")).alias("i", "z")).select("symbol", "zone", "adjusted", "i", "z.*")
+    f = F.when(F.col("adjusted"), F.col("adj") / F.col("close")).otherwise(1.0)
+    z = z.withColumn("_f", f).withColumns({x: F.col(x) * F.col("_f") for x in ("open", "high", "low", "close")})
+    z = sane(z.withColumn("session", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("t"), F.col("zone")))))
+    return keep_first(z, ["symbol", "session"], [F.desc("i")]).select("symbol", "session", "open", "high", "low", "close", "volume")
 
 
 def sane(bars: DataFrame) -> DataFrame:
@@ -151,26 +156,32 @@ def qualifying_purchases(tx: DataFrame) -> DataFrame:
     return tx.where((F.col("code") == "P") & (F.col("acq_disp") == "A") & role & ~planned & (F.col("value") > 0) & (F.col("price") > 0))
 
 
-FORM4_SCHEMA = ("issuer STRUCT<issuerTradingSymbol: STRING>, owner STRUCT<name: STRING, isDirector: STRING, isOfficer: STRING, isTenPercentOwner: STRING>, "
-                "table STRUCT<tx: ARRAY<STRUCT<date: STRING, code: STRING, shares: DOUBLE, price: DOUBLE, adc: STRING>>>")
-
-
 def form4_xml(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """Ownership reports in XML to one row per transaction; disposals carry a negative sign."""
-    d = docs.withColumn("_f", F.from_xml(F.col(xml), FORM4_SCHEMA))
-    t = d.select("doc_id", F.col("_f.issuer.issuerTradingSymbol").alias("symbol"), F.col("_f.owner").alias("o"), F.explode("_f.table.tx").alias("t"))
-    title = F.array_compact(F.array(*[F.when(F.col(f"o.{c}") == "1", n) for c, n in (("isDirector", "director"), ("isOfficer", "officer"), ("isTenPercentOwner", "ten_percent"))]))
-    sign = F.when(F.col("t.adc") == "A", 1.0).otherwise(-1.0)
-    return t.select("doc_id", "symbol", F.col("o.name").alias("owner"), title.alias("titles"), F.to_date("t.date").alias("date"), F.col("t.code").alias("code"),
-                    (sign * F.col("t.shares")).alias("shares"), F.col("t.price").alias("price"), (sign * F.col("t.shares") * F.col("t.price")).alias("value"))
-
-
-def facts(docs: DataFrame, tags: list[str], unit: str = "USD", col: str = "facts") -> DataFrame:
-    """Company facts (tag -> unit -> entries): synonymous tags in order of preference, first-filed value per period."""
-    d = docs.select("cik", F.from_json(col, "map<string,map<string,array<struct<start:date,end:date,val:double,filed:date>>>>").alias("m"))
-    e = d.select("cik", F.explode("m").alias("tag", "units")).where(F.col("tag").isin(*tags)).select("cik", "tag", F.explode(F.col("units")[unit]).alias("z")).select("cik", "tag", "z.*")
+    """Ownership reports in XML to one row per transaction of the first owner; disposals carry a negative sign."""
+    d = docs.withColumn("_f", F.from_xml(F.col(xml), SC.OWNERSHIP)).withColumn("_o", F.get("_f.reportingOwner", F.lit(0)))
+    t = d.select("doc_id", F.col("_f.issuer.issuerTradingSymbol").alias("symbol"), F.trim("_o.reportingOwnerId.rptOwnerName").alias("owner"), F.col("_o.reportingOwnerRelationship").alias("rel"),
+                 F.explode("_f.nonDerivativeTable.nonDerivativeTransaction").alias("t"))
+    yes = lambda x: F.trim(f"rel.{x}").isin("1", "true")
+    title = F.array_compact(F.array(F.when(yes("isDirector"), "Director"), F.when(yes("isOfficer"), F.coalesce(F.trim("rel.officerTitle"), F.lit("Officer"))), F.when(yes("isTenPercentOwner"), "10% holder")))
+    sign = F.when(F.col("t.transactionAmounts.transactionAcquiredDisposedCode.value") == "A", 1.0).otherwise(-1.0)
+    shares, price = (F.coalesce(f"t.transactionAmounts.{x}.value", F.lit(0.0)) for x in ("transactionShares", "transactionPricePerShare"))
+    return t.select("doc_id", "symbol", "owner", title.alias("titles"), F.to_date("t.transactionDate.value").alias("date"), F.col("t.transactionCoding.transactionCode").alias("code"),
+                    (sign * shares).alias("shares"), price.alias("price"), (sign * shares * price).alias("value"),
+                    F.coalesce("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value", F.lit(0.0)).alias("shares_owned_after"))
+
+
+# Units of a figure in order of preference (fixed values).
+UNITS = ("USD", "USD/shares", "shares", "USDperShares", "pure")
+
+
+def facts(docs: DataFrame, tags: list[str], col: str = "facts") -> DataFrame:
+    """Company facts to one row per period: synonymous tags in order of preference, first-filed value, the
+    preferred unit there is."""
+    d = docs.select("cik", F.explode(F.from_json(col, SC.COMPANY_FACTS)["facts"]["us-gaap"]).alias("tag", "node")).where(F.col("tag").isin(*tags))
+    held = F.coalesce(*[F.col("node.units")[u] for u in UNITS], F.get(F.filter(F.map_values("node.units"), lambda a: F.size(a) > 0), F.lit(0)))
+    e = d.select("cik", "tag", F.explode(held).alias("z")).select("cik", "tag", "z.*")
     rank = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag"))
-    g = e.groupBy("cik", "start", "end").agg(F.min_by(F.struct("tag", "val", "filed"), F.struct(rank, "filed")).alias("z"))
+    g = e.groupBy("cik", "start", "end").agg(F.min_by(F.struct("tag", "val", "filed", "fp", "form", "frame"), F.struct(rank, "filed")).alias("z"))
     return g.select("cik", "start", "end", "z.*")
 
 

@@ -247,3 +247,22 @@ def test_walk_forward_and_liquidity_have_no_nested_loop(spark):
     w = S.walk_forward(e, f, "day", "out")
     assert "NestedLoop" not in w._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.fold, r.role) for r in w.collect()) == [(1999, "test"), (2001, "test"), (2001, "train")]
+
+
+def test_vendor_documents_in_their_own_nesting(spark):
+    xml = ("<ownershipDocument><issuer><issuerTradingSymbol>ABC</issuerTradingSymbol></issuer><reportingOwner><reportingOwnerId><rptOwnerName>Doe J</rptOwnerName></reportingOwnerId>"
+           "<reportingOwnerRelationship><isDirector>0</isDirector><isOfficer>1</isOfficer><isTenPercentOwner>true</isTenPercentOwner><officerTitle>Chief Cook</officerTitle></reportingOwnerRelationship></reportingOwner>"
+           "<nonDerivativeTable><nonDerivativeTransaction><transactionDate><value>2025-10-01</value></transactionDate><transactionCoding><transactionCode>S</transactionCode></transactionCoding>"
+           "<transactionAmounts><transactionShares><value>100</value></transactionShares><transactionPricePerShare><value>2.5</value></transactionPricePerShare>"
+           "<transactionAcquiredDisposedCode><value>D</value></transactionAcquiredDisposedCode></transactionAmounts>"
+           "<postTransactionAmounts><sharesOwnedFollowingTransaction><value>400</value></sharesOwnedFollowingTransaction></postTransactionAmounts></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>")
+    r = R.form4_xml(spark.createDataFrame([(1, xml)], "doc_id int, xml string")).first()
+    assert (r.symbol, r.owner, r.titles, str(r.date), r.code, r.shares, r.value, r.shares_owned_after) == ("ABC", "Doe J", ["Chief Cook", "10% holder"], "2025-10-01", "S", -100.0, -250.0, 400.0)
+    chart = ('{"chart":{"result":[{"meta":{"symbol":"X","exchangeTimezoneName":"Asia/Tokyo"},"timestamp":[1700000000,1700000100,1700100000],"indicators":{"quote":[{"open":[1,2,null],"high":[1,4,5],"low":[1,2,3],'
+             '"close":[1,4,5],"volume":[5,null,7]}],"adjclose":[{"adjclose":[1,2,5]}]}}],"error":null}}')
+    b = R.chart_bars(spark.createDataFrame([(chart,), ('{"chart":{"result":null}}',)], "payload string")).collect()
+    assert [(x.symbol, str(x.session), x.open, x.close, x.volume) for x in b] == [("X", "2023-11-15", 1.0, 2.0, 0.0)]
+    facts = ('{"facts":{"us-gaap":{"Old":{"units":{"USD":[{"start":"2020-01-01","end":"2020-03-31","val":1,"filed":"2020-05-01","fp":"Q1","form":"10-Q"},{"start":"2020-01-01","end":"2020-03-31","val":9,"filed":"2021-05-01"}]}},'
+             '"New":{"units":{"shares":[{"start":"2020-04-01","end":"2020-06-30","val":3,"filed":"2020-08-01","frame":"CY2020Q2"}]}}}}}')
+    f = sorted((str(x.end), x.tag, x.val, x.fp, x.frame) for x in R.facts(spark.createDataFrame([(7, facts)], "cik int, facts string"), ["New", "Old"]).collect())
+    assert f == [("2020-03-31", "Old", 1.0, "Q1", None), ("2020-06-30", "New", 3.0, None, "CY2020Q2")]
