@@ -158,6 +158,17 @@ def composite(panel: DataFrame, weights: dict[str, float], bound: int | None = N
     return d.withColumn("score", F.when(F.col(mask), score)).drop(*[f"_in_{n}" for n in weights])
 
 
+def last_covered(panel: DataFrame, mask: str = "tradeable", min_coverage: float = 0.8) -> DataFrame:
+    """The rows of the last session on which at least 80 % of the best count of tradeable names trade.
+
+    The date comes from counts alone, so a ranking that needs one date does not rank the others.
+    """
+    cov = panel.groupBy("session").agg(F.count(F.when(F.col(mask), 1)).alias("n"))  # one row per session
+    best = cov.agg(F.max("n").alias("best"))
+    asof = cov.join(F.broadcast(best)).where(F.col("n") >= min_coverage * F.col("best")).agg(F.max("session").alias("session"))
+    return panel.join(F.broadcast(asof), "session")
+
+
 def rank_universe(scored: DataFrame, top: int, bottom: int, min_coverage: float = 0.8) -> DataFrame:
     """Best and worst names on the last session that at least 80 % of the best coverage has.
 

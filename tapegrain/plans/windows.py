@@ -9,6 +9,7 @@ from tapegrain import bindings as B
 from tapegrain.functions import indicators as I
 from tapegrain.operators import factors as X
 from tapegrain.operators.kernels import by_time, full, rank_in_group, trailing
+from tapegrain.session import materialize
 from tapegrain.plans.catalog import day, ds, query, rnd, rs
 
 WS = "PARTITION BY symbol ORDER BY session"
@@ -297,7 +298,9 @@ def composite(spark, d):
  CAST(CASE WHEN rn <= 10 THEN rn ELSE rb END AS INTEGER) AS place, {rs('100.0 * (1 - (rn - 1.0) / greatest(n - 1, 1))', 1)} AS percentile
  FROM r WHERE rn <= 10 OR rb <= 5""")
 def rank_universe(spark, d):
-    r = X.rank_universe(composite_panel(spark, d), top=10, bottom=5)
+    f = X.panel_factors(B.daily_bars(spark, d), B.market_bars(spark, d), B.sectors(spark, d), 10_000.0, bound(spark, d))
+    f = materialize(f.select("symbol", "session", "tradeable", *X.MOMENTUM_WEIGHTS), "panel")  # read by the counts and by the ranks
+    r = X.rank_universe(X.composite(X.last_covered(f), X.MOMENTUM_WEIGHTS, bound(spark, d)), top=10, bottom=5)
     return r.select("symbol", day().alias("session"), rnd("score", 6).alias("score"), "side", "place",
                     rnd("percentile", 1).alias("percentile"))
 
