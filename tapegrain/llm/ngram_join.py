@@ -11,7 +11,8 @@ them. Members of a signature are compared with its hub, the member that shares m
 star). Where single tokens still leave more than ``CROWD`` components together, they move to the frequent class and their documents are indexed
 again: two documents that met in other signatures too have been compared there. Pairs of different
 components that are left in a signature are compared unless their parity bitmaps prove them apart (each
-token flips one of 512 bits, so the bitmaps differ in at most as many bits as the sets in tokens).
+token flips one bit, so the bitmaps differ in at most as many bits as the sets in tokens): 512 bits in the
+join, then maps as wide as the sets ask for, before whole sets are fetched.
 
 Frequent tokens are broadcast: tokens above 1/MAX_FREQUENT of all occurrences, hence at most MAX_FREQUENT.
 Null and empty texts have no set and no links. Equal sets link also where the id is null; a null id is
@@ -83,6 +84,33 @@ def bitmaps(token: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
 
 
+def wide_bitmaps(token: np.ndarray, first: np.ndarray) -> pa.Array:
+    """As ``bitmaps``, each as wide as its set asks for: a power of two, four to eight bits a token."""
+    n = np.diff(first)
+    width = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64), 64)
+    edge = np.concatenate(([0], np.cumsum(width)))
+    at = np.repeat(edge[:-1], n) + (token & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(edge[-1])) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((edge // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def _may_link(percent: int):
+    """Pairs whose wide bitmaps differ in no more bits than the threshold lets the sets differ in tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y, n) in enumerate(zip(batch.column("x"), batch.column("y"), batch.column("both").to_pylist())):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                if len(x) < len(y):
+                    x, y = y, x
+                while len(x) > len(y):  # the narrower map is the wider one folded
+                    x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                if (100 + percent) * int(np.bitwise_count(x ^ y).sum()) <= (100 - percent) * n:
+                    keep.append(i)
+            yield batch.select(["a", "a1", "a2", "b", "b1", "b2"]).take(pa.array(keep, pa.int64()))
+    return run
+
+
 def _describe(k: int):
     def seen_often(held: list[np.ndarray]) -> pa.RecordBatch:
         whole = np.concatenate(held)
@@ -90,7 +118,7 @@ def _describe(k: int):
         often = seen >= OFTEN
         t, seen = np.append(t[often].astype(np.int64), -1), np.append(seen[often], len(whole))
         none = pa.nulls(len(t), pa.int64())
-        return pa.record_batch({c: none for c in ("doc_id", "n", "c1", "c2", *_MAPS)} | {"token": pa.array(t), "seen": pa.array(seen, pa.int64())})
+        return pa.record_batch({c: none for c in ("doc_id", "n", "c1", "c2", *_MAPS)} | {"wide": pa.nulls(len(t), pa.binary()), "token": pa.array(t), "seen": pa.array(seen, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document; rows for repeated tokens, and under token -1 the number of tokens."""
@@ -100,7 +128,7 @@ def _describe(k: int):
             c1, c2 = fingerprints(token, first)
             maps = bitmaps(token, first)
             none = pa.nulls(part.num_rows, pa.int64())
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n": pa.array(np.diff(first), pa.int64()), "c1": pa.array(c1), "c2": pa.array(c2)} | {m: pa.array(maps[:, i]) for i, m in enumerate(_MAPS)} | {"token": none, "seen": none})
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "n": pa.array(np.diff(first), pa.int64()), "c1": pa.array(c1), "c2": pa.array(c2)} | {m: pa.array(maps[:, i]) for i, m in enumerate(_MAPS)} | {"wide": wide_bitmaps(token, first), "token": none, "seen": none})
             held.append(token)
             size += len(token)
             if size >= COUNTED:
@@ -238,9 +266,9 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Dat
     """(documents with their class, links between representatives of classes, components of those)."""
     spark = docs.sparkSession
     maps = ", ".join(f"{m} long" for m in _MAPS)
-    facts = materialize(docs.select("doc_id", "text").mapInArrow(_describe(k), f"doc_id long, n long, c1 long, c2 long, {maps}, token long, seen long"), "sets")
+    facts = materialize(docs.select("doc_id", "text").mapInArrow(_describe(k), f"doc_id long, n long, c1 long, c2 long, {maps}, wide binary, token long, seen long"), "sets")
     own = facts.where("n is not null").select("doc_id", "n", "c1", "c2")
-    classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_MAPS)]).where("rep is not null")
+    classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_MAPS, "wide")]).where("rep is not null")
     classes = materialize(classes, "classes")
     seen = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("n"))
     total = seen.where("token = -1").agg(F.sum("n")).first()[0] or 0
@@ -308,7 +336,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Dat
     # what is left: pairs of different components that meet in a signature, as narrow rows
     left = [labelled(m.join(sigs, "sig", "left_semi")).select(F.xxhash64("sig", F.lit(i)).alias("s"), "c1", "c2", "rep", F.col("n").cast("int").alias("n"), "comp") for i, (m, sigs) in enumerate(groups)]
     left = left[0] if len(left) == 1 else left[0].unionByName(left[1])
-    left = left.join(classes.drop("n", "rep"), ["c1", "c2"]).select("s", "rep", "n", "comp", *_MAPS)
+    left = left.join(classes.select("c1", "c2", *_MAPS), ["c1", "c2"]).select("s", "rep", "n", "comp", *_MAPS)
     left = materialize(left, "left")
     a = left.toDF("s", *[f"{c}_a" for c in left.columns[1:]])
     b = left.toDF("s", *[f"{c}_b" for c in left.columns[1:]])
@@ -316,8 +344,9 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Dat
     # J >= p / 100 means that the sets differ in at most (100 - p) / (100 + p) of the sum of their sizes
     may = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     met = a.join(b, "s").where((F.col("comp_a") < F.col("comp_b")) & near & may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    x, y = (classes.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}1"), F.col("c2").alias(f"{t}2")) for t in "ab")
-    compare(materialize(met, "met").join(x, "a").join(y, "b"))
+    x, y = (classes.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}1"), F.col("c2").alias(f"{t}2"), F.col("wide").alias(w), F.col("n").alias(f"n_{t}")) for t, w in (("a", "x"), ("b", "y")))
+    seen_ = materialize(met, "met").join(x, "a").join(y, "b").select("a", "a1", "a2", "b", "b1", "b2", "x", "y", (F.col("n_a") + F.col("n_b")).alias("both"))
+    compare(seen_.mapInArrow(_may_link(percent), "a long, a1 long, a2 long, b long, b1 long, b2 long"))
     return own, links, label
 
 
