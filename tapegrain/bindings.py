@@ -12,19 +12,11 @@ from pyspark.sql import functions as F
 
 from tapegrain.session import prepare
 
-# Tables of at most this many rows may be broadcast (about 100 bytes a row).
-BROADCAST_ROWS = 200_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a count proves the side small; otherwise leave the join to AQE."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def symbol_bound(spark: SparkSession, sf_dir: str) -> int:
     """Proven limit of rows per session in a symbol panel: the number of suppliers."""
     return table(spark, sf_dir, "supplier").count()

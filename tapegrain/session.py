@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tapegrain", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
@@ -22,6 +22,8 @@ def build_session(app: str = "tapegrain", master: str | None = None,
         if master.startswith("local"):  # small test data: keep window work on all threads
             b = (b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
                  .config("spark.driver.memory", "12g"))
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return prepare(b.getOrCreate())
@@ -46,19 +48,24 @@ _FALLBACK: dict[str, str] = {}  # application id -> folder, only where the sessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """This application's own folder in the one every executor can reach, named by ``spark.checkpoint.dir``.
 
     Only where that is unset in local mode (tests) a temporary folder is taken; a cluster must name one.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="tapegrain-")
-    return _FALLBACK[app]
+    found, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if app not in _FALLBACK:
+            _FALLBACK[app] = tempfile.mkdtemp(prefix="tapegrain-")
+        found = _FALLBACK[app]
+    return os.path.join(found, f"tapegrain-{app}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application wrote to its shared folder; call it when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:

@@ -8,11 +8,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from tapegrain.session import build_session
-    s = build_session("tests", "local[4]", 4)
+def spark(tmp_path_factory):
+    from tapegrain.session import build_session, clear
+    s = build_session("tests", "local[4]", 4, str(tmp_path_factory.mktemp("shared")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear(s)
     s.stop()
 
 
