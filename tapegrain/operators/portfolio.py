@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapegrain.operators.kernels import asof_join, by_time, so_far
+
 
 def dividends_received(tx: DataFrame, dividends: DataFrame) -> DataFrame:
     """Per-share amounts times the shares held on the ex-date (trades of that day included).
 
-    Trades are netted per (portfolio, symbol, day) before they meet the dividends.
+    Trades are netted per (portfolio, symbol, day). Shares stay the same from one trade day to the next, so a
+    stretch receives them times the difference of the symbol's cumulative amounts at its ends: one as-of
+    lookup per trade day, and no holder meets each ex-date.
     """
     signed = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
     t = tx.groupBy("portfolio", "symbol", F.col("session").alias("_d")).agg(F.sum(signed).alias("_q"))
-    own = t.groupBy("portfolio", "symbol").agg(F.min("_d").alias("_first"))
-    v = own.join(dividends, "symbol").where(F.col("ex_date") >= F.col("_first")).select(
-        "portfolio", "symbol", F.col("ex_date").alias("_d"), "amount")
-    u = t.withColumn("_k", F.lit(0)).unionByName(v.withColumn("_k", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("portfolio", "symbol").orderBy("_d", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_sh", F.sum("_q").over(w)).where((F.col("_k") == 1) & (F.col("_sh") > 0))
-    return u.groupBy("portfolio", "symbol").agg(F.sum(F.col("amount") * F.col("_sh")).alias("received"), F.count(F.lit(1)).alias("payments"))
+    per = dividends.groupBy("symbol", "ex_date").agg(F.sum("amount").alias("_a"), F.count(F.lit(1)).alias("_n"))
+    w = so_far(by_time("symbol", "ex_date"))
+    cum = per.select("symbol", "ex_date", F.sum("_a").over(w).alias("ca"), F.sum("_n").over(w).alias("cn"))
+    at = asof_join(t, cum, "symbol", "_d", "ex_date", {"ca": "_ca", "cn": "_cn"}, allow_equal=False, block="year(_t)").fillna(0, ["_ca", "_cn"])
+    whole = per.groupBy("symbol").agg(F.sum("_a").alias("_ta"), F.sum("_n").alias("_tn"))
+    h = by_time(["portfolio", "symbol"], "_d")
+    at = at.join(whole, "symbol").withColumns({"_sh": F.sum("_q").over(so_far(h)), "_na": F.coalesce(F.lead("_ca").over(h), F.col("_ta")), "_nn": F.coalesce(F.lead("_cn").over(h), F.col("_tn"))})
+    at = at.where(F.col("_sh") > 0)
+    g = at.groupBy("portfolio", "symbol").agg(F.sum(F.col("_sh") * (F.col("_na") - F.col("_ca"))).alias("received"), F.sum(F.col("_nn") - F.col("_cn")).alias("payments"))
+    return g.where("payments > 0")
 
 
 def average_cost(tx: DataFrame, keys=("portfolio", "symbol"), order=("session", "l_orderkey", "l_linenumber", "l_partkey")) -> DataFrame:
