@@ -265,8 +265,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their class, links between representatives of classes, components of those)."""
     spark = docs.sparkSession
-    maps = ", ".join(f"{m} long" for m in _MAPS)
-    facts = materialize(docs.select("doc_id", "text").mapInArrow(_describe(k), f"doc_id long, n long, c1 long, c2 long, {maps}, wide binary, token long, seen long"), "sets")
+    columns = ", ".join(f"{m} long" for m in _MAPS)
+    facts = materialize(docs.select("doc_id", "text").mapInArrow(_describe(k), f"doc_id long, n long, c1 long, c2 long, {columns}, wide binary, token long, seen long"), "sets")
     own = facts.where("n is not null").select("doc_id", "n", "c1", "c2")
     classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *_MAPS, "wide")]).where("rep is not null")
     classes = materialize(classes, "classes")
@@ -301,6 +301,9 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Dat
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         flat = pairs.select(*[F.col(f"{s}.{f}").alias(n + t) for s, n in (("p", "a"), ("q", "b")) for f, t in (("r", ""), ("1", "1"), ("2", "2"))])
+        x, y = (classes.select(F.col("c1").alias(f"{t}1"), F.col("c2").alias(f"{t}2"), F.col("wide").alias(w), F.col("n").alias(f"n_{t}")) for t, w in (("a", "x"), ("b", "y")))
+        maps = flat.join(x, ["a1", "a2"]).join(y, ["b1", "b2"]).select("a", "a1", "a2", "b", "b1", "b2", "x", "y", (F.col("n_a") + F.col("n_b")).alias("both"))
+        flat = materialize(maps.mapInArrow(_may_link(percent), "a long, a1 long, a2 long, b long, b1 long, b2 long"), "may-link")
         new = verified(docs, flat, k, percent)
         links = new if links is None else links.unionByName(new)
         if label is None or not new.isEmpty():
@@ -344,9 +347,8 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Dat
     # J >= p / 100 means that the sets differ in at most (100 - p) / (100 + p) of the sum of their sizes
     may = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     met = a.join(b, "s").where((F.col("comp_a") < F.col("comp_b")) & near & may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    x, y = (classes.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}1"), F.col("c2").alias(f"{t}2"), F.col("wide").alias(w), F.col("n").alias(f"n_{t}")) for t, w in (("a", "x"), ("b", "y")))
-    seen_ = materialize(met, "met").join(x, "a").join(y, "b").select("a", "a1", "a2", "b", "b1", "b2", "x", "y", (F.col("n_a") + F.col("n_b")).alias("both"))
-    compare(seen_.mapInArrow(_may_link(percent), "a long, a1 long, a2 long, b long, b1 long, b2 long"))
+    x, y = (classes.select(F.col("rep").alias(t), F.col("c1").alias(f"{t}1"), F.col("c2").alias(f"{t}2")) for t in "ab")
+    compare(met.join(x, "a").join(y, "b"))
     return own, links, label
 
 
