@@ -1,10 +1,11 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are lower-cased runs of letters and digits. First pass: in how many documents each n-gram of a test
-item occurs. Of every ``stride`` neighbouring n-grams of an item the rarest is a seed, so an edited copy
-keeps seeds anywhere in it, and an item that many documents hold keeps seeds too. Second pass: a seed
-found in a document marks a stretch of it, which is aligned with the item where it stands; nothing of the
-documents is shuffled. The share of the item that aligns, net of edits, is the score.
+Words are lower-cased runs of letters and digits. First pass: which n-grams of the test items occur in
+documents. Each of those is a seed, so a copy keeps a seed wherever SEED_WORDS words in a row are intact,
+whatever other copies hold. Second pass: a seed found in a document marks a stretch of it; overlapping
+stretches are one. A stretch that has enough of the item's words at all is aligned with the item where it
+stands; nothing of the documents is shuffled. The share of the item that aligns, net of edits, is the score.
+Copies without SEED_WORDS intact words in a row (an edit in each four words) have no seed and are not found.
 
 Items are broadcast in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words (a longer item is a
 block of its own), one after the other, so what is sent stays bounded for any benchmark.
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 from tapegrain.llm import textops as X
 from tapegrain.llm.common import only
 
-SEED_WORDS, STRIDE = 4, 4
+SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Score from which a document counts as holding the item: net aligned share of the item's words.
 THRESHOLD = 0.5
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
+#: Places of items that are worked out at once from the seeds of a slice.
+PLACES = 1 << 20
 MATCHES = "doc_id long, item_id long, score double, matched int, item_words int, begin long, finish long"
 
 
@@ -109,28 +112,65 @@ def _frequencies(grams: np.ndarray, n: int):
     return run
 
 
-def _search(words: list[np.ndarray], item_ids: list[int], seeds: np.ndarray, owner: list[list[tuple[int, int]]], n: int, threshold: float):
+def _merged(doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of a document and an item, overlapping ones as one."""
+    order = np.lexsort((lo, item, doc))
+    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+    group = np.ones(len(doc), bool)
+    group[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    step = int(hi.max(initial=0)) + 1
+    rank = (np.cumsum(group) - 1) * step
+    reach = np.maximum.accumulate(hi + rank) - rank  # furthest end so far in the group
+    new = group.copy()
+    new[1:] |= lo[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return doc[at], item[at], lo[at], np.maximum.reduceat(hi, at) if len(at) else hi
+
+
+def _stretches(doc: np.ndarray, at: np.ndarray, which: np.ndarray, owner: tuple[np.ndarray, np.ndarray, np.ndarray], sizes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Where items may stand, from the seeds found: spans of each (document, item)."""
+    begin, items, offsets = owner
+    count = np.diff(begin)[which]
+    done, parts = 0, []
+    ends = np.cumsum(count)
+    while done < len(which):
+        stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PLACES, side="right")))
+        own = slice(done, stop)
+        place = X.ranges(begin[:-1][which[own]], count[own])
+        d, p = np.repeat(doc[own], count[own]), np.repeat(at[own], count[own]) - offsets[place]
+        size = sizes[items[place]]
+        slack = size // 2 + 4
+        parts.append(_merged(d, items[place], np.maximum(first[d], p - slack), np.minimum(first[d + 1], p + size + slack)))
+        done = stop
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    if parts:
+        for d, item, lo, hi in zip(*(x.tolist() for x in _merged(*(np.concatenate(x) for x in zip(*parts))))):
+            out.setdefault((d, item), []).append((lo, hi))
+    return out
+
+
+def _may_hold(item: np.ndarray, text: np.ndarray, threshold: float) -> bool:
+    """Whether enough words of the item occur in the text at all; no alignment matches more of them."""
+    known = np.sort(text)
+    there = int((known[np.minimum(np.searchsorted(known, item), len(known) - 1)] == item).sum()) if len(known) else 0
+    return there / len(item) >= threshold
+
+
+def _search(words: list[np.ndarray], item_ids: list[int], seeds: np.ndarray, owner: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Grams(seeds)
+        lookup, sizes = Grams(seeds), np.array([len(w) for w in words], np.int64)
         for part in X.slices(batches):
             h, first = _loose_words(part.column("text"))
             at, doc = X.window_starts(first, n)
             where, which = lookup.find(X.windows(h, n)[at])
-            stretches: dict[tuple[int, int], list[list[int]]] = {}
-            for d, p, g in zip(doc[where].tolist(), at[where].tolist(), which.tolist()):
-                for item, offset in owner[g]:
-                    size = len(words[item])
-                    slack = size // 2 + 4
-                    lo, hi = max(int(first[d]), p - offset - slack), min(int(first[d + 1]), p - offset + size + slack)
-                    known = stretches.setdefault((d, item), [])
-                    if known and lo <= known[-1][1]:
-                        known[-1][1] = max(known[-1][1], hi)
-                    else:
-                        known.append([lo, hi])
+            stretches = _stretches(doc[where], at[where], which, owner, sizes, first)
             rows: list[list] = [[] for _ in range(7)]
             ids = part.column("doc_id").cast(pa.int64())
             for (d, item), spans in stretches.items():
                 size = len(words[item])
+                spans = [(lo, hi) for lo, hi in spans if _may_hold(words[item], h[lo:hi], threshold)]
+                if not spans:
+                    continue
                 best = max((align(words[item], h[lo:hi]) + (lo,) for lo, hi in spans), key=lambda x: (x[0], -x[4]))
                 share = best[0] / (MATCH * size)
                 if share >= threshold:
@@ -157,7 +197,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray]]
         yield ids, words
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, stride: int = STRIDE, threshold: float = THRESHOLD) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, matched, item_words, begin, finish) of documents that hold an item.
 
     score is the alignment's score over that of a whole copy; begin and finish are word positions in the text.
@@ -169,16 +209,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, stride:
         counts = source.select("text").mapInArrow(_frequencies(grams, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(len(grams), np.int64)
         df[counts.column("gram").to_numpy()] = counts.column("n").to_numpy()
-        owners: dict[int, list[tuple[int, int]]] = {}
-        for i, g in enumerate(of):
-            place = np.searchsorted(grams, g)
-            for at in range(0, len(g), stride):
-                k = at + int(df[place[at:at + stride]].argmin())
-                if df[place[k]]:
-                    owners.setdefault(int(place[k]), []).append((i, k))
-        order = sorted(owners)
-        seeds, owner = grams[order] if order else grams[:0], [owners[k] for k in order]
-        if order:
+        place = np.searchsorted(grams, np.concatenate(of)) if of else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(of)), [len(g) for g in of])
+        offset = X.ranges(np.zeros(len(of), np.int64), np.array([len(g) for g in of], np.int64))
+        live = np.flatnonzero(df[place] > 0)
+        live = live[np.argsort(place[live], kind="stable")]
+        order = np.flatnonzero(df)
+        seeds = grams[order]
+        owner = (np.searchsorted(place[live], np.append(order, len(grams))), item[live], offset[live])
+        if len(order):
             found = source.mapInArrow(_search(words, ids, seeds, owner, n, threshold), MATCHES)
             out = found if out is None else out.unionByName(found)
     if out is None:

@@ -165,3 +165,34 @@ def test_decontamination(spark, docs, rows, none):
     assert decontamination.matches(docs, bench.limit(0)).count() == 0 and decontamination.matches(none, bench).count() == 0
     left = decontamination.clean(docs, spark.createDataFrame([(1, rows[0][1])], "item_id long, text string"))
     assert left.columns == docs.columns and left.count() == sum(r[1] != rows[0][1] for r in rows)
+
+
+@pytest.mark.parametrize("every", [5, 6])
+@pytest.mark.parametrize("size", [20, 30, 60])
+def test_decontamination_of_edited_copies(spark, none, size, every):
+    """An edit in each 5 or 6 words, at any phase: alone in the corpus, and beside whole copies."""
+    w = [f"item{size}word{i}" for i in range(size)]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    copies = [(p, "lead in " + " ".join(f"x{i}" if i % every == p else x for i, x in enumerate(w)) + " tail") for p in range(every)]
+    for rows in ([copies[every - 1]], copies + [(90 + i, " ".join(w)) for i in range(3)]):
+        got = decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), bench).collect()
+        assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+
+
+def test_decontamination_spans():
+    """All seeds of a slice give the spans that a plain loop over them gives; the bound drops no match."""
+    rng = np.random.default_rng(3)
+    first, sizes = np.array([0, 300, 700]), np.array([20, 9])
+    begin, items, offsets = np.array([0, 2, 3, 5]), np.array([0, 1, 1, 0, 0]), np.array([2, 5, 0, 16, 7])
+    at = np.sort(rng.choice(690, 12, replace=False))
+    doc, which = (at >= 300).astype(int), rng.integers(0, 3, 12)
+    covered = {}
+    for d, p, g in zip(doc, at, which):
+        for j in range(begin[g], begin[g + 1]):
+            i, slack = items[j], sizes[items[j]] // 2 + 4
+            covered.setdefault((d, i), set()).update(range(max(first[d], p - offsets[j] - slack), min(first[d + 1], p - offsets[j] + sizes[i] + slack)))
+    got = decontamination._stretches(doc, at, which, (begin, items, offsets), sizes, first)
+    assert {k: {x for lo, hi in v for x in range(lo, hi)} for k, v in got.items()} == covered
+    for _ in range(200):
+        a, b = rng.integers(0, 9, rng.integers(1, 12)), rng.integers(0, 9, rng.integers(0, 25))
+        assert decontamination._may_hold(a, b, 0.5) or decontamination.align(a, b)[0] / (2 * len(a)) < 0.5
