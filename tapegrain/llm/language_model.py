@@ -6,10 +6,11 @@ level after level until one is missing. Keys are dealt to buckets by hash; a buc
 makes its own stretch of the filter, the stretches are put together and broadcast. Probabilities are
 Dirichlet-smoothed, P(w | h) = (c(h w) + PRIOR * P(w)) / (c(h) + PRIOR), all counts read from the filter.
 
-The filter has BITS_PER_KEY bits for each key and at most MAX_BITS, a proven bound for the broadcast.
-Where a corpus has more keys, each bucket leaves out the lowest levels as far as needed, as pruned models
-do: their probabilities then come from the smoothing. Counts, the base score, n_known and train_tokens
-are exact at any size; they never touch the filter.
+The filter has BITS_PER_KEY bits for each entry and grows with the keys; no level is left out. What is
+broadcast at once is bounded: a filter of more than MAX_BITS is read in blocks of neighbouring buckets of
+at most MAX_BITS (one bucket at least), a pass over the texts for each block, and the levels found are put
+together for each slice of texts. Scores do not depend on the number of blocks. The base score, n_known
+and train_tokens are exact; they never touch the filter.
 
 The base score needs the exact count of every token of every document. Slices of documents send each
 bucket their distinct tokens with the documents they occur in, packed; the bucket answers with a sum for
@@ -43,6 +44,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 LEVELS = 64
 PACKED = "bucket int, packed binary"
+PROBED = "slice long, block int, packed binary"
 ANSWER = "slice long, sums binary, known binary, ids binary, bucket int, stretch binary, n_bits long, v long, n long"
 
 
@@ -149,8 +151,12 @@ def _bit(h: np.ndarray, level: int, k: int, n_bits) -> np.ndarray:
     return ((x >> np.uint64(32)) * n_bits >> np.uint64(32)).astype(np.int64)
 
 
-def stretch(h: np.ndarray, level: np.ndarray, most: int) -> tuple[np.ndarray, int]:
-    """Bits of the keys of a bucket, each entered at all levels up to its own; ``most`` bits at most."""
+def stretch(h: np.ndarray, level: np.ndarray, most: int | None = None) -> tuple[np.ndarray, int]:
+    """Bits of the keys of a bucket, each entered at all levels up to its own.
+
+    With ``most``, the lowest levels are left out until that many bits do; scores never ask for it.
+    """
+    most = BITS_PER_KEY * int(level.sum()) + 64 if most is None else most
     hist = np.bincount(level, minlength=LEVELS)
     entries = np.cumsum((hist * np.arange(len(hist)))[::-1])[::-1]  # of the keys of a level and above
     least = next((k for k in range(1, LEVELS) if BITS_PER_KEY * entries[k] <= most), LEVELS)
@@ -166,17 +172,21 @@ def stretch(h: np.ndarray, level: np.ndarray, most: int) -> tuple[np.ndarray, in
 
 
 class Filter:
-    """The whole filter: stretches one after the other."""
+    """Stretches one after the other: of all buckets, or of neighbouring ones from ``low`` on of ``buckets``."""
 
-    def __init__(self, raw: np.ndarray, n_bits: list[int]):
-        self.raw = raw
+    def __init__(self, raw: np.ndarray, n_bits: list[int], low: int = 0, buckets: int | None = None):
+        self.raw, self.low, self.buckets = raw, low, buckets or len(n_bits)
         self.n_bits = np.array(n_bits, np.uint64)
         self.start = np.concatenate(([0], np.cumsum(n_bits)))[:-1].astype(np.int64)
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        """Expected counts of the keys, by probing level after level."""
+        """Expected counts of the keys."""
+        return COUNT_OF[self.level(h)]
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """Levels of the keys, by probing level after level; all of them lie in the filter's buckets."""
         out, at = np.zeros(len(h), np.int64), np.arange(len(h))
-        b = bucket_of(h, len(self.start))
+        b = bucket_of(h, self.buckets) - self.low
         for level in range(1, LEVELS):
             for k in range(HASHES):
                 pos = self.start[b] + _bit(h, level, k, self.n_bits[b])
@@ -185,7 +195,12 @@ class Filter:
             if not len(at):
                 break
             out[at] = level
-        return COUNT_OF[out]
+        return out
+
+    def own(self, h: np.ndarray) -> np.ndarray:
+        """Those of the ascending keys that lie in the filter's buckets."""
+        b = bucket_of(h, self.buckets)
+        return h[np.searchsorted(b, self.low):np.searchsorted(b, self.low + len(self.start))]
 
 
 def bigram_keys(key: np.ndarray) -> np.ndarray:
@@ -193,7 +208,7 @@ def bigram_keys(key: np.ndarray) -> np.ndarray:
     return key >> np.uint64(12) << np.uint64(12)
 
 
-def _count(buckets: int, max_bits: int):
+def _count(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         open_, bucket = zstandard.ZstdDecompressor(), group.column("bucket")[0].as_py()
         t_all, c_all, b_all, bc_all, slices, starts, ids = [], [], [], [], [], 0, []
@@ -228,7 +243,7 @@ def _count(buckets: int, max_bits: int):
         if starts:  # how many texts begin: partial counts of the START history, one entry in each home bucket
             rows.append((None, None, None, None, None, None, None, None, starts))
         keys, count = keys[count > 0], count[count > 0]
-        bits, n_bits = stretch(keys, levels(count), max_bits // buckets)
+        bits, n_bits = stretch(keys, levels(count))
         rows.append((None, None, None, None, bucket, bits.tobytes(), n_bits, int((c > 0).sum()), int(c.sum())))
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         names = [x.split()[0] for x in ANSWER.split(", ")]
@@ -250,45 +265,118 @@ def _add_up(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~valid), "text_key": np.frombuffer(own, np.int64, n, 9 * n), "n_tokens": np.frombuffer(own, np.int64, n, 17 * n), "log_sum": sums, "n_known": known})
 
 
+def _probabilities(column: pa.Array, count_of, n: int, v: int, starts: int) -> np.ndarray:
+    """Score of each text; ``count_of`` gives the expected counts of distinct tokens and of distinct bigrams."""
+    h, first = tokens(column)
+    key, _ = bigrams(h, first)
+    t, code = np.unique(h, return_inverse=True)
+    u, u_code = np.unique(key, return_inverse=True)
+    c, pairs = count_of(t, u)
+    single = ((c + ADD) / (n + ADD * (v + 1)))[code]
+    # the token before is the one at the place before, START at the first
+    c_before = np.empty(len(h))
+    c_before[1:] = c[code[:-1]]
+    c_before[first[:-1]] = starts
+    pair = np.minimum(pairs[u_code], c_before)
+    run = np.concatenate(([0.0], np.cumsum(np.log10((pair + PRIOR * single) / (c_before + PRIOR)))))
+    return run[first[1:]] - run[first[:-1]]
+
+
 def _score(filter_, n: int, v: int, starts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = filter_.value
         for part in X.slices(batches):
-            h, first = tokens(part.column("text"))
-            key, before = bigrams(h, first)
-            t, code = np.unique(h, return_inverse=True)
-            c = f.count(t)
-            whole = n + ADD * (v + 1)
-            single = ((c + ADD) / whole)[code]
-            # the token before is the one at the place before, START at the first
-            c_before = np.empty(len(h))
-            c_before[1:] = c[code[:-1]]
-            c_before[first[:-1]] = starts
-            u, u_code = np.unique(key, return_inverse=True)
-            pair = np.minimum(f.count(bigram_keys(u))[u_code], c_before)
-            p = np.log10((pair + PRIOR * single) / (c_before + PRIOR))
-            run_ = np.concatenate(([0.0], np.cumsum(p)))
-            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "text_key": text_keys(part.column("text")), "score": run_[first[1:]] - run_[first[:-1]]})
+            score = _probabilities(part.column("text"), lambda t, u: (f.count(t), f.count(bigram_keys(u))), n, v, starts)
+            yield pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "text_key": text_keys(part.column("text")), "score": score})
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of texts, each packed in a row."""
+    zip_, part_no = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+    for seq, part in enumerate(X.slices(batches)):
+        data = pa.record_batch({"doc_id": part.column("doc_id").cast(pa.int64()), "text": part.column("text").cast(pa.large_string())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, data.schema) as out:
+            out.write_batch(data)
+        yield pa.record_batch({"slice": pa.array([(part_no << 32) | seq], pa.int64()), "block": pa.array([-1], pa.int32()), "packed": pa.array([zip_.compress(sink.getvalue())], pa.binary())})
+
+
+def _texts(packed: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_next_batch()
+
+
+def _probe(filter_, block: int):
+    """Levels of each slice's distinct tokens and bigrams that lie in the filter's block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, zip_ = filter_.value, zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for number, packed in zip(batch.column("slice"), batch.column("packed")):
+                h, first = tokens(_texts(packed.as_py()).column("text"))
+                t, u = f.own(np.unique(h)), f.own(np.unique(bigrams(h, first)[0]))
+                found = _join(*(f.level(x).astype(np.uint8).tobytes() for x in (t, bigram_keys(u))))
+                yield pa.record_batch({"slice": pa.array([number.as_py()], pa.int64()), "block": pa.array([block], pa.int32()), "packed": pa.array([zip_.compress(found)], pa.binary())})
+                X.release()
+    return run
+
+
+def _score_slice(n: int, v: int, starts: int):
+    """Scores of the texts of a slice from its levels of all blocks, which follow each other as the keys do."""
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("block").to_pylist(), group.column("packed").to_pylist()))
+        part = _texts(rows[0][1])
+        found = [_split(zstandard.ZstdDecompressor().decompress(x)) for _, x in rows[1:]]
+        c, pairs = (COUNT_OF[np.frombuffer(b"".join(x[i] for x in found), np.uint8)] for i in (0, 1))
+        score = _probabilities(part.column("text"), lambda t, u: (c, pairs), n, v, starts)
+        return pa.table({"doc_id": part.column("doc_id"), "text_key": text_keys(part.column("text")), "score": score})
+    return run
+
+
+def blocks(n_bits: list[int], max_bits: int) -> list[tuple[int, int]]:
+    """Neighbouring buckets (low, high) of at most ``max_bits`` together; a larger bucket is a block of its own."""
+    out, total = [[0, 0]], 0
+    for k, bits in enumerate(n_bits):
+        if k > out[-1][0] and total + bits > max_bits:
+            out.append([k, k])
+            total = 0
+        out[-1][1] = k + 1
+        total += bits
+    return [tuple(x) for x in out]
+
+
 def score(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     source = docs.select("doc_id", "text", (crc_mod("doc_id", FOLDS) != 0).alias("train"))
-    answer = source.mapInArrow(_gather(buckets), PACKED).groupBy("bucket").applyInArrow(_count(buckets, max_bits), ANSWER)
+    answer = source.mapInArrow(_gather(buckets), PACKED).groupBy("bucket").applyInArrow(_count(buckets), ANSWER)
     answer = materialize(answer, "counts")
-    made = answer.where("stretch is not null").select("bucket", "stretch", "n_bits", "v", "n").orderBy("bucket").toArrow()
+    made = answer.where("stretch is not null").select("bucket", "n_bits", "v", "n").orderBy("bucket").toArrow()
     starts = answer.where("slice is null and stretch is null").agg(F.sum("n")).first()[0] or 0
     n, v = sum(made.column("n").to_pylist()), sum(made.column("v").to_pylist())
     base = answer.where("slice is not null").select("slice", "sums", "known", "ids").groupBy("slice").applyInArrow(_add_up, "doc_id long, text_key long, n_tokens long, log_sum double, n_known long")
     base = base.dropDuplicates(["doc_id", "text_key"])
     if not made.num_rows:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    filter_ = spark.sparkContext.broadcast(Filter(np.concatenate([X.text_buffer(c)[0] for c in made.column("stretch").chunks]), made.column("n_bits").to_pylist()))
-    del made
-    scored = source.select("doc_id", "text").mapInArrow(_score(filter_, n, v, starts), "doc_id long, text_key long, score double").alias("s")
+    n_bits, made_of = made.column("n_bits").to_pylist(), answer.where("stretch is not null").select("bucket", "stretch")
+
+    def part(low: int, high: int):
+        """Broadcast filter of the buckets from ``low`` to before ``high``."""
+        own = made_of.where(F.col("bucket").between(low, high - 1)).orderBy("bucket").select("stretch").toArrow().column("stretch")
+        return spark.sparkContext.broadcast(Filter(np.concatenate([X.text_buffer(c)[0] for c in own.chunks]), n_bits[low:high], low, buckets))
+
+    cut = blocks(n_bits, max_bits)
+    if len(cut) == 1:
+        scored = source.select("doc_id", "text").mapInArrow(_score(part(*cut[0]), n, v, starts), "doc_id long, text_key long, score double")
+    else:
+        cut_texts = materialize(source.select("doc_id", "text").mapInArrow(_cut, PROBED), "slices")
+        probed = cut_texts
+        for k, (low, high) in enumerate(cut):
+            filter_ = part(low, high)
+            probed = probed.unionByName(materialize(cut_texts.mapInArrow(_probe(filter_, k), PROBED), "levels"))
+            filter_.destroy()
+        scored = probed.groupBy("slice").applyInArrow(_score_slice(n, v, starts), "doc_id long, text_key long, score double")
+    scored = scored.alias("s")
     b = base.alias("b")
     both = scored.join(b, F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.text_key") == F.col("b.text_key")))
     whole = float(np.log10(n + ADD * (v + 1)))

@@ -51,6 +51,13 @@ def test_language_model(docs, rows, none):
     assert language_model.score(none).count() == 0
 
 
+def test_language_model_in_blocks(docs):
+    """A filter read in many blocks leaves nothing out: the same rows as from one block."""
+    whole, cut = (Counter(map(tuple, language_model.score(docs, bits).collect())) for bits in (1 << 31, 1 << 10))
+    assert cut == whole
+    assert language_model.blocks([5, 5, 9, 30, 2, 2], 10) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
 def test_filter_counts():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64))
