@@ -6,7 +6,7 @@ in common with that partner: single tokens of the rare class, and pairs of token
 for which the prefix is extended by one token (c tokens of a class of k-combinations survive the loss of
 c-k of them). Documents that meet in a signature are verified on their whole sets.
 
-No group is expanded into all its pairs. Documents with equal sets form a class, joined through one of
+Components come first, and for them no group is expanded into all its pairs. Documents with equal sets form a class, joined through one of
 them. Members of a signature are compared with its hub, the member that shares most of its signatures (a
 star). Where single tokens still leave more than ``CROWD`` components together, they move to the frequent class and their documents are indexed
 again: two documents that met in other signatures too have been compared there. Pairs of different
@@ -14,6 +14,10 @@ components that are left in a signature are compared unless their parity bitmaps
 token flips one bit, so the bitmaps differ in at most as many bits as the sets in tokens): 512 bits in the
 join, then maps as wide as the sets ask for, before whole sets are fetched.
 
+Links come from the components: every link lies inside one, so all pairs of classes of a component are
+compared on their whole sets, in tiles of two pieces of at most about PIECE sets and PIECE_TOKENS tokens.
+A tile gives the pairs that reach the threshold, or only how many each class has.
+
 Frequent tokens are broadcast: tokens above 1/MAX_FREQUENT of all occurrences, hence at most MAX_FREQUENT.
 Null and empty texts have no set and no links. Equal sets link also where the id is null; a null id is
 never a component id. Rows that share a doc_id link through it if either text does.
@@ -45,6 +49,10 @@ TINY = 8
 #: Sets up to this size index pairs of frequent tokens; larger ones single tokens throughout. Sets
 #: between SMALL and SMALL / threshold do both.
 SMALL = 256
+#: A piece of a component holds about so many sets, or tokens, at most.
+PIECE, PIECE_TOKENS = 256, 1 << 21
+#: Tokens of a tile that are compared at once.
+COLUMNS = 1 << 13
 _PAIR = np.uint64(1) << np.uint64(63)
 _LARGE = np.uint64(1) << np.uint64(62)
 
@@ -263,7 +271,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with their class, links between representatives of classes, components of those)."""
+    """(documents with their class, links enough to connect every group, components of the representatives)."""
     spark = docs.sparkSession
     columns = ", ".join(f"{m} long" for m in _MAPS)
     facts = materialize(docs.select("doc_id", "text").mapInArrow(_describe(k), f"doc_id long, n long, c1 long, c2 long, {columns}, wide binary, token long, seen long"), "sets")
@@ -352,30 +360,109 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[Dat
     return own, links, label
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class_size, links, component_id), a row for each row of ``docs``.
+def _tile_pairs(token: np.ndarray, first: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, the later sets that reach the threshold with it; sets are ascending distinct tokens."""
+    n, doc = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    _, code, seen = np.unique(token, return_inverse=True, return_counts=True)
+    shared = seen > 1
+    code, doc = code[shared[code]], doc[shared[code]]
+    code = (np.cumsum(shared) - 1)[code]
+    width = int(shared.sum())
+    both = np.zeros((len(n), len(n)), np.int32)
+    order = np.argsort(code, kind="stable")
+    code, doc = code[order], doc[order]
+    step = min(COLUMNS, -(-width // 64) * 64) or 64
+    for lo in range(0, width, step):
+        i, j = np.searchsorted(code, (lo, lo + step))
+        held = np.zeros((len(n), step), np.uint8)
+        held[doc[i:j], code[i:j] - lo] = 1
+        bits = np.packbits(held, axis=1).view(np.uint64)
+        for x in range(len(n) - 1):
+            both[x, x + 1:] += np.bitwise_count(bits[x + 1:] & bits[x]).sum(axis=1, dtype=np.int32)
+    for x in range(len(n) - 1):
+        m = both[x, x + 1:].astype(np.int64)
+        yield x, x + 1 + np.flatnonzero(100 * m >= percent * (n[x] + n[x + 1:] - m))
+
+
+def _compare_tile(percent: int, pairs: bool):
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        c1, c2, piece = (group.column(c).to_numpy() for c in ("c1", "c2", "piece"))
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("tokens").chunk(0)]
+        first = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        a, b = [], []
+        for x, ys in _tile_pairs(np.concatenate(raw), first, percent):
+            if p != q:
+                ys = ys[piece[ys] != piece[x]]
+            a.append(np.full(len(ys), x))
+            b.append(ys)
+        a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+        if pairs:
+            return pa.table({"a1": c1[a], "a2": c2[a], "b1": c1[b], "b2": c2[b]})
+        degree = np.bincount(np.concatenate((a, b)), minlength=len(c1))
+        some = np.flatnonzero(degree)
+        return pa.table({"c1": c1[some], "c2": c2[some], "links": degree[some]})
+    return run
 
-    links counts the other classes that the document's class was found linked with: enough to connect
-    every group, not all its pairs.
-    """
+
+def _all_links(docs: DataFrame, classes: DataFrame, k: int, percent: int, pairs: bool) -> DataFrame:
+    """Links of ``classes`` (c1, c2, rep, n, component_id): (a1, a2, b1, b2), or their number (c1, c2, links)."""
+    groups = classes.groupBy("component_id").agg(F.count("*").alias("m"), F.sum("n").alias("t")).where("m > 1")
+    pieces = F.ceil(F.greatest(F.col("m") / PIECE, F.col("t") / PIECE_TOKENS)).cast("int").alias("pieces")
+    member = materialize(classes.join(groups.select("component_id", pieces), "component_id").select("c1", "c2", "rep", "component_id", "pieces"), "grouped")
+    sets = only(docs.select("doc_id", "text"), member.select(F.col("rep").alias("doc_id"))).select("text").mapInArrow(_token_bytes(k), "c1 long, c2 long, tokens binary")
+    placed = member.withColumn("piece", F.pmod(F.xxhash64("c1", "c2"), F.col("pieces")).cast("int"))
+    held = materialize(sets.dropDuplicates(["c1", "c2"]).join(placed, ["c1", "c2"]), "held")
+    tiles = (held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+             .select("component_id", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "c1", "c2", "tokens"))
+    schema = "a1 long, a2 long, b1 long, b2 long" if pairs else "c1 long, c2 long, links long"
+    found = tiles.groupBy("component_id", "p", "q").applyInArrow(_compare_tile(percent, pairs), schema)
+    return found if pairs else found.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with their class, classes with representative and component)."""
     own, links, label = linked(docs, k, percent)
-    classes = own.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    classes = own.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"))
     # a doc_id given to several texts connects their classes
     repeated = materialize(own.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         bridge = own.where("n > 0").join(repeated, "doc_id").join(classes, ["c1", "c2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         label = components(links.unionByName(bridge))
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    classes = (classes.join(label, F.col("rep") == F.col("id"), "left").drop("id").join(degree, F.col("rep") == F.col("id"), "left")
-               .select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"), "size", F.coalesce("links", F.lit(0)).alias("links")))
-    linked_rows = own.where("n > 0").join(classes, ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("size").alias("class_size"), "links", "component_id")
+    classes = classes.join(label, F.col("rep") == F.col("id"), "left").select("c1", "c2", "rep", "n", "size", F.coalesce("component_id", "rep").alias("component_id"))
+    return own, materialize(classes, "components")
+
+
+def _rows(own: DataFrame, classes: DataFrame) -> DataFrame:
+    linked_rows = own.where("n > 0").join(classes.drop("n"), ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("size").alias("class_size"), "links", "component_id")
     alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"), F.col("doc_id").alias("component_id"))
     return linked_rows.unionByName(alone)
 
 
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, class_size, links, component_id), a row for each row of ``docs``.
+
+    links counts all other classes that reach the threshold with the document's class; classes of null ids
+    only have no links.
+    """
+    own, classes = _grouped(docs, k, percent)
+    degree = _all_links(docs, classes.where("rep is not null"), k, percent, False)
+    return _rows(own, classes.join(degree, ["c1", "c2"], "left").withColumn("links", F.coalesce("links", F.lit(0))))
+
+
+def similar_pairs(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """All links (a, b), a < b, between the representatives of classes (the smallest id of equal sets)."""
+    classes = _grouped(docs, k, percent)[1].where("rep is not null")
+    x, y = (classes.select(F.col("c1").alias(f"{t}1"), F.col("c2").alias(f"{t}2"), F.col("rep").alias(t)) for t in "xy")
+    found = _all_links(docs, classes, k, percent, True).toDF("x1", "x2", "y1", "y2").join(x, ["x1", "x2"]).join(y, ["y1", "y2"])
+    return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component; rows with a null id stay, repeated ids once."""
-    gone = near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id")
+    own, classes = _grouped(docs, k, percent)  # components are enough here
+    gone = own.where("n > 0").join(classes.select("c1", "c2", "component_id"), ["c1", "c2"]).where("doc_id <> component_id").select("doc_id")
     kept = only(docs, gone, "left_anti")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

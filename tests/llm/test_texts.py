@@ -107,6 +107,28 @@ def test_near_duplicates(docs, rows, k, percent):
     assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, k, percent)
 
 
+def test_all_links(spark, monkeypatch):
+    """Every pair of different texts that reaches the threshold is a link, also inside one component."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(40):  # edits of one text, some of them further apart than the threshold
+        w = list(base)
+        for at in rng.choice(90, rng.integers(0, 3), replace=False):
+            w[at] = f"x{rng.integers(4)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[3][1]), (101, "quite another text of its own words"), (102, None)]
+    sets = {i: frozenset(tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)) for i, t in rows if t}
+    rep = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    near = {(a, b) for s, a in rep.items() for t, b in rep.items() if a < b and 100 * len(s & t) >= 80 * len(s | t)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "PIECE", 8)
+    assert {tuple(r) for r in ngram_join.similar_pairs(docs).collect()} == near
+    got = {r["doc_id"]: r["links"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: sum(rep[sets[i]] in p for p in near) if i in sets else 0 for i, _ in rows}
+    assert len(near) > len(rep)
+
+
 def test_near_duplicates_none(none, docs):
     assert ngram_join.near_duplicates(none).count() == 0
     kept = ngram_join.keep_one(docs)
