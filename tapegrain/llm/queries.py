@@ -31,20 +31,25 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "class_size", "links")
 
 
-# shingle sets by hash; pairs from documents that share a shingle, each set size checked on the whole sets
+# shingle sets by hash; pairs from documents that share a shingle, each set size checked on the whole sets;
+# documents of equal sets are a class, and links are counted between classes
 OP1_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS ws FROM documents),
 s AS (SELECT doc_id, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)),
 u AS (SELECT DISTINCT doc_id, g FROM s),
-n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS cls FROM u GROUP BY doc_id),
+size AS (SELECT cls, count(*) AS class_size FROM n GROUP BY cls),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * m >= 80 * (nx.n + ny.n - m)),
-e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen)
-SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+l AS (SELECT x, y, nx.cls AS cx, ny.cls AS cy FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * m >= 80 * (nx.n + ny.n - m)),
+e AS (SELECT x, y, cx, cy FROM l UNION ALL SELECT y, x, cy, cx FROM l),
+k AS (SELECT cx, count(DISTINCT cy) AS links FROM e WHERE cx <> cy GROUP BY cx),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(class_size, 1) AS class_size, coalesce(links, 0) AS links
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN size ON size.cls = n.cls LEFT JOIN k ON k.cx = n.cls"""
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
