@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_ngram_join", "op5_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op5_substring_dedup", "op11_conversation_repair", "op12_chat_formatting"])
 def test_against_sql(spark, name):
     import check_queries as Q
     from tapegrain.llm import queries
