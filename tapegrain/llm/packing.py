@@ -3,8 +3,9 @@
 Texts are tokenized and cut where they are read. Only the number of pieces of each length decides how
 well they pack, and there are at most ``capacity`` lengths, so a branch-and-bound search over those
 counts plans all sequences: it takes the largest length left, lists the undominated fillings of the room
-beside it, and uses each filling as often as the counts allow. A search is cut where the sequences so far
-and the least number for the rest reach the best plan known; best fit gives the first such plan.
+beside it, of any number of pieces, least waste first, and uses each filling as often as the counts allow. A
+filling that wastes more than a better plan could afford is not tried, and a search is cut where the sequences so far and the
+least number for the rest reach the best plan known; best fit gives the first such plan.
 
 The plan becomes rank intervals of each length. Pieces get their rank within their length in Spark, by
 counts over (length, salt), so a length that holds a third of all rows is ranked by many tasks.
@@ -30,7 +31,8 @@ from tapegrain.llm.tokens import encode_closed, vocabulary_path
 CAPACITY, END_ID = 1024, 2
 #: Nodes of the search after the first plan; the best plan so far stands when they are used up.
 NODES = 5_000
-BRANCHES = 3
+#: Shares of the way from the lower bound to best fit whose tokens a plan may waste freely; -1 wastes none.
+GRID = (-1, 0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -51,6 +53,10 @@ def _pieces(path: str, capacity: int, end_id: int):
     return run
 
 
+#: A filling of at most STOWED pieces is compared with so many listed before it; where it is not, more are tried.
+DOMINANCE, STOWED = 16, 6
+
+
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """Whether the items of ``b`` can be stowed into bins of the sizes of ``a``."""
     def stow(room: list[int], rest: tuple[int, ...]) -> bool:
@@ -60,42 +66,53 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return stow(list(a), b)
 
 
-def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """The best undominated fillings of ``room`` with up to three more pieces, least waste first; () if none fits."""
-    sizes = np.flatnonzero(counts[:room + 1])
-    sizes = sizes[sizes > 0]
-    if not len(sizes):
-        return [()]
-    have = counts > 0
-    found: list[tuple[int, ...]] = [(int(sizes[-1]),)]
-
-    def best_pair(space: int, below: int) -> list[tuple[int, int]]:
-        a = sizes[(sizes <= below) & (sizes < space)]
-        if not len(a):
-            return []
-        b = np.minimum(space - a, a)
-        place = np.searchsorted(sizes, b, side="right") - 1
-        ok = place >= 0
-        a, b = a[ok], sizes[place[ok]]
-        ok = (a != b) | (counts[a] > 1)
-        a, b = a[ok], b[ok]
-        order = np.lexsort((-a, -(a + b)))[:most]
-        return [(int(a[i]), int(b[i])) for i in order]
-
-    if not have[room]:
-        found += best_pair(room, room)
-        if all(sum(f) < room for f in found):
-            for a in sizes[::-1][:256].tolist():
-                for x, y in best_pair(room - a, a)[:1]:
-                    used = (a, x, y)
-                    if all(used.count(v) <= counts[v] for v in used):
-                        found.append(used)
-    found.sort(key=lambda f: (room - sum(f), len(f), [-v for v in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in found[:8 * most]:
-        if not any(dominates(k, f) for k in kept):
-            kept.append(f)
-    return kept[:most]
+def reachable(sizes: list[int], most: list[int], room: int) -> list[int]:
+    """For each i a bit set of the sums up to ``room`` of pieces from sizes[i:], at most most[i] of a size."""
+    out, mask = [1], (1 << room + 1) - 1
+    for size, left in zip(reversed(sizes), reversed(most)):
+        sums, step = out[-1], 1
+        while left > 0:  # 1, 2, 4, ... pieces at once
+            n = min(step, left)
+            sums |= sums << n * size & mask
+            left, step = left - n, 2 * step
+        out.append(sums)
+    return out[::-1]
+
+
+def fillings(counts: np.ndarray, room: int, waste: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` with pieces of the counts, any number of them, the largest pieces first.
+
+    Listed are those that leave at most ``waste``, or else those that leave least. Larger pieces first: a filling can only
+    be dominated by one listed before. Steps after the first filling are taken from ``steps`` and end with them.
+    """
+    sizes = [int(x) for x in np.flatnonzero(counts[:room + 1])[::-1] if x > 0]
+    most = [min(int(counts[x]), room // x) for x in sizes]
+    sums = reachable(sizes, most, room)
+    waste = min(max(waste, room + 1 - sums[0].bit_length()), room)
+    listed: list[tuple[int, ...]] = []
+
+    def some(i: int, rest: int) -> bool:
+        """Whether sizes[i:] fill ``rest`` but for the waste."""
+        return rest >= 0 and sums[i] >> max(rest - waste, 0) & (1 << min(rest, waste) + 1) - 1 != 0
+
+    # depth first: which size next, how often, and the room that is left; the last pushed comes first
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    while stack:
+        i, rest, filling = stack.pop()
+        if listed:
+            steps[0] -= 1
+            if steps[0] < 0:
+                return
+        while i < len(sizes) and sizes[i] > rest:
+            i += 1
+        if i == len(sizes):
+            if len(filling) > STOWED or not any(len(f) <= STOWED and dominates(f, filling) for f in listed):
+                listed = [*listed, filling][-DOMINANCE:]
+                yield filling
+            continue
+        for n in range(min(most[i], rest // sizes[i]) + 1):
+            if some(i + 1, rest - n * sizes[i]):
+                stack.append((i + 1, rest - n * sizes[i], filling + (sizes[i],) * n))
 
 
 def least_bins(counts: np.ndarray, capacity: int) -> int:
@@ -143,46 +160,76 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [(p, n) for p, n in open_.items() if n]
 
 
-def plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how often each is used, for ``counts[length]`` pieces."""
-    counts = counts.astype(np.int64).copy()
-    best = best_fit(counts, capacity)
-    best_n = sum(n for _, n in best)
-    goal = least_bins(counts, capacity)
-    path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list[tuple[int, ...]]] = []
-    used, seen = 0, 0
-    budget = nodes + 4 * len(best)
+def _search(counts: np.ndarray, capacity: int, best_n: int, goal: int, free: int, budget: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, int]:
+    """A plan of fewer than ``best_n`` sequences, found within ``budget`` nodes, and how many it has; None without one.
+
+    Until ``free`` tokens are wasted, the largest pieces share sequences whatever that wastes; then fillings waste as little as they can.
+    """
+    counts, best = counts.copy(), None
+    mass, used, seen = int((counts * np.arange(len(counts))).sum()), 0, 0
+    path: list[tuple[tuple[int, ...], int, int]] = []
+    stack: list[Iterator[tuple[int, ...]]] = []
+    steps = [20 * budget]
     while best_n > goal and seen < budget:
-        left = np.flatnonzero(counts)
-        left = left[left > 0]
-        if not len(left):
-            if used < best_n:
-                best, best_n = list(path), used
-            options: list[tuple[int, ...]] = []
-        elif used + (least_bins(counts, capacity) if seen % 8 == 0 else -(-int((counts * np.arange(len(counts))).sum()) // capacity)) >= best_n:
-            options = []
-        else:
-            s = int(left[-1])
-            counts[s] -= 1
-            options = [(s, *f) for f in fillings(counts, capacity - s, BRANCHES)][::-1]
-            counts[s] += 1
+        spare = (best_n - 1 - used) * capacity - mass  # what a better plan can still waste
+        options: Iterator[tuple[int, ...]] = iter(())
+        if not mass:
+            best, best_n = [(f, n) for f, n, _ in path], used
+        elif spare >= 0 and (seen % 8 or used + least_bins(counts, capacity) < best_n):
+            s = int(np.flatnonzero(counts)[-1])
+            beside = counts.copy()
+            beside[s] -= 1
+            options = ((s, *f) for f in fillings(beside, capacity - s, min(free, spare), steps) if capacity - s - sum(f) <= spare)
         stack.append(options)
-        while stack and not stack[-1]:
+        f = next(stack[-1], None)
+        while f is None:
             stack.pop()
-            if path:
-                f, n = path.pop()
-                np.add.at(counts, list(f), n)
-                used -= n
-        if not stack:
-            break
-        f = stack[-1].pop()
+            if not stack:
+                return best, best_n
+            last, n, wasted = path.pop()
+            np.add.at(counts, list(last), n)
+            used, mass, free = used - n, mass + n * sum(last), free + wasted
+            f = next(stack[-1], None)
         size, times = np.unique(f, return_counts=True)
-        n = int((counts[size] // times).min())
+        n, waste = int((counts[size] // times).min()), capacity - sum(f)
+        if 0 < waste <= free:
+            n = min(n, free // waste)
+        wasted = min(free, n * waste)
         counts[size] -= n * times
-        path.append((f, n))
-        used += n
-        seen += 1
+        path.append((f, n, wasted))
+        used, mass, free, seen = used + n, mass - n * sum(f), free - wasted, seen + 1
+    return best, best_n
+
+
+def plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often each is used, for ``counts[length]`` pieces.
+
+    The tokens that a plan may waste on its largest pieces are those of a number of sequences between the bound and
+    the best plan; numbers are tried from a grid, then halfway around the best one.
+    """
+    counts = counts.astype(np.int64)
+    best = best_fit(counts, capacity)
+    best_n, goal = sum(n for _, n in best), least_bins(counts, capacity)
+    mass, gap, tried = int((counts * np.arange(len(counts))).sum()), best_n - goal, {}
+
+    def attempt(share: float) -> None:
+        nonlocal best, best_n
+        free = max(0, int((goal + gap * share) * capacity) - mass) if share >= 0 else 0
+        if best_n > goal and free not in tried:
+            found, n = _search(counts, capacity, best_n, goal, free, nodes // len(GRID) + 2 * len(best))
+            tried[free] = n if found else best_n + 1
+            best, best_n = (found, n) if found else (best, best_n)
+
+    for share in GRID:
+        attempt(share)
+    step, centre = 0.1, 0.1
+    while step * gap >= 1 and best_n > goal and step > 0.005:
+        before = best_n
+        for share in (centre - step, centre + step):
+            attempt(max(share, 0))
+            if best_n < before:
+                centre, before = share, best_n
+        step /= 2
     return best
 
 

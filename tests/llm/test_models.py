@@ -159,6 +159,31 @@ def test_bin_completion():
     assert packing.dominates((5, 3), (4, 3)) and packing.dominates((7,), (4, 3)) and not packing.dominates((4, 3), (7,))
 
 
+def test_fillings_of_many_pieces():
+    """Short pieces: any number of them share a sequence, and the largest first come in falling order."""
+    rng = np.random.default_rng(6)
+    for low, high, n, most in ((150, 200, 20_000, 3500), (300, 400, 4000, 1520), (30, 50, 5000, 197)):
+        counts = np.bincount(rng.integers(low, high + 1, n), minlength=1025)
+        best, used = packing.plan(counts, 1024), np.zeros(1025, np.int64)
+        for sizes, k in best:
+            assert sum(sizes) <= 1024
+            np.add.at(used, list(sizes), k)
+        assert (used == counts).all() and packing.least_bins(counts, 1024) <= sum(k for _, k in best) <= most
+
+
+def test_fillings_against_all_subsets():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        counts, room, waste = np.bincount(rng.integers(1, 12, 7), minlength=30), int(rng.integers(5, 25)), int(rng.integers(0, 4))
+        subsets = {()}
+        for s in np.repeat(np.arange(30), counts).tolist():
+            subsets |= {tuple(sorted((*f, s), reverse=True)) for f in subsets if sum(f) + s <= room}
+        allowed = max(waste, room - max(map(sum, subsets)))
+        fit = {f for f in subsets if room - sum(f) <= allowed}
+        got = list(packing.fillings(counts, room, waste, [10**6]))
+        assert set(got) <= fit and all(any(g == f or packing.dominates(g, f) for g in got) for f in fit)
+
+
 def test_sharding(docs, rows, none):
     got = sharding.assign(docs, 7).toPandas()
     n = got.groupby("shard").size()
