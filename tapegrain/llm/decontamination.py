@@ -1,17 +1,19 @@
-"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment of words.
-
-Words are lower-cased runs of letters and digits. First pass: which n-grams of the test items occur in
-documents. Each of those is a seed, so a copy keeps a seed wherever SEED_WORDS words in a row are intact,
-whatever other copies hold. Second pass: a seed found in a document marks a stretch of it; overlapping
-stretches are one. A stretch that has enough of the item's words at all is aligned with the item where it
-stands; nothing of the documents is shuffled. The share of the item that aligns, net of edits, is the score.
-Copies without SEED_WORDS intact words in a row (an edit in each four words) have no seed and are not found.
-
-Items are broadcast in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words (a longer item is a
-block of its own), one after the other, so what is sent stays bounded for any benchmark.
-
-Null and empty texts match nothing, nor do items with fewer words than a seed. Equal items are all
-reported. Rows that share a doc_id are judged one by one and reported once, by their best.
+"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment of words.
+
+Words are lower-cased runs of letters and digits; a letter of a script without spaces (Han, kana, Thai, Lao, Khmer, Myanmar) is a
+word of its own. First pass: in how many documents each n-gram of the test items occurs. Of the two n-grams in each run
+of SEED_WORDS words of an item the rarer that occurs is a seed, so phrases that many documents share are seeds only where
+nothing rarer stands beside them, and a copy keeps a seed wherever SEED_WORDS words in a row are intact. Second pass: a seed found
+in a document marks a stretch of it; overlapping stretches are one. A stretch that has enough of the item's words at all
+is aligned with the item where it stands; nothing of the documents is shuffled. The share of the item that aligns, net of
+edits, is the score. Copies without SEED_WORDS intact words in a row (an edit in each four words) have no seed and are not found.
+
+The seed of an item of fewer than SEED_WORDS words is its whole word sequence, so it is found word for word. Items are
+broadcast in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words (a longer item is a block of its own), one
+after the other, so what is sent stays bounded for any benchmark.
+
+Null and empty texts match nothing, nor do items without words. Equal items are all reported. Rows that share a
+doc_id are judged one by one and reported once, by their best.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from tapegrain.llm import textops as X
 from tapegrain.llm.common import only
 
-SEED_WORDS = 4
+#: Words in a row that a copy must keep, and words of a seed: two seeds lie in each run.
+SEED_WORDS, GRAM_WORDS = 4, 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Score from which a document counts as holding the item: net aligned share of the item's words.
 THRESHOLD = 0.5
@@ -37,10 +40,17 @@ PLACES = 1 << 20
 MATCHES = "doc_id long, item_id long, score double, matched int, item_words int, begin long, finish long"
 
 
+#: Separators and one-letter words beyond ASCII; all of them have a lead byte from 0xE0 on.
+_MARKS = r"[\x{2000}-\x{200A}\x{2010}-\x{2029}\x{202F}-\x{205F}\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]+"
+_LONE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
 def _loose_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the n+1 word offsets."""
     lower = pc.utf8_lower(column.fill_null("") if column.null_count else column)
     data, off = X.text_buffer(lower)
+    if len(data) and data.max() >= 0xE0:
+        data, off = X.text_buffer(pc.replace_substring_regex(pc.replace_substring_regex(lower, _MARKS, " "), _LONE, r" \1 "))
     s, e, first = X.words(data, off, X.NOT_ALNUM)
     return X.span_hashes(data, s, e), first
 
@@ -182,39 +192,56 @@ def _search(words: list[np.ndarray], item_ids: list[int], seeds: np.ndarray, own
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Item ids and words, block by block through the driver."""
-    ids, words, total = [], [], 0
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+    """(words of a seed, item ids, words) block by block through the driver; short items by their number of words."""
+    held: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
     for row in benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         w, _ = _loose_words(pa.array([row["text"]], pa.string()))
-        if ids and (len(ids) >= BLOCK_ITEMS or total + len(w) > BLOCK_WORDS):
-            yield ids, words
-            ids, words, total = [], [], 0
+        if not len(w):
+            continue
+        n = len(w) if len(w) < SEED_WORDS else GRAM_WORDS
+        whole = n if len(w) == n else SEED_WORDS  # an item that is one seed has no second one beside it
+        ids, words = held.setdefault((n, whole), ([], []))
+        if ids and (len(ids) >= BLOCK_ITEMS or sum(map(len, words)) + len(w) > BLOCK_WORDS):
+            yield n, ids, words
+            ids, words = held[n, whole] = ([], [])
         ids.append(row["item_id"])
         words.append(w)
-        total += len(w)
-    if ids:
-        yield ids, words
+    for (n, _), (ids, words) in held.items():
+        yield n, ids, words
+
+
+def rare_seeds(df: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which n-grams are seeds, from the documents that hold each and its item, in the items' order.
+
+    Of two neighbours that both occur the rarer one, the first of equally rare ones; one without a neighbour in its item if it occurs.
+    """
+    out = np.zeros(len(df), bool)
+    pair = np.flatnonzero((item[1:] == item[:-1]) & (df[1:] > 0) & (df[:-1] > 0))
+    out[np.where(df[pair + 1] < df[pair], pair + 1, pair)] = True
+    alone = np.ones(len(df), bool)
+    alone[1:] &= item[1:] != item[:-1]
+    alone[:-1] &= item[1:] != item[:-1]
+    return out | (alone & (df > 0))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, matched, item_words, begin, finish) of documents that hold an item.
 
     score is the alignment's score over that of a whole copy; begin and finish are word positions in the text.
     """
     source, out = docs.select("doc_id", "text"), None
-    for ids, words in _blocks(benchmark):
+    for n, ids, words in _blocks(benchmark):
         of = [X.windows(w, n) for w in words]
-        grams = np.unique(np.concatenate(of)) if of else np.zeros(0, np.uint64)
+        grams, place = np.unique(np.concatenate(of), return_inverse=True)
         counts = source.select("text").mapInArrow(_frequencies(grams, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(len(grams), np.int64)
         df[counts.column("gram").to_numpy()] = counts.column("n").to_numpy()
-        place = np.searchsorted(grams, np.concatenate(of)) if of else np.zeros(0, np.int64)
         item = np.repeat(np.arange(len(of)), [len(g) for g in of])
         offset = X.ranges(np.zeros(len(of), np.int64), np.array([len(g) for g in of], np.int64))
-        live = np.flatnonzero(df[place] > 0)
+        live = np.flatnonzero(rare_seeds(df[place], item))
         live = live[np.argsort(place[live], kind="stable")]
-        order = np.flatnonzero(df)
+        order = np.unique(place[live])
         seeds = grams[order]
         owner = (np.searchsorted(place[live], np.append(order, len(grams))), item[live], offset[live])
         if len(order):
