@@ -64,11 +64,11 @@ def materialize(df: DataFrame, stem: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` with one of the ids (column doc_id), or with ``left_anti`` those without; null equals null."""
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``column`` is one of the ids (column doc_id), or with ``left_anti`` those without; null equals null."""
     ids = materialize(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_id")), how)
+    return docs.join(side, docs[column].eqNullSafe(F.col("_id")), how)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

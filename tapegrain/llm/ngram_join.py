@@ -459,11 +459,23 @@ def similar_pairs(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _copies(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Ids (doc_id, unique in ``docs``) of rows that are not the smallest of their component; components are enough here."""
+    own, classes = _grouped(docs, k, percent)
+    return own.where("n > 0").join(classes.select("c1", "c2", "component_id"), ["c1", "c2"]).where("doc_id <> component_id").select("doc_id")
+
+
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each component; rows with a null id stay, repeated ids once."""
-    own, classes = _grouped(docs, k, percent)  # components are enough here
-    gone = own.where("n > 0").join(classes.select("c1", "c2", "component_id"), ["c1", "c2"]).where("doc_id <> component_id").select("doc_id")
-    kept = only(docs, gone, "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    """One row of each group of near copies: that of the smallest id, nulls last.
+
+    Rows are judged by their texts alone, also where ids repeat or are null: two texts of one id that are no copies both
+    stay, and of rows with a null id one stays where its group has no id. Rows without words have no copies and stay.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return only(docs, _copies(docs, k, percent), "left_anti")
+    # rows numbered in the order of their ids stand in for the ids
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    numbered = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered")
+    gone = _copies(numbered.select(F.col("_row").alias("doc_id"), "text"), k, percent)
+    return only(numbered, gone, "left_anti", "_row").drop("_row")

@@ -131,8 +131,41 @@ def test_all_links(spark, monkeypatch):
 
 def test_near_duplicates_none(none, docs):
     assert ngram_join.near_duplicates(none).count() == 0
+
+
+def plain_groups(texts):
+    """For each text the numbers of those linked with it through any chain, by comparing all sets of shingles."""
+    sets = []
+    for t in texts:
+        w = found((t or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= 80 * len(a | b) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_keep_one_against_all_pairs(docs, rows):
+    """One row of each group, whatever its id; ids that repeat and null ids lose no text."""
     kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id = 11").count() == 1 and kept.where("doc_id = 50").count() == 0
+    assert kept.columns == docs.columns
+    got, label = kept.collect(), plain_groups([r[1] for r in rows])
+    key = {r[1]: g for r, g in zip(rows, label)}
+    has = [r for r in rows if found(r[1])]
+    assert Counter(key[r["text"]] for r in got if found(r["text"])) == {key[r[1]]: 1 for r in has}
+    least = {g: min((r[0] for r in has if key[r[1]] == g and r[0] is not None), default=None) for g in {key[r[1]] for r in has}}
+    assert all(r["doc_id"] == least[key[r["text"]]] for r in got if found(r["text"]))
+    assert sum(not found(r["text"]) for r in got) == len(rows) - len(has)
+
+
+def test_keep_one_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (3, c)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, kept.collect())) == [(1, a), (2, b), (3, c)]
 
 
 def test_frequent_tokens_index_pairs():
@@ -201,6 +234,61 @@ def test_decontamination_of_edited_copies(spark, none, size, every):
         assert {r["doc_id"] for r in got} == {r[0] for r in rows}
 
 
+def test_short_and_unspaced_items(spark):
+    """Items shorter than a seed and items of scripts without spaces are found; their parts are not."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "日本語の問題、答えは四です。"), (3, "Solo!"), (4, "one two three"), (5, " ?! ")], "item_id long, text string")
+    rows = [(1, "so alpha, BETA gamma it is"), (2, "alpha beta and gamma"), (3, "前置き日本語の問題 答えは四です続き"), (4, "日本語です"), (5, "a solo act"), (6, "one two\u2014three"), (7, None), (8, "soloist")]
+    got = decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 2), (5, 3), (6, 4)} and all(r["score"] == 1 for r in got)
+
+
+def test_rare_seeds():
+    """Every run of four words of which both n-grams occur has a seed, the rarer of them; common ones are left out."""
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        item = np.sort(rng.integers(0, 6, 40))
+        df = rng.integers(0, 5, 40)
+        seed = decontamination.rare_seeds(df, item)
+        for i in range(39):
+            if item[i] == item[i + 1] and df[i] and df[i + 1]:
+                assert seed[i] or seed[i + 1]
+        assert not seed[df == 0].any()
+    assert decontamination.rare_seeds(np.array([9, 1, 9, 9, 1, 9]), np.zeros(6, int)).tolist() == [False, True, True, False, True, False]
+
+
+def plain_loose(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+
+
+def test_matches_against_all_alignments(spark):
+    """All documents with four words of an item in a row and enough aligned are found, and none that aligns too little."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 60, n)]
+    items = [word(n) for n in (6, 9, 15, 25, 40)]
+    rows = []
+    for d in range(80):
+        w = list(items[d % 5])
+        for _ in range(d // 10):
+            k = int(rng.integers(len(w)))
+            w[k:k + 1] = [[], ["edit"], ["edit", w[k]]][int(rng.integers(3))]
+            w = w or ["x"]
+        rows.append((d, " ".join(word(int(rng.integers(0, 30))) + w + word(int(rng.integers(0, 30))))))
+    want, enough = set(), set()
+    for d, t in rows:
+        text = plain_loose(t)
+        runs = {tuple(text[i:i + 4]) for i in range(len(text) - 3)}
+        for i, w in enumerate(items):
+            code = {x: k for k, x in enumerate(dict.fromkeys(text + w))}
+            score = brute_align([code[x] for x in w], [code[x] for x in text])
+            if score / (2 * len(w)) >= 0.5:
+                enough.add((d, i))
+                if any(tuple(w[k:k + 4]) in runs for k in range(len(w) - 3)):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench).collect()}
+    assert want <= got <= enough and len(want) > 50
+
+
 def test_decontamination_spans():
     """All seeds of a slice give the spans that a plain loop over them gives; the bound drops no match."""
     rng = np.random.default_rng(3)
