@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +154,79 @@ def top_n(ranked: DataFrame, n: int, order: str) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _conflicts(max_corr: float):
+    """Pairs of one rebalance date whose returns correlate above ``max_corr`` over the sessions both have."""
+    def run(group: pa.Table) -> pa.Table:
+        symbol, session = group.column("symbol").to_numpy(), group.column("session").to_numpy().astype("int64")
+        (names, i), (days, j) = np.unique(symbol, return_inverse=True), np.unique(session, return_inverse=True)
+        x, held = np.zeros((len(names), len(days))), np.zeros((len(names), len(days)))
+        ret = group.column("ret").to_numpy()
+        # moments of a pair over its common sessions; shifting a series by its mean leaves them exact and small
+        x[i, j] = ret - (np.bincount(i, weights=ret) / np.bincount(i))[i]
+        held[i, j] = 1
+        n = held @ held.T
+        sx, sxx, sxy = x @ held.T, (x * x) @ held.T, x @ x.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = n * sxx - sx * sx, n * sxx.T - sx.T * sx.T
+            corr = (n * sxy - sx * sx.T) / np.sqrt(np.where((va > 1e-18) & (vb > 1e-18), va * vb, np.nan))
+        rank, fresh = np.zeros(len(names), "int64"), np.zeros(len(names), bool)
+        rank[i], fresh[i] = group.column("place").to_numpy(), group.column("fresh").to_numpy(zero_copy_only=False)
+        a, b = np.nonzero((n >= 2) & (corr > max_corr) & (rank[:, None] < rank[None, :]) & fresh[None, :])
+        return pa.table({"rebalance": pa.array([group.column("rebalance")[0].as_py()] * len(a), pa.date32()), "better": names[a], "symbol": names[b]})
+    return run
+
+
+def uncorrelated(ranked: DataFrame, returns: Callable[[DataFrame], DataFrame], n: int, max_corr: float, company: str | None = None, block: int | None = None) -> DataFrame:
+    """The first ``n`` names of each rebalance date's ranking, leaving out a name when a better one that is kept belongs
+    to the same company or has returns correlated above ``max_corr``: (rebalance, symbol, place, pick).
+
+    ``ranked``: rebalance, symbol, place (from 1), and the company column (null: none); ``returns`` gives rebalance, symbol, session,
+    ret of the (rebalance, symbol) asked for.
+    The ranking is read in blocks of ``block`` names, and only dates still short of ``n`` names go on to the next. Pairs are formed
+    among the names kept and those of the block, so their number follows the parameters, not the number of symbols. Within a
+    block the greedy choice is made in rounds for all dates at once: a name stays when no better undecided name conflicts with
+    it, and goes when a kept one does.
+    """
+    block = block or 2 * n
+    col = F.col(company) if company else F.lit(None).cast("string")
+    every = materialize(ranked.select("rebalance", "symbol", "place", col.cast("string").alias("company")), "ranked")
+    kept, low = every.limit(0), 0
+    while True:
+        short = every.select("rebalance").distinct().join(kept.groupBy("rebalance").agg(F.count("*").alias("k")), "rebalance", "left").where(F.coalesce("k", F.lit(0)) < n).select("rebalance")
+        fresh = every.where((F.col("place") > low) & (F.col("place") <= low + block)).join(short, "rebalance")
+        if every.where(F.col("place") > low).join(short, "rebalance", "left_semi").isEmpty():
+            break
+        beside = kept.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+        sample = returns(beside.select("rebalance", "symbol")).join(beside, ["rebalance", "symbol"]).select("rebalance", "symbol", "session", "ret", "place", "fresh")
+        kind = dict(every.dtypes)["symbol"]
+        clash = materialize(sample.groupBy("rebalance").applyInArrow(_conflicts(max_corr), f"rebalance date, better {kind}, symbol {kind}"), "conflicts")
+        # names that kept ones rule out, then rounds among the rest
+        gone = clash.join(kept.select("rebalance", F.col("symbol").alias("better")), ["rebalance", "better"]).select("rebalance", "symbol")
+        same = fresh.join(kept.select("rebalance", "company").distinct(), ["rebalance", "company"]).select("rebalance", "symbol")
+        live = materialize(fresh.join(gone.unionByName(same).distinct(), ["rebalance", "symbol"], "left_anti"), "live")
+        while not live.isEmpty():
+            blocked = clash.join(live.select("rebalance", F.col("symbol").alias("better")), ["rebalance", "better"]).select("rebalance", "symbol")
+            first = Window.partitionBy("rebalance", "company").orderBy("place")
+            behind = live.where("company is not null").withColumn("_k", F.row_number().over(first)).where("_k > 1").select("rebalance", "symbol")
+            stay = materialize(live.join(blocked.unionByName(behind).distinct(), ["rebalance", "symbol"], "left_anti"), "stay")
+            kept = kept.unionByName(stay)
+            out = clash.join(stay.select("rebalance", F.col("symbol").alias("better")), ["rebalance", "better"]).select("rebalance", "symbol")
+            out = out.unionByName(live.join(stay.select("rebalance", "company"), ["rebalance", "company"], "left_semi").select("rebalance", "symbol")).unionByName(stay.select("rebalance", "symbol"))
+            live = materialize(live.join(out.distinct(), ["rebalance", "symbol"], "left_anti"), "live")
+        kept, low = materialize(kept, "kept"), low + block
+    pick = F.row_number().over(Window.partitionBy("rebalance").orderBy("place"))
+    return kept.withColumn("pick", pick).where(F.col("pick") <= n).select("rebalance", "symbol", "place", "pick")
+
+
+def window_returns(bars: DataFrame, rebalances: DataFrame, calendar: DataFrame, lookback: int, names: DataFrame) -> DataFrame:
+    """(rebalance, symbol, session, ret) of ``names``: changes of close inside each date's lookback, from the second bar on."""
+    rb = rebalances.select(F.col("session").alias("rebalance"), F.explode(F.sequence(F.col("ord") - lookback, F.col("ord") - 1)).alias("ord"))
+    serves = calendar.join(rb, "ord").select("session", "rebalance")
+    prev = F.lag("close").over(Window.partitionBy("rebalance", "symbol").orderBy("session"))
+    own = bars.join(F.broadcast(serves), "session").join(names, ["rebalance", "symbol"], "left_semi")
+    return own.select("rebalance", "symbol", "session", (F.col("close") / prev - 1).alias("ret")).where("ret is not null")
+
+
 def membership_intervals(changes: DataFrame) -> DataFrame:
     """Continuous membership stretches from change rows (date, member list).
 

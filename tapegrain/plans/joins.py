@@ -12,6 +12,7 @@ from tapegrain.operators.kernels import asof_join, by_time, so_far
 from tapegrain.plans.catalog import day, ds, query, rnd, rs
 from tapegrain.plans.regimes import MEMBERS, members
 from tapegrain.plans.windows import WS, full_sql
+from tapegrain.session import materialize
 
 
 @query("jon01_asof_filings", f"""WITH {B.BARS}, {B.FUNDAMENTALS} SELECT b.symbol, {ds()} AS session, {ds('f.period_end')} AS period_end, {rs('coalesce(f.revenue, 0)', 2)} AS revenue
@@ -306,6 +307,30 @@ def monthly_universe(spark, d):
     return u.select(day("rebalance").alias("rebalance"), "symbol", "rank")
 
 
+SHARE_CLASS = "CASE WHEN symbol % 3 = 0 THEN symbol % 40 END"
+
+
+@query("seq12_uncorrelated_universe", f"""WITH RECURSIVE {B.BARS}, {LIQ},
+ f AS (SELECT rebalance, symbol, {SHARE_CLASS} AS co, row_number() OVER (PARTITION BY rebalance ORDER BY mdv DESC, symbol) AS place FROM lq WHERE cov >= 0.15 AND last_close >= 500 AND mdv >= 20000),
+ wr AS (SELECT rebalance, symbol, b.session, close / lag(close) OVER (PARTITION BY rebalance, symbol ORDER BY b.session) - 1 AS ret FROM bars b JOIN cal USING (session) JOIN ms ON ord < o AND ord >= o - 250),
+ cr AS (SELECT x.rebalance, x.symbol AS a, y.symbol AS b FROM wr x JOIN wr y ON x.rebalance = y.rebalance AND x.session = y.session AND x.symbol <> y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL
+  GROUP BY 1, 2, 3 HAVING count(*) >= 2 AND stddev_pop(x.ret) > 0 AND stddev_pop(y.ret) > 0 AND corr(x.ret, y.ret) > 0.6),
+ bad AS (SELECT g.rebalance, g.place, list(h.place) FILTER (h.place IS NOT NULL) AS worse_than FROM f g LEFT JOIN f h ON h.rebalance = g.rebalance AND h.place < g.place
+  AND (h.co = g.co OR EXISTS (SELECT 1 FROM cr WHERE cr.rebalance = g.rebalance AND cr.a = h.symbol AND cr.b = g.symbol)) GROUP BY 1, 2),
+ go AS (SELECT rebalance, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT rebalance FROM f)
+  UNION ALL SELECT go.rebalance, bad.place, CASE WHEN list_has_any(go.kept, coalesce(worse_than, [])) THEN go.kept ELSE list_append(go.kept, bad.place) END FROM go JOIN bad ON bad.rebalance = go.rebalance AND bad.place = go.place + 1),
+ done AS (SELECT rebalance, unnest(kept) AS place FROM (SELECT rebalance, arg_max(kept, place) AS kept FROM go GROUP BY 1))
+ SELECT {ds('rebalance')} AS rebalance, symbol, place, CAST(row_number() OVER (PARTITION BY rebalance ORDER BY place) AS INTEGER) AS pick FROM done JOIN f USING (rebalance, place)
+ QUALIFY row_number() OVER (PARTITION BY rebalance ORDER BY place) <= 12""")
+def uncorrelated_universe(spark, d):
+    from pyspark.sql import Window
+    cal, bars = materialize(B.calendar(spark, d), "calendar"), materialize(B.daily_bars(spark, d).select("symbol", "session", "close"), "bars")
+    place = F.row_number().over(Window.partitionBy("rebalance").orderBy(F.desc("median_dv"), "symbol"))
+    ranked = liquidity_ranks(spark, d).withColumn("place", place.cast("bigint")).withColumn("company", F.expr(SHARE_CLASS))
+    u = C.uncorrelated(ranked, lambda names: C.window_returns(bars, C.month_starts(cal), cal, 250, names), 12, 0.6, "company")
+    return u.select(day("rebalance").alias("rebalance"), "symbol", "place", "pick")
+
+
 CHANGES = """chg AS (SELECT date_trunc('month', l_shipdate)::DATE AS date, list(DISTINCT l_suppkey) AS tickers FROM lineitem GROUP BY 1)"""
 
 
