@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapegrain.operators.kernels import by_time, ewm, full, ratio, roll_mean, roll_std, so_far, trailing
+from tapegrain.operators.kernels import by_time, ewm, full, moving_order, ratio, roll_mean, roll_std, so_far, trailing
 
 KEY, T = "symbol", "session"
 
@@ -122,6 +122,11 @@ def trailing_rank(x: str, window: int, min_periods: int | None = None, key=KEY,
                   below / (rows - 1))
 
 
+def add_trailing_rank(df: DataFrame, x: str, window: int, min_periods: int | None = None, out: str = "rank", key=KEY, t=T) -> DataFrame:
+    """``trailing_rank`` as a moving order statistic: for long windows, no row carries its frame."""
+    return moving_order(df, key, t, x, window, below=(out, min_periods or window // 2))
+
+
 def slope_atr(ma: str, days: int, atr: str) -> Column:
     return ratio(F.col(ma) - F.lag(ma, days).over(_w()), days * F.col(atr))
 

@@ -9,9 +9,13 @@ meet per key.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -314,6 +318,63 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
                            for n in probs])
 
 
+# --- order statistics of moving frames ----------------------------------------------------------
+
+def _frames(frame: int, names: list[str], median: tuple[str, int] | None, below: tuple[str, int] | None):
+    """Order statistics of one block of ``frame`` rows, given the block before it."""
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("_n", "ascending")])).combine_chunks()
+        own = group.column("_own").to_numpy()
+        x = group.column("_x").to_numpy()  # null reads as NaN
+        held: list[float] = []  # the frame's values, ascending
+        medians, shares = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        start = int(np.argmax(own)) if own.any() else len(x)
+        for i, v in enumerate(x.tolist()):
+            if i >= start and median:  # rows i - frame to i - 1
+                n = len(held)
+                if n and n >= median[1]:
+                    medians[i] = held[n // 2] if n % 2 else (held[n // 2 - 1] + held[n // 2]) / 2
+            if median is None and i >= frame and x[i - frame] == x[i - frame]:
+                del held[bisect.bisect_left(held, x[i - frame])]
+            if v == v:
+                bisect.insort(held, v)
+            if i >= start and below and v == v:  # rows i - frame + 1 to i
+                rows = min(i + 1, frame)
+                if len(held) >= below[1] and rows > 1:
+                    shares[i] = bisect.bisect_left(held, v) / (rows - 1)
+            if median and i >= frame and x[i - frame] == x[i - frame]:
+                del held[bisect.bisect_left(held, x[i - frame])]
+        out = dict(zip(names, group.filter(pa.array(own)).select(names).columns))
+        for spec, values in ((median, medians), (below, shares)):
+            if spec:
+                out[spec[0]] = pa.array(values[own], pa.float64(), from_pandas=True)
+        return pa.table(out)
+    return run
+
+
+def moving_order(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], x: str, frame: int,
+                 median: tuple[str, int] | None = None, below: tuple[str, int] | None = None) -> DataFrame:
+    """Order statistics of ``x`` over moving frames: either ``median`` (name, least values) of the ``frame`` rows before
+    each row, or ``below`` (name, least values), the share of the other rows of the frame that ends with the row that lie strictly
+    under its value. Rows without a value count in that share's base only; null where values are too few.
+
+    Rows are numbered and cut into blocks of ``frame``. A frame reaches into one earlier block, so each block is worked on with
+    the values of the one before it: an ordered list gains and loses one value a row, a search each. Work grows with
+    rows times log(frame), and no row carries its frame.
+    """
+    if (median is None) == (below is None):
+        raise ValueError("one of median and below")
+    k, o = ([c] if isinstance(c, str) else list(c) for c in (keys, order))
+    n = (F.row_number().over(Window.partitionBy(*k).orderBy(*o)) - 1).cast("long")
+    d = df.withColumns({"_n": n, "_x": F.nanvl(F.col(x).cast("double"), F.lit(None))} | {f"_k{i}": F.col(c) for i, c in enumerate(k)})
+    block = F.floor(F.col("_n") / frame)
+    d = d.withColumn("_c", F.explode(F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), F.struct((block + 1).alias("b"), F.lit(False).alias("own")))))
+    own = F.col("_c.own")
+    d = d.select(*[F.when(own, F.col(c)).alias(c) for c in df.columns], *[f"_k{i}" for i in range(len(k))], "_n", "_x", F.col("_c.b").alias("_b"), own.alias("_own"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return d.groupBy(*[f"_k{i}" for i in range(len(k))], "_b").applyInArrow(_frames(frame, df.columns, median, below), f"{schema}, `{(median or below)[0]}` double")
+
+
 # --- seeded draws -------------------------------------------------------------------------------
 
 _P = 2147483647  # a prime; all products below stay under 2^62

@@ -274,6 +274,13 @@ def intraday_label(spark, d):
     return intraday(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "micro", "vol_state")
 
 
+@query("win41_book_context", f"""WITH {INTRA}, h AS (SELECT symbol, ts, volume, coalesce(last_value(CASE WHEN hour_close THEN micro END IGNORE NULLS) OVER (PARTITION BY symbol, session ORDER BY ts ROWS UNBOUNDED PRECEDING), 'first_hour') AS known_micro FROM lab)
+ SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, known_micro, CASE WHEN count(volume) OVER w >= 120 THEN {rs('median(volume) OVER w')} END AS median_volume FROM h WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 480 PRECEDING AND 1 PRECEDING)""")
+def book_context(spark, d):
+    f = R.book_context(intraday(spark, d), 480, 120)
+    return f.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "known_micro", rnd("median_volume").alias("median_volume"))
+
+
 @query("win40_forward_intraday", f"""WITH {INTRA}, {FIN} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, micro, {rs('fwd_atr')} AS fwd_atr, CAST(dir AS DOUBLE) AS dir,
  {rs('fwd_rel_atr')} AS fwd_rel_atr FROM rel""")
 def forward_intraday(spark, d):

@@ -102,3 +102,27 @@ def test_blocked_running_sum(spark):
 
 def test_union_partitioning_shortcut_is_off(spark):
     assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+
+
+@pytest.mark.parametrize("frame", [1, 5, 40])
+def test_moving_order_against_loops(spark, frame):
+    """Medians of the rows before and shares below, over frames that lie in one block and reach into the one before."""
+    from tapegrain.operators.kernels import moving_order
+    rng = np.random.default_rng(frame)
+    rows = [(k, t, None if rng.random() < 0.1 else float(rng.integers(0, 9))) for k in ("a", "b", None) for t in range({"a": 83, "b": 3, None: 40}[k])]
+    df = spark.createDataFrame(rows, "k string, t int, x double").repartition(4)
+    by = {}
+    for k, t, v in rows:
+        by.setdefault(k, []).append(v)
+    least = max(1, frame // 2)
+    got = {(r["k"], r["t"]): r["m"] for r in moving_order(df, "k", "t", "x", frame, median=("m", least)).collect()}
+    share = {(r["k"], r["t"]): (r["x"], r["s"]) for r in moving_order(df, "k", "t", "x", frame, below=("s", least)).collect()}
+    assert len(got) == len(share) == len(rows)
+    for k, values in by.items():
+        for t, v in enumerate(values):
+            before = [z for z in values[max(0, t - frame):t] if z is not None]
+            assert got[k, t] == (float(np.median(before)) if len(before) >= least else None)
+            here = values[max(0, t - frame + 1):t + 1]
+            known = [z for z in here if z is not None]
+            want = sum(z < v for z in known) / (len(here) - 1) if v is not None and len(known) >= least and len(here) > 1 else None
+            assert share[k, t] == (v, want)
