@@ -120,6 +120,53 @@ def symbol_periods(current: DataFrame, renames: DataFrame, anchor: str | None =
     return out.distinct()
 
 
+def in_periods(actions: DataFrame, periods: DataFrame, symbol: str, on: str) -> DataFrame:
+    """Actions of the entity (column ``root``) that carried their ``symbol`` on the day ``on``.
+
+    A name and a day belong to the few periods of that name, so an equality on the name with a filter on the days is enough.
+    """
+    p = periods.select("root", F.col("name").alias("_name"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    j = actions.join(p, (F.col(symbol) == F.col("_name")) & F.col(on).between(F.col("_start"), F.col("_end")))
+    return j.drop("_name", "_start", "_end")
+
+
+def distributions(actions: DataFrame, periods: DataFrame, bars: DataFrame, prices: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """(root, ex_date, amount_raw, kind, new_symbol): what a raw share paid, by ex-date inside the entity's series.
+
+    ``bars``: root, session, open, close, close_raw; ``prices``: raw close by (symbol, session) under the names of the day. A spin-off
+    is worth its ratio times the new company's raw close on the ex-date; without that price, or with a split the raw price
+    contradicts (``splits`` with state and observed_ratio, no spin-off or special dividend within three days), the fall
+    overnight from the raw close to the raw open stands in as an estimate, 0 if there is none.
+    """
+    cash = in_periods(actions.where("kind = 'cash_dividends' and rate <> 0 and ex_date is not null"), periods, "symbol", "ex_date")
+    cash = cash.select("root", "ex_date", F.col("rate").alias("amount_raw"), F.when(F.col("special"), "special").otherwise("dividend").alias("kind"), F.lit(None).cast("string").alias("new_symbol"))
+    spun = in_periods(actions.where("kind = 'spin_offs' and ex_date is not null"), periods, "source_symbol", "ex_date")
+    price = prices.select(F.col("symbol").alias("new_symbol"), F.col("session").alias("ex_date"), F.col("close_raw").alias("_px"))
+    ratio = F.coalesce("new_rate", F.lit(0.0)) / F.coalesce(F.nullif("source_rate", F.lit(0.0)), F.lit(1.0))
+    spun = spun.join(price, ["new_symbol", "ex_date"], "left").select("root", "ex_date", F.coalesce(ratio * F.col("_px"), F.lit(0.0)).alias("amount_raw"), F.lit("spin_off").alias("kind"), "new_symbol")
+    ends = bars.groupBy("root").agg(F.min("session").alias("_lo"), F.max("session").alias("_hi"))
+    rows = cash.unionByName(spun).join(ends, "root").where((F.col("ex_date") > F.col("_lo")) & (F.col("ex_date") <= F.col("_hi"))).drop("_lo", "_hi")
+    rows = rows.withColumn("kind", F.when((F.col("kind") == "spin_off") & (F.col("amount_raw") == 0), "spin_off_gap_estimate").otherwise(F.col("kind")))
+    if splits is not None:
+        near = rows.where(F.col("kind").isin("special", "spin_off", "spin_off_gap_estimate")).select("root", F.explode(F.sequence(F.date_sub("ex_date", 3), F.date_add("ex_date", 3))).alias("ex_date"))
+        odd = splits.where("state = 'not_split' and observed_ratio > 1.02").select("root", "ex_date").join(near.distinct(), ["root", "ex_date"], "left_anti")
+        rows = rows.unionByName(odd.select("root", "ex_date", F.lit(0.0).alias("amount_raw"), F.lit("misrecorded_split_gap_estimate").alias("kind"), F.lit(None).cast("string").alias("new_symbol")))
+    fall = F.lag("close_raw").over(by_time("root", "session")) - F.col("open") * F.col("close_raw") / F.col("close")
+    gaps = bars.select("root", "session", fall.alias("_gap"))
+    j = asof_join(rows, gaps, "root", "ex_date", "session", {"_gap": "_gap"}, direction="forward")
+    guess = F.col("kind").endswith("gap_estimate")
+    return j.withColumn("amount_raw", F.when(guess, F.greatest(F.coalesce("_gap", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("amount_raw"))).drop("_gap")
+
+
+def take_out_prices(actions: DataFrame, periods: DataFrame, bars: DataFrame, days: int = 10) -> DataFrame:
+    """(root, last_day, price): cash per share of the merger that ended a series, within ``days`` of its last bar; the earliest of several."""
+    last = bars.groupBy("root").agg(F.max("session").alias("last_day"))
+    names = in_periods(last.join(periods.select("root", "name").distinct(), "root").withColumnRenamed("root", "_own"), periods, "name", "last_day").where("root = _own").select("root", "name", "last_day")
+    m = actions.where("kind = 'cash_mergers' and rate <> 0").select(F.col("acquiree_symbol").alias("name"), F.coalesce("effective_date", "process_date").alias("_d"), "rate", "id")
+    j = names.join(m, "name").where(F.abs(F.datediff("_d", "last_day")) <= days)
+    return j.groupBy("root", "last_day").agg(F.min_by("rate", F.struct("_d", "id")).alias("price"))
+
+
 # --- universe -----------------------------------------------------------------------------------
 
 def month_starts(calendar: DataFrame) -> DataFrame:
@@ -171,8 +218,9 @@ def _conflicts(max_corr: float):
             corr = (n * sxy - sx * sx.T) / np.sqrt(np.where((va > 1e-18) & (vb > 1e-18), va * vb, np.nan))
         rank, fresh = np.zeros(len(names), "int64"), np.zeros(len(names), bool)
         rank[i], fresh[i] = group.column("place").to_numpy(), group.column("fresh").to_numpy(zero_copy_only=False)
+        kind = group.schema.field("symbol").type
         a, b = np.nonzero((n >= 2) & (corr > max_corr) & (rank[:, None] < rank[None, :]) & fresh[None, :])
-        return pa.table({"rebalance": pa.array([group.column("rebalance")[0].as_py()] * len(a), pa.date32()), "better": names[a], "symbol": names[b]})
+        return pa.table({"rebalance": pa.array([group.column("rebalance")[0].as_py()] * len(a), pa.date32()), "better": pa.array(names[a], kind), "symbol": pa.array(names[b], kind)})
     return run
 
 

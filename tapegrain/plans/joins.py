@@ -12,7 +12,8 @@ from tapegrain.operators.kernels import asof_join, by_time, so_far
 from tapegrain.plans.catalog import day, ds, query, rnd, rs
 from tapegrain.plans.regimes import MEMBERS, members
 from tapegrain.plans.windows import WS, full_sql
-from tapegrain.session import materialize
+from tapegrain.session import fresh_path, materialize
+from tapegrain.sources import readers as SR
 
 
 @query("jon01_asof_filings", f"""WITH {B.BARS}, {B.FUNDAMENTALS} SELECT b.symbol, {ds()} AS session, {ds('f.period_end')} AS period_end, {rs('coalesce(f.revenue, 0)', 2)} AS revenue
@@ -274,6 +275,88 @@ def adjust_daily(spark, d):
     return a.select("symbol", day().alias("session"), rnd("div_ret", 6).alias("div_ret"), rnd("tr_close", 2).alias("tr_close"), rnd("tr_factor", 6).alias("tr_factor"))
 
 
+# Every (supplier, ship date) is an action: its kind by the least line number, its name the supplier's on that day. A quarter of the
+# suppliers was renamed from O.. to S.. in 1995; in 1997 another company took O.., whose actions some rows report.
+RENAMED, REUSED, TODAY = "1995-06-01", "1997-01-01", "1998-08-01"
+_NAMED = f"CASE WHEN k % 4 = 0 AND ex_date < DATE '{RENAMED}' THEN concat('O', k) WHEN k % 4 = 1 AND ex_date >= DATE '{REUSED}' AND m % 2 = 0 THEN concat('O', k - 1) ELSE concat('S', k) END"
+_KIND = "CASE m WHEN 1 THEN 'cash_dividends' WHEN 2 THEN 'cash_dividends' WHEN 3 THEN 'spin_offs' WHEN 4 THEN 'cash_mergers' ELSE 'forward_splits' END"
+ACTIONS = f"""act AS (SELECT *, {_KIND} AS kind, concat(k, ':', strftime(ex_date, '%Y-%m-%d')) AS id, {_NAMED} AS name, q / 100.0::DOUBLE AS ratio FROM
+ (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS ex_date, min(l_linenumber) AS m, sum(l_extendedprice) * 0.0001::DOUBLE AS rate, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)),
+ per AS (SELECT concat('S', s_suppkey) AS root, concat('S', s_suppkey) AS name, CASE WHEN s_suppkey % 4 = 0 THEN DATE '{RENAMED}' ELSE DATE '1900-01-01' END AS lo, DATE '9999-12-31' AS hi FROM supplier
+  UNION ALL SELECT concat('S', s_suppkey), concat('O', s_suppkey), DATE '1900-01-01', DATE '{RENAMED}' - 1 FROM supplier WHERE s_suppkey % 4 = 0)"""
+
+
+def landed_actions(spark, d):
+    """The actions written in the vendor's layout, in two batches; the first has half the rate for some, which the second corrects."""
+    g = (B.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("ex_date"))
+         .agg(F.min("l_linenumber").alias("m"), (F.sum("l_extendedprice") * 0.0001).alias("rate"), F.sum("l_quantity").alias("q")))
+    g = g.withColumns({"kind": F.expr(_KIND), "name": F.expr(_NAMED), "id": F.concat_ws(":", "k", day("ex_date"))})
+    of = {"cash_dividends": {"symbol": "name", "special": "m = 2"}, "spin_offs": {"source_symbol": "name", "new_symbol": "concat('S', k + 1)", "new_rate": "double(q)", "source_rate": "100D"},
+          "cash_mergers": {"acquiree_symbol": "name", "effective_date": "ex_date"}, "forward_splits": {"symbol": "name", "new_rate": "double(q)", "old_rate": "100D"}}
+    path = fresh_path(spark, "actions")
+    for batch, part in (("1", g.where("m % 3 = 1").withColumn("rate", F.col("rate") / 2)), ("2", g)):
+        lists = [F.array_agg(F.when(F.col("kind") == kind, F.struct("id", "ex_date", "rate", *[F.expr(x).alias(n) for n, x in more.items()]))).alias(kind) for kind, more in of.items()]
+        docs = part.groupBy("k").agg(*lists).drop("k")
+        docs.select(*[F.filter(kind, lambda r: r.isNotNull()).alias(kind) for kind in of]).write.json(f"{path}/batch-{batch}")
+    s = B.table(spark, d, "supplier").where("s_suppkey % 4 = 0").select(F.concat(F.lit("O"), "s_suppkey").alias("o"), F.concat(F.lit("S"), "s_suppkey").alias("s"), F.concat(F.lit("X"), "s_suppkey").alias("x"))
+    change = lambda on, old, new: F.struct(F.concat_ws(":", F.lit(on), old).alias("id"), F.lit(on).alias("process_date"), F.col(old).alias("old_symbol"), F.col(new).alias("new_symbol"))
+    s.select(F.array(change(RENAMED, "o", "s"), change(REUSED, "x", "o")).alias("name_changes")).write.json(f"{path}/batch-3")
+    return materialize(SR.corporate_actions(spark, f"{path}/*"), "actions")
+
+
+@query("src08_corporate_actions", f"""WITH {ACTIONS} SELECT kind, id, name AS symbol, {ds('ex_date')} AS day, {rs('rate')} AS rate FROM act
+ UNION ALL SELECT 'name_changes', concat('{RENAMED}:O', s_suppkey), concat('S', s_suppkey), '{RENAMED}', NULL FROM supplier WHERE s_suppkey % 4 = 0
+ UNION ALL SELECT 'name_changes', concat('{REUSED}:X', s_suppkey), concat('O', s_suppkey), '{REUSED}', NULL FROM supplier WHERE s_suppkey % 4 = 0""")
+def corporate_actions(spark, d):
+    a = landed_actions(spark, d)
+    name = F.when(F.col("kind") == "name_changes", F.col("new_symbol")).otherwise(F.coalesce("symbol", "source_symbol", "acquiree_symbol"))
+    return a.select("kind", "id", name.alias("symbol"), day(F.coalesce("ex_date", "process_date")).alias("day"), rnd("rate").alias("rate"))
+
+
+def entity_inputs(spark, d):
+    """(actions, name periods, bars of each entity, prices by name)."""
+    actions = landed_actions(spark, d)
+    roots = B.table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("ticker"))
+    periods = materialize(C.symbol_periods(roots, actions.where("kind = 'name_changes'"), TODAY), "periods")
+    bars = raw_bars(spark, d).withColumn("root", F.concat(F.lit("S"), "symbol"))
+    return actions, periods, bars, bars.select(F.col("root").alias("symbol"), "session", "close_raw")
+
+
+@query("jon07_named_actions", f"WITH {ACTIONS} SELECT root, kind, {ds('ex_date')} AS day, count(*) AS n FROM act JOIN per ON act.name = per.name AND ex_date BETWEEN lo AND hi GROUP BY ALL")
+def named_actions(spark, d):
+    """Actions by the entity that carried their name on the day, through renames and reused names."""
+    actions, periods, _, _ = entity_inputs(spark, d)
+    a = actions.where("kind <> 'name_changes'").withColumn("of", F.coalesce("symbol", "source_symbol", "acquiree_symbol"))
+    return C.in_periods(a, periods, "of", "ex_date").groupBy("root", "kind", day("ex_date").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("win27_distributions", f"""WITH {B.BARS}, {RAW}, {STEPS}, {ACTIONS}, ob AS (SELECT symbol, session, lag(close * f) OVER ({WS}) / (close * f) AS obs, lag(close * f) OVER ({WS}) - open * f AS gap FROM src),
+ ends AS (SELECT symbol AS k, min(session) AS lo, max(session) AS hi FROM bars GROUP BY 1),
+ own AS (SELECT CAST(substr(root, 2) AS BIGINT) AS symbol, act.* FROM act JOIN per ON act.name = per.name AND ex_date BETWEEN per.lo AND per.hi),
+ paid AS (SELECT own.symbol, own.ex_date, rate AS amount, CASE WHEN m = 2 THEN 'special' ELSE 'dividend' END AS kind, NULL AS new_symbol FROM own WHERE kind = 'cash_dividends' AND rate <> 0
+  UNION ALL SELECT own.symbol, own.ex_date, coalesce(ratio * n.close * n.f, 0), CASE WHEN coalesce(ratio * n.close * n.f, 0) = 0 THEN 'spin_off_gap_estimate' ELSE 'spin_off' END, concat('S', own.k + 1)
+   FROM own LEFT JOIN src n ON n.symbol = own.k + 1 AND n.session = own.ex_date WHERE kind = 'spin_offs'),
+ inside AS (SELECT paid.* FROM paid JOIN ends ON ends.k = paid.symbol WHERE ex_date > lo AND ex_date <= hi),
+ v AS (SELECT s.symbol, s.ex_date, s.ratio, o.obs FROM steps s ASOF LEFT JOIN ob o ON s.symbol = o.symbol AND s.ex_date <= o.session),
+ odd AS (SELECT symbol, ex_date FROM v WHERE obs > 1.02 AND NOT (abs(ln(ratio)) >= 0.1 AND abs(ln(obs) - ln(ratio)) < abs(ln(obs))) AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.symbol = v.symbol AND i.kind <> 'dividend' AND abs(i.ex_date - v.ex_date) <= 3)),
+ rows AS (SELECT * FROM inside UNION ALL SELECT symbol, ex_date, 0, 'misrecorded_split_gap_estimate', NULL FROM odd)
+ SELECT concat('S', r.symbol) AS root, {ds('ex_date')} AS ex_date, kind, new_symbol, {rs("CASE WHEN kind LIKE '%gap_estimate' THEN greatest(coalesce(gap, 0), 0) ELSE amount END", 3)} AS amount_raw
+ FROM rows r ASOF LEFT JOIN ob ON r.symbol = ob.symbol AND r.ex_date <= ob.session""")
+def distributions(spark, d):
+    actions, periods, bars, prices = entity_inputs(spark, d)
+    splits = C.validate_splits(C.applied_splits(bars), bars).withColumn("root", F.concat(F.lit("S"), "symbol"))
+    x = C.distributions(actions, periods, bars, prices, splits)
+    return x.select("root", day("ex_date").alias("ex_date"), "kind", "new_symbol", rnd("amount_raw", 3).alias("amount_raw"))
+
+
+@query("win27_take_out_prices", f"""WITH {B.BARS}, {ACTIONS}, ends AS (SELECT symbol AS k, max(session) AS last_day FROM bars GROUP BY 1)
+ SELECT root, {ds('last_day')} AS last_day, {rs('arg_min(rate, (ex_date, id))')} AS price FROM act JOIN per ON act.name = per.name JOIN ends ON root = concat('S', ends.k) AND last_day BETWEEN per.lo AND per.hi
+ WHERE kind = 'cash_mergers' AND rate <> 0 AND abs(ex_date - last_day) <= 10 GROUP BY 1, last_day""")
+def take_out_prices(spark, d):
+    actions, periods, bars, _ = entity_inputs(spark, d)
+    return C.take_out_prices(actions, periods, bars).select("root", day("last_day").alias("last_day"), rnd("price").alias("price"))
+
+
 # --- universe -----------------------------------------------------------------------------------
 
 @query("srt08_month_starts", f"""WITH {B.CALENDAR} SELECT {ds('min(session)')} AS session, min(ord) AS ord FROM cal GROUP BY date_trunc('month', session)""")

@@ -185,6 +185,33 @@ def facts(docs: DataFrame, tags: list[str], col: str = "facts") -> DataFrame:
     return g.select("cik", "start", "end", "z.*")
 
 
+# --- corporate actions --------------------------------------------------------------------------
+
+# Kinds of corporate actions and the fields that any of them may carry, as the vendor names them (fixed values).
+ACTION_KINDS = ("cash_dividends", "forward_splits", "reverse_splits", "spin_offs", "cash_mergers", "stock_mergers", "name_changes")
+ACTION_FIELDS = ("id string, symbol string, ex_date date, process_date date, effective_date date, rate double, special boolean, old_rate double, new_rate double, "
+                 "source_symbol string, source_rate double, old_symbol string, new_symbol string, acquiree_symbol string")
+
+
+def corporate_actions(spark: SparkSession, path: str) -> DataFrame:
+    """Action documents, one per line with a list for each kind, as one row per (kind, id).
+
+    All kinds come from one scan. Documents are merged over batches: of rows with one id the batch last in the order of
+    file names wins, and within a document the last row. Rows without an id are told apart by their content.
+    """
+    schema = ", ".join(f"{k} array<struct<{ACTION_FIELDS.replace(' ', ':').replace(',:', ',')}>>" for k in ACTION_KINDS)
+    names = [f.split()[0] for f in ACTION_FIELDS.split(", ")]
+    docs = spark.read.schema(schema).json(path).select(F.col("_metadata.file_path").alias("batch"), *ACTION_KINDS)
+
+    def tagged(kind: str):
+        return F.transform(kind, lambda r, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), r.alias("row")))
+
+    rows = docs.select("batch", F.explode(F.flatten(F.array_compact(F.array(*[tagged(k) for k in ACTION_KINDS])))).alias("z")).select("batch", "z.*")
+    rows = rows.withColumn("key", F.coalesce("row.id", F.sha2(F.to_json("row"), 256)))
+    last = rows.groupBy("kind", "key").agg(F.max_by("row", F.struct("batch", "place")).alias("row"))
+    return last.select("kind", *[F.col("row")[n].alias(n) for n in names])
+
+
 # --- store, ledgers, logs -----------------------------------------------------------------------
 
 def write_store(df: DataFrame, path: str, kind: str, day: str = "session", key: str = "symbol", mode: str = "overwrite") -> None:
