@@ -239,9 +239,9 @@ def asof_limited(spark, d):
     return j.select("symbol", day().alias("session"), rnd("filled", 2).alias("filled"))
 
 
-@query("mlp03_filter_map", f"""WITH {B.BARS}, s AS (SELECT symbol, session, volume, close FROM bars WHERE volume >= 10) SELECT symbol, {ds()} AS session, CASE WHEN volume >= 30 THEN close > 1500 ELSE true END AS take FROM s""")
+@query("mlp03_filter_map", f"""WITH {B.BARS}, s AS (SELECT symbol, session, volume, close FROM bars) SELECT symbol, {ds()} AS session, CASE WHEN volume >= 30 THEN close > 1500 ELSE true END AS take FROM s""")
 def filter_map(spark, d):
-    b = B.daily_bars(spark, d).where("volume >= 10")
+    b = B.daily_bars(spark, d)
     scored = b.where("volume >= 30").select("symbol", "session", (F.col("close") > 1500).alias("kept"))
     return L.filter_map(b.select("symbol", "session"), scored).select("symbol", day().alias("session"), "take")
 
