@@ -218,12 +218,7 @@ def agreement(spark, d):
 # --- intraday -----------------------------------------------------------------------------------
 
 IP = R.IntradayParams(relvol_lookback=10)
-INTRA = f"""{B.TICKS}, hb AS (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(ts AS DATE) AS session, first(price ORDER BY ts, event_id) AS open,
- max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close, sum(size) AS volume, sum(price * size) / nullif(sum(size), 0) AS vwap
- FROM ticks GROUP BY ALL),
- bars AS (SELECT symbol, CAST(ts AS DATE) AS session, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
-  last(price ORDER BY ts, event_id) AS close FROM ticks GROUP BY ALL),
- t AS (SELECT *, {TR} AS tr FROM bars), {ewm_sql('t', 'e', {'atr': ('tr', 1 / 14, 14)})},
+FEATURES = f"""t AS (SELECT *, {TR} AS tr FROM bars), {ewm_sql('t', 'e', {'atr': ('tr', 1 / 14, 14)})},
  dl AS (SELECT symbol, session, lag(close) OVER ({WS}) AS prev_close, lag(atr) OVER ({WS}) AS atr_prev FROM e),
  s0 AS (SELECT h.*, prev_close, nullif(atr_prev, 0) AS atr_prev, row_number() OVER w - 1 AS slot, sum(coalesce(vwap, close) * volume) OVER w / nullif(sum(volume) OVER w, 0) AS vwap_s,
   first_value(open) OVER w AS open_d, max(high) OVER w AS sh, min(low) OVER w AS sl, sum(volume) OVER w AS cumvol FROM hb h LEFT JOIN dl USING (symbol, session)
@@ -246,6 +241,11 @@ INTRA = f"""{B.TICKS}, hb AS (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(
   WHEN (gap <= -0.5 AND close > vwap_s AND back) OR (ext_down >= 0.5 AND close > vwap_s AND close > open_d) THEN 'reversal_up'
   WHEN side_share >= 0.75 AND dist >= 0.25 THEN 'trend_up' WHEN side_share <= 0.25 AND dist <= -0.25 THEN 'trend_down' ELSE 'range' END AS micro,
   CASE WHEN range_ratio >= 1.3 THEN 'expanding' WHEN range_ratio <= 0.7 THEN 'compressing' WHEN range_ratio IS NOT NULL THEN 'normal' END AS vol_state FROM lb)"""
+INTRA = f"""{B.TICKS}, hb AS (SELECT symbol, date_trunc('hour', ts) AS ts, CAST(ts AS DATE) AS session, first(price ORDER BY ts, event_id) AS open,
+ max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close, sum(size) AS volume, sum(price * size) / nullif(sum(size), 0) AS vwap
+ FROM ticks GROUP BY ALL),
+ bars AS (SELECT symbol, CAST(ts AS DATE) AS session, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
+  last(price ORDER BY ts, event_id) AS close FROM ticks GROUP BY ALL), {FEATURES}"""
 FIN = f"""fi2 AS (SELECT *, (last_value(close) OVER (PARTITION BY symbol, session ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - close) / atr_prev AS fwd_atr,
   CASE WHEN micro = 'range' THEN -sign(dist) WHEN micro LIKE '%up' THEN 1 ELSE -1 END AS dir FROM lab),
  fx AS (SELECT * FROM fi2 WHERE slot < ms AND micro IS NOT NULL AND fwd_atr IS NOT NULL),

@@ -10,9 +10,12 @@ from tapegrain.operators import fundamentals as FU
 from tapegrain.operators import joins as J
 from tapegrain.operators import learning as L
 from tapegrain.operators import news as N
+from tapegrain.operators import regimes as G
+from tapegrain.operators import setups as SU
 from tapegrain.operators import strategies as ST
 from tapegrain.operators.kernels import by_time
 from tapegrain.plans.catalog import day, ds, query, rnd, rs, stamp, ts_sql
+from tapegrain.plans.regimes import FEATURES, IP, REG
 from tapegrain.plans.windows import DELTA, WS, ewm_sql, fr, full_sql
 from tapegrain.sources import documents as D
 from tapegrain.sources import readers as R
@@ -53,6 +56,75 @@ def bollinger_rules(spark, d):
     return ST.mean_reversion(B.daily_bars(spark, d), "bollinger_meanrev", bb_k=1.5, trend_sma=60).select("symbol", day().alias("session"), "entry", "exit")
 
 
+@query("win46_rule_positions", f"""WITH {B.BARS}, {DELTA}, {ewm_sql('ud', 'e', {'au': ('up', 1 / 14, 14), 'ad': ('dn', 1 / 14, 14)})},
+ mf AS (WITH {ewm_sql('bars', 'x', {'f': ('close', 2 / 13, 12), 's': ('close', 2 / 27, 26)})}, m AS (SELECT symbol, session, f - s AS macd FROM x), {ewm_sql('m', 'g', {'sig': ('macd', 0.2, 9)})} SELECT symbol, session, macd > sig AS up FROM g),
+ i AS (SELECT e.symbol, e.session, {RSI.format(n='')} AS r, {full_sql('avg(close)', 'close', 10)} > {full_sql('avg(close)', 'close', 30)} AS c1, {full_sql('avg(close)', 'close', 12)} > {full_sql('avg(close)', 'close', 26)} AS c2, mf.up FROM e JOIN mf USING (symbol, session)),
+ h AS (SELECT *, coalesce(last_value(CASE WHEN r > 60 THEN 0 WHEN r < 40 THEN 1 END IGNORE NULLS) OVER ({WS} ROWS UNBOUNDED PRECEDING), 0) AS p3, coalesce(last_value(CASE WHEN r > 70 THEN 0 WHEN r < 30 THEN 1 END IGNORE NULLS) OVER ({WS} ROWS UNBOUNDED PRECEDING), 0) AS p4 FROM i)
+ SELECT rule_id, symbol, {ds()} AS session, CAST(position AS INTEGER) AS position FROM (SELECT symbol, session, unnest(['hold', 'cross-10-30', 'cross', 'rsi-40-60', 'rsi', 'macd']) AS rule_id,
+  unnest([1, CAST(coalesce(c1, false) AS INTEGER), CAST(coalesce(c2, false) AS INTEGER), p3, p4, CAST(coalesce(up, false) AS INTEGER)]) AS position FROM h)""")
+def rule_positions(spark, d):
+    """Six rules held as rows: their windows and thresholds are data."""
+    rules = spark.createDataFrame([("hold", "buy_and_hold", None), ("cross-10-30", "sma_cross", {"fast": 10.0, "slow": 30.0}), ("cross", "sma_cross", {}),
+                                   ("rsi-40-60", "rsi", {"buy_below": 40.0, "sell_above": 60.0}), ("rsi", "rsi", None), ("macd", "macd_cross", None)], "rule_id string, kind string, params map<string,double>")
+    r = SU.rule_positions(B.daily_bars(spark, d), rules)
+    return r.select("rule_id", "symbol", day().alias("session"), "position")
+
+
+# Weeks stand in for sessions and their days for the bars of a session; a nation's lines are one symbol. Days close 55 minutes apart from 10:00.
+WEEKS = f"""{B.LINES}, wl AS (SELECT lines.*, s_nationkey AS symbol, CAST(date_trunc('week', session) AS DATE) AS week FROM lines JOIN supplier ON s_suppkey = l_suppkey),
+ hb AS (SELECT symbol, session AS ts, week AS session, first(p {B._T}) AS open, max(p) AS high, min(p) AS low, last(p {B._T}) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) / sum(l_quantity) AS vwap FROM wl GROUP BY symbol, wl.session, week),
+ bars AS (SELECT symbol, week AS session, first(p ORDER BY wl.session, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS open, max(p) AS high, min(p) AS low, last(p ORDER BY wl.session, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS close, sum(l_quantity) AS volume FROM wl GROUP BY symbol, week)"""
+
+
+def weeks(spark, d):
+    """(day bars of each week, week bars) of each nation."""
+    s = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("symbol"))
+    li = B.lines(spark, d).join(s, "l_suppkey").withColumnRenamed("session", "ts").withColumn("session", F.date_trunc("week", "ts").cast("date"))
+    tie = F.struct("ts", *B._TIE)
+    ohlc = lambda *keys: li.groupBy(*keys).agg(F.min_by("p", tie).alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", tie).alias("close"), F.sum("l_quantity").alias("volume"),
+                                               (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("vwap"))
+    return ohlc("symbol", "session", "ts"), ohlc("symbol", "session").drop("vwap")
+
+
+_SETUP_ROW = "SELECT symbol, session, ts, '{0}' AS setup, {1} AS entry_on, {2} AS setup_entry, {3} AS exit_moc, {4} AS stop_dist, {5} AS target_dist, {6} AS trail_after, {7} AS trail_dist, {8} AS max_sessions, {9} AS score FROM x"
+_CLIP = "least(greatest({0}, {1} * atr_prev), {2} * atr_prev)"
+_SIG, _NIL = "mod BETWEEN 600 AND 930", "NULL::DOUBLE"
+_PB, _VR = "regime_y = 'bull' AND rsi_3_y <= 30", "close_y > sma200_y AND rsi_2_y <= 10"
+_CB, _GG = "bw_rank_y <= 0.2::DOUBLE AND close_y > sma50_y", "close_y > sma50_y AND sma50_slope_y > 0 AND gap >= 0.5"
+SETUP_ROWS = " UNION ALL ".join([
+    _SETUP_ROW.format("pullback", f"{_PB} AND close > vwap_s AND was_below AND {_SIG}", f"{_PB} AND mod = 600", "false", "1.5 * atr_prev", "3 * atr_prev", "1.5 * atr_prev", "1.5 * atr_prev", 10, "-rsi_3_y"),
+    _SETUP_ROW.format("vwap_reversion", f"{_VR} AND dist <= -0.5 AND {_SIG}", f"{_VR} AND mod = 600", "slot = ms - 1 AND close > (sum4_y + close) / 5", "2.5 * atr_prev", _NIL, _NIL, _NIL, 5, "-rsi_2_y"),
+    _SETUP_ROW.format("compression_breakout", f"{_CB} AND close > high20_y AND relvol >= 1.2::DOUBLE AND {_SIG}", f"{_CB} AND mod = 600", "false", "1.5 * atr_prev", "3 * atr_prev", "1.5 * atr_prev", "2 * atr_prev", 10, "relvol"),
+    _SETUP_ROW.format("gap_go", f"{_GG} AND close > open_d AND close > vwap_s AND relvol >= 1.5 AND mod BETWEEN 600 AND 690", f"{_GG} AND mod = 600", "false", _CLIP.format("close - sl", 0.5, 1.5), "2 * atr_prev", "atr_prev", "atr_prev", 5, "gap"),
+    _SETUP_ROW.format("gap_fade_down", "gap <= -0.5 AND close < open_d AND close < vwap_s AND relvol >= 1.5 AND mod BETWEEN 630 AND 870", "false", "false", "1.5 * atr_prev", _NIL, _NIL, _NIL, 0, "-gap"),
+    _SETUP_ROW.format("liquidity_sweep", "sl < low_y AND close > low_y AND mod BETWEEN 600 AND 870", "false", "false", _CLIP.format("close - sl + 0.1::DOUBLE * atr_prev", 0.25, 1), _NIL, _NIL, _NIL, 0, "(low_y - sl) / atr_prev"),
+    _SETUP_ROW.format("last_half_hour", "fc > prev_close AND mod = 930 AND symbol % 5 = 0", "false", "false", "0.5 * atr_prev", _NIL, _NIL, _NIL, 0, "fc / prev_close - 1"),
+    _SETUP_ROW.format("orb30", "slot >= 2 AND close > oh AND relvol >= 1.2::DOUBLE AND mod BETWEEN 600 AND 720", "false", "false", _CLIP.format("close - ol", 0.25, 1), _NIL, _NIL, _NIL, 0, "relvol")])
+LAGS = ", ".join(f"lag({x}) OVER ({WS}) AS {x}_y" for x in LAGGED)
+
+
+@query("win49_setups", f"""WITH {WEEKS}, lab0 AS (WITH {FEATURES} SELECT * FROM lab),
+ feat AS (WITH {DELTA}, {ewm_sql('ud', 'e', {'au2': ('up', 0.5, 2), 'ad2': ('dn', 0.5, 2), 'au3': ('up', 1 / 3, 3), 'ad3': ('dn', 1 / 3, 3)})},
+  f AS (SELECT symbol, session, close, high, low, {RSI.format(n=2)} AS rsi_2, {RSI.format(n=3)} AS rsi_3, {full_sql('avg(close)', 'close', 50)} AS sma50, {full_sql('avg(close)', 'close', 200)} AS sma200,
+   4 * {full_sql('stddev_samp(close)', 'close', 20)} / {full_sql('avg(close)', 'close', 20)} AS bw, {full_sql('max(high)', 'high', 20)} AS high20, {full_sql('sum(close)', 'close', 4)} AS sum4 FROM e),
+  g AS (SELECT *, sma50 - lag(sma50, 10) OVER ({WS}) AS sma50_slope, list(bw) OVER {fr(126)} AS v FROM f),
+  h AS (SELECT *, CASE WHEN bw IS NOT NULL AND len(list_filter(v, lambda z: z IS NOT NULL)) >= 63 THEN CAST(len(list_filter(v, lambda z: z < bw)) AS DOUBLE) / (len(v) - 1) END AS bw_rank FROM g) SELECT symbol, session, {LAGS} FROM h),
+ rg AS (WITH {REG} SELECT symbol, session, lag(regime) OVER ({WS}) AS regime_y FROM reg),
+ x0 AS (SELECT lab0.*, feat.* EXCLUDE (symbol, session), regime_y, 545 + 55 * isodow(ts) AS mod FROM lab0 JOIN feat USING (symbol, session) JOIN rg USING (symbol, session)),
+ x AS (SELECT *, coalesce(bool_or(close < vwap_s) OVER (PARTITION BY symbol, session ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was_below, max(close) FILTER (mod = 600) OVER s AS fc, max(high) FILTER (slot <= 1) OVER s AS oh, min(low) FILTER (slot <= 1) OVER s AS ol
+  FROM x0 WINDOW s AS (PARTITION BY symbol, session)),
+ rows AS ({SETUP_ROWS}),
+ k AS (SELECT * REPLACE (coalesce(entry_on, false) AS entry_on, coalesce(setup_entry, false) AS setup_entry, coalesce(exit_moc, false) AS exit_moc), sum(CASE WHEN entry_on THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, session, setup ORDER BY ts) AS nth FROM rows)
+ SELECT symbol, {ds()} AS session, {ds('ts')} AS ts, setup, entry_on AND nth = 1 AS entry, setup_entry, exit_moc, {rs('stop_dist')} AS stop_dist, {rs('target_dist')} AS target_dist, {rs('trail_after')} AS trail_after, {rs('trail_dist')} AS trail_dist, max_sessions, {rs('score')} AS score
+ FROM k WHERE (entry_on AND nth = 1) OR setup_entry OR exit_moc""")
+def setups(spark, d):
+    """Eight set-ups over the days of each week as one long table."""
+    bars, daily = weeks(spark, d)
+    x = SU.context(G.intraday_features(bars, daily, IP).withColumn("mod", 545 + 55 * (F.weekday("ts") + 1)), ST.lagged_features(daily), G.daily_regime(daily))
+    s = SU.setups(x, F.col("symbol") % 5 == 0)
+    return s.select("symbol", day().alias("session"), day("ts").alias("ts"), "setup", "entry", "setup_entry", "exit_moc", *[rnd(c).alias(c) for c in ("stop_dist", "target_dist", "trail_after", "trail_dist")], "max_sessions", rnd("score").alias("score"))
+
+
 @query("srt05_setup_scan", f"""WITH {B.BARS}, {RSI2}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS rn FROM f) SELECT symbol, {ds()} AS session, {rs('rsi')} AS rsi_2 FROM l WHERE rn = 1 AND coalesce(close > ma5, false)""")
 def setup_scan(spark, d):
     m = ST.mean_reversion(B.daily_bars(spark, d), "rsi2_meanrev").select("symbol", "session", "exit", "rsi_2")
