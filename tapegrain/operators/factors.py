@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrain.functions import indicators as I
-from tapegrain.operators.kernels import (MAX_GROUP_ROWS, by_time, full, rank_in_group, ratio, roll_cov, roll_mean, roll_std,
-                                         roll_sum, so_far, trailing)
+from tapegrain.operators.kernels import (MAX_GROUP_ROWS, by_time, full, rank_in_group, ratio, roll_mean, roll_moments, so_far, trailing)
 from tapegrain.session import materialize
 
 W = lambda: by_time("symbol", "session")
@@ -130,14 +129,16 @@ def panel_factors(bars: DataFrame, market: DataFrame, sectors: DataFrame, min_do
     d = d.withColumn("_r1", F.col("_lc") - F.lag("_lc").over(w))
     pair = F.col("_r1").isNotNull() & F.col("_mr").isNotNull()
     d = d.withColumns({"_x": F.when(pair, F.col("_r1")), "_y": F.when(pair, F.col("_mr"))})
-    beta = ratio(roll_cov("_x", "_y", w, 252, 126), roll_cov("_y", "_y", w, 252, 126))
-    d = d.withColumns({"beta": beta, "mom_12_1": F.lag("_lc", 21).over(w) - F.lag("_lc", 252).over(w),
+    d = roll_moments(d, "symbol", "session", 252, {"_xy": ("_x", "_y"), "_yy": ("_y", "_y")})
+    beta = F.when((F.col("_xy_n") >= 126) & (F.col("_xy_n") > 1), ratio("_xy_c", "_yy_c"))
+    d = d.drop("_xy_x", "_yy_x", "_yy_n").withColumns({"beta": beta, "mom_12_1": F.lag("_lc", 21).over(w) - F.lag("_lc", 252).over(w),
                        "tradeable": tradeable(min_dollar_volume)})
     d = d.withColumn("_res", F.col("_r1") - F.col("beta") * F.col("_mr"))
     d = d.withColumn("_rz", F.lag("_res", 21).over(w))
-    d = d.withColumn("resmom_12_1", roll_sum("_rz", w, 231) / (roll_std("_rz", w, 231) + 1e-9))
+    d = roll_moments(d, "symbol", "session", 231, {"_z": ("_rz", "_rz")})
+    d = d.withColumn("resmom_12_1", F.when(F.col("_z_n") >= 231, F.col("_z_n") * F.col("_z_x") / (F.sqrt("_z_c") + 1e-9)))
     d = d.join(sectors.select("symbol", "sector"), "symbol")
-    d = d.drop("_lc", "_r1", "_x", "_y", "_res", "_rz", "_mr")
+    d = d.drop("_lc", "_r1", "_x", "_y", "_res", "_rz", "_mr", "_xy_n", "_xy_c", "_yy_c", "_z_n", "_z_x", "_z_c")
     if bound is not None and bound <= MAX_GROUP_ROWS:
         med = F.percentile("mom_12_1", F.lit(0.5)).over(Window.partitionBy("session", "sector"))
         return d.withColumn("sec_rel_mom", F.col("mom_12_1") - med)

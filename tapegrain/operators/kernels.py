@@ -79,6 +79,34 @@ def roll_std(x: str | Column, w: WindowSpec, n: int, need: int | None = None) ->
     return full(F.stddev_samp(c(x)), x, trailing(w, n), n if need is None else need)
 
 
+def roll_moments(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str], n: int, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each name and its columns (x, y), null on the same rows, over the last ``n`` rows: name_n, name_x (mean of x) and
+    name_c (sample covariance; the variance where x is y; null below two rows).
+
+    Linear in the rows at any length: rows are cut into blocks of n, so a frame is the head of its own block and the tail of
+    the block before. Both come from running aggregates, one forwards and one backwards, and are merged as parallel moments
+    are: nothing is subtracted, and a missing, infinite or huge value touches only the rows whose frame holds it.
+    """
+    k, o = ([x] if isinstance(x, str) else list(x) for x in (keys, order))
+    w = Window.partitionBy(*k).orderBy(*o)
+    d = df.withColumn("_b", F.floor((F.row_number().over(w) - 1) / n))
+    backwards = Window.partitionBy(*k, F.col("_b")).orderBy(*[F.desc(x) for x in o]).rowsBetween(Window.unboundedPreceding, -1)
+    forwards = Window.partitionBy(*k, F.col("_b")).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    parts = lambda x, y, over: F.struct(F.count(x).over(over).alias("n"), F.avg(x).over(over).alias("x"), F.avg(y).over(over).alias("y"), F.covar_pop(x, y).over(over).alias("c"))
+    d = d.withColumns({f"_t_{m}": parts(x, y, backwards) for m, (x, y) in pairs.items()})
+    d = d.withColumns({f"_t_{m}": F.lag(f"_t_{m}", n).over(w) for m in pairs})
+    d = d.withColumns({f"_h_{m}": parts(x, y, forwards) for m, (x, y) in pairs.items()})
+    out: dict[str, Column] = {}
+    for m in pairs:
+        h, t = F.col(f"_h_{m}"), F.col(f"_t_{m}")
+        a, b = h["n"], F.coalesce(t["n"], F.lit(0))
+        both, total = (a > 0) & (b > 0), F.nullif(a + b, F.lit(0))
+        mean = F.when(both, h["x"] + (t["x"] - h["x"]) * b / total).otherwise(F.coalesce(F.when(a > 0, h["x"]), t["x"]))
+        moment = F.coalesce(a * h["c"], F.lit(0.0)) + F.coalesce(b * t["c"], F.lit(0.0)) + F.when(both, (t["x"] - h["x"]) * (t["y"] - h["y"]) * a * b / total).otherwise(0.0)
+        out |= {f"{m}_n": a + b, f"{m}_x": mean, f"{m}_c": F.when(a + b > 1, moment / (a + b - 1))}
+    return d.withColumns(out).drop("_b", *[f"_{s}_{m}" for s in "th" for m in pairs])
+
+
 def ratio(a: str | Column, b: str | Column) -> Column:
     return c(a) / F.nullif(c(b), F.lit(0.0))
 

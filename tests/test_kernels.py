@@ -126,3 +126,33 @@ def test_moving_order_against_loops(spark, frame):
             known = [z for z in here if z is not None]
             want = sum(z < v for z in known) / (len(here) - 1) if v is not None and len(known) >= least and len(here) > 1 else None
             assert share[k, t] == (v, want)
+
+
+@pytest.mark.parametrize("n", [1, 4, 30])
+def test_roll_moments_against_pandas(spark, n):
+    """Counts, means and covariances of frames that lie in one block and in two; a huge or infinite value stays in its frames."""
+    from tapegrain.operators.kernels import roll_moments
+    rng = np.random.default_rng(n)
+    rows = []
+    for k, size in (("a", 95), ("b", 3), ("c", 61)):
+        x, y = rng.normal(1e6, 1, size), rng.normal(size=size)
+        gone = rng.random(size) < 0.15
+        x[gone], y[gone] = np.nan, np.nan
+        if size > 60:
+            x[20], y[20] = 1e18, 1.0
+            x[40], y[40] = np.inf, 1.0
+        rows += [(k, t, None if np.isnan(a) else float(a), None if np.isnan(b) else float(b)) for t, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "k string, t int, x double, y double").repartition(4)
+    got = roll_moments(df, "k", "t", n, {"m": ("x", "y"), "v": ("y", "y")}).toPandas().sort_values(["k", "t"])
+    for _, g in got.groupby("k"):
+        for i in range(len(g)):
+            f = g.iloc[max(0, i - n + 1):i + 1].dropna(subset=["x"])
+            row = g.iloc[i]
+            assert row.m_n == row.v_n == len(f)
+            if not len(f) or not np.isfinite(f.x).all():
+                continue
+            assert abs(row.m_x - f.x.mean()) <= 1e-9 * abs(f.x).max() and abs(row.v_x - f.y.mean()) < 1e-9
+            if len(f) > 1:
+                assert abs(row.v_c - f.y.var()) < 1e-9 and abs(row.m_c - f.x.cov(f.y)) <= 1e-9 * max(1, abs(f.x - f.x.mean()).max())
+            else:
+                assert np.isnan(row.m_c)
