@@ -50,6 +50,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose records one bucket gathers, about, where a bucket is one group of a Python task.
+BUCKET_BYTES = 24 << 20
+
+
+def buckets_for(docs: DataFrame, least: int) -> int:
+    """How many buckets keep a group at about BUCKET_BYTES of text, whatever the number of shuffle partitions; at least ``least``."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-int(total) // BUCKET_BYTES))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

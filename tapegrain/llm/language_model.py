@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrain.llm import textops as X
-from tapegrain.llm.common import crc_mod, materialize, partitions
+from tapegrain.llm.common import buckets_for, crc_mod, materialize, partitions
 
 FOLDS, ADD = 10, 0.1
 BASE, PRIOR = 1.5, 4.0
@@ -151,17 +151,9 @@ def _bit(h: np.ndarray, level: int, k: int, n_bits) -> np.ndarray:
     return ((x >> np.uint64(32)) * n_bits >> np.uint64(32)).astype(np.int64)
 
 
-def stretch(h: np.ndarray, level: np.ndarray, most: int | None = None) -> tuple[np.ndarray, int]:
-    """Bits of the keys of a bucket, each entered at all levels up to its own.
-
-    With ``most``, the lowest levels are left out until that many bits do; scores never ask for it.
-    """
-    most = BITS_PER_KEY * int(level.sum()) + 64 if most is None else most
-    hist = np.bincount(level, minlength=LEVELS)
-    entries = np.cumsum((hist * np.arange(len(hist)))[::-1])[::-1]  # of the keys of a level and above
-    least = next((k for k in range(1, LEVELS) if BITS_PER_KEY * entries[k] <= most), LEVELS)
-    h, level = h[level >= least], level[level >= least]
-    n_bits = max(64, min(most, int(BITS_PER_KEY * level.sum())))
+def stretch(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bits of the keys of a bucket, each entered at all levels up to its own."""
+    n_bits = max(64, int(BITS_PER_KEY * level.sum()))
     n_bits = -(-n_bits // 8) * 8
     bits = np.zeros(n_bits, bool)
     for at in range(1, int(level.max()) + 1 if len(level) else 0):
@@ -347,7 +339,7 @@ def blocks(n_bits: list[int], max_bits: int) -> list[tuple[int, int]]:
 def score(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = buckets_for(docs, partitions(spark))
     source = docs.select("doc_id", "text", (crc_mod("doc_id", FOLDS) != 0).alias("train"))
     answer = source.mapInArrow(_gather(buckets), PACKED).groupBy("bucket").applyInArrow(_count(buckets), ANSWER)
     answer = materialize(answer, "counts")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapegrain.llm import textops as X
-from tapegrain.llm.common import materialize, partitions
+from tapegrain.llm.common import buckets_for, materialize, partitions
 
 WINDOW, SEED = 20, 3
 _LAST = np.iinfo(np.int64).max
@@ -195,7 +195,7 @@ def _with_key(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def repeated_spans(docs: DataFrame, keyed: bool, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, key, spans): word ranges [lo, hi) of each text that windows starting earlier elsewhere cover."""
-    buckets = 8 * partitions(docs.sparkSession)
+    buckets = buckets_for(docs, 8 * partitions(docs.sparkSession))
     heavy = heavy_seeds(docs, seed, buckets)
     packed = docs.select("doc_id", F.col("_key").alias("key"), "text").mapInArrow(_pack(window, seed, buckets, heavy, keyed), PACKED)
     found = packed.groupBy("bucket").applyInArrow(_find(window), "doc_id long, key long, span struct<lo:long,hi:long>")

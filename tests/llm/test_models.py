@@ -63,13 +63,11 @@ def test_filter_counts():
     h = np.sort(rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64))
     n = rng.geometric(0.3, len(h))
     edge = np.searchsorted(language_model.bucket_of(h, 4), range(5))
-    made = [language_model.stretch(h[i:j], language_model.levels(n[i:j]), 1 << 20) for i, j in zip(edge[:-1], edge[1:])]
+    made = [language_model.stretch(h[i:j], language_model.levels(n[i:j])) for i, j in zip(edge[:-1], edge[1:])]
     f = language_model.Filter(np.concatenate([m[0] for m in made]), [m[1] for m in made])
     got, true = f.count(h), language_model.COUNT_OF[language_model.levels(n)]
     assert (got >= true).all() and (got == true).mean() > 0.85
     assert (f.count(rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64)) > 0).mean() < 0.12
-    few, bits = language_model.stretch(h, language_model.levels(n), 8000)
-    assert bits <= 8000 and len(few) == bits // 8
 
 
 def test_language_held_out(spark):

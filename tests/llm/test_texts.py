@@ -306,3 +306,13 @@ def test_decontamination_spans():
     for _ in range(200):
         a, b = rng.integers(0, 9, rng.integers(1, 12)), rng.integers(0, 9, rng.integers(0, 25))
         assert decontamination._may_hold(a, b, 0.5) or decontamination.align(a, b)[0] / (2 * len(a)) < 0.5
+
+
+def test_buckets_follow_the_bytes(spark, docs, none, monkeypatch):
+    """Groups stay small whatever the shuffle partitions; the result does not depend on the number of buckets."""
+    from tapegrain.llm import common
+    size = docs.agg({"text": "count"}).first()[0] and sum(len((r["text"] or "").encode()) for r in docs.select("text").collect())
+    want = Counter(map(tuple, substring_dedup.remove_repeats(docs, text=False).collect()))
+    monkeypatch.setattr(common, "BUCKET_BYTES", 4096)
+    assert common.buckets_for(docs, 4) == -(-size // 4096) and common.buckets_for(none, 4) == 4
+    assert Counter(map(tuple, substring_dedup.remove_repeats(docs, text=False).collect())) == want
