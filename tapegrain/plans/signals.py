@@ -29,14 +29,18 @@ PACK = f"""{B.BARS}, {DELTA}, t1 AS (SELECT *, {TR} AS tr FROM ud), {ewm_sql('t1
 
 def feature_pack(spark, d):
     """One row per symbol: the last bar's features joined with fundamentals and news."""
-    w = by_time("symbol", "session")
     b = I.add_atr(I.add_rsi(B.daily_bars(spark, d)), 14)
-    yr = trailing(w, 252)
-    z = (F.col("volume") - I.sma("volume", 20)) / F.nullif(I.rolling_std("volume", 20), F.lit(0.0))
-    b = b.withColumns({"ret_1m": F.col("close") / F.lag("close", 21).over(w) - 1, "ret_3m": F.col("close") / F.lag("close", 63).over(w) - 1, "atr_pct": F.col("atr_14") / F.col("close"),
-                       "sma50": I.sma("close", 50), "sma200": I.sma("close", 200), "vol_z_20": z, "hi": F.max("close").over(yr), "lo": F.min("close").over(yr)})
-    cols = ["close", "ret_1m", "ret_3m", "rsi_14", "atr_pct", "sma50", "sma200", "vol_z_20", "hi", "lo"]
-    last = b.groupBy("symbol").agg(F.max("session").alias("session"), F.max_by(F.struct(*cols), "session").alias("z")).select("symbol", "session", "z.*")
+    # only RSI and range need the history; the rest reads the last 252 bars of each symbol as one aggregate
+    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("session")))
+    b = b.select("symbol", "session", "close", "volume", "rsi_14", "atr_14", rn.alias("rn")).where(F.col("rn") <= 252)
+    at = lambda x, k: F.max(F.when(F.col("rn") == k, F.col(x)))
+    near = lambda x, k: F.when(F.col("rn") <= k, F.col(x))
+    mean = lambda x, k: F.when(F.count(near(x, k)) >= k, F.avg(near(x, k)))
+    spread = F.when(F.count(near("volume", 20)) >= 20, F.stddev_samp(near("volume", 20)))
+    close = at("close", 1)
+    last = b.groupBy("symbol").agg(F.max("session").alias("session"), close.alias("close"), (close / at("close", 22) - 1).alias("ret_1m"), (close / at("close", 64) - 1).alias("ret_3m"), at("rsi_14", 1).alias("rsi_14"),
+                                   (at("atr_14", 1) / close).alias("atr_pct"), mean("close", 50).alias("sma50"), mean("close", 200).alias("sma200"), F.max("close").alias("hi"), F.min("close").alias("lo"),
+                                   ((at("volume", 1) - mean("volume", 20)) / F.nullif(spread, F.lit(0.0))).alias("vol_z_20"))
     fu = B.fundamentals(spark, d).groupBy("symbol").agg(F.max_by(F.struct("income", "units"), "period_end").alias("z")).select("symbol", "z.*")
     cl = T.classify(headlines(spark, d), "title")
     sign = F.when(F.col("direction") == "bullish", 1.0).when(F.col("direction") == "bearish", -1.0).otherwise(0.0)
