@@ -50,8 +50,14 @@ MATERIALITY_FLOORS = {
     "analyst_upgrade": 0.55, "analyst_downgrade": 0.55, "legal_litigation": 0.50, "product_launch": 0.45,
     "sec_filing": 0.40, "macro": 0.35, "technical": 0.20, "noise": 0.10}
 
-BEARISH = ("earnings_miss", "guidance_cut", "fda_rejection", "contract_loss", "analyst_downgrade", "legal_litigation")
-NEUTRAL = ("acquirer", "sec_filing", "macro", "technical", "noise")
+# Direction of each category (fixed values); a category that is not listed is neutral.
+DIRECTIONS = {
+    "earnings_beat": "bullish", "earnings_miss": "bearish", "guidance_raise": "bullish", "guidance_cut": "bearish",
+    "fda_approval": "bullish", "fda_rejection": "bearish", "acquisition_target": "bullish", "acquirer": "neutral",
+    "executive_endorsement": "bullish", "strategic_investment": "bullish", "major_customer_win": "bullish", "index_inclusion": "bullish",
+    "capacity_expansion": "bullish", "contract_win": "bullish", "contract_loss": "bearish", "partnership": "bullish",
+    "insider_buy_cluster": "bullish", "analyst_upgrade": "bullish", "analyst_downgrade": "bearish", "legal_litigation": "bearish",
+    "product_launch": "bullish", "sec_filing": "neutral", "macro": "neutral", "technical": "neutral", "noise": "neutral"}
 
 RUMOR_TERMS = ("rumor", "rumour", "speculation", "could be", "may be", "reportedly in talks", "weighing", "exploring a",
                "is said to be considering")
@@ -149,13 +155,13 @@ def substantiation(text: Column) -> Column:
             .when(has_any(text, REPORT_TERMS), "reported").otherwise("confirmed"))
 
 
-def lookup(table: dict[str, float], key: Column, default: float) -> Column:
+def lookup(table: dict, key: Column, default) -> Column:
     m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.coalesce(F.try_element_at(m, key), F.lit(default))
 
 
 def direction(cat: Column) -> Column:
-    return F.when(cat.isin(*BEARISH), "bearish").when(cat.isin(*NEUTRAL), "neutral").otherwise("bullish")
+    return lookup(DIRECTIONS, cat, "neutral")
 
 
 def classify(df: DataFrame, title: str, summary: str | None = None) -> DataFrame:

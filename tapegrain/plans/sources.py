@@ -136,6 +136,76 @@ def company_facts(spark, d):
     return r.select("cik", day("end").alias("end"), "tag", rnd("val", 2).alias("val"))
 
 
+@query("src16_report_calendar", f"""SELECT concat('S', l_suppkey) AS symbol, {ds('l_shipdate')} AS date, CASE min(l_linenumber) % 3 WHEN 0 THEN 'bmo' WHEN 1 THEN 'amc' ELSE 'unknown' END AS timing, concat('Q', quarter(l_shipdate)) AS fq
+ FROM lineitem GROUP BY l_suppkey, l_shipdate""")
+def report_calendar(spark, d):
+    """A file of reports for each ship date, named by the day."""
+    g = B.table(spark, d, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("day")).agg(F.min("l_linenumber").alias("m"))
+    time = F.when(F.col("m") % 3 == 0, "time-pre-market").when(F.col("m") % 3 == 1, "time-after-hours").otherwise("time-not-supplied")
+    row = F.struct(F.concat(F.lit("S"), "l_suppkey").alias("symbol"), time.alias("time"), F.concat(F.lit("Q"), F.quarter("day")).alias("fq"))
+    path = fresh_path(spark, "calendar")
+    g.groupBy("day").agg(F.to_json(F.array_agg(row)).alias("value")).repartition(8, "day").write.partitionBy("day").text(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in fs.globStatus(hadoop(f"{path}/day=*/part-*")):  # a file a day of the calendar
+        day_ = part.getPath().getParent().getName().split("=")[1]
+        fs.rename(part.getPath(), hadoop(f"{path}/{day_}.json"))
+    return R.report_calendar(spark, f"{path}/*.json").select("symbol", day("date").alias("date"), "timing", "fq")
+
+
+ACCEPTED = "CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST((o_orderkey * 37) % 1700 AS INTEGER))"
+
+
+@query("src17_result_filings", f"""WITH f AS (SELECT o_custkey AS cik, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE timezone('America/New_York', timezone('UTC', {ACCEPTED})) END AS acc FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 3 <> 0 AND o_orderdate >= DATE '1993-06-01')
+ SELECT DISTINCT cik, {ds('date')} AS date, CASE WHEN acc IS NULL OR CAST(acc AS DATE) <> date THEN 'unknown' WHEN hour(acc) * 60 + minute(acc) < 570 THEN 'bmo' WHEN hour(acc) >= 16 THEN 'amc' ELSE 'intraday' END AS timing FROM f""")
+def result_filings(spark, d):
+    """Filings of each customer as parallel arrays: forms, dates, times of acceptance and items."""
+    o = B.table(spark, d, "orders")
+    form = F.when(F.col("o_orderpriority") == "5-LOW", "10-Q").when(F.col("o_orderkey") % 2 == 0, "8-K/A").otherwise("8-K")
+    at = F.to_date("o_orderdate").cast("timestamp") + F.make_interval(mins=((F.col("o_orderkey") * 37) % 1700).cast("int"))
+    f = o.select("o_custkey", form.alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filingDate"), F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("acceptanceDateTime"),
+                 F.when(F.col("o_orderkey") % 3 == 0, "5.07").otherwise("2.02,9.01").alias("items"))
+    names = ("form", "filingDate", "acceptanceDateTime", "items")
+    g = f.groupBy(F.col("o_custkey").alias("cik")).agg(F.array_agg(F.struct(*names)).alias("a"))
+    path = fresh_path(spark, "submissions")
+    g.select("cik", F.struct(F.struct(*[F.col("a")[x].alias(x) for x in names]).alias("recent")).alias("filings")).write.json(path)
+    return R.result_filings(spark, path, "1993-06-01").select("cik", day("date").alias("date"), "timing")
+
+
+def holdings_documents(spark, d):
+    """A holdings report for each order; half carry a prefix on all names, and every fiftieth is cut off."""
+    li = B.table(spark, d, "lineitem")
+    p = F.when(F.col("l_orderkey") % 2 == 1, "n1:").otherwise("")
+    tag = lambda name, x: F.concat(F.lit("<"), p, F.lit(f"{name}>"), x, F.lit("</"), p, F.lit(f"{name}>"))
+    option = F.when(F.col("l_linenumber") % 4 == 0, tag("putCall", F.lit("Put"))).otherwise("")
+    row = tag("infoTable", F.concat(tag("nameOfIssuer", F.concat(F.lit("Maker "), "l_suppkey")), tag("cusip", F.concat(F.lit("C"), "l_suppkey")), tag("value", F.col("l_extendedprice").cast("string")),
+                                    tag("shrsOrPrnAmt", tag("sshPrnamt", F.col("l_quantity").cast("string"))), option))
+    doc = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_agg(row), "").alias("t"))
+    p = F.when(F.col("doc_id") % 2 == 1, "n1:").otherwise("")
+    space = F.when(F.col("doc_id") % 2 == 1, " xmlns:n1=\"urn:holdings\"").otherwise("")
+    end = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.concat(F.lit("</"), p, F.lit("informationTable>")))
+    return doc.select("doc_id", F.concat(F.lit("<"), p, F.lit("informationTable"), space, F.lit(">"), "t", end).alias("xml"))
+
+
+@query("src20_holdings_xml", f"""SELECT l_orderkey AS doc_id, concat('C', l_suppkey) AS cusip, {rs('l_extendedprice', 2)} AS value, {rs('l_quantity', 2)} AS shares, count(*) AS n FROM lineitem WHERE l_orderkey % 50 <> 0 AND l_linenumber % 4 <> 0 GROUP BY 1, 2, 3, 4""")
+def holdings_xml(spark, d):
+    h = R.holdings_xml(holdings_documents(spark, d))
+    return h.groupBy("doc_id", "cusip", rnd("value", 2).alias("value"), rnd("shares", 2).alias("shares")).agg(F.count("*").alias("n"))
+
+
+@query("src20_broken_documents", "SELECT DISTINCT l_orderkey AS doc_id, true AS broken FROM lineitem WHERE l_orderkey % 50 = 0")
+def broken_documents(spark, d):
+    return R.broken_documents(holdings_documents(spark, d)).withColumn("broken", F.lit(True))
+
+
+@query("jon21_security_tickers", f"""WITH m AS (SELECT concat('C', s_suppkey) AS cusip, concat('T', s_nationkey, '.', s_suppkey) AS ticker FROM supplier WHERE s_suppkey % 7 <> 0)
+ SELECT l_orderkey AS doc_id, ticker, {rs('sum(l_extendedprice)', 2)} AS value, count(*) AS positions FROM lineitem LEFT JOIN m ON cusip = concat('C', l_suppkey) WHERE l_orderkey % 50 <> 0 AND l_linenumber % 4 <> 0 GROUP BY 1, 2""")
+def security_tickers(spark, d):
+    m = B.table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(F.concat(F.lit("C"), "s_suppkey").alias("cusip"), F.concat(F.lit("T"), "s_nationkey", F.lit("."), "s_suppkey").alias("ticker"))
+    h = R.with_tickers(R.holdings_xml(holdings_documents(spark, d)), m)
+    return h.groupBy("doc_id", "ticker").agg(rnd(F.sum("value"), 2).alias("value"), F.count("*").alias("positions"))
+
+
 @query("src12_universe_load", f"""SELECT s_suppkey AS symbol, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey) AS loaded FROM supplier""")
 def universe_load(spark, d):
     have = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("symbol")).distinct()

@@ -92,7 +92,7 @@ def _map(m, key, default):
 
 
 CLS = f"""{HEADS}, cl0 AS (SELECT *, lower(title) AS t FROM heads), cl1 AS (SELECT *, {_CAT} AS category, {_SUB} AS substantiation FROM cl0),
- cls AS (SELECT *, CASE WHEN category IN {_in(X.BEARISH)} THEN 'bearish' WHEN category IN {_in(X.NEUTRAL)} THEN 'neutral' ELSE 'bullish' END AS direction,
+ cls AS (SELECT *, CASE WHEN category IN {_in([k for k, v in X.DIRECTIONS.items() if v == 'bearish'])} THEN 'bearish' WHEN category IN {_in([k for k, v in X.DIRECTIONS.items() if v == 'bullish'])} THEN 'bullish' ELSE 'neutral' END AS direction,
   least(1, {_map(X.MATERIALITY_FLOORS, 'category', 0.2)} * {_map(X.SUBSTANTIATION_MULT, 'substantiation', 1.0)}) AS materiality FROM cl1)"""
 
 

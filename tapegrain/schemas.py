@@ -28,6 +28,8 @@ OWNERSHIP = ("issuer STRUCT<issuerTradingSymbol: STRING>, reportingOwner ARRAY<S
              f"transactionAmounts: STRUCT<transactionShares: {_V('DOUBLE')}, transactionPricePerShare: {_V('DOUBLE')}, transactionAcquiredDisposedCode: {_V('STRING')}>, "
              f"postTransactionAmounts: STRUCT<sharesOwnedFollowingTransaction: {_V('DOUBLE')}>>>>")
 COMPANY_FACTS = ("facts STRUCT<`us-gaap`: MAP<STRING, STRUCT<units: MAP<STRING, ARRAY<STRUCT<start: DATE, end: DATE, val: DOUBLE, accn: STRING, fy: INT, fp: STRING, form: STRING, filed: DATE, frame: STRING>>>>>>")
+SUBMISSIONS = ("cik BIGINT, filings STRUCT<recent: STRUCT<form: ARRAY<STRING>, filingDate: ARRAY<STRING>, acceptanceDateTime: ARRAY<STRING>, items: ARRAY<STRING>>>")
+HOLDINGS = ("infoTable ARRAY<STRUCT<nameOfIssuer: STRING, cusip: STRING, value: STRING, shrsOrPrnAmt: STRUCT<sshPrnamt: STRING>, putCall: STRING>>, _corrupt STRING")
 PAGED_BARS = ("symbol STRING, next_page STRING, bars ARRAY<STRUCT<t:DATE,o:DOUBLE,h:DOUBLE,l:DOUBLE,c:DOUBLE,v:DOUBLE>>")
 EXPERIMENT = ("phase STRING, component STRING, variant STRING, params MAP<STRING,STRING>, segment STRING, metrics MAP<STRING,DOUBLE>")
 

@@ -185,6 +185,62 @@ def facts(docs: DataFrame, tags: list[str], col: str = "facts") -> DataFrame:
     return g.select("cik", "start", "end", "z.*")
 
 
+# --- reports and holdings -----------------------------------------------------------------------
+
+# When a report comes out, as the calendar says it (fixed values); anything else is unknown.
+REPORT_TIMES = {"time-pre-market": "bmo", "time-after-hours": "amc"}
+
+
+def report_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, date, timing, fq) from one file a day, an array of reports each; the day is the file's own name."""
+    rows = spark.read.schema("symbol string, time string, fq string").option("multiLine", True).json(path)
+    day = F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})\.json$", 1))
+    timing = F.coalesce(*[F.when(F.col("time") == k, v) for k, v in REPORT_TIMES.items()], F.lit("unknown"))
+    return rows.select("symbol", day.alias("date"), timing.alias("timing"), "fq").where("symbol is not null")
+
+
+def result_filings(spark: SparkSession, path: str, since: str, zone: str = "America/New_York") -> DataFrame:
+    """(cik, date, timing) of current reports with results, from documents of parallel arrays.
+
+    The time of acceptance, in the exchange's time, tells when the market could know: before 9:30, during the session or from 16:00; it is
+    unknown where it is missing or falls on another day than the filing's.
+    """
+    docs = spark.read.schema(SC.SUBMISSIONS).json(path)
+    r = docs.select("cik", F.explode(F.arrays_zip(*[F.col(f"filings.recent.{x}").alias(x) for x in ("form", "filingDate", "acceptanceDateTime", "items")])).alias("z")).select("cik", "z.*")
+    r = r.where(F.col("form").startswith("8-K") & F.contains("items", F.lit("2.02")) & (F.col("filingDate") >= since))
+    at = F.from_utc_timestamp(F.try_to_timestamp(F.regexp_replace("acceptanceDateTime", "Z$", "")), zone)
+    minute = F.hour(at) * 60 + F.minute(at)
+    day = F.to_date("filingDate")
+    timing = F.when(at.isNull() | (F.to_date(at) != day), "unknown").when(minute < 570, "bmo").when(minute >= 960, "amc").otherwise("intraday")
+    return r.select("cik", day.alias("date"), timing.alias("timing")).distinct()
+
+
+def holdings_xml(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """(doc_id, issuer, cusip, value, shares) of the positions of holdings reports, whatever prefix their names carry; options are left out.
+
+    A document that is no well-formed XML has no positions; ``broken_documents`` lists it.
+    """
+    t = _holdings(docs, xml).where("_h._corrupt is null").select("doc_id", F.explode("_h.infoTable").alias("t"))
+    t = t.where(F.coalesce(F.trim("t.putCall"), F.lit("")) == "")
+    number = lambda x: F.coalesce(F.expr(f"try_cast(trim({x}) AS DOUBLE)"), F.lit(0.0))
+    text = lambda x: F.coalesce(F.trim(x), F.lit(""))
+    return t.select("doc_id", text("t.nameOfIssuer").alias("issuer"), text("t.cusip").alias("cusip"), number("t.value").alias("value"), number("t.shrsOrPrnAmt.sshPrnamt").alias("shares"))
+
+
+def broken_documents(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    return _holdings(docs, xml).where("_h._corrupt is not null or _h is null").select("doc_id")
+
+
+def _holdings(docs: DataFrame, xml: str) -> DataFrame:
+    return docs.withColumn("_h", F.from_xml(F.col(xml), SC.HOLDINGS, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+
+
+def with_tickers(positions: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Positions with the ticker of their security, null where the map has none; of several the first in the alphabet."""
+    one = tickers.where("ticker is not null").groupBy("cusip").agg(F.min("ticker").alias("ticker"))
+    return positions.join(one, "cusip", "left")
+
+
 # --- corporate actions --------------------------------------------------------------------------
 
 # Kinds of corporate actions and the fields that any of them may carry, as the vendor names them (fixed values).

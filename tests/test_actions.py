@@ -85,3 +85,26 @@ def test_uncorrelated_against_greedy(spark, block):
     returns = spark.createDataFrame(rows, "rebalance date, symbol string, session date, ret double")
     got = C.uncorrelated(ranked, lambda names: returns.join(names, ["rebalance", "symbol"], "left_semi"), 10, 0.9, "company", block).orderBy("pick").collect()
     assert [r["symbol"] for r in got] == [str(k) for k in kept[:10]]
+
+
+def test_reports_filings_holdings(spark, tmp_path):
+    (tmp_path / "cal").mkdir()
+    (tmp_path / "cal" / "2020-01-06.json").write_text(json.dumps([{"symbol": "A", "time": "time-pre-market", "fq": "Dec/2019"}, {"symbol": "B", "time": "", "fq": ""}]))
+    (tmp_path / "cal" / "2020-01-07.json").write_text(json.dumps([{"symbol": "A", "time": "time-after-hours", "fq": ""}]))
+    (tmp_path / "cal" / "2020-01-08.json").write_text("[]")
+    got = sorted((r["symbol"], str(r["date"]), r["timing"]) for r in R.report_calendar(spark, str(tmp_path / "cal")).collect())
+    assert got == [("A", "2020-01-06", "bmo"), ("A", "2020-01-07", "amc"), ("B", "2020-01-06", "unknown")]
+    rows = [("8-K", "2020-01-06", "2020-01-06T12:00:00.000Z", "2.02,9.01"), ("8-K/A", "2020-01-07", "2020-01-07T21:00:00.000Z", "2.02"), ("8-K", "2020-07-08", "2020-07-08T13:30:00.000Z", "2.02"), ("8-K", "2020-07-09", "2020-07-10T01:00:00.000Z", "2.02"),
+            ("8-K", "2020-07-13", "2020-07-14T13:00:00.000Z", "2.02"), ("8-K", "2020-07-14", None, "2.02"), ("10-Q", "2020-07-15", "2020-07-15T13:00:00.000Z", "2.02"), ("8-K", "2020-07-16", "2020-07-16T13:00:00.000Z", None), ("8-K", "2010-07-16", "2010-07-16T13:00:00.000Z", "2.02")]
+    names = ("form", "filingDate", "acceptanceDateTime", "items")
+    (tmp_path / "sub.json").write_text(json.dumps({"cik": 1, "filings": {"recent": {n: [r[i] for r in rows] for i, n in enumerate(names)}}}))
+    got = {str(r["date"]): r["timing"] for r in R.result_filings(spark, str(tmp_path / "sub.json"), "2015-01-01").collect()}
+    assert got == {"2020-01-06": "bmo", "2020-01-07": "amc", "2020-07-08": "intraday", "2020-07-09": "amc", "2020-07-13": "unknown", "2020-07-14": "unknown"}
+    one = "<{p}infoTable><{p}nameOfIssuer> Co </{p}nameOfIssuer><{p}cusip>C1</{p}cusip><{p}value>12</{p}value><{p}shrsOrPrnAmt><{p}sshPrnamt>3</{p}sshPrnamt></{p}shrsOrPrnAmt>{o}</{p}infoTable>"
+    doc = lambda p, o="": f"<{p}informationTable xmlns{':' + p[:-1] if p else ''}='urn:x'>{one.format(p=p, o=o)}{one.format(p=p, o='')}</{p}informationTable>"
+    docs = spark.createDataFrame([(1, doc("")), (2, doc("ns1:", "<ns1:putCall>Put</ns1:putCall>")), (3, doc("")[:-9]), (4, None)], "doc_id int, xml string")
+    got = [tuple(r) for r in R.holdings_xml(docs).orderBy("doc_id").collect()]
+    assert got == [(1, "Co", "C1", 12.0, 3.0)] * 2 + [(2, "Co", "C1", 12.0, 3.0)]
+    assert sorted(r["doc_id"] for r in R.broken_documents(docs).collect()) == [3, 4]
+    m = spark.createDataFrame([("C1", "ZZ"), ("C1", "AA"), ("C2", None)], "cusip string, ticker string")
+    assert {r["ticker"] for r in R.with_tickers(R.holdings_xml(docs), m).collect()} == {"AA"}
