@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrain.operators.kernels import asof_join, by_time, so_far
+from tapegrain.session import materialize
 
 
 def dividends_received(tx: DataFrame, dividends: DataFrame) -> DataFrame:
@@ -154,3 +157,88 @@ def internal_rate(flows: Column, steps: int = 80, per_year: int = 12, lo: float
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
     return F.when(hi.isNotNull(), (end["lo"] + end["hi"]) / 2)
+
+
+# --- risk of whole books ------------------------------------------------------------------------
+
+# Limits beyond which a book is warned of (fixed values).
+LIMITS = {"single_critical": 0.35, "single": 0.20, "top3": 0.60, "sector": 0.50, "beta": 1.5, "stop_pct": 12.0}
+#: Series in a tile of a book; pairs are worked out tile by tile.
+TILE = 256
+
+
+def _tile_links(min_corr: float):
+    """Pairs of two tiles of one book whose returns move together, in either direction, over the same sessions."""
+    def run(group: pa.Table) -> pa.Table:
+        symbol, session = group.column("symbol").to_numpy(), group.column("session").to_numpy().astype("int64")
+        (names, i), (days, j) = np.unique(symbol, return_inverse=True), np.unique(session, return_inverse=True)
+        x, place, tile = np.zeros((len(names), len(days))), np.zeros(len(names), "int64"), np.zeros(len(names), "int64")
+        x[i, j], place[i], tile[i] = group.column("ret").to_numpy(), group.column("place").to_numpy(), group.column("tile").to_numpy()
+        x -= x.mean(axis=1, keepdims=True)
+        norm = np.sqrt((x * x).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = x @ x.T / np.outer(norm, norm)
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        pair = (tile[:, None] == p) & (tile[None, :] == q) | (tile[:, None] == q) & (tile[None, :] == p)
+        a, b = np.nonzero(pair & (np.abs(corr) >= min_corr) & (place[:, None] < place[None, :]))
+        kind = group.schema.field("symbol").type
+        book = pa.array([group.column("book")[0].as_py()] * len(a), group.schema.field("book").type)
+        return pa.table({"book": book, "leader": pa.array(names[a], kind), "symbol": pa.array(names[b], kind)})
+    return run
+
+
+def clusters(held: DataFrame, returns: DataFrame, min_corr: float = 0.7, min_sessions: int = 30) -> DataFrame:
+    """(book, leader, symbol): names of a book that move with a leader. ``held``: book, symbol, place (order in the book); ``returns``:
+    symbol, session, ret.
+
+    Correlations are taken over the sessions that all names of the book have, if there are more than ``min_sessions``. In the order of the
+    book a name leads a cluster unless it belongs to an earlier leader's; leaders of all books are found together, in rounds.
+    """
+    series = held.join(returns.select("symbol").distinct(), "symbol", "left_semi")
+    size = series.groupBy("book").agg(F.count("*").alias("_n"))
+    common = series.join(returns, "symbol").groupBy("book", "session").agg(F.count("ret").alias("_k")).join(size, "book").where("_k = _n")
+    enough = common.groupBy("book").agg(F.count("*").alias("_s")).where(F.col("_s") > min_sessions).select("book")
+    tiles = F.ceil(F.col("_n") / TILE).cast("int")
+    placed = series.join(enough, "book").join(size, "book").withColumn("tile", F.pmod(F.xxhash64("symbol"), tiles).cast("int"))
+    placed = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumns({"p": F.least("tile", "_o"), "q": F.greatest("tile", "_o")})
+    rows = placed.select("book", "symbol", "place", "tile", "p", "q").join(common.select("book", "session"), "book").join(returns.select("symbol", "session", "ret"), ["symbol", "session"])
+    book, kind = dict(held.dtypes)["book"], dict(held.dtypes)["symbol"]
+    links = materialize(rows.groupBy("book", "p", "q").applyInArrow(_tile_links(min_corr), f"book {book}, leader {kind}, symbol {kind}"), "links")
+    live = materialize(links.select("book", F.col("leader").alias("symbol")).distinct(), "live")
+    found = None
+    while not live.isEmpty():
+        # a name leads when no undecided name before it is linked with it; those it is linked with lead no more
+        behind = links.join(live.withColumnRenamed("symbol", "leader"), ["book", "leader"], "left_semi").select("book", "symbol").distinct()
+        lead = materialize(live.join(behind, ["book", "symbol"], "left_anti").withColumnRenamed("symbol", "leader"), "lead")
+        own = materialize(links.join(lead, ["book", "leader"], "left_semi"), "led")
+        found = own if found is None else found.unionByName(own)
+        done = own.select("book", "symbol").unionByName(lead.withColumnRenamed("leader", "symbol")).distinct()
+        live = materialize(live.join(done, ["book", "symbol"], "left_anti"), "live")
+    return links.limit(0) if found is None else found
+
+
+def risk_review(holdings: DataFrame, facts: DataFrame, led: DataFrame) -> DataFrame:
+    """One row for each book with holdings: weights, sector, beta, loss if all stops are hit, independent bets and warnings.
+
+    ``holdings``: book, symbol, market_value; ``facts``: symbol, sector, beta, stop_pct, each of which may be null; ``led`` as from ``clusters``.
+    Equal weights rank by symbol, equal sectors by name.
+    """
+    h = holdings.where("market_value > 0")
+    total = h.groupBy("book").agg(F.sum("market_value").alias("_t"))
+    h = h.join(total, "book").withColumn("w", F.col("market_value") / F.col("_t")).join(facts, "symbol", "left")
+    rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("w"), "symbol"))
+    top = h.select("book", "symbol", "w", rank.alias("r")).where("r <= 3").groupBy("book").agg(F.max_by("symbol", -F.col("r")).alias("largest"), F.max("w").alias("largest_weight"), F.sum("w").alias("top3_weight"))
+    sector = h.where("sector is not null").groupBy("book", "sector").agg(F.sum("w").alias("sw")).groupBy("book").agg(
+        F.min_by("sector", F.struct((-F.col("sw")).alias("a"), F.col("sector"))).alias("top_sector"), F.max("sw").alias("top_sector_weight"))
+    known = F.when(F.col("beta").isNotNull(), F.col("w"))
+    sums = h.groupBy("book").agg(F.count("*").alias("n_holdings"), F.sum("market_value").alias("market_value"), (F.sum(F.col("w") * F.col("beta")) / F.nullif(F.sum(known), F.lit(0.0))).alias("beta"),
+                                 (F.sum(F.col("w") * F.least("stop_pct", F.when(F.col("stop_pct").isNotNull(), F.lit(0.5)))) * 100).alias("at_risk_pct"))
+    bets = led.groupBy("book").agg(F.count("*").alias("_led"), F.countDistinct("leader").alias("n_clusters"))
+    x = sums.join(top, "book").join(sector, "book", "left").join(bets, "book", "left").fillna(0, ["_led", "n_clusters"])
+    c, lim = F.col, LIMITS
+    said = F.array_compact(F.array(
+        F.when(c("largest_weight") > lim["single_critical"], "critical:concentration").when(c("largest_weight") > lim["single"], "warning:concentration"),
+        F.when((c("top3_weight") > lim["top3"]) & (c("n_holdings") > 3), "warning:top3"), F.when(c("top_sector_weight") > lim["sector"], "warning:sector"), F.when(c("beta") > lim["beta"], "warning:beta"),
+        F.when(c("at_risk_pct") > lim["stop_pct"], "warning:stop_risk"), F.when(c("n_clusters") > 0, "warning:correlation")))
+    return x.select("book", "n_holdings", F.greatest(F.lit(1), c("n_holdings") - c("_led")).alias("n_effective_bets"), "market_value", "largest", "largest_weight", "top3_weight", "top_sector", "top_sector_weight", "beta",
+                    "at_risk_pct", "n_clusters", F.when(F.size(said) > 0, F.array_join(said, ",")).otherwise("info:ok").alias("warnings"))

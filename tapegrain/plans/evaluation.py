@@ -373,3 +373,49 @@ def internal_rate(spark, d):
     g = m.groupBy("o_custkey").agg(F.sort_array(F.array_agg(F.struct("m", "f"))).alias("a"), F.sum("f").alias("s"))  # at most one row a month
     g = g.withColumn("flows", F.concat(F.transform("a", lambda z: z["f"]), F.array(F.col("s") * -1.08)))
     return g.select(F.col("o_custkey").alias("portfolio"), rnd(P.internal_rate(F.col("flows")), 5).alias("rate"))
+
+
+@query("agg44_book_risk", f"""WITH RECURSIVE {B.BARS}, {B.SECTORS}, nat AS (SELECT s_suppkey AS symbol, s_nationkey AS book FROM supplier),
+ mo AS (SELECT symbol, date_trunc('month', session)::DATE AS session, arg_max(close, session) AS close FROM bars GROUP BY 1, 2),
+ rt AS (SELECT * FROM (SELECT symbol, session, close / lag(close) OVER (PARTITION BY symbol ORDER BY session) - 1 AS ret FROM mo) WHERE ret IS NOT NULL),
+ mk AS (SELECT session, avg(ret) AS m FROM rt GROUP BY 1),
+ bt AS (SELECT symbol, covar_samp(ret, m) / nullif(var_samp(m), 0) AS beta FROM rt JOIN mk USING (session) GROUP BY 1),
+ l14 AS (SELECT symbol, high, low, close, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+ st AS (SELECT symbol, 2 * avg(high - low) / max(close) FILTER (rn = 1) AS stop_pct FROM l14 WHERE rn <= 14 AND n > 30 GROUP BY 1),
+ hold AS (SELECT book, symbol, sum(volume) * arg_max(close, session) AS mv FROM bars JOIN nat USING (symbol) GROUP BY 1, 2),
+ h AS (SELECT hold.*, mv / sum(mv) OVER (PARTITION BY book) AS w, sector, beta, least(stop_pct, 0.5) AS stop FROM hold LEFT JOIN sectors USING (symbol) LEFT JOIN bt USING (symbol) LEFT JOIN st USING (symbol)),
+ hr AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY w DESC, symbol) AS r, row_number() OVER (PARTITION BY book ORDER BY symbol) AS place FROM h),
+ cm AS (SELECT book, rt.session FROM nat JOIN rt USING (symbol) GROUP BY book, rt.session HAVING count(*) = (SELECT count(DISTINCT n2.symbol) FROM nat n2 JOIN rt r2 ON r2.symbol = n2.symbol WHERE n2.book = nat.book)),
+ ok AS (SELECT book FROM cm GROUP BY 1 HAVING count(*) > 30),
+ rr AS (SELECT cm.book, symbol, cm.session, ret FROM cm JOIN ok USING (book) JOIN nat USING (book) JOIN rt USING (symbol, session)),
+ lk AS (SELECT a.book, a.symbol AS x, b.symbol AS y FROM rr a JOIN rr b ON a.book = b.book AND a.session = b.session AND a.symbol < b.symbol GROUP BY 1, 2, 3 HAVING abs(corr(a.ret, b.ret)) >= 0.2),
+ go AS (SELECT book, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS lead FROM (SELECT DISTINCT book FROM hr) UNION ALL SELECT go.book, hr.place,
+  CASE WHEN EXISTS (SELECT 1 FROM lk WHERE lk.book = go.book AND lk.y = hr.symbol AND list_contains(go.lead, lk.x)) THEN go.lead ELSE list_append(go.lead, hr.symbol) END FROM go JOIN hr ON hr.book = go.book AND hr.place = go.place + 1),
+ ld AS (SELECT book, unnest(lead) AS x FROM (SELECT book, arg_max(lead, place) AS lead FROM go GROUP BY 1)),
+ cl AS (SELECT book, count(*) AS led, count(DISTINCT x) AS n_clusters FROM ld JOIN lk USING (book, x) GROUP BY 1),
+ sc AS (SELECT book, arg_min(sector, (-sw, sector)) AS top_sector, max(sw) AS top_sector_weight FROM (SELECT book, sector, sum(w) AS sw FROM h WHERE sector IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+ sm AS (SELECT book, count(*) AS n, sum(mv) AS mv, max(symbol) FILTER (r = 1) AS largest, max(w) AS lw, sum(w) FILTER (r <= 3) AS t3, sum(w * beta) / nullif(sum(w) FILTER (beta IS NOT NULL), 0) AS beta, sum(w * stop) * 100 AS risk FROM hr GROUP BY 1),
+ z AS (SELECT sm.*, top_sector, top_sector_weight, coalesce(led, 0) AS led, coalesce(n_clusters, 0) AS n_clusters FROM sm LEFT JOIN sc USING (book) LEFT JOIN cl USING (book))
+ SELECT book, n AS n_holdings, greatest(1, n - led) AS n_effective_bets, {rs('mv', 1)} AS market_value, largest, {rs('lw', 6)} AS largest_weight, {rs('t3', 6)} AS top3_weight, top_sector, {rs('top_sector_weight', 6)} AS top_sector_weight, {rs('beta', 6)} AS beta, {rs('risk')} AS at_risk_pct, n_clusters,
+  coalesce(nullif(array_to_string(list_filter([CASE WHEN lw > 0.35 THEN 'critical:concentration' WHEN lw > 0.2 THEN 'warning:concentration' END, CASE WHEN t3 > 0.6 AND n > 3 THEN 'warning:top3' END, CASE WHEN top_sector_weight > 0.5 THEN 'warning:sector' END,
+  CASE WHEN beta > 1.5 THEN 'warning:beta' END, CASE WHEN risk > 12 THEN 'warning:stop_risk' END, CASE WHEN n_clusters > 0 THEN 'warning:correlation' END], lambda s: s IS NOT NULL), ','), ''), 'info:ok') AS warnings FROM z""")
+def book_risk(spark, d):
+    """Books by nation that hold their suppliers; clusters of monthly returns inside each book."""
+    from pyspark.sql import Window
+    from tapegrain.session import materialize
+    bars = materialize(B.daily_bars(spark, d).select("symbol", "session", "high", "low", "close", "volume"), "bars")
+    books = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").alias("book"))
+    monthly = bars.groupBy("symbol", F.date_trunc("month", "session").cast("date").alias("m")).agg(F.max_by("close", "session").alias("close")).withColumnRenamed("m", "session")
+    ret = F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("session")) - 1
+    returns = materialize(monthly.select("symbol", "session", ret.alias("ret")).where("ret is not null"), "returns")
+    market = returns.groupBy("session").agg(F.avg("ret").alias("m"))  # a row a month
+    beta = returns.join(market, "session").groupBy("symbol").agg((F.covar_samp("ret", "m") / F.nullif(F.var_samp("m"), F.lit(0.0))).alias("beta"))
+    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("session")))
+    stop = bars.select("symbol", "high", "low", "close", rn.alias("rn"), F.count("*").over(Window.partitionBy("symbol")).alias("n")).where("rn <= 14 and n > 30").groupBy("symbol").agg(
+        (2 * F.avg(F.col("high") - F.col("low")) / F.max(F.when(F.col("rn") == 1, F.col("close")))).alias("stop_pct"))
+    facts = B.sectors(spark, d).select("symbol", "sector").join(beta, "symbol", "left").join(stop, "symbol", "left")
+    held = bars.join(books, "symbol").groupBy("book", "symbol").agg((F.sum("volume") * F.max_by("close", "session")).alias("market_value"))
+    placed = held.select("book", "symbol", F.col("symbol").alias("place"))
+    r = P.risk_review(held, facts, P.clusters(placed, returns, 0.2))
+    return r.select("book", "n_holdings", "n_effective_bets", rnd("market_value", 1).alias("market_value"), "largest", *[rnd(x, 6).alias(x) for x in ("largest_weight", "top3_weight", "top_sector_weight", "beta")], "top_sector",
+                    rnd("at_risk_pct").alias("at_risk_pct"), "n_clusters", "warnings")

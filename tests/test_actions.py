@@ -108,3 +108,31 @@ def test_reports_filings_holdings(spark, tmp_path):
     assert sorted(r["doc_id"] for r in R.broken_documents(docs).collect()) == [3, 4]
     m = spark.createDataFrame([("C1", "ZZ"), ("C1", "AA"), ("C2", None)], "cusip string, ticker string")
     assert {r["ticker"] for r in R.with_tickers(R.holdings_xml(docs), m).collect()} == {"AA"}
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_clusters_against_a_loop(spark, monkeypatch, tile):
+    from tapegrain.operators import portfolio as P
+    monkeypatch.setattr(P, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    base = rng.normal(size=(4, 60))
+    books = {"x": 11, "y": 7, "z": 1}
+    series = {f"{b}{i:02d}": base[i % 4] * (-1 if i % 5 == 0 else 1) + rng.normal(size=60) * rng.choice([0.2, 0.8]) for b, n in books.items() for i in range(n)}
+    held = spark.createDataFrame([(s[0], s, int(s[1:])) for s in series] + [("x", "unknown", 99)], "book string, symbol string, place int")
+    gone = {("x03", 5), ("y01", 7)}  # a session that one name lacks counts for no name of its book
+    rows = [(s, DAY("2020-01-01") + dt.timedelta(days=t), float(v)) for s, x in series.items() for t, v in enumerate(x) if (s, t) not in gone]
+    got = {(r["leader"], r["symbol"]) for r in P.clusters(held, spark.createDataFrame(rows, "symbol string, session date, ret double"), 0.7).collect()}
+    want = set()
+    for b in books:
+        names = sorted(s for s in series if s[0] == b)
+        days = [t for t in range(60) if not any((s, t) in gone for s in names)]
+        seen = set()
+        for i, a in enumerate(names):
+            if a in seen:
+                continue
+            for c in names[i + 1:]:
+                if abs(np.corrcoef(series[a][days], series[c][days])[0, 1]) >= 0.7:
+                    want.add((a, c))
+                    seen.add(c)
+    assert got == want and len(want) > 5
+    assert P.clusters(held, spark.createDataFrame(rows[:60], "symbol string, session date, ret double"), 0.7).count() == 0
