@@ -205,3 +205,28 @@ def equal_weight_returns(holdings: DataFrame, prices: DataFrame) -> DataFrame:
     p = prices.withColumn("_nx", F.lead("price").over(by_time("symbol", "anchor")))
     h = holdings.join(p, ["symbol", "anchor"]).where((F.col("price") > 0) & F.col("_nx").isNotNull())
     return h.groupBy("anchor").agg(F.avg(F.col("_nx") / F.col("price") - 1).alias("ret"), F.count(F.lit(1)).alias("n"))
+
+
+def scenario_returns(universes: DataFrame, prices: DataFrame) -> DataFrame:
+    """(rule, universe, anchor, until, ret, n): equal-weight return of each universe's names from each anchor to the next,
+    under each rule for what a name is worth after its end.
+
+    ``universes``: universe, anchor, symbol; ``prices``: rule, symbol, anchor, price. Scenarios are rows, so one plan serves all.
+    """
+    w = Window.partitionBy("rule", "symbol").orderBy("anchor")
+    p = prices.withColumns({"_nx": F.lead("price").over(w), "until": F.lead("anchor").over(w)})
+    h = universes.join(p, ["symbol", "anchor"]).where((F.col("price") > 0) & F.col("_nx").isNotNull())
+    return h.groupBy("rule", "universe", "anchor", "until").agg(F.avg(F.col("_nx") / F.col("price") - 1).alias("ret"), F.count("*").alias("n"))
+
+
+def yearly_table(returns: DataFrame, universes: list[str]) -> DataFrame:
+    """(rule, year, one column for each universe): compounded returns of the periods that end in the year."""
+    year = returns.withColumn("year", F.year("until"))
+    return year.groupBy("rule", "year").pivot("universe", universes).agg(F.product(1 + F.col("ret")) - 1)
+
+
+def survivorship_bias(returns: DataFrame, pairs: dict[str, tuple[str, str]], periods: int = 12) -> DataFrame:
+    """(rule, annual return of each universe, bias of each pair): how much a universe that knew the future seems to gain a year."""
+    names = sorted({u for pair in pairs.values() for u in pair})
+    g = returns.groupBy("rule").pivot("universe", names).agg(F.pow(F.product(1 + F.col("ret")), periods / F.count("ret")) - 1)
+    return g.select("rule", *names, *[(F.col(a) - F.col(b)).alias(k) for k, (a, b) in pairs.items()])

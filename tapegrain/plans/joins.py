@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapegrain import bindings as B
 from tapegrain.operators import corporate as C
+from tapegrain.operators import evaluation as E
 from tapegrain.operators import joins as J
 from tapegrain.operators.kernels import asof_join, by_time, so_far
 from tapegrain.plans.catalog import day, ds, query, rnd, rs
@@ -442,3 +443,84 @@ def classify_survivors(spark, d):
         "end", F.when(F.col("symbol") % 5 != 0, F.col("_e"))).drop("_e")
     mx = F.broadcast(b.agg(F.date_sub(F.max("session"), 10).alias("_cut")))
     return C.classify_survivors(m.join(mx), b, F.col("_cut")).select("symbol", "label")
+
+
+# --- survivorship -------------------------------------------------------------------------------
+
+SURVIVORS = f"""{LIQ}, {B.SECTORS}, {CHANGES}, mx AS (SELECT max(session) AS m, max(ord) AS mo FROM cal),
+ k15 AS (SELECT symbol, max(session) AS lb FROM bars GROUP BY 1), t15 AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS rn FROM bars),
+ f15 AS (SELECT symbol, max(close) FILTER (rn = 1) / max(close) - 1 AS fall FROM t15 WHERE rn <= 20 GROUP BY 1),
+ cls AS (SELECT symbol, lb, CASE WHEN symbol % 5 = 0 THEN 'current' WHEN lb >= m - 10 THEN 'left_index_trading' WHEN fall < -0.1 THEN 'delisted_distressed' ELSE 'delisted' END AS label FROM k15 JOIN f15 USING (symbol), mx),
+ dt AS (SELECT date, row_number() OVER (ORDER BY date) AS o FROM chg), me AS (SELECT o, date, unnest(tickers) AS symbol FROM chg JOIN dt USING (date)),
+ iv AS (SELECT symbol, min(date) AS start, max(o) AS lst FROM (SELECT *, o - row_number() OVER (PARTITION BY symbol ORDER BY o) AS grp FROM me) GROUP BY symbol, grp),
+ mem AS (SELECT symbol, start, dt.date - 1 AS fin FROM iv LEFT JOIN dt ON dt.o = lst + 1),
+ fl AS (SELECT rebalance, symbol, mdv, industry, label = 'current' AS lives FROM lq JOIN sectors USING (symbol) JOIN cls USING (symbol) WHERE cov >= 0.15 AND last_close >= 500 AND mdv >= 20000),
+ ht AS (SELECT symbol, mdv, industry FROM (SELECT symbol, median(close * volume) AS mdv, arg_max(close, b.session) AS lc, count(*) / 250.0 AS cov FROM bars b JOIN cal USING (session), mx WHERE ord > mo - 250 GROUP BY 1) JOIN sectors USING (symbol) JOIN cls USING (symbol)
+  WHERE cov >= 0.15 AND lc >= 500 AND mdv >= 20000 AND label = 'current'),
+ an AS (SELECT ms.rebalance, cal.session AS anchor FROM ms JOIN cal ON cal.ord = ms.o - 1 UNION ALL SELECT NULL, m FROM mx),
+ t1 AS (SELECT * FROM (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY rebalance, industry ORDER BY mdv DESC, symbol) = 1) QUALIFY row_number() OVER (PARTITION BY rebalance ORDER BY mdv DESC, symbol) <= 10),
+ t2 AS (SELECT * FROM (SELECT * FROM fl WHERE lives QUALIFY row_number() OVER (PARTITION BY rebalance, industry ORDER BY mdv DESC, symbol) = 1) QUALIFY row_number() OVER (PARTITION BY rebalance ORDER BY mdv DESC, symbol) <= 10),
+ t3 AS (SELECT * FROM (SELECT * FROM ht QUALIFY row_number() OVER (PARTITION BY industry ORDER BY mdv DESC, symbol) = 1) QUALIFY row_number() OVER (ORDER BY mdv DESC, symbol) <= 10),
+ al AS (SELECT rebalance, mem.symbol, label = 'current' AS lives FROM an JOIN mem ON rebalance BETWEEN start AND coalesce(fin, DATE '9999-12-31') JOIN cls ON cls.symbol = mem.symbol),
+ un AS (SELECT 'pit_top' AS universe, anchor, symbol FROM t1 JOIN an USING (rebalance) UNION ALL SELECT 'survivors_top', anchor, symbol FROM t2 JOIN an USING (rebalance) UNION ALL SELECT 'hindsight_top', anchor, symbol FROM t3, an
+  UNION ALL SELECT 'pit_all', anchor, symbol FROM al JOIN an USING (rebalance) UNION ALL SELECT 'survivors_all', anchor, symbol FROM al JOIN an USING (rebalance) WHERE lives),
+ pg AS (SELECT c.symbol, c.lb, c.label, a.anchor FROM cls c CROSS JOIN (SELECT DISTINCT anchor FROM an) a), pb AS (SELECT pg.*, b.close AS price FROM pg ASOF LEFT JOIN bars b ON pg.symbol = b.symbol AND pg.anchor >= b.session),
+ pr AS (SELECT 'last_price' AS rule, symbol, anchor, price FROM pb UNION ALL SELECT 'distressed_zero', symbol, anchor, CASE WHEN label = 'delisted_distressed' AND anchor > lb THEN 0 ELSE price END FROM pb),
+ pn AS (SELECT *, lead(price) OVER (PARTITION BY rule, symbol ORDER BY anchor) AS nx, lead(anchor) OVER (PARTITION BY rule, symbol ORDER BY anchor) AS until FROM pr),
+ sr AS (SELECT rule, universe, anchor, until, avg(nx / price - 1) AS ret FROM un JOIN pn USING (symbol, anchor) WHERE price > 0 AND nx IS NOT NULL GROUP BY ALL)"""
+UNIVERSES = ["pit_top", "survivors_top", "hindsight_top", "pit_all", "survivors_all"]
+
+
+def scenario_inputs(spark, d):
+    """Five universes at the session before each month and prices under two rules for names that ended."""
+    bars, cal = materialize(B.daily_bars(spark, d).select("symbol", "session", "close", "volume"), "bars"), materialize(B.calendar(spark, d), "calendar")
+    starts, end = C.month_starts(cal), cal.agg(F.max("session").alias("m"), F.max("ord").alias("o")).first()
+    anchors = starts.join(cal.select(F.col("session").alias("anchor"), (F.col("ord") + 1).alias("ord")), "ord").select(F.col("session").alias("rebalance"), "anchor")
+    anchors = anchors.unionByName(spark.createDataFrame([(None, end["m"])], "rebalance date, anchor date"))
+    rank = lambda on: C.rank_liquidity(bars, on, cal, 250, 500.0, 20000.0, 0.15).join(B.sectors(spark, d).select("symbol", "industry"), "symbol")
+    m = bars.groupBy("symbol").agg(F.min("session").alias("start"), F.max("session").alias("_e")).withColumn("end", F.when(F.col("symbol") % 5 != 0, F.col("_e"))).drop("_e")
+    last = C.classify_survivors(m, bars, F.date_sub(F.lit(end["m"]), 10)).select("symbol", "label")
+    recent = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("session")))
+    low = bars.withColumn("_rn", recent).where("_rn <= 20").groupBy("symbol").agg((F.max(F.when(F.col("_rn") == 1, F.col("close"))) / F.max("close") - 1).alias("fall"))
+    # the supplied prices hardly halve in twenty bars: here a fall by a tenth counts as distress
+    ended = F.when(F.col("fall") < -0.1, "delisted_distressed").otherwise("delisted")
+    last = materialize(last.join(low, "symbol").select("symbol", F.when(F.col("label").startswith("delisted"), ended).otherwise(F.col("label")).alias("label")), "labels")
+    lives = last.where("label in ('current', 'renamed_member')").select("symbol")
+    ranked = materialize(rank(starts), "ranked")
+    today = rank(spark.createDataFrame([(end["m"], end["o"] + 1)], "session date, ord int")).join(lives, "symbol", "left_semi")
+    top = lambda r: C.top_n(C.one_per_company(r, "industry", "median_dv"), 10, "median_dv").select("rebalance", "symbol")
+    iv = C.membership_intervals(membership_changes(spark, d)).select(F.col("ticker").alias("symbol"), "start", F.coalesce("end", F.lit("9999-12-31").cast("date")).alias("end"))
+    at = anchors.where("rebalance is not null")  # a row a month
+    held = iv.join(F.broadcast(at), F.col("rebalance").between(F.col("start"), F.col("end"))).select("rebalance", "symbol")
+    on = lambda u, name: u.join(F.broadcast(at), "rebalance").select(F.lit(name).alias("universe"), "anchor", "symbol")
+    always = F.explode(F.array(*[F.lit(r["anchor"]) for r in anchors.select("anchor").collect()])).alias("anchor")
+    universes = (on(top(ranked), "pit_top").unionByName(on(top(ranked.join(lives, "symbol", "left_semi")), "survivors_top"))
+                 .unionByName(top(today).select("symbol", always).select(F.lit("hindsight_top").alias("universe"), "anchor", "symbol"))
+                 .unionByName(on(held, "pit_all")).unionByName(on(held.join(lives, "symbol", "left_semi"), "survivors_all")))
+    gone = last.where("label = 'delisted_distressed'").select("symbol", F.lit(True).alias("gone"))
+    px = J.anchor_prices(bars, anchors).join(bars.groupBy("symbol").agg(F.max("session").alias("lb")), "symbol").join(gone, "symbol", "left")
+    zero = F.when(F.col("gone") & (F.col("anchor") > F.col("lb")), 0.0).otherwise(F.col("price"))
+    rules = F.array(F.struct(F.lit("last_price").alias("rule"), F.col("price")), F.struct(F.lit("distressed_zero").alias("rule"), zero.alias("price")))
+    return universes, px.select("symbol", "anchor", F.explode(rules).alias("z")).select("z.rule", "symbol", "anchor", "z.price")
+
+
+_BY_UNIVERSE = ", ".join("max({0}) FILTER (universe = '" + u + "') AS " + u for u in UNIVERSES)
+_ROUNDED = ", ".join(f"{rs(u, 6)} AS {u}" for u in UNIVERSES)
+
+
+@query("agg20_survivorship_yearly", f"""WITH {B.BARS}, {SURVIVORS}, yr AS (SELECT rule, year(until) AS year, universe, product(1 + ret) - 1 AS r FROM sr GROUP BY 1, 2, 3),
+ pv AS (SELECT rule, CAST(year AS INTEGER) AS year, {_BY_UNIVERSE.format('r')} FROM yr GROUP BY 1, 2) SELECT rule, year, {_ROUNDED} FROM pv""")
+def survivorship_yearly(spark, d):
+    y = E.yearly_table(E.scenario_returns(*scenario_inputs(spark, d)), UNIVERSES)
+    return y.select("rule", "year", *[rnd(u, 6).alias(u) for u in UNIVERSES])
+
+
+BIAS = {"bias_top": ("survivors_top", "pit_top"), "bias_hindsight": ("hindsight_top", "pit_top"), "bias_all": ("survivors_all", "pit_all")}
+_BIAS = ", ".join(f"{rs(f'{a} - {b}', 6)} AS {k}" for k, (a, b) in BIAS.items())
+
+
+@query("agg20_survivorship_bias", f"""WITH {B.BARS}, {SURVIVORS}, cg AS (SELECT rule, universe, power(product(1 + ret), 12.0::DOUBLE / count(*)) - 1 AS c FROM sr GROUP BY 1, 2),
+ pv AS (SELECT rule, {_BY_UNIVERSE.format('c')} FROM cg GROUP BY 1) SELECT rule, {_BIAS} FROM pv""")
+def survivorship_bias(spark, d):
+    b = E.survivorship_bias(E.scenario_returns(*scenario_inputs(spark, d)), BIAS)
+    return b.select("rule", *[rnd(k, 6).alias(k) for k in BIAS])

@@ -136,3 +136,20 @@ def test_clusters_against_a_loop(spark, monkeypatch, tile):
                     seen.add(c)
     assert got == want and len(want) > 5
     assert P.clusters(held, spark.createDataFrame(rows[:60], "symbol string, session date, ret double"), 0.7).count() == 0
+
+
+def test_scenarios_by_hand(spark):
+    """Two universes under two rules: a name worth nothing after its end counts where the universe holds it."""
+    from tapegrain.operators import evaluation as E
+    anchors = [DAY("2020-11-30"), DAY("2020-12-31"), DAY("2021-01-29")]
+    price = {"last": {"a": (10.0, 11.0, 12.1), "b": (10.0, 5.0, 5.0), "c": (None, 8.0, 4.0)}, "zero": {"a": (10.0, 11.0, 12.1), "b": (10.0, 5.0, 0.0), "c": (None, 8.0, 4.0)}}
+    prices = spark.createDataFrame([(r, s, t, p) for r, by in price.items() for s, ps in by.items() for t, p in zip(anchors, ps)], "rule string, symbol string, anchor date, price double")
+    held = spark.createDataFrame([(u, t, s) for u, names in (("all", "abc"), ("living", "a")) for t in anchors for s in names], "universe string, anchor date, symbol string")
+    r = E.scenario_returns(held, prices)
+    got = {(x["rule"], x["universe"], str(x["until"])): (round(x["ret"], 9), x["n"]) for x in r.collect()}
+    assert got == {("last", "all", "2020-12-31"): (-0.2, 2), ("last", "all", "2021-01-29"): (round((0.1 + 0 - 0.5) / 3, 9), 3), ("last", "living", "2020-12-31"): (0.1, 1), ("last", "living", "2021-01-29"): (0.1, 1),
+                   ("zero", "all", "2020-12-31"): (-0.2, 2), ("zero", "all", "2021-01-29"): (round((0.1 - 1 - 0.5) / 3, 9), 3), ("zero", "living", "2020-12-31"): (0.1, 1), ("zero", "living", "2021-01-29"): (0.1, 1)}
+    y = {(x["rule"], x["year"]): (round(x["all"], 9), round(x["living"], 9)) for x in E.yearly_table(r, ["all", "living"]).collect()}
+    assert y["last", 2020] == (-0.2, 0.1) and y["zero", 2021] == (round((0.1 - 1 - 0.5) / 3, 9), 0.1)
+    bias = {x["rule"]: x["gap"] for x in E.survivorship_bias(r, {"gap": ("living", "all")}).collect()}
+    assert bias["last"] == pytest.approx(1.1 ** 12 - (0.8 * (1 - 0.4 / 3)) ** 6) and bias["zero"] > bias["last"]
