@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrain.operators.kernels import asof_join, by_time, so_far
+from tapegrain.session import materialize
 
 
 def members_on(rows: DataFrame, intervals: DataFrame, key: str, day: str) -> DataFrame:
@@ -157,11 +162,104 @@ def session_pairs(rows: DataFrame, value: str, n_series: int) -> DataFrame:
     return a.join(b, ["session", "lo", "hi"]).where((F.col("a") <= F.col("b")) & own).select("a", "b", "session", "xa", "xb")
 
 
+#: Most series in a tile of the correlation, and the sessions it takes at a time: six products of their values and flags are held.
+CORR_TILE, CORR_SESSIONS = 1024, 2048
+#: Variance this small against the sum of squares is taken again from the two series alone.
+CORR_DOUBT = 1e-7
+
+
+def _pair_exact(x: np.ndarray, y: np.ndarray) -> float:
+    """Correlation of two lists in two passes, measured from their first values."""
+    x, y = x - x[0], y - y[0]
+    x, y = x - x.mean(), y - y.mean()
+    v = math.sqrt((x * x).sum()) * math.sqrt((y * y).sum())
+    return float((x * y).sum() / v) if v > 0 else math.nan
+
+
+def _tile_corr(min_obs: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Correlations of the pairs between two tiles of series (or within one) from products of their matrices."""
+        group = group.combine_chunks()
+        group = group.take(pc.sort_indices(group, [("symbol", "ascending")]))
+        kind = group.schema.field("symbol").type
+        side = group.column("t").to_numpy()
+        same = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+        items = group.column("r").combine_chunks()
+        flat, at = items.flatten(), np.repeat(np.arange(len(group)), pc.list_value_length(items).to_numpy(zero_copy_only=False))
+        days = flat.field("session").dictionary_encode()
+        day, n_days = days.indices.to_numpy(), len(days.dictionary)
+        x = flat.field("x").to_numpy(zero_copy_only=False).astype(float)
+        null = flat.field("x").is_null().to_numpy(zero_copy_only=False)
+        odd = ~null & ~np.isfinite(x)
+        x = np.where(null | odd, 0.0, x)
+        # values are measured from each series' median, so sums of squares keep their digits
+        o = np.lexsort((x, null | odd, at))
+        cut = np.searchsorted(at, np.arange(len(group) + 1))
+        good = np.bincount(at, ~(null | odd), len(group)).astype(int)
+        mid = np.where(good > 0, x[o[np.minimum(cut[:-1] + good // 2, len(x) - 1)]], 0.0)
+        x = np.where(null | odd, 0.0, x - mid[at])
+        a = np.flatnonzero(side == side.min()) if not same else np.arange(len(group))
+        b = np.flatnonzero(side == side.max()) if not same else a
+        by_day = np.argsort(day, kind="stable")
+        width = -(-n_days // -(-n_days // CORR_SESSIONS))
+        starts = np.searchsorted(day[by_day], np.arange(0, n_days + width, width))
+        shape = (len(a), len(b))
+        n, k, sx, sy, sxx, syy, sxy, bad = (np.zeros(shape) for _ in range(8))
+        for c in range(len(starts) - 1):
+            e = by_day[starts[c]:starts[c + 1]]
+            cell, size = at[e] * width + day[e] - c * width, len(group) * width
+            grid = lambda w: np.bincount(cell, w, size).reshape(len(group), width)
+            m, v, q = grid((~null[e]).astype(float)), grid(x[e]), grid(x[e] * x[e])
+            k += m[a] @ m[b].T
+            sx += v[a] @ m[b].T
+            sy += m[a] @ v[b].T
+            sxx += q[a] @ m[b].T
+            syy += m[a] @ q[b].T
+            sxy += v[a] @ v[b].T
+            if null.any():
+                rows = grid(np.ones(len(e)))
+                n += rows[a] @ rows[b].T
+            if odd.any():
+                z = grid(odd[e].astype(float))
+                bad += z[a] @ m[b].T + m[a] @ z[b].T
+        n = n if null.any() else k
+        take = n >= max(min_obs, 1)
+        if same:
+            take &= a[:, None] < b[None, :]
+        i, j = np.nonzero(take)
+        n, k, sx, sy, sxx, syy, sxy, bad = (z[i, j] for z in (n, k, sx, sy, sxx, syy, sxy, bad))
+        with np.errstate(all="ignore"):
+            vx, vy = sxx - sx * sx / k, syy - sy * sy / k
+            corr = np.where((vx > 0) & (vy > 0), (sxy - sx * sy / k) / np.sqrt(vx) / np.sqrt(vy), np.nan)
+        corr[bad > 0] = np.nan
+        doubt = (bad == 0) & (k > 0) & (((sxx > 0) & (vx < CORR_DOUBT * sxx)) | ((syy > 0) & (vy < CORR_DOUBT * syy)))
+        for p in np.flatnonzero(doubt):
+            ea, eb = (np.arange(cut[z], cut[z + 1]) for z in (a[i[p]], b[j[p]]))
+            # every row of one series meets every row of the other of its session
+            u, v = np.nonzero((day[ea][:, None] == day[eb][None, :]) & ~null[ea][:, None] & ~null[eb][None, :])
+            corr[p] = _pair_exact(x[ea[u]], x[eb[v]])
+        names = group.column("symbol").combine_chunks()
+        first, second = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])  # rows are in the order of the symbols
+        return pa.table({"a": names.take(pa.array(first)), "b": names.take(pa.array(second)), "corr": pa.array(corr, mask=k == 0), "n": n.astype("int64")},
+                        schema=pa.schema([("a", kind), ("b", kind), ("corr", pa.float64()), ("n", pa.int64())]))
+    return run
+
+
 def pairwise_corr(returns: DataFrame, min_obs: int = 20, min_corr: float | None = None) -> DataFrame:
-    """Correlation of all pairs of series over their common sessions.
+    """Correlation of all pairs of series over their common sessions; NaN where one of them does not vary.
 
-    Sums of products are mergeable: each (a, b) pair is combined before the shuffle.
+    A series is packed into one row (the calendar bounds it) and dealt to the pairs of its tile with each tile. A pair of tiles is one
+    piece of work of bounded size: counts, sums and products of all its pairs of series come from products of (series, session)
+    matrices, so no pair of rows is ever formed, and what is shuffled is the series times the number of tiles.
     """
-    p = session_pairs(returns, "ret", returns.select("symbol").distinct().count()).where("a < b")
-    g = p.groupBy("a", "b").agg(F.corr("xa", "xb").alias("corr"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_obs)
+    kind = returns.schema["symbol"].dataType.simpleString()
+    packed = (returns.where(F.col("symbol").isNotNull() & F.col("session").isNotNull())
+              .groupBy("symbol").agg(F.array_agg(F.struct("session", F.col("ret").cast("double").alias("x"))).alias("r")))
+    packed = materialize(packed, "series")
+    n_series = packed.count()
+    tiles = -(-n_series // max(64, min(CORR_TILE, n_series // 16))) or 1
+    t = packed.withColumn("t", F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int"))
+    t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    t = t.withColumns({"lo": F.least("t", "o"), "hi": F.greatest("t", "o")}).drop("o")
+    g = t.repartition(min(tiles * (tiles + 1) // 2, 10_000), "lo", "hi").groupBy("lo", "hi").applyInArrow(_tile_corr(min_obs), f"a {kind}, b {kind}, corr double, n bigint")
     return g.where(F.col("corr") >= min_corr) if min_corr is not None else g

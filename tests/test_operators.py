@@ -220,6 +220,37 @@ def test_correlation_of_many_series(spark):
     assert len(c) == 600 * 600 and np.allclose(c.sample_cov, np.cov(x.T)[c.a, c.b])
 
 
+def test_correlation_forms_no_pairs_of_rows(spark):
+    """Gaps, repeated sessions, missing, non-finite and constant values, values far from zero; pieces carry series, not pairs."""
+    import math
+    from tapegrain.operators import joins as J
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i:03d}", t, float(rng.normal())) for i in range(150) for t in range(60) if rng.uniform() < 0.6]
+    rows += [("const", t, 0.1) for t in range(60)] + [("far", t, 1e9 + (t % 7)) for t in range(60)] + [("split", t, 1e9 + t % 5 if t < 29 else t % 3 * 1e-3) for t in range(60)]
+    rows += [("gaps", t, None if t % 4 == 0 else float(t % 9)) for t in range(60)] + [("nan", t, math.nan if t == 3 else float(t % 5)) for t in range(60)]
+    rows += [("twice", t, float(t % 4 + k)) for t in range(60) for k in (0, 1)] + [("none", t, None) for t in range(60)]
+    r = spark.createDataFrame(rows, "symbol string, session int, ret double")
+    out = J.pairwise_corr(r)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(x.a, x.b): (x.corr, x.n) for x in out.collect()}
+    by: dict = {}
+    for a, t, x in rows:
+        by.setdefault(a, {}).setdefault(t, []).append(x)
+    names, want = sorted(by), {}
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            p = [(x, y) for t in by[a].keys() & by[b].keys() for x in by[a][t] for y in by[b][t]]
+            if len(p) >= 20:
+                q = [(x, y) for x, y in p if x is not None and y is not None]
+                u, v = (np.array(z) - z[0] for z in zip(*q)) if q else (np.zeros(0), np.zeros(0))
+                with np.errstate(all="ignore"):
+                    want[a, b] = (None if not q else np.corrcoef(u, v)[0, 1] if u.std() and v.std() else math.nan, len(p))
+    assert got.keys() == want.keys() and len(got) > 3000
+    for k, (x, n) in want.items():
+        y, m = got[k]
+        assert m == n and (x is None) == (y is None) and (x is None or (math.isnan(x) and math.isnan(y)) or abs(x - y) < 1e-8), (k, x, y)
+
+
 def test_folds_with_few_rows_stay(spark):
     from tapegrain.operators import learning as L
     rows = [(f, role, float(i), i % 2) for f, n in ((1, 5), (2, 80)) for role in ("train", "test") for i in range(n)]
