@@ -48,13 +48,13 @@ REG = f"""{ADX_CTE}, fe AS (SELECT symbol, session, open, high, low, close, volu
 
 
 def stock_regimes(spark, d):
-    return R.daily_regime(B.daily_bars(spark, d))
+    return R.daily_regime(B.symbol_bars(spark, d))
 
 
 @query("win19_trend_features", f"""WITH {B.BARS}, {REG} SELECT symbol, {ds()} AS session, {rs('atr_pct', 6)} AS atr_pct, {rs('slope', 6)} AS slope_fast,
  {rs('adx')} AS adx, {rs('atr_rank', 6)} AS atr_rank FROM reg""")
 def trend_features(spark, d):
-    f = R.trend_features(B.daily_bars(spark, d))
+    f = R.trend_features(B.symbol_bars(spark, d))
     return f.select("symbol", day().alias("session"), rnd("atr_pct", 6).alias("atr_pct"), rnd("slope_fast", 6).alias("slope_fast"),
                     rnd("adx").alias("adx"), rnd("atr_rank", 6).alias("atr_rank"))
 
@@ -170,7 +170,7 @@ def drawdowns(spark, d):
  CASE WHEN bull IS NOT NULL THEN (SELECT count(*) FROM rr WHERE rr.symbol = dt.symbol AND rr.session > dt.trough AND rr.session <= dt.bull) END AS sessions_trough_to_bull FROM dt""")
 def detection(spark, d):
     b = B.daily_bars(spark, d)
-    x = R.detection(R.drawdowns(b, 0.5), R.daily_regime(b), b)
+    x = R.detection(R.drawdowns(b, 0.5), stock_regimes(spark, d), b)
     return x.select("symbol", day("peak").alias("peak"), day("detected").alias("detected"), "lag_sessions",
                     rnd("drawdown_at_detection", 6).alias("drawdown_at_detection"), day("back_to_bull").alias("back_to_bull"), "sessions_trough_to_bull")
 

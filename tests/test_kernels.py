@@ -156,3 +156,27 @@ def test_roll_moments_against_pandas(spark, n):
                 assert abs(row.v_c - f.y.var()) < 1e-9 and abs(row.m_c - f.x.cov(f.y)) <= 1e-9 * max(1, abs(f.x - f.x.mean()).max())
             else:
                 assert np.isnan(row.m_c)
+
+
+def test_pieces_and_offsets_share_their_cut_points(spark):
+    """Approximate cut points may come out differently each time they are computed, so only one computation may serve a result."""
+    from tapegrain.operators.kernels import exact_quantiles, rank_in_group
+    df = spark.range(0, 5000, 1, 8).selectExpr("id % 2 AS g", "CAST((id * 7919) % 3001 AS DOUBLE) AS x")
+    q, r = exact_quantiles(df, ["g"], "x", {"m": 0.5}), rank_in_group(df, ["g"], "x")
+    for out in (q, r):
+        assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()
+    p = df.toPandas()
+    assert {z.g: z.m for z in q.collect()} == p.groupby("g").x.median().to_dict()
+
+
+def test_window_tasks_follow_the_lines(spark, tmp_path):
+    """Twice the lines are twice the tasks, not tasks of twice the rows; a symbol stays in one task."""
+    from tapegrain import bindings as B
+    n = 3 * B.TASK_LINES
+    d = str(tmp_path)
+    spark.range(n).selectExpr("id AS l_orderkey", "id % 7 AS l_partkey", "id % 50 AS l_suppkey", "1 AS l_linenumber", "1D AS l_quantity", "CAST(id % 9 AS DOUBLE) AS l_extendedprice", "0D AS l_discount", "0D AS l_tax",
+                              "'N' AS l_returnflag", "timestamp_seconds(id % 5 * 86400) AS l_shipdate").write.parquet(f"{d}/lineitem.parquet")
+    assert B.spread(spark.range(1), spark, d, "id", rows=n // 40).rdd.getNumPartitions() == 40
+    b = B.symbol_bars(spark, d).withColumn("p", F.spark_partition_id())
+    got = b.groupBy("symbol").agg(F.countDistinct("p").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert len(got) == 50 and all(r.n == 1 for r in got) and sum(r.rows for r in got) == b.count()
