@@ -66,7 +66,7 @@ def rule_positions(spark, d):
     """Six rules held as rows: their windows and thresholds are data."""
     rules = spark.createDataFrame([("hold", "buy_and_hold", None), ("cross-10-30", "sma_cross", {"fast": 10.0, "slow": 30.0}), ("cross", "sma_cross", {}),
                                    ("rsi-40-60", "rsi", {"buy_below": 40.0, "sell_above": 60.0}), ("rsi", "rsi", None), ("macd", "macd_cross", None)], "rule_id string, kind string, params map<string,double>")
-    r = SU.rule_positions(B.daily_bars(spark, d), rules)
+    r = SU.rule_positions(B.symbol_bars(spark, d), rules)
     return r.select("rule_id", "symbol", day().alias("session"), "position")
 
 
