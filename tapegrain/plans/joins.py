@@ -371,7 +371,8 @@ LIQ = f"""{B.CALENDAR}, ms AS (SELECT min(session) AS rebalance, min(ord) AS o F
 
 def liquidity_ranks(spark, d):
     cal = B.calendar(spark, d)
-    return C.rank_liquidity(B.daily_bars(spark, d), C.month_starts(cal), cal, 250, 500.0, 20000.0, 0.15)
+    # dealt by symbol before each bar is widened to the rebalances it serves, so the wide rows are not shuffled
+    return C.rank_liquidity(B.symbol_bars(spark, d).select("symbol", "session", "close", "volume"), C.month_starts(cal), cal, 250, 500.0, 20000.0, 0.15)
 
 
 @query("agg23_liquidity_rank", f"""WITH {B.BARS}, {LIQ} SELECT {ds('rebalance')} AS rebalance, symbol, {rs('mdv', 2)} AS median_dv, {rs('last_close')} AS last_close, {rs('cov', 6)} AS coverage
