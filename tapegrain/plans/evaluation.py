@@ -227,7 +227,7 @@ FC = f"""fr0 AS (SELECT *, ln(close / lag(close) OVER ({WS})) AS r1 FROM bars),
 def forecasts(spark, d):
     """Climatology forecasts per (symbol, session, horizon) and the close at or before the target date."""
     w = by_time("symbol", "session")
-    b = B.daily_bars(spark, d).select("symbol", "session", "close")
+    b = B.symbol_bars(spark, d).select("symbol", "session", "close")
     f = b.withColumn("_r", F.log(F.col("close") / F.lag("close").over(w)))
     f = f.withColumns({"mu": I.sma("_r", 60), "sd": I.rolling_std("_r", 60)}).where(F.col("sd").isNotNull())
     f = f.withColumn("horizon", F.explode(F.array(F.lit(5), F.lit(20))))
