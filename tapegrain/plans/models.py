@@ -20,7 +20,7 @@ FEATS = ["ret_5", "ret_20", "vol_ratio", "gap_atr", "volume_ratio", "crowd"]
 
 def win_rows(spark, d):
     t = touch(spark, d).select("symbol", "session", F.lit(1).alias("side"), "exit_session", (F.col("r") > 0).cast("int").alias("win"), "r")
-    f = X.event_features(B.daily_bars(spark, d)).select("symbol", "session", *X.EVENT_FEATURES)
+    f = X.event_features(B.symbol_bars(spark, d)).select("symbol", "session", *X.EVENT_FEATURES)
     return L.event_rows(t, f, ["ret_5", "ret_20", "gap_atr"])
 
 

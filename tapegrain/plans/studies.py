@@ -243,7 +243,7 @@ SIGNALS = f"""sg0 AS (SELECT *, {TR} AS tr, {full_sql('max(high)', 'high', 20, -
 
 
 def touch(spark, d):
-    b = I.add_atr(B.daily_bars(spark, d), 14, out="atr")
+    b = I.add_atr(B.symbol_bars(spark, d), 14, out="atr")
     from tapegrain.operators.kernels import full, trailing
     hh = full(F.max("high"), "high", trailing(by_time("symbol", "session"), 20, -1), 20)
     b = b.withColumns({"_sig": F.coalesce(F.col("close") > hh, F.lit(False)) & F.col("atr").isNotNull(), "_sd": 2 * F.col("atr")})
