@@ -219,32 +219,43 @@ def _conflicts(max_corr: float):
         rank, fresh = np.zeros(len(names), "int64"), np.zeros(len(names), bool)
         rank[i], fresh[i] = group.column("place").to_numpy(), group.column("fresh").to_numpy(zero_copy_only=False)
         kind = group.schema.field("symbol").type
-        a, b = np.nonzero((n >= 2) & (corr > max_corr) & (rank[:, None] < rank[None, :]) & fresh[None, :])
+        hit = (n >= 2) & (corr > max_corr) & (rank[:, None] < rank[None, :]) & fresh[None, :]
+        # a name that a kept one rules out needs no other pair, and blocks none
+        ruled = hit[~fresh].any(axis=0)
+        hit[ruled] = False
+        hit[np.ix_(fresh, ruled)] = False
+        a, b = np.nonzero(hit)
         return pa.table({"rebalance": pa.array([group.column("rebalance")[0].as_py()] * len(a), pa.date32()), "better": pa.array(names[a], kind), "symbol": pa.array(names[b], kind)})
     return run
 
 
+#: Most names of one date that are compared at once.
+WIDEST_BLOCK = 1024
+
+
 def uncorrelated(ranked: DataFrame, returns: Callable[[DataFrame], DataFrame], n: int, max_corr: float, company: str | None = None, block: int | None = None) -> DataFrame:
     """The first ``n`` names of each rebalance date's ranking, leaving out a name when a better one that is kept belongs
     to the same company or has returns correlated above ``max_corr``: (rebalance, symbol, place, pick).
 
     ``ranked``: rebalance, symbol, place (from 1), and the company column (null: none); ``returns`` gives rebalance, symbol, session,
     ret of the (rebalance, symbol) asked for.
-    The ranking is read in blocks of ``block`` names, and only dates still short of ``n`` names go on to the next. Pairs are formed
-    among the names kept and those of the block, so their number follows the parameters, not the number of symbols. Within a
+    The ranking is read in blocks, the first of ``block`` names and each of the next twice as long up to ``WIDEST_BLOCK``, and only dates
+    still short of ``n`` names go on to the next. Pairs are formed among the at most ``n`` names kept and those of the block, so their
+    number follows the parameters, not the number of symbols, and a long run of alike names is passed in few blocks. Within a
     block the greedy choice is made in rounds for all dates at once: a name stays when no better undecided name conflicts with
     it, and goes when a kept one does.
     """
     block = block or 2 * n
     col = F.col(company) if company else F.lit(None).cast("string")
     every = materialize(ranked.select("rebalance", "symbol", "place", col.cast("string").alias("company")), "ranked")
+    pick = F.row_number().over(Window.partitionBy("rebalance").orderBy("place"))
     kept, low = every.limit(0), 0
     while True:
         short = every.select("rebalance").distinct().join(kept.groupBy("rebalance").agg(F.count("*").alias("k")), "rebalance", "left").where(F.coalesce("k", F.lit(0)) < n).select("rebalance")
         fresh = every.where((F.col("place") > low) & (F.col("place") <= low + block)).join(short, "rebalance")
         if every.where(F.col("place") > low).join(short, "rebalance", "left_semi").isEmpty():
             break
-        beside = kept.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
+        beside = kept.join(short, "rebalance").withColumn("fresh", F.lit(False)).unionByName(fresh.withColumn("fresh", F.lit(True)))
         sample = returns(beside.select("rebalance", "symbol")).join(beside, ["rebalance", "symbol"]).select("rebalance", "symbol", "session", "ret", "place", "fresh")
         kind = dict(every.dtypes)["symbol"]
         clash = materialize(sample.groupBy("rebalance").applyInArrow(_conflicts(max_corr), f"rebalance date, better {kind}, symbol {kind}"), "conflicts")
@@ -261,17 +272,22 @@ def uncorrelated(ranked: DataFrame, returns: Callable[[DataFrame], DataFrame], n
             out = clash.join(stay.select("rebalance", F.col("symbol").alias("better")), ["rebalance", "better"]).select("rebalance", "symbol")
             out = out.unionByName(live.join(stay.select("rebalance", "company"), ["rebalance", "company"], "left_semi").select("rebalance", "symbol")).unionByName(stay.select("rebalance", "symbol"))
             live = materialize(live.join(out.distinct(), ["rebalance", "symbol"], "left_anti"), "live")
-        kept, low = materialize(kept, "kept"), low + block
-    pick = F.row_number().over(Window.partitionBy("rebalance").orderBy("place"))
-    return kept.withColumn("pick", pick).where(F.col("pick") <= n).select("rebalance", "symbol", "place", "pick")
+        kept = materialize(kept.withColumn("pick", pick).where(F.col("pick") <= n).drop("pick"), "kept")  # names beyond n decide nothing
+        low, block = low + block, max(block, min(2 * block, WIDEST_BLOCK))
+    return kept.withColumn("pick", pick).select("rebalance", "symbol", "place", "pick")
 
 
 def window_returns(bars: DataFrame, rebalances: DataFrame, calendar: DataFrame, lookback: int, names: DataFrame) -> DataFrame:
-    """(rebalance, symbol, session, ret) of ``names``: changes of close inside each date's lookback, from the second bar on."""
+    """(rebalance, symbol, session, ret) of ``names``: changes of close inside each date's lookback, from the second bar on.
+
+    Names are some of each date, as many as a parameter says. They go to the bars with the first and last session of their lookback, so
+    only bars of these names are widened and shuffled.
+    """
     rb = rebalances.select(F.col("session").alias("rebalance"), F.explode(F.sequence(F.col("ord") - lookback, F.col("ord") - 1)).alias("ord"))
-    serves = calendar.join(rb, "ord").select("session", "rebalance")
+    spans = calendar.join(rb, "ord").groupBy("rebalance").agg(F.min("session").alias("_lo"), F.max("session").alias("_hi"))
+    asked = names.select("rebalance", "symbol").distinct().join(F.broadcast(spans), "rebalance")
     prev = F.lag("close").over(Window.partitionBy("rebalance", "symbol").orderBy("session"))
-    own = bars.join(F.broadcast(serves), "session").join(names, ["rebalance", "symbol"], "left_semi")
+    own = bars.join(F.broadcast(asked), "symbol").where(F.col("session").between(F.col("_lo"), F.col("_hi")))
     return own.select("rebalance", "symbol", "session", (F.col("close") / prev - 1).alias("ret")).where("ret is not null")
 
 

@@ -369,10 +369,11 @@ LIQ = f"""{B.CALENDAR}, ms AS (SELECT min(session) AS rebalance, min(ord) AS o F
  lq AS (SELECT rebalance, symbol, median(close * volume) AS mdv, arg_max(close, b.session) AS last_close, count(*) / 250.0 AS cov FROM bars b JOIN cal USING (session) JOIN ms ON ord < o AND ord >= o - 250 GROUP BY 1, 2)"""
 
 
-def liquidity_ranks(spark, d):
+def liquidity_ranks(spark, d, bars=None):
     cal = B.calendar(spark, d)
     # dealt by symbol before each bar is widened to the rebalances it serves, so the wide rows are not shuffled
-    return C.rank_liquidity(B.symbol_bars(spark, d).select("symbol", "session", "close", "volume"), C.month_starts(cal), cal, 250, 500.0, 20000.0, 0.15)
+    bars = B.symbol_bars(spark, d) if bars is None else B.spread(bars, spark, d, "symbol")
+    return C.rank_liquidity(bars.select("symbol", "session", "close", "volume"), C.month_starts(cal), cal, 250, 500.0, 20000.0, 0.15)
 
 
 @query("agg23_liquidity_rank", f"""WITH {B.BARS}, {LIQ} SELECT {ds('rebalance')} AS rebalance, symbol, {rs('mdv', 2)} AS median_dv, {rs('last_close')} AS last_close, {rs('cov', 6)} AS coverage
@@ -409,9 +410,9 @@ SHARE_CLASS = "CASE WHEN symbol % 3 = 0 THEN symbol % 40 END"
  QUALIFY row_number() OVER (PARTITION BY rebalance ORDER BY place) <= 12""")
 def uncorrelated_universe(spark, d):
     from pyspark.sql import Window
-    cal, bars = materialize(B.calendar(spark, d), "calendar"), materialize(B.daily_bars(spark, d).select("symbol", "session", "close"), "bars")
+    cal, bars = materialize(B.calendar(spark, d), "calendar"), materialize(B.daily_bars(spark, d).select("symbol", "session", "close", "volume"), "bars")
     place = F.row_number().over(Window.partitionBy("rebalance").orderBy(F.desc("median_dv"), "symbol"))
-    ranked = liquidity_ranks(spark, d).withColumn("place", place.cast("bigint")).withColumn("company", F.expr(SHARE_CLASS))
+    ranked = liquidity_ranks(spark, d, bars).withColumn("place", place.cast("bigint")).withColumn("company", F.expr(SHARE_CLASS))
     u = C.uncorrelated(ranked, lambda names: C.window_returns(bars, C.month_starts(cal), cal, 250, names), 12, 0.6, "company")
     return u.select(day("rebalance").alias("rebalance"), "symbol", "place", "pick")
 

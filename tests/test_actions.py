@@ -153,3 +153,50 @@ def test_scenarios_by_hand(spark):
     assert y["last", 2020] == (-0.2, 0.1) and y["zero", 2021] == (round((0.1 - 1 - 0.5) / 3, 9), 0.1)
     bias = {x["rule"]: x["gap"] for x in E.survivorship_bias(r, {"gap": ("living", "all")}).collect()}
     assert bias["last"] == pytest.approx(1.1 ** 12 - (0.8 * (1 - 0.4 / 3)) ** 6) and bias["zero"] > bias["last"]
+
+
+def test_uncorrelated_passes_alike_names_in_few_blocks(spark):
+    """A run of alike names is passed in blocks that grow, and dates that have their names ask for no returns again."""
+    rng = np.random.default_rng(5)
+    days = [DAY("2019-01-01") + dt.timedelta(days=t) for t in range(30)]
+    x, y, z = rng.normal(size=(3, 30))
+    easy, hard = DAY("2020-01-01"), DAY("2020-02-01")
+    series = {(hard, f"h{i:03d}"): x for i in range(100)} | {(hard, "h100"): y, (easy, "e000"): x, (easy, "e001"): y, (easy, "e002"): z}
+    ranked = spark.createDataFrame([(t, s, int(s[1:]) + 1, None) for t, s in series], "rebalance date, symbol string, place bigint, company string")
+    returns = spark.createDataFrame([(t, s, day, float(v)) for (t, s), xs in series.items() for day, v in zip(days, xs)], "rebalance date, symbol string, session date, ret double")
+    asked = []
+
+    def some(names):
+        asked.append({(r["rebalance"], r["symbol"]) for r in names.collect()})
+        return returns.join(names, ["rebalance", "symbol"], "left_semi")
+
+    got = C.uncorrelated(ranked, some, 2, 0.9, "company").collect()
+    assert {(r["rebalance"], r["symbol"], r["pick"]) for r in got} == {(easy, "e000", 1), (easy, "e001", 2), (hard, "h000", 1), (hard, "h100", 2)}
+    assert len(asked) == 5  # 4, 8, 16, 32 and 64 names; 26 blocks of 4
+    assert all(t == hard for names in asked[1:] for t, _ in names)
+
+
+def test_window_returns_shuffle_only_the_names_asked_for(spark):
+    days = [DAY("2020-01-01") + dt.timedelta(days=t) for t in range(0, 80, 2)]
+    cal = spark.createDataFrame([(day, i + 1) for i, day in enumerate(days)], "session date, ord bigint")
+    close = {(s, day): 1.0 + (s * 7 + i * i) % 11 for s in range(20) for i, day in enumerate(days) if (s + i) % 3}
+    bars = spark.createDataFrame([(s, day, v) for (s, day), v in close.items()], "symbol bigint, session date, close double")
+    asked = [(t, s) for t in (days[0], days[5], days[16], days[31]) for s in (3, 4, 11)]
+    names = spark.createDataFrame(asked + asked[:2], "rebalance date, symbol bigint")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        r = C.window_returns(bars, C.month_starts(cal), cal, 10, names)
+        got = {(x["rebalance"], x["symbol"], x["session"]): x["ret"] for x in r.collect()}
+        plan = r._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = {}
+    for t, s in asked:
+        if t not in {min(x for x in days if (x.year, x.month) == (t.year, t.month))}:
+            continue
+        at = days.index(t)
+        own = [day for day in days[max(0, at - 10):at] if (s, day) in close]
+        want |= {(t, s, b): close[s, b] / close[s, a] - 1 for a, b in zip(own, own[1:])}
+    assert got == want and len(want) == 17
+    assert "LeftSemi" not in plan  # which came after the widening of all bars, and shuffled them where it was no broadcast
