@@ -180,3 +180,33 @@ def test_window_tasks_follow_the_lines(spark, tmp_path):
     b = B.symbol_bars(spark, d).withColumn("p", F.spark_partition_id())
     got = b.groupBy("symbol").agg(F.countDistinct("p").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     assert len(got) == 50 and all(r.n == 1 for r in got) and sum(r.rows for r in got) == b.count()
+
+
+def _sorts(df):
+    import re
+    return len(re.findall(r"\bSort \[", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_confirm_and_scans_keep_the_order_of_the_series(spark, bars):
+    """A sort holds all rows of its task; confirm takes the one it is given, a scan one for its blocks, the next window one more."""
+    d = bars.repartition(4, "symbol")
+    raw = d.withColumn("raw", F.when(F.col("close") > F.lag("close").over(K.by_time("symbol", "session")), "up").otherwise("down"))
+    assert _sorts(K.confirm(raw, "symbol", "session", "raw", 2, ("down",), "label")) == _sorts(raw) == 1
+    assert _sorts(I.add_ema(I.add_atr(d), 12)) == 4
+
+
+@pytest.mark.parametrize("days,immediate", [(1, ()), (2, ("c",)), (3, ())])
+def test_confirm_of_several_series_with_gaps(spark, days, immediate):
+    rng = np.random.default_rng(days)
+    raw = [None if x == 3 else "abc"[x] for x in np.repeat(rng.integers(0, 4, 240), rng.integers(1, 4, 240))]
+    rows = [(i % 3 if i % 5 else None, i, v) for i, v in enumerate(raw)]
+    got = {r.t: r.lab for r in K.confirm(spark.createDataFrame(rows, "k int, t int, raw string").repartition(4), "k", "t", "raw", days, immediate, "lab").collect()}
+    state = {}  # key: label, raw of the live row before, length of its run
+    for k, t, v in rows:
+        lab, prev, n = state.get(k, (None, None, 0))
+        if v is not None:
+            n = n + 1 if v == prev else 1
+            lab = v if prev is None or n >= days or v in immediate else lab
+            prev = v
+        state[k] = (lab, prev, n)
+        assert got[t] == lab
