@@ -11,6 +11,7 @@ from tapegrain.operators import structure as S
 from tapegrain.operators.kernels import by_time, confirm, latch
 from tapegrain.plans.catalog import day, ds, query, rnd, rs
 from tapegrain.plans.windows import ADX_CTE, TR, WS, ewm_sql, full_sql
+from tapegrain.session import materialize
 
 MEMBERS = """members AS (SELECT l_suppkey AS symbol, min(CAST(l_shipdate AS DATE)) AS start, max(CAST(l_shipdate AS DATE)) AS "end"
   FROM lineitem GROUP BY 1, year(l_shipdate))"""
@@ -211,8 +212,10 @@ def vol_separation(spark, d):
 @query("agg18_agreement", f"""WITH {B.BARS}, {REG} SELECT {rs('avg(CAST(raw = regime AS DOUBLE))', 6)} AS agreement, count(*) AS sessions FROM reg
  WHERE raw IS NOT NULL AND regime IS NOT NULL""")
 def agreement(spark, d):
-    r = stock_regimes(spark, d)
-    return R.agreement(r, r, "raw", "regime").select(rnd("agreement", 6).alias("agreement"), "sessions")
+    # both sides of the comparison read the labels, which are written once, without what led to them
+    labels = materialize(stock_regimes(spark, d).select("symbol", "session", "raw", "regime"), "labels")
+    a, b = (B.spread(labels.select("symbol", "session", x), spark, d, "symbol", "session") for x in ("raw", "regime"))
+    return R.agreement(a, b, "raw", "regime").select(rnd("agreement", 6).alias("agreement"), "sessions")
 
 
 # --- intraday -----------------------------------------------------------------------------------

@@ -316,3 +316,16 @@ def test_regime_shape_reads_its_labels_once(spark):
             want[s, x] = (k, xs.count(x) / k, xs.count(x), len(xs), len(starts) - 1, xs.count(x) / len(xs), (len(starts) - 1) / (len(xs) / 252.0))
     names = ("spells", "spell_mean", "label_sessions", "sessions", "switches", "share", "switches_per_year")
     assert {(r.symbol, r.label): tuple(r[n] for n in names) for r in out.collect()} == want
+
+
+def test_agreement_query_computes_the_labels_once(spark):
+    """Both sides of the comparison read the written labels; neither runs the windows that lead to them."""
+    from tapegrain.plans import load_catalog
+    d = "/root/testdata/sf0.001"
+    out = load_catalog()["agg18_agreement"][0](spark, d)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r = load_catalog()["win20_stock_regime"][0](spark, d).where("raw IS NOT NULL AND regime IS NOT NULL").toPandas()
+    got = out.collect()[0]
+    assert got.sessions == len(r) and (got.agreement is None) == (len(r) == 0)
+    if len(r):
+        assert abs(got.agreement - (r.raw == r.regime).mean()) <= 1e-6
