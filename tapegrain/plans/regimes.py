@@ -170,8 +170,8 @@ def drawdowns(spark, d):
  {ds('bull')} AS back_to_bull,
  CASE WHEN bull IS NOT NULL THEN (SELECT count(*) FROM rr WHERE rr.symbol = dt.symbol AND rr.session > dt.trough AND rr.session <= dt.bull) END AS sessions_trough_to_bull FROM dt""")
 def detection(spark, d):
-    b = B.daily_bars(spark, d)
-    x = R.detection(R.drawdowns(b, 0.5), stock_regimes(spark, d), b)
+    x = R.detection(R.drawdowns(B.symbol_bars(spark, d), 0.5), stock_regimes(spark, d), B.daily_bars(spark, d),
+                    deal=lambda rows, *keys: B.spread(rows, spark, d, *keys))
     return x.select("symbol", day("peak").alias("peak"), day("detected").alias("detected"), "lag_sessions",
                     rnd("drawdown_at_detection", 6).alias("drawdown_at_detection"), day("back_to_bull").alias("back_to_bull"), "sessions_trough_to_bull")
 

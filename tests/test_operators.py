@@ -329,3 +329,19 @@ def test_agreement_query_computes_the_labels_once(spark):
     assert got.sessions == len(r) and (got.agreement is None) == (len(r) == 0)
     if len(r):
         assert abs(got.agreement - (r.raw == r.regime).mean()) <= 1e-6
+
+
+def test_detection_deals_what_it_windows(spark, bars):
+    """Windows over symbols run in as many tasks as the caller asks for, with the same rows."""
+    import re
+    from tapegrain.operators import regimes as G
+    from tapegrain.plans import load_catalog
+    b = bars.where("symbol < 3")
+    labels = b.select("symbol", "session", F.when(F.col("close") > 103, "bull").when(F.col("close") < 97, "bear").when(F.col("close") > 98, "range").alias("regime"))
+    e, dealt = G.drawdowns(b, 0.02), []
+    deal = lambda rows, *keys: dealt.append(keys) or rows.repartition(3, *keys)
+    want, got = G.detection(e, labels, b), G.detection(e, labels, b, deal=deal)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 3
+    assert ("symbol",) in dealt and all(k[0] == "symbol" for k in dealt)
+    plan = load_catalog()["seq05_detection"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(symbol#\w+, \d+\), ENSURE_REQUIREMENTS", plan)
