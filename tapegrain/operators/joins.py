@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +166,8 @@ def session_pairs(rows: DataFrame, value: str, n_series: int) -> DataFrame:
 
 #: Most series in a tile of the correlation, and the sessions it takes at a time: six products of their values and flags are held.
 CORR_TILE, CORR_SESSIONS = 1024, 2048
+#: Parts the tiles are dealt to; a task meets one part with another, with a single tile each up to this many tiles.
+CORR_PARTS = 128
 #: Variance this small against the sum of squares is taken again from the two series alone.
 CORR_DOUBT = 1e-7
 
@@ -245,21 +249,58 @@ def _tile_corr(min_obs: int):
     return run
 
 
+def _tiles(size: int):
+    """Series, as they come, to rows (id, tile) of at most ``size`` series each, as one Arrow stream."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made, held, n = TaskContext.get().partitionId() << 32, 0, [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held, n = [*held, batch], n + batch.num_rows
+            while n >= size or (batch is None and n):
+                t = pa.Table.from_batches(held).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema) as out:
+                    out.write_table(t.slice(0, size))
+                held, n = t.slice(size).to_batches(), max(0, n - size)
+                yield pa.record_batch({"id": pa.array([first + made], pa.int64()), "tile": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                made += 1
+    return run
+
+
+def _pairs_of_tiles(min_obs: int):
+    corr = _tile_corr(min_obs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, *tiles in zip(*(batch.column(x) for x in ("lo", "hi", "tile_lo", "tile_hi"))):
+                same = lo == hi
+                sides = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in tiles[:1 if same else 2]]
+                sides = [t.append_column("t", pa.array(np.full(len(t), k, "int32"))) for k, t in enumerate(sides)]
+                g = pa.concat_tables(sides)
+                g = g.append_column("lo", pa.array(np.zeros(len(g), "int32"))).append_column("hi", pa.array(np.full(len(g), 0 if same else 1, "int32")))
+                yield from corr(g).to_batches()
+    return run
+
+
 def pairwise_corr(returns: DataFrame, min_obs: int = 20, min_corr: float | None = None) -> DataFrame:
     """Correlation of all pairs of series over their common sessions; NaN where one of them does not vary.
 
-    A series is packed into one row (the calendar bounds it) and dealt to the pairs of its tile with each tile. A pair of tiles is one
-    piece of work of bounded size: counts, sums and products of all its pairs of series come from products of (series, session)
-    matrices, so no pair of rows is ever formed, and what is shuffled is the series times the number of tiles.
+    A series is packed into one row (the calendar bounds it) and series into tiles, each one row that is written once. A pair of
+    tiles is one piece of work of bounded size: counts, sums and products of all its pairs of series come from products of (series,
+    session) matrices, so no pair of rows is ever formed. Its task reads the two tiles where they are, so what is written and shuffled
+    is each series once, whatever the number of tiles.
     """
     kind = returns.schema["symbol"].dataType.simpleString()
     packed = (returns.where(F.col("symbol").isNotNull() & F.col("session").isNotNull())
               .groupBy("symbol").agg(F.array_agg(F.struct("session", F.col("ret").cast("double").alias("x"))).alias("r")))
     packed = materialize(packed, "series")
     n_series = packed.count()
-    tiles = -(-n_series // max(64, min(CORR_TILE, n_series // 16))) or 1
-    t = packed.withColumn("t", F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int"))
-    t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    t = t.withColumns({"lo": F.least("t", "o"), "hi": F.greatest("t", "o")}).drop("o")
-    g = t.repartition(min(tiles * (tiles + 1) // 2, 10_000), "lo", "hi").groupBy("lo", "hi").applyInArrow(_tile_corr(min_obs), f"a {kind}, b {kind}, corr double, n bigint")
+    size = max(64, min(CORR_TILE, n_series // 16))
+    tiles = materialize(packed.coalesce(-(-n_series // size) or 1).mapInArrow(_tiles(size), "id bigint, tile binary"), "tiles")
+    ids = sorted(r["id"] for r in tiles.select("id").collect()) or [-1]  # one for each tile
+    at = F.array_position(F.array(*[F.lit(x).cast("bigint") for x in ids]), F.col("id")).cast("int")
+    n = min(len(ids), CORR_PARTS)
+    dealt = tiles.withColumn("k", at).repartitionById(n, F.col("k") % n)
+    lo, hi = (dealt.select(F.col("k").alias(x), F.col("tile").alias(f"tile_{x}")) for x in ("lo", "hi"))
+    g = lo.join(hi.hint("shuffle_replicate_nl"), F.col("lo") <= F.col("hi")).mapInArrow(_pairs_of_tiles(min_obs), f"a {kind}, b {kind}, corr double, n bigint")
     return g.where(F.col("corr") >= min_corr) if min_corr is not None else g

@@ -162,7 +162,7 @@ def sector_relative(spark, d):
  SELECT a.symbol AS a, b.symbol AS b, {rs('corr(a.ret, b.ret)', 6)} AS corr, count(*) AS n FROM q a JOIN q b ON a.session = b.session AND a.symbol < b.symbol
  GROUP BY 1, 2 HAVING count(*) >= 20""")
 def pair_correlation(spark, d):
-    b = B.daily_bars(spark, d)
+    b = B.symbol_bars(spark, d, 6 * B.TASK_LINES)  # one window, and tasks that fill a tile of series
     r = b.select("symbol", "session", (F.col("close") / F.lag("close").over(by_time("symbol", "session")) - 1).alias("ret")).where(F.col("ret").isNotNull())
     c = J.pairwise_corr(r)
     return c.select("a", "b", rnd("corr", 6).alias("corr"), "n")

@@ -251,6 +251,21 @@ def test_correlation_forms_no_pairs_of_rows(spark):
         assert m == n and (x is None) == (y is None) and (x is None or (math.isnan(x) and math.isnan(y)) or abs(x - y) < 1e-8), (k, x, y)
 
 
+def test_correlation_writes_each_series_once(spark, monkeypatch):
+    """Series are not repeated for the tiles they meet, also where a part holds several tiles."""
+    from tapegrain.operators import joins as J
+    monkeypatch.setattr(J, "CORR_TILE", 64)
+    monkeypatch.setattr(J, "CORR_PARTS", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(25, 400))
+    r = spark.createDataFrame(pd.DataFrame([(i, t, float(x[t, i])) for t in range(25) for i in range(400)], columns=["symbol", "session", "ret"]))
+    out = J.pairwise_corr(r)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.toPandas()
+    assert len(got) == 400 * 399 // 2 and np.allclose(got["corr"], np.corrcoef(x.T)[got.a, got.b]) and (got.a < got.b).all()
+    assert J.pairwise_corr(r.where("symbol < 0")).count() == 0
+
+
 def test_folds_with_few_rows_stay(spark):
     from tapegrain.operators import learning as L
     rows = [(f, role, float(i), i % 2) for f, n in ((1, 5), (2, 80)) for role in ("train", "test") for i in range(n)]
