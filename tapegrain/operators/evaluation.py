@@ -118,14 +118,17 @@ def probabilistic_scores(f: DataFrame, by: Sequence[str]) -> DataFrame:
     return g.join(rank_corr(f, by, "p_up", "y"), by)
 
 
-def rank_corr(f: DataFrame, by: Sequence[str], a: str, b: str, out: str = "rank_ic", bound: int | None = None) -> DataFrame:
-    """Spearman correlation: Pearson correlation of average ranks."""
+def rank_corr(f: DataFrame, by: Sequence[str], a: str, b: str, out: str = "rank_ic", bound: int | None = None, written: bool = False) -> DataFrame:
+    """Spearman correlation: Pearson correlation of average ranks. ``written``: the rows are read from a table, not computed."""
     by = list(by)
     d = f.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    if bound is None:
+    if bound is None and not written:
         d = materialize(d, "rank_pairs")  # both rankings read it several times
+    pairs = d
     d = rank_in_group(d, by, "_a", "_ra", bound)
-    d = rank_in_group(d, by, "_b", "_rb", bound)
+    if bound is None:
+        d = d.drop("_a")
+    d = rank_in_group(d, by, "_b", "_rb", bound, pairs)
     spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
     return d.groupBy(*by).agg((F.covar_pop("_ra", "_rb") / F.nullif(spread, F.lit(0.0))).alias(out))
 

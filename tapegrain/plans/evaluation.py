@@ -227,16 +227,15 @@ FC = f"""fr0 AS (SELECT *, ln(close / lag(close) OVER ({WS})) AS r1 FROM bars),
 def forecasts(spark, d):
     """Climatology forecasts per (symbol, session, horizon) and the close at or before the target date."""
     w = by_time("symbol", "session")
-    b = B.symbol_bars(spark, d).select("symbol", "session", "close")
-    f = b.withColumn("_r", F.log(F.col("close") / F.lag("close").over(w)))
-    f = f.withColumns({"mu": I.sma("_r", 60), "sd": I.rolling_std("_r", 60)}).where(F.col("sd").isNotNull())
-    f = f.withColumn("horizon", F.explode(F.array(F.lit(5), F.lit(20))))
-    band = lambda z: F.col("close") * F.exp(F.col("mu") * F.col("horizon") + z * F.col("sd") * F.sqrt("horizon"))
-    f = f.select("symbol", "session", "horizon", F.col("close").alias("last_price"), band(0.0).alias("p50"), band(-1.2816).alias("p10"), band(1.2816).alias("p90"),
-                 F.date_add("session", F.floor(F.col("horizon") * 7 / 5).cast("int")).alias("target"))
-    fin = b.groupBy("symbol").agg(F.max("session").alias("_fin"))
-    f = f.join(fin, "symbol").where(F.col("target") <= F.col("_fin")).drop("_fin")
-    return asof_join(f, b, "symbol", "target", "session", {"close": "realised"})
+    b = B.symbol_bars(spark, d).where(F.col("symbol").isNotNull()).select("symbol", "session", "close")
+    b = b.withColumn("_r", F.log(F.col("close") / F.lag("close").over(w)))
+    b = b.withColumns({"mu": I.sma("_r", 60), "sd": I.rolling_std("_r", 60), "_fin": F.max("session").over(Window.partitionBy("symbol"))})
+    band = lambda h, z: F.col("close") * F.exp(F.col("mu") * h + z * F.col("sd") * F.sqrt(F.lit(h)))
+    made = [F.struct("session", F.lit(h).alias("horizon"), F.col("close").alias("last_price"), band(h, 0.0).alias("p50"), band(h, -1.2816).alias("p10"), band(h, 1.2816).alias("p90"),
+                     F.date_add("session", h * 7 // 5).alias("target")) for h in (5, 20)]
+    # each bar carries the forecasts made on it, so that all of this is one task's work on a symbol, dealt once
+    b = b.withColumn("_f", F.when(F.col("sd").isNotNull(), F.filter(F.array(*made), lambda z: z["target"] <= F.col("_fin"))))
+    return asof_join(None, b, "symbol", "target", "session", {"close": "realised"}, carried="_f")
 
 
 @query("agg33_forecast_scores", f"""WITH {B.BARS}, {FC} SELECT CAST(horizon AS INTEGER) AS horizon, count(*) AS n, {rs('avg(CAST((ln(realised / last_price) > 0) = (ln(p50 / last_price) > 0) AS DOUBLE))', 6)} AS hit_rate,

@@ -210,3 +210,31 @@ def test_confirm_of_several_series_with_gaps(spark, days, immediate):
             prev = v
         state[k] = (lab, prev, n)
         assert got[t] == lab
+
+
+def test_a_series_that_looks_itself_up_is_not_shuffled(spark):
+    """Rows that carry their look-ups give what the union of both sides gives, without another exchange."""
+    rng = np.random.default_rng(8)
+    rows = [(s, t, float(rng.normal()) if rng.uniform() < 0.9 else None) for s in range(5) for t in sorted(rng.choice(200, 60, replace=False).tolist())] + [(9, None, 1.0)]
+    b = spark.createDataFrame(rows, "k int, t int, x double").repartition(3, "k")
+    made = F.array(*[F.struct(F.col("t").alias("made"), F.lit(h).alias("h"), (F.col("t") + h).alias("due")) for h in (-3, 0, 7)])
+    b = b.withColumn("asks", F.when(F.col("t") % 5 != 0, made))
+    left = b.select("k", F.explode("asks").alias("z")).select("k", "z.*")
+    for more in ({}, {"allow_equal": False}, {"direction": "forward"}):
+        want = K.asof_join(left, b, "k", "due", "t", {"x": "y", "t": "at"}, **more)
+        got = K.asof_join(None, b, "k", "due", "t", {"x": "y", "t": "at"}, carried="asks", **more)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_unbounded_ranks_deal_the_rows_once(spark):
+    """Ranks come from one exchange of the rows and no join on the value; rows of a value of its own piece stay spread."""
+    rng = np.random.default_rng(9)
+    v = np.where(rng.uniform(size=6000) < 0.5, 0.0, rng.normal(size=6000))
+    p = pd.DataFrame({"g": np.arange(6000) % 2, "v": v, "i": np.arange(6000)})
+    r = K.rank_in_group(spark.createDataFrame(p).repartition(4), ["g"], "v", "p")
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = r.toPandas().sort_values("i")
+    want = p.groupby("g").v.rank(method="average") / p.groupby("g").v.transform("count") - 0.5
+    assert np.allclose(got.p.to_numpy(), want.to_numpy())
