@@ -18,6 +18,7 @@ from tapegrain.plans.catalog import day, ds, query, rnd, rs
 from tapegrain.plans.evaluation import FC, SC, TRADES, forecasts, scored_forward, trades
 from tapegrain.plans.regimes import REG
 from tapegrain.plans.windows import COMP, TR, WS, composite_panel, ewm_sql, full_sql
+from tapegrain.session import materialize
 
 
 @query("sta01_bootstrap_mean", f"""WITH r AS (SELECT o_orderkey AS id, o_totalprice AS v FROM orders), d AS (SELECT id, v, unnest(range(1, 51)) AS rep FROM r),
@@ -82,7 +83,6 @@ def event_trades(spark, d):
 
 def study(spark, d):
     f = B.filings(spark, d).where(F.col("code") == "P")
-    from tapegrain.session import materialize
     t = materialize(study_trades(spark, d), "study_trades")  # read by the events and by both placebo draws
     t = t.withColumn("median_dv_60", F.col("median_dv_60") * 1000)  # the tables' prices are small money
     return V.event_study(D.detect_clusters(f, min_insiders=4), f, t, hold=HOLD)
@@ -110,7 +110,8 @@ def study_verdict(spark, d):
 def auc_rank_ic(spark, d):
     f = forecasts(spark, d).select("horizon", F.round(1 / (1 + F.exp(-F.log(F.col("p50") / F.col("last_price")) * 5)), 6).alias("p"),
                                    (F.col("realised") > F.col("last_price")).cast("int").alias("hit"), F.log(F.col("realised") / F.col("last_price")).alias("y"))
-    a = E.auc(f, ["horizon"], "p", "hit").join(E.rank_corr(f, ["horizon"], "p", "y"), "horizon")
+    f = materialize(f, "outcomes")  # both measures read it several times
+    a = E.auc(f, ["horizon"], "p", "hit").join(E.rank_corr(f, ["horizon"], "p", "y", written=True), "horizon")
     return a.select("horizon", "n", rnd("auc", 6).alias("auc"), rnd("rank_ic", 5).alias("rank_ic"))
 
 
