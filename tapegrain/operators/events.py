@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapegrain.operators.kernels import asof_join, by_time, clip, so_far, uniform
+from tapegrain.session import materialize
 
 
 def earnings_factors(bars: DataFrame, reactions: DataFrame, fresh: int = 63) -> DataFrame:
@@ -132,7 +133,8 @@ def event_study(clusters: DataFrame, purchases: DataFrame, trades: DataFrame, ho
     cols = ["_s", "i", "n", "close", f"median_dv_{liq}", "prior_126", "ret", "ar", "exit_how"]
     e = asof_join(clusters.select(F.col("issuer").alias("symbol"), "signal_date", "n_insiders", "total_value"), bars, "symbol", "signal_date", "session", {x: x for x in cols})
     e = e.where(F.col("_s").isNotNull()).where(eligible(liq) & F.col("ar").isNotNull()).withColumnRenamed("_s", "session")
-    cand = placebo_candidates(trades, purchases, hold, liq)
+    # read by both draws, each several times
+    cand = materialize(placebo_candidates(trades, purchases, hold, liq).select("symbol", "c_rank", "m_rank", "c_n", "prior_126", "ar"), "candidates")
     p = sample_placebos(e, cand).groupBy("symbol").agg(F.avg("ar").alias("_p"))
     m = sample_matched(e, cand).groupBy("symbol").agg(F.avg("ar").alias("_m"))
     e = e.join(p, "symbol", "left").join(m, "symbol", "left")

@@ -69,7 +69,7 @@ LAST = "2003-12-31"
 
 
 def study_trades(spark, d):
-    return V.event_trades(B.daily_bars(spark, d).select("symbol", "session", "open", "high", "low", "close", "volume"), B.market_bars(spark, d), HOLD, 0.001, F.lit(LAST).cast("date"))
+    return V.event_trades(B.symbol_bars(spark, d).select("symbol", "session", "open", "high", "low", "close", "volume"), B.market_bars(spark, d), HOLD, 0.001, F.lit(LAST).cast("date"))
 
 
 @query("sta05_event_trades", f"""WITH {B.BARS}, {B.MARKET}, b AS (SELECT symbol, session, lead(session) OVER ({WS}) AS es, lead(open) OVER ({WS}) AS eo, lead(session, {HOLD + 1}) OVER ({WS}) AS xs, lead(open, {HOLD + 1}) OVER ({WS}) AS xo,

@@ -360,3 +360,10 @@ def test_detection_deals_what_it_windows(spark, bars):
     assert ("symbol",) in dealt and all(k[0] == "symbol" for k in dealt)
     plan = load_catalog()["seq05_detection"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(symbol#\w+, \d+\), ENSURE_REQUIREMENTS", plan)
+
+
+def test_event_study_numbers_its_candidates_once(spark):
+    """Both placebo draws read the written candidates; neither runs the windows that number them."""
+    from tapegrain.plans import load_catalog
+    out = load_catalog()["sta06_event_study"][0](spark, "/root/testdata/sf0.001")
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
